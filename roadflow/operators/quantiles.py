@@ -57,33 +57,45 @@ def exact_quantiles(
         F.first("n").alias("n"),
         F.collect_list(F.struct("prob", "lo", "hi")).alias("_bs"),  # one entry per probability
     )
-    # Each row meets the few brackets of its group; rows above a bracket drop out at once.
+    # Each row meets the few brackets of its group. Rows beside a bracket shrink to one
+    # count with their nearest value, which also serves a rank one step outside.
+    zone = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0)
     met = (
         long.join(per_group, group)
         .select(*group, "n", "value", F.explode("_bs").alias("_b"))
         .select(*group, "n", "value", "_b.prob", "_b.lo", "_b.hi")
-        .filter(F.col("value") <= F.col("hi"))
-        .withColumn("value", F.when(F.col("value") >= F.col("lo"), F.col("value")))
-        .groupBy(*group, "prob", "n", "value")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_zone", zone)
+        .withColumn("_key", F.when(F.col("_zone") == 0, F.col("value")))
+        .groupBy(*group, "prob", "n", "_zone", "_key")
+        .agg(
+            F.count(F.lit(1)).alias("_c"), F.min("value").alias("_min"), F.max("value").alias("_max")
+        )
     )
-    # Null value = everything below the bracket, already one row; it sorts first.
-    order = W.partitionBy(*group, "prob").orderBy(F.col("value").asc_nulls_first())
+    order = W.partitionBy(*group, "prob").orderBy("_zone", "_key")
     ranked = met.withColumn("_cum", F.sum("_c").over(order)).withColumn(
         "_rank", (F.col("n") - 1) * F.col("prob")
     )
-    at = lambda r: F.min(F.when(F.col("_cum") > r, F.struct(F.col("_cum"), F.col("value"))))
+
+    def at(rank):
+        here = (F.col("_cum") > rank) & (F.col("_cum") - F.col("_c") <= rank)
+        edge = (
+            F.when(F.col("_zone") == 0, F.col("_key"))
+            .when((F.col("_zone") < 0) & (rank == F.col("_cum") - 1), F.col("_max"))
+            .when((F.col("_zone") > 0) & (rank == F.col("_cum") - F.col("_c")), F.col("_min"))
+        )
+        return F.max(F.when(here, edge))
+
     picked = ranked.groupBy(*group, "prob", "n").agg(
         F.first("_rank").alias("_rank"),
         at(F.floor("_rank")).alias("_a"),
         at(F.ceil("_rank")).alias("_z"),
     )
-    ok = F.col("_a.value").isNotNull() & F.col("_z.value").isNotNull()
+    ok = F.col("_a").isNotNull() & F.col("_z").isNotNull()
     frac = F.col("_rank") - F.floor("_rank")
     return picked.select(
         *group, "prob", "n",
         F.when(~ok, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
-        .otherwise(F.col("_a.value") + (F.col("_z.value") - F.col("_a.value")) * frac)
+        .otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * frac)
         .alias("value"),
     )
 

@@ -58,7 +58,9 @@ def vehicle_keys(feed: DataFrame, o: EtlOptions = EtlOptions()) -> DataFrame:
 def observed_table(traffic: DataFrame, vehicle: DataFrame) -> DataFrame:
     """Traffic keys with imputed measures and the vehicle features of matched keys."""
     filled = A.median_impute(traffic.select(*KEYS, *TRAFFIC_METRICS))
-    return filled.join(vehicle, KEYS, "left").select(*KEYS, *PROFILE_COLS)
+    return filled.join(vehicle, KEYS, "left").select(
+        *KEYS, *[F.col(c).cast("double").alias(c) for c in PROFILE_COLS]
+    )
 
 
 def weather_table(feed: DataFrame, grid: DataFrame, o: EtlOptions) -> DataFrame:
