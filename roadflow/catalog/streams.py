@@ -1 +1,98 @@
-"""placeholder"""
+"""Queries of the streaming jobs: files in, tables out, drained to the end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean as K
+from ..models import fit as M
+from ..plans.features import LAG_COLS, model_features
+from ..schemas import TARGET_REGRESSORS
+from ..session import scratch_path, stage
+from ..sources import sample_feeds as S
+from ..streaming import ticks as R
+from . import inputs as I
+from .registry import query
+
+TICKS = 12
+
+
+def _prepared(spark, d, order=(2, 0, 1)):
+    """Models of everything but the last 12 rows, and those rows as tick files in time order."""
+    series = stage(I.series(spark, d), "series")
+    rows = stage(M.training_rows(model_features(series, "NumVehicles")), "design")
+    models, full = M.fit_models(rows, "NumVehicles", order=order, window=(TICKS + 1, M.EVERYTHING), name="train")
+    seed = full.filter(F.col("rn") == TICKS).select(
+        "DeviceId", F.array(*LAG_COLS).alias("seed_y"), F.array("e1", "e2").alias("seed_e")
+    )
+    models = stage(models.join(seed, "DeviceId"), "stream-models")
+    raw = series.select("DeviceId", "BucketTime", *TARGET_REGRESSORS["NumVehicles"])
+    names = [f"{c}_lag1" for c in TARGET_REGRESSORS["NumVehicles"]]
+    last = rows.filter(F.col("rn") <= TICKS).select("DeviceId", "BucketTime", "y", *names, "rn")
+    ticks = last.join(raw, ["DeviceId", "BucketTime"])
+    path = scratch_path(spark, "ticks")
+    # One file per third of the replay, oldest first.
+    for third in range(3):
+        high, low = TICKS - 4 * third, TICKS - 4 * third - 3
+        ticks.filter(F.col("rn").between(low, high)).drop("rn").coalesce(1).write.mode("append").parquet(path)
+    return models, path, ticks.drop("rn").schema
+
+
+def _forecast_stream(spark, d, order=(2, 0, 1)):
+    models, path, schema = _prepared(spark, d, order)
+    base = R.with_future_base(R.tick_stream(spark, path, schema, 1), models, "NumVehicles", I.HOUR)
+    return R.extend_and_forecast(base, I.HOUR)
+
+
+@query("stream_ticks")
+def stream_ticks(spark, d):
+    _, path, schema = _prepared(spark, d)
+    return R.run_to_table(R.tick_stream(spark, path, schema, 1), "replayed")
+
+
+@query("stream_extend")
+def stream_extend(spark, d):
+    out = R.run_to_table(_forecast_stream(spark, d), "extended")
+    return out.select("DeviceId", "BucketTime", "tick", "residual", F.size("history").alias("history_rows"))
+
+
+@query("stream_forecast")
+def stream_forecast(spark, d):
+    out = R.run_to_table(_forecast_stream(spark, d), "forecast")
+    return out.select("DeviceId", "BucketTime", F.posexplode("forecast").alias("step", "predicted"))
+
+
+@query("stream_history")
+def stream_history(spark, d):
+    out = R.run_to_table(_forecast_stream(spark, d), "history")
+    return out.select("DeviceId", "BucketTime", F.explode("history").alias("_h")).select("DeviceId", "BucketTime", "_h.*")
+
+
+@query("stream_horizons")
+def stream_horizons(spark, d):
+    return R.horizon_snapshot(R.run_to_table(_forecast_stream(spark, d), "horizons"))
+
+
+@query("stream_latest_doc")
+def stream_latest_doc(spark, d):
+    path = scratch_path(spark, "latest")
+    R.latest_documents(_forecast_stream(spark, d), path)
+    return spark.read.json(path)
+
+
+@query("stream_append")
+def stream_append(spark, d):
+    _, path, schema = _prepared(spark, d)
+    return R.append_history(R.tick_stream(spark, path, schema, 2))
+
+
+@query("stream_resample")
+def stream_resample(spark, d):
+    """Five-minute means of the interval feed as a stream; equals the batch on closed windows."""
+    feed = K.clean_traffic(S.traffic_feed(spark, d, "1 minute"))
+    path = scratch_path(spark, "feed")
+    feed.select("Id", "DeviceId", "Lane", F.col("BucketTime").alias("ts"), "NumVehicles", "AvgSpeed").write.parquet(path)
+    stream = R.tick_stream(spark, path, spark.read.parquet(path).schema)
+    return R.run_to_table(R.resample_stream(stream, ["NumVehicles", "AvgSpeed"]), "resampled")
+
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,12 +25,24 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the jobs rely on to an existing session."""
+    """Apply the runtime settings the jobs rely on and ship the package to the workers."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, as ``--py-files`` would; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_roadflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="roadflow-package-"), "roadflow")
+    context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), "roadflow"))
+    context._roadflow_shipped = True
+
+
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench."""
     builder = (
@@ -81,7 +94,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def cpu_hint() -> int:
-    return os.cpu_count() or 8
