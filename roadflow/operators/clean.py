@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.types import IntegralType, TimestampNTZType
 
 from ..functions import columns as C
 from ..functions.calendar import floor_to, parse_bucket_time
@@ -14,7 +14,11 @@ from ..schemas import (
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: C.to_number(c) for c in cols if c in df.columns})
+    """Numbers from text, junk as null. Integer columns pass, so filters on them reach the scan."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns(
+        {c: C.to_number(c) for c in cols if c in kinds and not isinstance(kinds[c], IntegralType)}
+    )
 
 
 def normalize_lane(df: DataFrame, lane: str = "Lane") -> DataFrame:

@@ -18,7 +18,7 @@ from roadflow.streaming import ticks as R
 def test_resample_equals_batch_on_closed_windows(spark, small):
     from roadflow.catalog import QUERIES
 
-    stream = QUERIES["stream_resample"](spark, small)
+    stream = QUERIES["stream_resample"](spark, small).filter("NumVehicles IS NOT NULL").cache()
     feed = K.clean_traffic(S.traffic_feed(spark, small, "1 minute"))
     batch = T.resample_mean(feed, ["NumVehicles", "AvgSpeed"], ["DeviceId", "Lane"]).filter("NumVehicles IS NOT NULL")
     key = ["DeviceId", "Lane", "BucketTime"]
@@ -35,7 +35,7 @@ def test_repeated_ids_are_dropped(spark):
     rows = [("1", "2024-01-01 00:01:00", 4.0), ("1", "2024-01-01 00:01:00", 4.0), ("2", "2024-01-01 00:02:00", 8.0),
             ("3", "2024-01-01 09:00:00", 1.0)]
     spark.createDataFrame(rows, "Id string, ts string, x double").selectExpr(
-        "Id", "'d' DeviceId", "1 Lane", "timestamp_ntz(ts) ts", "x"
+        "Id", "'d' DeviceId", "1 Lane", "cast(ts AS timestamp_ntz) ts", "x"
     ).write.parquet(path)
     stream = R.tick_stream(spark, path, spark.read.parquet(path).schema)
     out = R.run_to_table(R.resample_stream(stream, ["x"]), "once").collect()
