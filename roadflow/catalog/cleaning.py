@@ -118,9 +118,9 @@ def clean_vehicle(spark, d):
 )
 def filter_interval(spark, d):
     feed = S.traffic_feed(spark, d)
-    kept = K.filter_interval(feed).agg(F.count(F.lit(1)).alias("kept"))
-    return feed.agg(F.count(F.lit(1)).alias("n")).crossJoin(kept).select(
-        "kept", (F.col("n") - F.col("kept")).alias("removed")
+    kept = K.filter_interval(feed).agg(F.count(F.lit(1))).scalar()
+    return feed.agg(F.count(F.lit(1)).alias("n")).select(
+        kept.alias("kept"), (F.col("n") - kept).alias("removed")
     )
 
 

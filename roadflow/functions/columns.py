@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CLASS_TO_CATEGORY
@@ -14,6 +14,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def one_row(df: DataFrame) -> Column:
+    """The single row of an aggregate as a struct, by scalar subquery.
+
+    Facts about a whole table (span, medians, verdicts) reach every row this way; they are
+    computed once and never joined.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns])).scalar()
+
+
 def normalize_key(c) -> Column:
     """Trimmed upper-case text; '', 'NAN' and 'NONE' become null."""
     text = F.upper(F.trim(col(c).cast("string")))

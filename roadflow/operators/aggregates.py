@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, ratio_or_null, total
+from ..functions.columns import col, one_row, ratio_or_null, total
 from ..schemas import (
     CATEGORIES, COUNT_COLS, KEYS, PROFILE_COLS, RATIO_COLS, SERIES, TRAFFIC_METRICS,
     WEATHER_COLS,
@@ -38,13 +38,8 @@ def traffic_by_key(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def median_impute(df: DataFrame, cols: list[str] = TRAFFIC_METRICS) -> DataFrame:
     """Nulls take the column's median over the whole table, or 0 without any value."""
-    medians = exact_medians(df, cols).select(
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"_m_{c}") for c in cols]
-    )
-    filled = df.crossJoin(F.broadcast(medians))  # one row
-    return filled.withColumns({c: F.coalesce(c, f"_m_{c}") for c in cols}).drop(
-        *[f"_m_{c}" for c in cols]
-    )
+    median = one_row(exact_medians(df, cols))
+    return df.withColumns({c: F.coalesce(F.col(c), median[c], F.lit(0.0)) for c in cols})
 
 
 def vehicle_class_counts(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -24,17 +24,11 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 def normalize_lane(df: DataFrame, lane: str = "Lane") -> DataFrame:
     """Integer text when every present lane is numeric, otherwise a text key.
 
-    The decision covers the whole column: one aggregate row is joined back.
+    The decision covers the whole column, as a scalar subquery.
     """
-    verdict = df.agg(
-        (F.count(lane) == F.count(C.to_number(lane))).alias("_numeric")
-    )
+    numeric = df.agg(F.count(lane) == F.count(C.to_number(lane))).scalar()
     as_int = C.to_number(lane).cast("long").cast("string")
-    return (
-        df.crossJoin(F.broadcast(verdict))
-        .withColumn(lane, F.when(F.col("_numeric"), as_int).otherwise(C.normalize_key(lane)))
-        .drop("_numeric")
-    )
+    return df.withColumn(lane, F.when(numeric, as_int).otherwise(C.normalize_key(lane)))
 
 
 def device_id(use_node_id: bool = True) -> Column:

@@ -78,7 +78,7 @@ def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
 def assert_unique(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
     """The same rows, failing at run time when a key occurs twice.
 
-    The check rides on an aggregate: one verdict row joined back, so nothing is collected.
+    The check is a scalar subquery over an aggregate, so nothing is collected.
     """
     verdict = (
         df.groupBy(*keys)
@@ -90,4 +90,4 @@ def assert_unique(df: DataFrame, keys: list[str], name: str = "table") -> DataFr
             ).alias("_bad")
         )
     )
-    return df.crossJoin(F.broadcast(verdict)).filter(F.col("_bad").isNull()).drop("_bad")
+    return df.filter(verdict.scalar().isNull())

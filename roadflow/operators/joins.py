@@ -26,22 +26,30 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str] = KEYS) -> DataFr
     return left.join(right, keys, "left_semi")
 
 
+def _by_hour(df: DataFrame, by: list[str], cols: list[str], name: str) -> DataFrame:
+    """Profile rows folded to an array of 24 structs per group, null for an hour without rows."""
+    hours = F.map_from_entries(F.collect_list(F.struct("Hour", F.struct(*cols))))  # <= 24 entries
+    day = F.sequence(F.lit(0), F.lit(23))
+    return df.groupBy(*by).agg(hours.alias("_h")).select(
+        *by, F.transform(day, lambda h: F.element_at("_h", h)).alias(name)
+    )
+
+
 def attach_profiles(
     grid: DataFrame, profile: DataFrame, overall: DataFrame, cols: list[str] = PROFILE_COLS
 ) -> DataFrame:
-    """Device-lane-hour and hour-of-day profiles as columns ``_own_c`` and ``_all_c``.
+    """Device-lane-hour and hour-of-day profiles as structs ``_own`` and ``_all``.
 
-    A grid hashed by (DeviceId, Lane) already clusters (DeviceId, Lane, Hour), so the lookup
-    does not shuffle it; whether the profile is broadcast is left to its measured size. The
-    hour-of-day profile has 24 rows by construction.
+    The device-lane profile is folded to one row of 24 hours, so the lookup joins on exactly
+    the (DeviceId, Lane) a dense grid is hashed by and never moves it; whether the profile
+    is broadcast is left to its measured size. The hour-of-day profile is one scalar.
     """
-    own = profile.select(*SERIES, "Hour", *[F.col(c).alias(f"_own_{c}") for c in cols])
-    everyone = overall.select("Hour", *[F.col(c).alias(f"_all_{c}") for c in cols])
-    return (
-        grid.withColumn("Hour", F.hour("BucketTime"))
-        .join(own, SERIES + ["Hour"], "left")
-        .join(F.broadcast(everyone), "Hour", "left")
-    )
+    own = _by_hour(profile, SERIES, cols, "_ph")
+    everyone = _by_hour(overall, [], cols, "_gh").scalar()
+    hour = F.hour("BucketTime")
+    return grid.join(own, SERIES, "left").withColumns(
+        {"_own": F.get("_ph", hour), "_all": F.get(everyone, hour)}
+    ).drop("_ph")
 
 
 def profile_lookup(
@@ -53,14 +61,14 @@ def profile_lookup(
     return both.select(
         *grid.columns,
         *[
-            F.coalesce(f"_own_{c}", f"_all_{c}", F.lit(defaults[c])).alias(c)
+            F.coalesce(F.col("_own")[c], F.col("_all")[c], F.lit(defaults[c])).alias(c)
             for c in cols
         ],
     )
 
 
 def grid_left_observed(grid: DataFrame, observed: DataFrame) -> DataFrame:
-    """Observed values on the dense grid; the equi-join keeps the grid's partitioning."""
+    """Observed values on the dense grid, by equi-join (``densify`` does both without one)."""
     return grid.join(observed, SERIES + ["BucketTime"], "left")
 
 
@@ -134,9 +142,8 @@ def metrics_lookup(df: DataFrame, metrics: DataFrame, target: str, defaults: dic
 def devices_for_target(devices: DataFrame, metrics: DataFrame, target: str) -> DataFrame:
     """Devices with metrics for the target; every device when there are none at all."""
     chosen = metrics.filter(F.col("TargetCol") == target).select("DeviceId").distinct()
-    none = chosen.agg((F.count(F.lit(1)) == 0).alias("_none"))
-    rest = devices.select("DeviceId").distinct().crossJoin(F.broadcast(none)).filter("_none")
-    return chosen.unionByName(rest.select("DeviceId"))
+    none = chosen.agg(F.count(F.lit(1)) == 0).scalar()
+    return chosen.unionByName(devices.select("DeviceId").distinct().filter(none))
 
 
 def devices_by_list(df: DataFrame, ids: DataFrame | list[str]) -> DataFrame:

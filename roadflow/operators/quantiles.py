@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+SALTS = 32
 
 
 def exact_quantiles(
@@ -57,11 +58,15 @@ def exact_quantiles(
         F.first("n").alias("n"),
         F.collect_list(F.struct("prob", "lo", "hi")).alias("_bs"),  # one entry per probability
     )
+    # The brackets are repeated per salt, so a hot group's rows meet them in many tasks even
+    # where the bracket table is too large to broadcast.
+    spread = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = long.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
     # Each row meets the few brackets of its group. Rows beside a bracket shrink to one
     # count with their nearest value, which also serves a rank one step outside.
     zone = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0)
     met = (
-        long.join(per_group, group)
+        salted.join(spread, [*group, "_salt"])
         .select(*group, "n", "value", F.explode("_bs").alias("_b"))
         .select(*group, "n", "value", "_b.prob", "_b.lo", "_b.hi")
         .withColumn("_zone", zone)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.calendar import add_steps, calendar_dummies, epoch, floor_to, is_holiday, step_seconds
+from ..functions.calendar import add_steps, calendar_dummies, epoch, floor_to, from_epoch, is_holiday, step_seconds
+from ..functions.columns import one_row
 from ..schemas import ROLLING, SERIES
 from ..session import shuffle_partitions
 
@@ -35,23 +36,29 @@ def dense_grid(
 ) -> DataFrame:
     """Every device x lane x stamp between the first and last stamp of ``df``.
 
-    Only the distinct devices and lanes are crossed. The pairs are spread by
-    (DeviceId, Lane) into a fixed number of partitions *before* the stamps are exploded:
-    the dense rows are born where their series' windows need them and are never shuffled.
+    The pairs are spread by (DeviceId, Lane) into a fixed number of partitions *before* the
+    stamps are exploded: the dense rows are born where their series' windows need them and
+    are never shuffled.
     """
-    if observed_pairs_only:
-        pairs = df.select(*SERIES).distinct()
-    else:
-        pairs = df.select("DeviceId").distinct().crossJoin(df.select("Lane").distinct())
-    span = bounds(df, step)
+    span = one_row(bounds(df, step))
     n = partitions or shuffle_partitions(df.sparkSession)
     return (
-        pairs.repartition(n, *SERIES)
-        .crossJoin(F.broadcast(span))  # one row
-        .select(*SERIES, F.explode(steps_between("t0", "t1", step)).alias("BucketTime"))
+        series_pairs(df, observed_pairs_only).repartition(n, *SERIES)
+        .select(*SERIES, F.explode(steps_between(span["t0"], span["t1"], step)).alias("BucketTime"))
     )
 
 
+def series_pairs(df: DataFrame, observed_only: bool = False) -> DataFrame:
+    """Series of the grid: the pairs seen, or every device with every lane that occurs.
+
+    A road has a handful of lanes; their distinct values travel as one array.
+    """
+    if observed_only:
+        return df.select(*SERIES).distinct()
+    lanes = df.agg(F.collect_set("Lane")).scalar()
+    return df.select("DeviceId").distinct().withColumn("Lane", F.explode(lanes))
+
+
 def time_grid(df: DataFrame, step: str = "5 minutes") -> DataFrame:
     """Every stamp between the first and last stamp of ``df``."""
     return bounds(df, step).select(F.explode(steps_between("t0", "t1", step)).alias("BucketTime"))
@@ -61,13 +68,34 @@ def asfreq(
     df: DataFrame, step: str = "5 minutes", keys: list[str] = ("DeviceId",),
     time: str = "BucketTime",
 ) -> DataFrame:
-    """Insert the missing steps between a series' first and last row."""
+    """Insert the missing steps between a series' first and last row.
+
+    Each row learns the stamp of its successor and explodes into the steps up to it, so the
+    dense rows are neither joined nor shuffled. Rows off the series' own grid drop out; a
+    stamp that occurs twice is an error.
+    """
     keys = list(keys)
-    span = df.groupBy(*keys).agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
-    index = span.repartition(shuffle_partitions(df.sparkSession), *keys).select(
-        *keys, F.explode(steps_between("t0", "t1", step)).alias(time)
+    size = step_seconds(step)
+    whole = W.partitionBy(*keys)
+    order = whole.orderBy(time)
+    on_grid = df.withColumns({"_s": epoch(time), "_s0": epoch(F.min(time).over(whole))}).filter(
+        (F.col("_s") - F.col("_s0")) % size == 0
+    )
+    nxt = F.lead("_s").over(order)
+    twice = F.raise_error(F.lit(f"asfreq: a series of {keys} has a stamp twice")).cast("long")
+    last = F.when(nxt == F.col("_s"), twice).otherwise(F.coalesce(nxt - size, F.col("_s")))
+    rest = [c for c in df.columns if c not in keys + [time]]
+    return (
+        on_grid.withColumn("_to", last)
+        .select("*", F.explode(F.sequence("_s", "_to", F.lit(size).cast("long"))).alias("_at"))
+        .select(
+            *[
+                F.when(F.col("_at") == F.col("_s"), F.col(c)).alias(c) if c in rest
+                else (from_epoch("_at").alias(c) if c == time else F.col(c))
+                for c in df.columns
+            ]
+        )
     )
-    return index.join(df, keys + [time], "left").select(*df.columns)
 
 
 def _running_last(order: str, descending: bool, keys: list[str]):
@@ -75,8 +103,17 @@ def _running_last(order: str, descending: bool, keys: list[str]):
     return W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, 0)
 
 
-def _known_neighbours(cols, time: str, keys: list[str], strict_next: bool = False) -> list[dict]:
-    """Position and value of the last known cell and of the next one, per column.
+def _groups(cols: list[str], together: list[list[str]] | None) -> list[list[str]]:
+    """Columns by shared null pattern; a column that is named nowhere stands alone."""
+    shared = [[c for c in g if c in cols] for g in (together or [])]
+    named = {c for g in shared for c in g}
+    return [g for g in shared if g] + [[c] for c in cols if c not in named]
+
+
+def _known_neighbours(
+    groups: list[list[str]], time: str, keys: list[str], strict_next: bool = False
+) -> list[dict]:
+    """Position (per group) and value (per column) of the last known cell and the next one.
 
     Two maps for two window passes: descending first, so that whatever follows in time
     order reuses the ascending sort. Needs a ``_pos`` column.
@@ -84,28 +121,44 @@ def _known_neighbours(cols, time: str, keys: list[str], strict_next: bool = Fals
     before, after = _running_last(time, False, keys), _running_last(time, True, keys)
     if strict_next:
         after = after.rowsBetween(W.unboundedPreceding, -1)
-    at = lambda c: F.when(F.col(c).isNotNull(), F.col("_pos"))
-    ahead = {f"_ni_{c}": F.last(at(c), True).over(after) for c in cols}
-    ahead |= {f"_nx_{c}": F.last(c, True).over(after) for c in cols}
-    back = {f"_pi_{c}": F.last(at(c), True).over(before) for c in cols}
-    back |= {f"_px_{c}": F.last(c, True).over(before) for c in cols}
-    return [ahead, back]
-
-
-def _on_line(c: str, pos: Column, limit: int | None, max_gap: int | None) -> Column:
-    """Value at ``pos`` on the line between a column's known neighbours."""
-    pi, px, ni, nx = (F.col(f"_{k}_{c}") for k in ("pi", "px", "ni", "nx"))
-    dp, dn, gap = pos - pi, ni - pos, ni - pi
-    near = lambda d: F.lit(True) if limit is None else d <= limit
-    inside = near(dp) | near(dn)
-    if max_gap is not None:
-        inside = inside & (gap - 1 <= max_gap)
-    return (
-        F.when(dp == 0, px)
-        .when(pi.isNull(), F.when(near(dn), nx))
-        .when(ni.isNull(), F.when(near(dp), px))
-        .when(inside, px + (nx - px) * dp / gap)
-    )
+    found = []
+    for side, frame in (("n", after), ("p", before)):
+        new = {}
+        for g in groups:
+            at = F.when(F.col(g[0]).isNotNull(), F.col("_pos"))
+            new[f"_{side}i_{g[0]}"] = F.last(at, True).over(frame)
+            new |= {f"_{side}x_{c}": F.last(c, True).over(frame) for c in g}
+        found.append(new)
+    return found
+
+
+def _on_line(
+    df: DataFrame, groups: list[list[str]], pos: str, limit: int | None, max_gap: int | None
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Values at ``pos`` on the lines between known neighbours.
+
+    What to take is decided once per group (1 previous, 2 next, 3 the line between).
+    """
+    ways, out = {}, {}
+    for g in groups:
+        pi, ni, here = F.col(f"_pi_{g[0]}"), F.col(f"_ni_{g[0]}"), F.col(pos)
+        dp, dn = here - pi, ni - here
+        near = lambda d: F.lit(True) if limit is None else d <= limit
+        inside = near(dp) | near(dn)
+        if max_gap is not None:
+            inside = inside & (ni - pi - 1 <= max_gap)
+        ways[f"_way_{g[0]}"] = (
+            F.when(dp == 0, 1)
+            .when(pi.isNull(), F.when(near(dn), 2))
+            .when(ni.isNull(), F.when(near(dp), 1))
+            .when(inside, 3)
+        )
+        way = F.col(f"_way_{g[0]}")
+        for c in g:
+            px, nx = F.col(f"_px_{c}"), F.col(f"_nx_{c}")
+            line = px + (nx - px) * dp / (ni - pi)
+            out[c] = F.when(way == 1, px).when(way == 2, nx).when(way == 3, line)
+    return df.withColumns(ways), out
 
 
 def position(time: str, step: str) -> Column:
@@ -123,15 +176,17 @@ def interpolate(
     side; series edges hold the nearest known value. ``max_gap`` keeps longer gaps open.
     Position comes from the stamp, so no row numbers are computed.
     """
-    ahead, back = _known_neighbours(cols, time, keys)
+    groups = _groups(cols, None)
+    ahead, back = _known_neighbours(groups, time, keys)
     seen = df.withColumn("_pos", position(time, step)).withColumns(ahead).withColumns(back)
-    line = lambda c: _on_line(c, F.col("_pos"), limit, max_gap).alias(c)
-    return seen.select(*[line(c) if c in cols else F.col(c) for c in df.columns])
+    seen, line = _on_line(seen, groups, "_pos", limit, max_gap)
+    return seen.select(*[line[c].alias(c) if c in line else F.col(c) for c in df.columns])
 
 
 def densify(
     observed: DataFrame, cols: list[str], step: str, limit: int | None = 12,
     max_gap: int | None = None, observed_pairs_only: bool = False, partitions: int | None = None,
+    together: list[list[str]] | None = None,
 ) -> DataFrame:
     """Dense device x lane x time grid with interpolated values, in one go.
 
@@ -139,43 +194,52 @@ def densify(
     observed rows: each one learns its neighbours and the stamp of its successor, then
     explodes into the cells up to it. A virtual row before the first step opens every
     series (never-seen pairs too). Dense rows are neither joined, shuffled nor windowed.
-    ``_known`` tells whether the first column was known in the cell itself.
+    ``_known`` tells whether the first column was known in the cell itself. Columns listed
+    ``together`` are null in the same rows and share their positions; that is verified.
     """
     time, keys = "BucketTime", SERIES
     size = step_seconds(step)
-    span = bounds(observed, step).select(
-        position("t0", step).alias("_p0"), position("t1", step).alias("_p1")
+    span = one_row(
+        bounds(observed, step).select(
+            position("t0", step).alias("p0"), position("t1", step).alias("p1")
+        )
     )
-    if observed_pairs_only:
-        pairs = observed.select(*keys).distinct()
-    else:
-        pairs = observed.select("DeviceId").distinct().crossJoin(observed.select("Lane").distinct())
     rows = (
         observed.filter(F.pmod(epoch(time), F.lit(size)) == 0)  # off-grid stamps meet no cell
         .select(*keys, position(time, step).alias("_pos"), *cols)
         .unionByName(
-            pairs.crossJoin(F.broadcast(span)).select(
-                *keys, (F.col("_p0") - 1).alias("_pos"),
+            series_pairs(observed, observed_pairs_only).select(
+                *keys, (span["p0"] - 1).alias("_pos"),
                 *[F.lit(None).cast("double").alias(c) for c in cols],
             )
         )
         .repartition(partitions or shuffle_partitions(observed.sparkSession), *keys)
-        .crossJoin(F.broadcast(span))
     )
-    ahead, back = _known_neighbours(cols, "_pos", keys, strict_next=True)
+    groups = _groups(cols, together)
+    differ = [F.col(g[0]).isNull() != F.col(c).isNull() for g in groups for c in g[1:]]
+    if differ:
+        odd = differ[0]
+        for d in differ[1:]:
+            odd = odd | d
+        failed = F.raise_error(F.lit("columns declared to be null together are not"))
+        rows = rows.withColumn("_pos", F.when(odd, failed.cast("long")).otherwise(F.col("_pos")))
+    ahead, back = _known_neighbours(groups, "_pos", keys, strict_next=True)
     nxt = F.lead("_pos").over(W.partitionBy(*keys).orderBy("_pos"))
     segments = rows.withColumns(ahead).withColumns({**back, "_until": nxt}).select(
         *keys,
-        F.greatest("_pos", "_p0").alias("_from"),
-        (F.coalesce("_until", F.col("_p1") + 1) - 1).alias("_to"),
-        *[f"_{k}_{c}" for c in cols for k in ("pi", "px", "ni", "nx")],
+        F.greatest(F.col("_pos"), span["p0"]).alias("_from"),
+        (F.coalesce(F.col("_until"), span["p1"] + 1) - 1).alias("_to"),
+        *[f"_{k}i_{g[0]}" for g in groups for k in "pn"],
+        *[f"_{k}x_{c}" for c in cols for k in "pn"],
     ).filter(F.col("_from") <= F.col("_to"))
-    cell = F.col("_cell")
-    return segments.select("*", F.explode(F.sequence("_from", "_to")).alias("_cell")).select(
+    cells = segments.select("*", F.explode(F.sequence("_from", "_to")).alias("_cell"))
+    cells, line = _on_line(cells, groups, "_cell", limit, max_gap)
+    lead = next(g[0] for g in groups if cols[0] in g)
+    return cells.select(
         *keys,
-        F.timestamp_seconds(cell * size).cast("timestamp_ntz").alias(time),
-        *[_on_line(c, cell, limit, max_gap).alias(c) for c in cols],
-        (F.col(f"_pi_{cols[0]}") == cell).alias("_known"),
+        F.timestamp_seconds(F.col("_cell") * size).cast("timestamp_ntz").alias(time),
+        *[line[c].alias(c) for c in cols],
+        (F.col(f"_pi_{lead}") == F.col("_cell")).alias("_known"),
     )
 
 

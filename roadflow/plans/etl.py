@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.apportion import largest_remainder
-from ..functions.calendar import step_seconds, with_calendar
+from ..functions.calendar import floor_to, step_seconds, with_calendar
+from ..functions.columns import one_row
 from ..operators import aggregates as A
 from ..operators import clean as K
 from ..operators import joins as J
@@ -16,7 +17,7 @@ from ..operators import timeseries as T
 from ..operators.dedup import dedup_counts, dedup_rows, dup_key_stats
 from ..operators.validate import key_overlap, quality_checks
 from ..schemas import (
-    COUNT_COLS, FINAL_COLS, KEYS, PROFILE_COLS, SERIES, TRAFFIC_DEFAULTS, TRAFFIC_METRICS,
+    COUNT_COLS, FINAL_COLS, KEYS, PROFILE_COLS, RATIO_COLS, SERIES, TRAFFIC_DEFAULTS, TRAFFIC_METRICS,
     WEATHER_COLS, WEATHER_DEFAULTS,
 )
 from ..session import shuffle_partitions, stage
@@ -27,6 +28,11 @@ BROADCAST_STEPS = 1_000_000
 CELLS_PER_PARTITION = 500_000
 
 
+# Measures that are null in the same rows of the observed table: imputed traffic measures
+# never are, counts and shares follow the vehicle match, median and spread the speeds.
+NULL_TOGETHER = [TRAFFIC_METRICS, COUNT_COLS + RATIO_COLS, ["MedianSpeed", "SpeedStd"]]
+
+
 @dataclass(frozen=True)
 class EtlOptions:
     step: str = "5 minutes"
@@ -77,7 +83,8 @@ def weather_table(feed: DataFrame, grid: DataFrame, o: EtlOptions) -> DataFrame:
 def fill_grid(observed: DataFrame, o: EtlOptions, partitions: int | None = None) -> DataFrame:
     """Dense grid with observed, interpolated or profile values and their ``fill_source``."""
     line = T.densify(
-        observed, PROFILE_COLS, o.step, o.gap_limit, o.max_gap, o.observed_pairs_only, partitions
+        observed, PROFILE_COLS, o.step, o.gap_limit, o.max_gap, o.observed_pairs_only, partitions,
+        NULL_TOGETHER,
     ).withColumn(
         "fill_source",
         F.when(F.coalesce("_known", F.lit(False)), "observed")
@@ -88,7 +95,7 @@ def fill_grid(observed: DataFrame, o: EtlOptions, partitions: int | None = None)
     return both.select(
         *SERIES, "BucketTime", "fill_source",
         *[
-            F.coalesce(c, f"_own_{c}", f"_all_{c}", F.lit(TRAFFIC_DEFAULTS[c])).alias(c)
+            F.coalesce(F.col(c), F.col("_own")[c], F.col("_all")[c], F.lit(TRAFFIC_DEFAULTS[c])).alias(c)
             for c in PROFILE_COLS
         ],
     )
@@ -128,10 +135,11 @@ def build(
     t = stage(traffic_keys(traffic, o), "traffic-keys")
     v = vehicle_keys(vehicle, o)
     observed = stage(observed_table(t, v), "observed")
-    size = T.bounds(observed, o.step).crossJoin(
-        observed.agg(
-            F.count_distinct("DeviceId").alias("devices"), F.count_distinct("Lane").alias("lanes")
-        )
+    size = observed.agg(
+        floor_to(F.min("BucketTime"), o.step).alias("t0"),
+        floor_to(F.max("BucketTime"), o.step).alias("t1"),
+        F.approx_count_distinct("DeviceId").alias("devices"),
+        F.approx_count_distinct("Lane").alias("lanes"),
     ).first()
     steps = 0
     if size["t0"] is not None:
@@ -174,7 +182,5 @@ def etl_report(
         ),
         quality_checks(result.final),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(part)
-    return out
+    facts = {f"_{i}": one_row(part) for i, part in enumerate(parts[1:])}
+    return parts[0].withColumns(facts).select(*parts[0].columns, *[f"{name}.*" for name in facts])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import floor_to
+from ..functions.columns import one_row
 from ..operators.quantiles import exact_medians, exact_quantiles
 from ..operators.timeseries import time_grid
 
@@ -27,9 +28,10 @@ def vehicle_summary(df: DataFrame) -> DataFrame:
         F.max("OccurDate").alias("last_seen"), F.avg("Speed").alias("mean_speed"),
         F.avg("Confidence").alias("mean_confidence"),
     )
-    plates = df.agg(F.count_distinct("Plate").alias("plates"))
-    median = exact_medians(df, ["Speed"]).withColumnRenamed("Speed", "median_speed")
-    return base.crossJoin(plates).crossJoin(median)
+    plates = df.agg(F.count_distinct("Plate"))
+    return base.withColumns(
+        {"plates": plates.scalar(), "median_speed": exact_medians(df, ["Speed"]).scalar()}
+    )
 
 
 def hourly_volume_by_interval(df: DataFrame, kinds: tuple[int, ...] = (1, 5, 15)) -> DataFrame:
@@ -81,7 +83,10 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] | None = None
     values = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).alias("_x"))
     ends = values.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    joined = values.join(ends, by) if by else values.crossJoin(F.broadcast(ends))
+    if by:
+        joined = values.join(ends, by)
+    else:
+        joined = values.withColumn("_e", one_row(ends)).select("_x", "_e.*")
     index = F.when(F.col("_hi") > F.col("_lo"), F.least(
         F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)
     )).otherwise(F.lit(0))

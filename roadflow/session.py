@@ -15,9 +15,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A dense grid hashed by (DeviceId, Lane) may serve a join on
-    # (DeviceId, Lane, BucketTime): only the sparse observed side is shuffled.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # The JVM never compiles methods above 8000 bytes of bytecode. Wide projections run
     # several times faster when such stages fall back to split, compilable methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",

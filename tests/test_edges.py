@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -142,7 +143,7 @@ def test_dedup_ignores_row_order_and_repeats(spark):
 
 def test_assert_unique_raises(spark):
     df = spark.createDataFrame([(1,), (1,)], "k int")
-    with pytest.raises(PySparkException, match="not unique"):
+    with pytest.raises((PySparkException, Py4JJavaError), match="not unique"):
         D.assert_unique(df, ["k"]).collect()
 
 

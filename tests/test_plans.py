@@ -63,9 +63,9 @@ def test_conservation(spark, small):
 
 
 def test_whole_job_properties(spark, small):
-    o = etl.EtlOptions()
-    feeds = (S.traffic_feed(spark, small), S.vehicle_feed(spark, small), S.weather_feed(spark, small))
-    a = etl.build(*feeds, o).processed
+    o = etl.EtlOptions(step="1 hour")
+    feeds = tuple(f(spark, small, "1 hour") for f in (S.traffic_feed, S.vehicle_feed, S.weather_feed))
+    a = stage(etl.build(*feeds, o).processed, "a")
     b = etl.build(*[f.orderBy(F.rand(3)) for f in feeds], o).processed
     again = etl.build(feeds[0].unionByName(feeds[0]), feeds[1].unionByName(feeds[1]), feeds[2], o).processed
     pick = lambda df: df.select(*KEYS, "NumVehicles", "CarCount", "BusCount", F.round("AvgSpeed", 6).alias("s"))
@@ -78,7 +78,10 @@ def test_whole_job_properties(spark, small):
 
 def test_align_keeps_off_grid_minutes(spark, small):
     feed = S.traffic_feed(spark, small, "1 minute")
-    kept = lambda o: etl.fill_grid(etl.traffic_keys(feed, o).crossJoin(
-        spark.sql("SELECT " + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in PROFILE_COLS[6:]))), o).filter(
-        "fill_source = 'observed'").count()
+    absent = [F.lit(None).cast("double").alias(c) for c in PROFILE_COLS[6:]]
+
+    def kept(o):
+        seen = etl.traffic_keys(feed, o).fillna(0.0).select("*", *absent)
+        return etl.fill_grid(seen, o).filter("fill_source = 'observed'").count()
+
     assert kept(etl.EtlOptions(align="5 minutes")) > kept(etl.EtlOptions())

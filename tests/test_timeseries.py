@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from roadflow.operators import timeseries as T
@@ -119,6 +120,12 @@ def test_asfreq_and_resample(spark):
     np.testing.assert_array_equal(back(ten), [1.0, 4.0, 6.0, 7.0])
 
 
+def test_asfreq_rejects_a_stamp_twice(spark):
+    df = to_spark(spark, frame({"a": np.array([1.0, 2.0])}))
+    with pytest.raises(PySparkException, match="twice"):
+        T.asfreq(df.unionByName(df.limit(1))).collect()
+
+
 def test_split_shrinks_with_the_series(spark):
     pdf = frame({"a": np.arange(100.0)})
     got = T.split_tail(to_spark(spark, pdf), ["DeviceId"], 12, 12, 500).groupBy("split").count().collect()
