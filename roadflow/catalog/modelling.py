@@ -144,15 +144,16 @@ def tier_select(spark, d):
 
 @query(
     "order_source",
-    sql("""SELECT DeviceId, CASE WHEN n % 3 = 0 THEN 3 ELSE 1 END AS p, 0 AS q, 0 AS sp, 0 AS s,
-        CASE WHEN n % 3 = 0 THEN 'manual' ELSE 'auto' END AS ConfigSource FROM (SELECT DISTINCT user_id // 10 AS n,
-        'N' || CAST(user_id // 10 AS VARCHAR) AS DeviceId FROM ev)""", "ev"),
+    sql("""SELECT DeviceId, CASE WHEN top > 300 THEN 3 ELSE 1 END AS p, 0 AS q, 0 AS sp, 0 AS s,
+        CASE WHEN top > 300 THEN 'manual' ELSE 'auto' END AS ConfigSource FROM (SELECT max("value") AS top,
+        'N' || CAST(user_id // 10 AS VARCHAR) AS DeviceId FROM ev GROUP BY ALL)""", "ev"),
 )
 def order_source(spark, d):
-    n = F.floor(F.col("user_id") / 10)
-    devices = S.events(spark, d).select(n.alias("n"), F.concat(F.lit("N"), n.cast("string")).alias("DeviceId")).distinct()
+    """Devices that ever read above 300 have a manual order, the others a searched one."""
+    node = F.concat(F.lit("N"), F.floor(F.col("user_id") / 10).cast("string"))
+    devices = S.events(spark, d).groupBy(node.alias("DeviceId")).agg(F.max("value").alias("top"))
     fixed = lambda p: [F.lit(v).alias(c) for c, v in (("p", p), ("q", 0), ("sp", 0), ("s", 0))]
-    manual = devices.filter("n % 3 = 0").select("DeviceId", *fixed(3))
+    manual = devices.filter("top > 300").select("DeviceId", *fixed(3))
     auto = devices.select("DeviceId", *fixed(1))
     return E.order_source(devices, manual, None, auto)
 
