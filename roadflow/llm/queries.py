@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import neardup
-from .text import held_out, table
+from . import chat, decontaminate, licenses, neardup, ring
+from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,60 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+# Fixed value: the text of both turns of conversation -1.
+EXTRA_TURN = "</s>[INST] ok [/INST]"
+
+
+@register("op1_license_scan", licenses.report_sql())
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices in every text."""
+    return licenses.report(licenses.scan(table(spark, folder, "documents")))
+
+
 @register("op3_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents that share four in five of their four-word shingles."""
     return neardup.groups(table(spark, folder, "documents"), words=4).drop("key")
+
+
+DECONTAMINATION_SQL = r"""
+WITH item AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM item WHERE len(w) > 0)),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+found AS (
+  SELECT r, i, n, item_id FROM (
+    SELECT r, i, n, array_to_string(w[i + 1 : i + n], ' ') AS win
+    FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)) JOIN win USING (n, win)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+ids AS (SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+  FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(ids.n, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+@register("op5_benchmark_decontamination", DECONTAMINATION_SQL)
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside ten-word windows of the benchmark."""
+    return decontaminate.report(decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@register("op8_chat_format", chat.report_sql(EXTRA_TURN))
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one made of control strings, formatted and read back."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", EXTRA_TURN), (-1, 1, "assistant", EXTRA_TURN)], turns.schema)
+    return chat.report(chat.format_chats(turns.union(extra)))
+
+
+@register("op10_shards")
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen shards of the documents with row counts at most one apart."""
+    return ring.shard_documents(table(spark, folder, "documents"))
