@@ -14,8 +14,8 @@ threshold (five-word shingles and 0.8 unless told otherwise); a group is what li
 Copies collapse before anything else: nodes are distinct shingle sets, found by a 128-bit
 digest. A bucket is linked through its smallest member (a star), never as all pairs. Members
 that verification leaves in different groups are compared again inside the bucket, in blocks of
-bounded size, by their sketches, and verified where these look similar. So no link between
-different texts is lost that would join two groups.
+bounded size, by their sketches and then by packed sets, and verified where these agree. So no
+link between different texts is lost that would join two groups.
 
 Null or empty texts, and texts without words, have an empty set and are linked with nothing.
 Repeated rows fall in one group. A null doc_id takes part; it names a group only if no id is known.
@@ -144,16 +144,17 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, items): the full set of each row, for verification."""
+    """(node, items, low): the full set of each row, for verification, and its low 32 bits, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 sets = [shingle_set(t, words) for t in whole.slice(at, 500).column("text").to_pylist()]
+                low = [np.unique(s.astype(np.uint32)).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(digest, sets), pa.binary()), lists(sets)], names=["node", "items"])
+                    [pa.array(map(digest, sets), pa.binary()), lists(sets), pa.array(low, pa.binary())], names=["node", "items", "low"])
 
-    return docs.select("text").mapInArrow(run, "node binary, items array<long>")
+    return docs.select("text").mapInArrow(run, "node binary, items array<long>, low binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,46 +173,66 @@ def sizes_allow(a: str, b: str, percent: int):
 
 
 def close_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) inside a block that are in different groups and look similar enough.
+    """Pairs (a, b) inside a block that are in different groups and almost surely similar enough.
 
-    ``blocks``: bucket, lo, hi, part, node, n, marks, root. A block compares part lo with part hi of
-    a bucket, at most about 2 * PART rows. The estimate from SIZE coordinates has a deviation of
-    0.024 at 0.8; pairs more than five deviations below the threshold are left out.
+    ``blocks``: bucket, lo, hi, part, node, n, root, marks, bands, low. A block compares part lo with part hi
+    of a bucket, about 2 * PART rows. A pair is looked at in the first bucket that it shares. The estimate from
+    SIZE coordinates has a deviation of 0.024 at 0.8 and sorts out pairs more than five deviations
+    below the threshold; for the rest the low halves of the full sets are counted, which can only
+    miss what collides in 32 bits, and twice that is allowed for.
     """
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SIZE) ** 0.5
     keys = ["bucket", "lo", "hi"]
 
-    def pairs(group: dict[str, np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
-        part, n, root, marks, node = (group[k] for k in ("part", "n", "root", "marks", "node"))
+    def pairs(g: dict[str, np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+        part, n, root, node, sets = g["part"], g["n"], g["root"], g["node"], g["low"]
         order = np.arange(len(n))
         for i in order:
             other = (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             # Within one part each pair once; between two parts from the lower one.
-            other &= (order > i) if group["lo"][0] == group["hi"][0] else (part > part[i])
+            other &= (order > i) if g["lo"][0] == g["hi"][0] else (part > part[i])
             at = np.flatnonzero(other)
+            at = at[(g["marks"][at] == g["marks"][i]).mean(axis=1) >= least]
+            same = g["bands"][at] == g["bands"][i]
+            at = at[g["bands"][i][same.argmax(axis=1)] == g["bucket"][i]]
             if len(at):
-                for j in at[(marks[at] == marks[i]).mean(axis=1) >= least]:
+                own, many = sets[i], np.concatenate([sets[j] for j in at])
+                found = own[np.minimum(np.searchsorted(own, many), len(own) - 1)] == many
+                common = np.add.reduceat(found, np.cumsum([0] + [len(sets[j]) for j in at[:-1]]))
+                spare = 2 + n[i] ** 2 // 2**31
+                for j in at[(100 + percent) * (common + spare) >= percent * (n[at] + n[i])]:
                     yield (node[i], node[j]) if node[i] < node[j] else (node[j], node[i])
 
+    def flush(group: dict[str, np.ndarray]) -> pa.RecordBatch:
+        found = list(pairs(group))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    def objects(values: list) -> np.ndarray:
+        out = np.empty(len(values), object)
+        out[:] = values
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] | None = None
-
-        def flush(group: dict[str, np.ndarray]) -> pa.RecordBatch:
-            found = list(set(pairs(group)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
-
-        for batch in batches:
-            now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in [*keys, "part", "n"]}
-            now |= {k: np.array(batch.column(k).to_pylist(), object) for k in ("node", "root")}
-            now["marks"] = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(-1, SIZE)
-            if kept is not None:
-                now = {k: np.concatenate([kept[k], now[k]]) for k in now}
-            change = np.any([now[k][1:] != now[k][:-1] for k in keys], axis=0)
-            cuts = [0, *(np.flatnonzero(change) + 1)]
-            for a, b in zip(cuts, cuts[1:]):
-                yield flush({k: v[a:b] for k, v in now.items()})
-            kept = {k: v[cuts[-1] :] for k, v in now.items()}
+        for whole in batches:
+            for at in range(0, whole.num_rows, PART):
+                batch = whole.slice(at, PART)
+                now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in [*keys, "part", "n"]}
+                now |= {k: objects(batch.column(k).to_pylist()) for k in ("node", "root")}
+                now["marks"] = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(-1, SIZE)
+                now["bands"] = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+                low = np.empty(batch.num_rows, object)
+                for k, packed in enumerate(batch.column("low").to_pylist()):
+                    low[k] = np.frombuffer(packed, np.uint32)
+                now["low"] = low
+                if kept is not None:
+                    now = {k: np.concatenate([kept[k], now[k]]) for k in now}
+                change = np.any([now[k][1:] != now[k][:-1] for k in keys], axis=0)
+                cuts = [0, *(np.flatnonzero(change) + 1)]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield flush({k: v[a:b] for k, v in now.items()})
+                kept = {k: v[cuts[-1] :] for k, v in now.items()}
         if kept is not None:
             yield flush(kept)
 
@@ -233,7 +254,8 @@ def find_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
 
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("key")
     texts = docs.select("text", row_key().alias("key")).join(wanted, "key", "left_semi")
-    sets = stage(shingle_sets(texts, words).groupBy("node").agg(F.first("items").alias("items")), "sets")
+    sets = stage(shingle_sets(texts, words).groupBy("node").agg(
+        F.first("items").alias("items"), F.first("low").alias("low")), "sets")
 
     star = shared.where(sizes_allow("n", "first.n", percent) & (F.col("node") != F.col("first.node")))
     star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -249,7 +271,8 @@ def find_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
         "bucket", "node", "n", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     blocks = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).select(
         "bucket", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "node", "n", "root")
-    more = close_pairs(blocks.join(nodes.select("node", "marks"), "node"), percent)
+    looks = nodes.select("node", "marks", "bands").join(sets.select("node", "low"), "node")
+    more = close_pairs(blocks.join(looks, "node"), percent)
     return links.union(stage(verified(stage(more, "close"), sets, percent), "links"))
 
 
