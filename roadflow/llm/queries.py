@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, decontaminate, licenses, neardup, ring
-from .text import table
+from . import bpe, chat, decontaminate, kdtree, licenses, neardup, quality, ring
+from .text import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,13 @@ def register(name: str, sql: str | None = None):
 EXTRA_TURN = "</s>[INST] ok [/INST]"
 
 
+def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the vocabulary of a public tokenizer lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @register("op1_license_scan", licenses.report_sql())
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and notices in every text."""
@@ -86,3 +93,36 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen shards of the documents with row counts at most one apart."""
     return ring.shard_documents(table(spark, folder, "documents"))
+
+
+@register("op6_bpe")
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as tokens of a byte-level vocabulary and back."""
+    path = vocabulary_file()
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
+    return bpe.report(bpe.decode(encoded.drop("text"), path))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, min(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+p AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS p FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.p, c.p) AS BIGINT) AS score
+  FROM p q JOIN p c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@register("op7_exact_top_k", TOP_K_SQL)
+def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    return kdtree.top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@register("op9_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by an additive model with interactions."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(spark, folder, docs)
+    return quality.report(quality.score(docs, model), held_out(F.col("doc_id"), 3))
