@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, chat, decontaminate, kdtree, licenses, neardup, quality, ring
+from . import bpe, chat, decontaminate, kdtree, licenses, neardup, quality, ring, toxicity
 from .text import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,14 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, folder, "documents")))
 
 
+@register("op2_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by averaged subword embeddings."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(spark, folder, docs)
+    return toxicity.report(toxicity.score(docs, model), held_out(F.col("doc_id"), 3))
+
+
 @register("op3_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents that share four in five of their four-word shingles."""
