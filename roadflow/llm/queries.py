@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, chat, decontaminate, kdtree, licenses, neardup, quality, ring, toxicity
+from . import bpe, chat, decontaminate, hmm, kdtree, licenses, neardup, quality, ring, toxicity
 from .text import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
 """
 
 
+@register("op4_language_model")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every text under a hidden Markov model of four in five of them."""
+    return hmm.score(table(spark, folder, "documents"))
+
+
 @register("op5_benchmark_decontamination", DECONTAMINATION_SQL)
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document inside ten-word windows of the benchmark."""
