@@ -23,14 +23,14 @@ from roadflow.session import configure, stage
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(configure(spark), sf_dir, table(spark, sf_dir, "documents"))
-    scored = quality.score(docs, model)
-    return scored.where(F.col("score") >= quality.ACCEPT).select(*docs.columns)
+    scored = quality.score(docs, model, "_quality")
+    return scored.where(F.col("_quality") >= quality.ACCEPT).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(configure(spark), sf_dir, table(spark, sf_dir, "documents"))
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("score") < toxicity.REJECT).select(*docs.columns)
+    scored = toxicity.score(docs, model, "_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ that verification leaves in different groups are compared again inside the bucke
 bounded size, by their sketches and then by packed sets, and verified where these agree. So no
 link between different texts is lost that would join two groups.
 
-Null or empty texts, and texts without words, have an empty set and are linked with nothing.
+``one_of_each`` passes other columns through; its own name begins with ``_nd``. Null or empty texts, and texts without words, have an empty set and are linked with nothing.
 Repeated rows fall in one group. A null doc_id takes part; it names a group only if no id is known.
 """
 
@@ -293,5 +293,5 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """The documents that stay: of each group the one with the smallest id. Rows without words stay, and so
     does a group without any id, as it cannot be named. Rows equal in id and text count as one."""
     keep = groups(docs, words, percent).where("kept or n_shingles = 0 or component_id is null").select("key").distinct()
-    return (docs.withColumn("key", row_key()).join(keep, "key", "left_semi")
-            .dropDuplicates(["key", "doc_id"]).select(*docs.columns))
+    return (docs.withColumn("_nd_key", row_key()).join(keep.withColumnRenamed("key", "_nd_key"), "_nd_key", "left_semi")
+            .dropDuplicates(["_nd_key", "doc_id"]).select(*docs.columns))

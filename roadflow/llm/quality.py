@@ -173,18 +173,18 @@ def train(spark: SparkSession, folder: str, docs: DataFrame, rows: int = TRAIN_R
     return Model(x[order], found.column("y").to_numpy()[order].astype(np.float64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, the probability of good quality."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, the probability of good quality."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([f for f in docs.schema if f.name != "score"] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([f for f in docs.schema if f.name != name] + [T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([figures(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FIGURES))
             scores = pa.array(shared.value.score(x), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return docs.drop(name).mapInArrow(run, schema)
 
 
 def report(scored: DataFrame, held) -> DataFrame:

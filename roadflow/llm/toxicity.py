@@ -177,21 +177,21 @@ def scorer_of(key: bytes, model: tuple[np.ndarray, np.ndarray, float]) -> Scorer
     return _scorers[key]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, the probability that the text is toxic."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, the probability that the text is toxic."""
     parts = (model.values, model.weights, model.bias)
     key = zlib.crc32(model.values.tobytes()).to_bytes(4, "big") + zlib.crc32(model.weights.tobytes()).to_bytes(4, "big")
     shared = docs.sparkSession.sparkContext.broadcast(parts)
-    schema = T.StructType([f for f in docs.schema if f.name != "score"] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([f for f in docs.schema if f.name != name] + [T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(key, shared.value)
         for batch in batches:
             logits = np.array([scorer.logit(t) for t in batch.column("text").to_pylist()], np.float64)
             scores = pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return docs.drop(name).mapInArrow(run, schema)
 
 
 def report(scored: DataFrame, held) -> DataFrame:
