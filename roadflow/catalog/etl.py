@@ -36,12 +36,26 @@ _SELECT = ", ".join(
 _BUILT = ("counted", "weather")
 
 
+def shown(table):
+    """A processed table with its doubles rounded; columns may be missing."""
+    have = [c for c in FINAL_COLS if c in table.columns]
+    out = rounded(table, [c for c in _NUM if c in have])
+    return rounded(out, [c for c in _STD if c in have], 6).select(*have)
+
+
+def final_sql(without: str = "") -> str:
+    """SQL of the hourly processed table."""
+    text = f"SELECT {_SELECT} FROM fin"
+    if without:
+        text = f"SELECT * EXCLUDE ({without}) FROM ({text})"
+    return sql(text, *_BUILT, grain=I.HOUR_S, extra=_FINAL)
+
+
 def _final(spark, d, step):
-    out = rounded(I.etl_run(spark, d, step).processed, _NUM)
-    return rounded(out, _STD, 6).select(*FINAL_COLS)
+    return shown(I.etl_run(spark, d, step).processed)
 
 
-@query("final_projection", sql(f"SELECT {_SELECT} FROM fin", *_BUILT, grain=I.HOUR_S, extra=_FINAL))
+@query("final_projection", final_sql())
 def final_projection(spark, d):
     """All 41 columns on the hourly grid."""
     return _final(spark, d, I.HOUR)
@@ -65,9 +79,7 @@ def quality_checks(spark, d):
     return checks(I.etl_run(spark, d, I.HOUR).final)
 
 
-@query(
-    "etl_report",
-    sql("""SELECT (SELECT count(*) FROM t2) AS traffic_rows_raw,
+REPORT_SQL = sql("""SELECT (SELECT count(*) FROM t2) AS traffic_rows_raw,
         (SELECT count(*) FROM t2) - (SELECT count(*) FROM traffic_raw) AS traffic_exact_duplicates_removed,
         CAST(0 AS BIGINT) AS traffic_duplicate_ids_removed, (SELECT count(*) FROM traffic_raw) AS traffic_rows_after_raw_dedup,
         (SELECT count(*) FROM traffic_clean) AS traffic_rows_of_interval, CAST(0 AS BIGINT) AS traffic_rows_missing_key,
@@ -87,8 +99,10 @@ def quality_checks(spark, d):
         abs(MedianSpeed - AvgSpeed) <= 1e-8 + 1e-5 * abs(AvgSpeed)) AS legacy_signature_rows FROM fin""",
         *_BUILT, "traffic_agg", "vehicle_stats", grain=I.HOUR_S, extra={
             **_FINAL, "t2": "SELECT * FROM traffic_raw UNION ALL SELECT * FROM traffic_raw WHERE Lane = 2",
-            "m": "SELECT BucketTime, DeviceId, Lane FROM traffic_agg INTERSECT SELECT BucketTime, DeviceId, Lane FROM vehicle_stats"}),
-)
+            "m": "SELECT BucketTime, DeviceId, Lane FROM traffic_agg INTERSECT SELECT BucketTime, DeviceId, Lane FROM vehicle_stats"})
+
+
+@query("etl_report", REPORT_SQL)
 def etl_report(spark, d):
     """Counters of a run over a feed that carries exact copies."""
     traffic = S.with_copies(S.traffic_feed(spark, d, I.HOUR))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as K
+from ..plans import etl
 from ..schemas import FINAL_COLS, STRICT_COLS, TRAFFIC_METRICS, WEATHER_COLS
 from ..session import scratch_path
 from ..sources import configs, feeds, sinks
 from ..sources import sample_feeds as S
+from . import etl as E
 from . import inputs as I
 from .registry import query
 from .sqltext import each, sql
@@ -56,14 +58,14 @@ def scan_weather(spark, d):
     return K.clean_weather(_through_csv(spark, S.weather_feed(spark, d), "weather"))
 
 
-@query("newest_file")
+@query("newest_file", sql("SELECT BucketTime, " + each(WEATHER_COLS, "{c}") + " FROM weather_raw", "weather_raw"))
 def newest_file(spark, d):
-    """Two drops of the weather feed; only the rows of the later one are read."""
+    """Two deliveries of the weather feed; only the rows of the later one are read."""
     folder = scratch_path(spark, "drops")
     weather = S.weather_feed(spark, d)
-    sinks.write_csv(weather.coalesce(1), f"{folder}/first")
-    sinks.write_csv(weather.filter("Rain > 5").coalesce(1), f"{folder}/second")
-    return feeds.read_feed(spark, "weather", feeds.newest_file(spark, folder))
+    sinks.write_csv(weather.withColumn("Rain", F.lit(-1.0)), f"{folder}/first")
+    sinks.write_csv(weather, f"{folder}/second")
+    return K.clean_weather(feeds.read_feed(spark, "weather", feeds.newest_drop(spark, folder)))
 
 
 @query(
@@ -81,37 +83,65 @@ def load_processed(spark, d):
 
 
 def _csv_back(spark, d, write, columns):
+    """The hourly table written as CSV, read back by name and typed as it was."""
     path = scratch_path(spark, "csv")
-    write(I.etl_run(spark, d, I.HOUR).processed, path)
+    final = I.etl_run(spark, d, I.HOUR).processed
+    write(final, path)
     back = spark.read.option("header", True).csv(path)
     assert back.columns == columns
-    return back
+    kinds = {f.name: f.dataType for f in final.schema.fields}
+    return E.shown(back.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns]))
 
 
-@query("sink_csv")
+@query("sink_csv", E.final_sql())
 def sink_csv(spark, d):
     return _csv_back(spark, d, sinks.write_processed_csv, FINAL_COLS)
 
 
-@query("sink_csv_strict")
+@query("sink_csv_strict", E.final_sql("OtherVehicleCount"))
 def sink_csv_strict(spark, d):
     return _csv_back(spark, d, sinks.write_strict_csv, STRICT_COLS)
 
 
-@query("sink_parquet")
+@query("sink_parquet", E.final_sql())
 def sink_parquet(spark, d):
     path = scratch_path(spark, "parquet")
     sinks.write_processed(I.etl_run(spark, d, I.HOUR).processed, path)
-    return spark.read.parquet(path)
+    return E.shown(feeds.read_processed(spark, path))
 
 
-@query("sink_report")
+@query("sink_report", E.REPORT_SQL)
 def sink_report(spark, d):
-    from .registry import QUERIES
-
     path = scratch_path(spark, "report")
-    sinks.write_json(QUERIES["etl_report"](spark, d), path)
-    return spark.read.json(path)
+    report = E.etl_report(spark, d)
+    sinks.write_json(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+def _dirty(feed):
+    """The feed as it may arrive: each reading also as a copy of its id without time and lane, and such
+    rows without any id."""
+    text = feed.select(*[F.col(c).cast("string").alias(c) for c in feed.columns])
+    junk = text.withColumns({"BucketTime": F.lit(None).cast("string"), "Lane": F.lit(None).cast("string")})
+    bad = text.withColumns({"BucketTime": F.lit("no time"), "Id": F.lit(None).cast("string")})
+    return junk.unionByName(text).unionByName(bad)
+
+
+@query("processed_from_csv", E.final_sql())
+def processed_from_csv(spark, d):
+    """The hourly table from text files with junk copies, bad stamps and two column orders."""
+    def through_text(kind, feed):
+        path = scratch_path(spark, kind)
+        odd, even = (_dirty(feed).where(F.crc32(F.col("NodeId").cast("binary")) % 2 == k) for k in (0, 1))
+        sinks.write_csv(odd, f"{path}/odd")
+        sinks.write_csv(even.select(*reversed(even.columns)), f"{path}/even")
+        return feeds.read_feed(spark, kind, [f"{path}/odd", f"{path}/even"])
+
+    traffic = through_text("traffic", S.traffic_feed(spark, d, I.HOUR))
+    vehicle = through_text("vehicle", S.vehicle_feed(spark, d, I.HOUR))
+    weather = _through_csv(spark, S.weather_feed(spark, d, I.HOUR), "weather")
+    final = etl.build(traffic, vehicle, weather, etl.EtlOptions(step=I.HOUR)).processed
+    return E.shown(final.withColumn("Lane", F.col("Lane").cast("int")))
 
 
 # --- configuration ---------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, TimestampNTZType
+from pyspark.sql.types import IntegralType, NumericType, TimestampNTZType
 
 from ..functions import columns as C
 from ..functions.calendar import floor_to, parse_bucket_time
@@ -44,16 +44,20 @@ def bucket_time(df: DataFrame, align: str | None) -> Column:
     return floor_to(parsed, align) if align else parsed
 
 
-def normalize_keys(
-    df: DataFrame, use_node_id: bool = True, align: str | None = None, numeric_lane: bool = True
-) -> DataFrame:
-    """Effective device id, parsed time and lane."""
+def normalize_keys(df: DataFrame, use_node_id: bool = True, align: str | None = None) -> DataFrame:
+    """Effective device id, parsed time and lane; a text lane stays a text key."""
     out = df.withColumns({"DeviceId": device_id(use_node_id), "BucketTime": bucket_time(df, align)})
-    if numeric_lane:
-        return out.withColumn("Lane", C.to_number("Lane").cast("int"))
+    if isinstance(df.schema["Lane"].dataType, NumericType):
+        return out.withColumn("Lane", F.col("Lane").cast("int"))
     return normalize_lane(out)
 
 
+def lacks_key(df: DataFrame, use_node_id: bool = True, align: str | None = None) -> Column:
+    """True for rows that ``drop_null_keys`` will drop once their keys are normalised."""
+    lane = C.normalize_key(F.col("Lane").cast("string"))
+    return bucket_time(df, align).isNull() | device_id(use_node_id).isNull() | lane.isNull()
+
+
 def filter_interval(df: DataFrame, interval_type: int | None = 5) -> DataFrame:
     return df if interval_type is None else df.filter(F.col("IntervalType") == interval_type)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,32 +10,40 @@ def dedup_exact(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def dedup_id(df: DataFrame, id_col: str = "Id", order_by: list[str] | None = None) -> DataFrame:
-    """First row of each id by ``order_by`` (then by all columns); null ids all stay.
+def dedup_id(
+    df: DataFrame, id_col: str = "Id", order_by: list[str] | None = None, last: Column | None = None
+) -> DataFrame:
+    """First row of each id by ``order_by`` (then by all columns, nulls last); null ids all stay.
 
-    ``min`` over a struct is a partial aggregate, so a hot id is reduced inside every
-    map task instead of being sorted in one window. Null ids never enter the grouping.
+    Rows for which ``last`` holds lose against any other row of their id, so a junk copy never
+    takes the place of a usable reading. ``min`` over a struct is a partial aggregate, so a hot id
+    is reduced inside every map task instead of being sorted in one window. Null ids never enter the grouping.
     """
     rest = [c for c in df.columns if c != id_col]
     lead = [c for c in (order_by or []) if c != id_col]
     order = lead + [c for c in rest if c not in lead]
+    junk = F.lit(False) if last is None else F.coalesce(last, F.lit(True))
+    # A struct compares field by field and nulls come first, so each column follows its null flag.
+    ranked = [x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"_null{i}"), F.col(c))]
     first = (
         df.filter(F.col(id_col).isNotNull())
         .groupBy(id_col)
-        .agg(F.min(F.struct(*order)).alias("_first"))
+        .agg(F.min(F.struct(junk.alias("_junk"), *ranked)).alias("_first"))
         .select(id_col, *[F.col(f"_first.{c}").alias(c) for c in rest])
         .select(*df.columns)
     )
     return first.unionByName(df.filter(F.col(id_col).isNull()))
 
 
-def dedup_rows(df: DataFrame, id_col: str = "Id", order_by: list[str] | None = None) -> DataFrame:
+def dedup_rows(
+    df: DataFrame, id_col: str = "Id", order_by: list[str] | None = None, last: Column | None = None
+) -> DataFrame:
     """Exact duplicates and repeated ids in one pass.
 
     Exact copies share their id, so rows with an id need only the grouping by id;
     rows without one are de-duplicated on all columns.
     """
-    with_id = dedup_id(df.filter(F.col(id_col).isNotNull()), id_col, order_by)
+    with_id = dedup_id(df.filter(F.col(id_col).isNotNull()), id_col, order_by, last)
     return with_id.unionByName(df.filter(F.col(id_col).isNull()).dropDuplicates())
 
 

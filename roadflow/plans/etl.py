@@ -47,7 +47,8 @@ class EtlOptions:
 def traffic_keys(feed: DataFrame, o: EtlOptions = EtlOptions()) -> DataFrame:
     """One row per key of the interval feed, nulls still open."""
     cols = ["Id", "BucketTime", "DeviceId", "NodeId", "Lane", "IntervalType", *TRAFFIC_METRICS]
-    rows = dedup_rows(feed.select(*cols), "Id")
+    raw = feed.select(*cols)
+    rows = dedup_rows(raw, "Id", last=K.lacks_key(raw, align=o.align))
     return A.traffic_by_key(K.clean_traffic(rows, o.interval_type, o.align))
 
 
@@ -57,7 +58,8 @@ def vehicle_keys(feed: DataFrame, o: EtlOptions = EtlOptions()) -> DataFrame:
     # Hot keys are looked for in the raw feed's key columns: duplicates only overstate them.
     keys = K.normalize_keys(feed.select("BucketTime", "DeviceId", "NodeId", "Lane"), align=o.align)
     hot = None if o.hot_rows is None else A.hot_groups(keys, KEYS, o.hot_rows)
-    rows = dedup_rows(feed.select(*cols), "Id")
+    raw = feed.select(*cols)
+    rows = dedup_rows(raw, "Id", last=K.lacks_key(raw, align=o.align))
     return A.vehicle_features(K.clean_vehicle(rows, o.align), hot=hot)
 
 
@@ -158,7 +160,7 @@ def etl_report(
     cols_t = ["Id", "BucketTime", "DeviceId", "NodeId", "Lane", "IntervalType", *TRAFFIC_METRICS]
     raw_t = traffic.select(*cols_t)
     kept = K.normalize_keys(
-        K.filter_interval(K.coerce_numeric(dedup_rows(raw_t), ["IntervalType"]), o.interval_type),
+        K.filter_interval(K.coerce_numeric(dedup_rows(raw_t, last=K.lacks_key(raw_t, align=o.align)), ["IntervalType"]), o.interval_type),
         align=o.align,
     )
     prefix = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])

@@ -12,19 +12,28 @@ FEEDS = {"traffic": TRAFFIC_SCHEMA, "vehicle": VEHICLE_SCHEMA, "weather": WEATHE
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """CSV by header name: columns the file lacks read as null, others are not parsed.
+    """CSV by header name: columns a file lacks read as null, others are not parsed.
 
-    Fields are matched to the header (``enforceSchema`` off is not enough when columns are
-    missing), so the file's own header row gives the read schema.
+    Files may order their columns differently. Each file's own header row gives its read schema; files of
+    one header are read together.
     """
-    head = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    have = set(head.columns)
-    return head.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        head = spark.read.option("header", True).option("encoding", "UTF-8").csv(file)
+        by_header.setdefault(tuple(head.columns), []).append(file)
+    out = None
+    for header, group in sorted(by_header.items()):
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        rows = spark.read.option("header", True).option("encoding", "UTF-8").schema(text).csv(group)
+        # A byte order mark belongs to the first name.
+        named = {c.lstrip("\ufeff"): c for c in header}
+        part = rows.select(*[
+            (F.col(f"`{named[f.name]}`") if f.name in named else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields
-        ]
-    )
+        ])
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def read_feed(spark: SparkSession, kind: str, path: str | list[str]) -> DataFrame:
@@ -44,11 +53,10 @@ def newest_file(spark: SparkSession, folder: str, glob: str = "*.csv") -> str |
     return row["path"] if row else None
 
 
-def newest_rows(df: DataFrame) -> DataFrame:
-    """Rows of the newest file among those a file scan covers."""
-    stamped = df.withColumn("_mt", F.col("_metadata.file_modification_time"))
-    newest = stamped.agg(F.max("_mt").alias("_mt"))
-    return stamped.join(F.broadcast(newest), "_mt").drop("_mt")
+def newest_drop(spark: SparkSession, folder: str, glob: str = "*.csv") -> str | None:
+    """Folder of the newest file: a delivery that was written as several part files."""
+    file = newest_file(spark, folder, glob)
+    return file and file.rsplit("/", 1)[0]
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
