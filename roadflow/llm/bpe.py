@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces that one of the two generations of a worker's cache holds.
-CACHED = 300_000
+CACHED = 100_000
 #: Rows for which tokens are handed back at once.
 ROWS = 500
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import labelled
+from .text import labelled, slices
 
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 20_000
@@ -163,7 +163,7 @@ class Model:
 def train(spark: SparkSession, folder: str, docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model of the labelled rows of ``docs``; labels come from ``folder``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [figures(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = T.StructType([f for f in docs.schema if f.name != name] + [T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([figures(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FIGURES))
             scores = pa.array(shared.value.score(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])

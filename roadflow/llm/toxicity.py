@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import byte_words, labelled
+from .text import byte_words, labelled, slices
 
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 4_000
@@ -34,7 +34,7 @@ EPOCHS, BATCH, RATE = 6, 64, 0.5
 ONE_IN = 400
 REJECT = 0.7
 #: Words that one of the two generations of a worker's cache holds.
-CACHED = 300_000
+CACHED = 100_000
 _EDGES = b".,;:!?\"'()[]{}<>-*_"
 
 
@@ -123,7 +123,7 @@ class Model:
 def train(spark: SparkSession, folder: str, docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model of the labelled rows of ``docs``; labels come from ``folder``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bags = [bag(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k.tobytes() for k, _ in bags], pa.binary()), pa.array([c.tobytes() for _, c in bags], pa.binary()),
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(key, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             logits = np.array([scorer.logit(t) for t in batch.column("text").to_pylist()], np.float64)
             scores = pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
