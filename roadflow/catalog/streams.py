@@ -12,7 +12,8 @@ from ..session import scratch_path, stage
 from ..sources import sample_feeds as S
 from ..streaming import ticks as R
 from . import inputs as I
-from .registry import query
+from .registry import query, rounded
+from .sqltext import sql
 
 TICKS = 12
 
@@ -23,7 +24,7 @@ def _prepared(spark, d, order=(2, 0, 1)):
     rows = stage(M.training_rows(model_features(series, "NumVehicles")), "design")
     models, full = M.fit_models(rows, "NumVehicles", order=order, window=(TICKS + 1, M.EVERYTHING), name="train")
     seed = full.filter(F.col("rn") == TICKS).select(
-        "DeviceId", F.array(*LAG_COLS).alias("seed_y"), F.array("e1", "e2").alias("seed_e")
+        "DeviceId", M.tail_of(LAG_COLS).alias("seed_y"), M.shocks_of(["e1", "e2"]).alias("seed_e")
     )
     models = stage(models.join(seed, "DeviceId"), "stream-models")
     raw = series.select("DeviceId", "BucketTime", *TARGET_REGRESSORS["NumVehicles"])
@@ -31,10 +32,10 @@ def _prepared(spark, d, order=(2, 0, 1)):
     last = rows.filter(F.col("rn") <= TICKS).select("DeviceId", "BucketTime", "y", *names, "rn")
     ticks = last.join(raw, ["DeviceId", "BucketTime"])
     path = scratch_path(spark, "ticks")
-    # One file per third of the replay, oldest first.
+    # A third of the replay at a time, oldest first: files are read in the order of their writing.
     for third in range(3):
         high, low = TICKS - 4 * third, TICKS - 4 * third - 3
-        ticks.filter(F.col("rn").between(low, high)).drop("rn").coalesce(1).write.mode("append").parquet(path)
+        ticks.filter(F.col("rn").between(low, high)).drop("rn").write.mode("append").parquet(path)
     return models, path, ticks.drop("rn").schema
 
 
@@ -76,8 +77,9 @@ def stream_horizons(spark, d):
 @query("stream_latest_doc")
 def stream_latest_doc(spark, d):
     path = scratch_path(spark, "latest")
-    R.latest_documents(_forecast_stream(spark, d), path)
-    return spark.read.json(path)
+    stream = _forecast_stream(spark, d)
+    R.latest_documents(stream, path)
+    return R.read_documents(spark, path, stream.schema)
 
 
 @query("stream_append")
@@ -86,13 +88,20 @@ def stream_append(spark, d):
     return R.append_history(R.tick_stream(spark, path, schema, 2))
 
 
-@query("stream_resample")
+@query(
+    "stream_resample",
+    sql("""SELECT DeviceId, Lane, BucketTime, round(NumVehicles, 8) AS NumVehicles, round(AvgSpeed, 8) AS AvgSpeed FROM (
+        SELECT DeviceId, Lane, time_bucket(INTERVAL 5 MINUTE, BucketTime) AS BucketTime, avg(NumVehicles) AS NumVehicles,
+        avg(AvgSpeed) AS AvgSpeed FROM traffic_clean GROUP BY ALL)
+        WHERE BucketTime + INTERVAL 5 MINUTE <= (SELECT max(BucketTime) - INTERVAL 1 HOUR FROM traffic_clean)""",
+        "traffic_clean", grain=60),
+)
 def stream_resample(spark, d):
     """Five-minute means of the interval feed as a stream; equals the batch on closed windows."""
     feed = K.clean_traffic(S.traffic_feed(spark, d, "1 minute"))
     path = scratch_path(spark, "feed")
     feed.select("Id", "DeviceId", "Lane", F.col("BucketTime").alias("ts"), "NumVehicles", "AvgSpeed").write.parquet(path)
     stream = R.tick_stream(spark, path, spark.read.parquet(path).schema)
-    return R.run_to_table(R.resample_stream(stream, ["NumVehicles", "AvgSpeed"]), "resampled")
+    return rounded(R.run_to_table(R.resample_stream(stream, ["NumVehicles", "AvgSpeed"]), "resampled"))
 
 

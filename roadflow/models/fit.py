@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..operators.timeseries import series_window
 from ..plans.features import LAG_COLS, MAX_LAG, regressor_names, with_target_lags
+from ..session import stage as staged
 from . import solve as S
 from .moments import series_moments
 
 LONG_AR = 5  # lags of the first-stage regression that estimates the shocks
+ADF_ROWS = 60  # complete rows from which the stationarity test is run
 EVERYTHING = 2**31 - 1
 
 # Candidate orders (p, d, q); d is replaced by the series' own difference order.
@@ -29,7 +31,7 @@ NO_SEASON = (0, 0, 0, 0)
 MODEL_TYPE = (
     "DeviceId string, TargetCol string, window string, p int, d int, q int, sp int, s int, n double, const double, "
     "beta array<double>, w array<double>, theta array<double>, sigma2 double, coef array<double>, "
-    "pvalue array<double>, terms array<string>, adf_p_before double, adf_p_after double"
+    "pvalue array<double>, terms array<string>, adf_p_before double, adf_p_after double, status string"
 )
 MODEL_COLS = [f.split()[0] for f in MODEL_TYPE.split(", ")]
 WEIGHTS = ["const", "beta", "w", "theta", "sigma2"]
@@ -83,10 +85,29 @@ def _each_series(moments: DataFrame, target: str, shocks: bool, solve_one) -> Da
 def _labelled(model: dict, order, seasonal, d, before=None, after=None) -> dict:
     return {
         **model, "p": order[0], "d": d, "q": order[2], "sp": seasonal[0], "s": seasonal[3],
-        "adf_p_before": before, "adf_p_after": after,
+        "adf_p_before": before, "adf_p_after": after, "status": "fitted",
     }
 
 
+def with_fallback(models: DataFrame, rows: DataFrame, target: str, name: str) -> DataFrame:
+    """``models`` plus a row of order (1, 0, 0) for every device that has none: it repeats the last value.
+
+    Such devices are too short for a complete row of lags; ``status`` tells them apart.
+    """
+    per = rows.groupBy("DeviceId").agg(F.coalesce(F.var_pop("y"), F.lit(0.0)).alias("_var"), F.count("y").alias("_n"))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    plain = {
+        "TargetCol": F.lit(target), "window": F.lit(name), "p": F.lit(1), "d": F.lit(0), "q": F.lit(0),
+        "sp": F.lit(0), "s": F.lit(0), "n": F.col("_n").cast("double"), "const": F.lit(0.0),
+        "beta": zeros(len(regressor_names(target))), "w": F.concat(F.array(F.lit(1.0)), zeros(MAX_LAG - 1)),
+        "theta": zeros(S.SHOCKS), "sigma2": F.col("_var"), "coef": zeros(0), "pvalue": zeros(0),
+        "terms": F.array().cast("array<string>"), "adf_p_before": F.lit(None).cast("double"),
+        "adf_p_after": F.lit(None).cast("double"), "status": F.lit("fallback"),
+    }
+    missing = per.join(models.select("DeviceId"), "DeviceId", "left_anti")
+    return models.unionByName(missing.select("DeviceId", *[v.alias(k) for k, v in plain.items()]))
+
+
 def stationarity(rows: DataFrame, target: str, windows: dict | None = None) -> DataFrame:
     """Difference order per series by the augmented Dickey-Fuller test, p before and after."""
     return first_stage(rows, target, windows).select(
@@ -99,13 +120,14 @@ def first_stage(rows: DataFrame, target: str, windows: dict | None = None) -> Da
     moments = series_moments(rows, raw_columns(target, False), windows or {"all": (1, EVERYTHING)})
 
     def one(gram, n, lay, row):
-        if n < 60:
-            return
-        d, before, after = S.difference_order(gram, n, lay)
-        order = (LONG_AR, d, 0)
+        # Too few rows tell nothing about unit roots; their autoregression is shorter, too.
+        d, before, after = S.difference_order(gram, n, lay) if n >= ADF_ROWS else (0, None, None)
+        order = (min(LONG_AR, int(n // 12)), d, 0)
         yield _labelled(S.fit(gram, n, lay, order, NO_SEASON), order, NO_SEASON, d, before, after)
 
-    return _each_series(moments, target, False, one)
+    found = _each_series(moments, target, False, one)
+    names = list(windows or {"all": None})
+    return with_fallback(found, rows, target, names[0]) if len(names) == 1 else found
 
 
 def with_shocks(rows: DataFrame, stage: DataFrame, target: str) -> DataFrame:
@@ -133,7 +155,8 @@ def fit_models(
     ``orders`` (DeviceId, p, q, sp, s) gives each series its own order. A series whose
     seasonal fit does not come out finite falls back to the plain order.
     """
-    stage = first_stage(rows, target, {name: window})
+    # One row per series, read by the shocks and by the fit.
+    stage = staged(first_stage(rows, target, {name: window}), "first-stage")
     full = with_shocks(rows, stage, target)
     moments = series_moments(full, raw_columns(target, True), {name: window})
     moments = moments.join(stage.select("DeviceId", "d", "adf_p_before", "adf_p_after"), "DeviceId")
@@ -143,7 +166,8 @@ def fit_models(
             F.lit(seasonal[0]).alias("sp"), F.lit(seasonal[3]).alias("s"),
         )
     else:
-        moments = moments.join(orders.select("DeviceId", "p", "q", "sp", "s"), "DeviceId")
+        own = moments.join(orders.select("DeviceId", "p", "q", "sp", "s"), "DeviceId", "left")
+        moments = own.fillna({"p": order[0], "q": order[2], "sp": seasonal[0], "s": seasonal[3]})
 
     def one(gram, n, lay, row):
         o, sea = (row["p"], row["d"], row["q"]), (row["sp"], 0, 0, row["s"])
@@ -153,7 +177,7 @@ def fit_models(
             model = S.fit(gram, n, lay, o, sea)
         yield _labelled(model, o, sea, row["d"], row["adf_p_before"], row["adf_p_after"])
 
-    return _each_series(moments, target, True, one), full
+    return with_fallback(_each_series(moments, target, True, one), rows, target, name), full
 
 
 def order_search(
@@ -168,17 +192,35 @@ def order_search(
     out = None
     for name, (train, val, seasonal) in tiers.items():
         window = {name: (test + val + 1, test + val + train)}
-        stage = first_stage(rows, target, window)
+        stage = staged(first_stage(rows, target, window), "first-stage")
         full = with_shocks(rows, stage, target)
         moments = series_moments(full, raw_columns(target, True), window).join(
             stage.select("DeviceId", "d"), "DeviceId"
         )
         held = holdout(full, target, test + 1, test + val)
         scored = _score(moments.join(held, "DeviceId"), target, seasonal)
+        scored = unscored(scored, rows, target, name)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
+def unscored(scored: DataFrame, rows: DataFrame, target: str, name: str) -> DataFrame:
+    """``scored`` plus one row without scores, order (1, 0, 0), for every device too short to be scored."""
+    missing = rows.select("DeviceId").distinct().join(scored.select("DeviceId"), "DeviceId", "left_anti")
+    plain = {"TargetCol": F.lit(target), "window": F.lit(name), "p": F.lit(1), **{c: F.lit(0) for c in ("d", "q", "sp", "s")}}
+    none = {c: F.lit(None).cast("double") for c in ("MAE", "RMSE", "MAPE", "R2")}
+    return scored.unionByName(missing.select("DeviceId", *[v.alias(k) for k, v in {**plain, **none}.items()]))
+
+
+def tail_of(lags: list[str]) -> Column:
+    """Lags, newest first; one from before the series counts as the next newer one that is known, else 0."""
+    return F.array(*[F.coalesce(*[F.col(c) for c in lags[k::-1]], F.lit(0.0)) for k in range(len(lags))])
+
+
+def shocks_of(cols: list[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
+
+
 def holdout(rows: DataFrame, target: str, first: int, last: int) -> DataFrame:
     """Rows ``rn`` in [first, last] of each series as arrays in time order (bounded size).
 
@@ -191,15 +233,15 @@ def holdout(rows: DataFrame, target: str, first: int, last: int) -> DataFrame:
         F.col("BucketTime").alias("t"), F.col("y"),
         F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
     )
-    start = F.col("rn") == last
+    known, shocks = tail_of(LAG_COLS), shocks_of(["e1", "e2"])
     return kept.groupBy("DeviceId").agg(
         F.sort_array(F.collect_list(step)).alias("_steps"),
-        F.max(F.when(start, F.array(*LAG_COLS))).alias("y_tail"),
-        F.max(F.when(start, F.array("e1", "e2"))).alias("e_tail"),
+        F.max_by(known, "rn").alias("y_tail"),
+        F.max_by(shocks, "rn").alias("e_tail"),
     ).select(
         "DeviceId", F.col("_steps.t").alias("times"), F.col("_steps.y").alias("actual"),
         F.col("_steps.x").alias("x"), "y_tail", "e_tail",
-    ).filter(F.col("y_tail").isNotNull())
+    )
 
 
 SCORE_TYPE = (

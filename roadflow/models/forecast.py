@@ -15,7 +15,7 @@ from ..operators.timeseries import last_row
 from ..plans.features import LAG_COLS, regressor_names
 from ..schemas import TARGET_REGRESSORS
 from . import solve as S
-from .fit import WEIGHTS, fitted, holdout
+from .fit import WEIGHTS, fitted, holdout, shocks_of, tail_of
 
 Z95 = 1.959963984540054
 
@@ -76,7 +76,7 @@ def future_requests(
         ["DeviceId"],
     ).select(
         "DeviceId", F.col("BucketTime").alias("origin"),
-        F.array("y", *LAG_COLS[:-1]).alias("y_tail"), F.array("e", "e1").alias("e_tail"),
+        tail_of(["y", *LAG_COLS[:-1]]).alias("y_tail"), shocks_of(["e", "e1"]).alias("e_tail"),
     )
     # The regressors of the first future step are the last row's values: a true lag of one.
     last = last_row(series.select("DeviceId", "BucketTime", *TARGET_REGRESSORS[target]), ["DeviceId"])
@@ -103,15 +103,18 @@ def backtest_requests(
     """Requests for many origins at once: n known regressor rows after each origin.
 
     Origins (DeviceId, origin) are exploded to their steps and met by equi-join on device
-    and stamp; each request gathers at most n rows.
+    and stamp; each request gathers at most n rows. An origin with fewer than n known steps after it
+    moves back to the last one that has them.
     """
     names = regressor_names(target)
+    latest = rows.groupBy("DeviceId").agg(add_steps(F.max("BucketTime"), F.lit(-n), step).alias("_latest"))
+    origins = origins.join(latest, "DeviceId").select("DeviceId", F.least("origin", "_latest").alias("origin")).distinct()
     steps = origins.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
         "BucketTime", add_steps("origin", F.col("step"), step)
     )
     known = rows.select(
         "DeviceId", "BucketTime", F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
-        F.array(*LAG_COLS).alias("y_tail"), F.array("e1", "e2").alias("e_tail"),
+        tail_of(LAG_COLS).alias("y_tail"), shocks_of(["e1", "e2"]).alias("e_tail"),
     )
     first = F.col("step") == 1
     met = steps.join(known, ["DeviceId", "BucketTime"]).groupBy("DeviceId", "origin").agg(
@@ -119,7 +122,7 @@ def backtest_requests(
         F.max(F.when(first, F.col("y_tail"))).alias("y_tail"),
         F.max(F.when(first, F.col("e_tail"))).alias("e_tail"),
     )
-    whole = met.filter((F.size("_s") == n) & F.col("y_tail")[len(LAG_COLS) - 1].isNotNull())
+    whole = met.filter(F.size("_s") == n)
     return whole.select(
         "DeviceId", "origin", F.col("_s.t").alias("times"), F.col("_s.x").alias("x"), "y_tail", "e_tail"
     ).join(models.select("DeviceId", *WEIGHTS), "DeviceId")

@@ -52,6 +52,9 @@ def series_moments(
         if sums:
             yield flush()
 
+    # Rows outside every window stay in the scan.
+    ends = [end for window in windows.values() for end in window]
+    rows = rows.filter(F.col("rn").between(min(ends), max(ends)))
     partial = rows.select("DeviceId", "rn", *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(
         reduce, "DeviceId string, window string, n double, gram array<double>"
     )

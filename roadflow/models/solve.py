@@ -29,9 +29,13 @@ class Layout:
         return 2 + self.m + self.lags + self.shocks
 
     def y(self, k: int) -> int:
+        if not 0 <= k <= self.lags:
+            raise ValueError(f"lag {k} of the target is asked for; the design holds lags up to {self.lags}")
         return 1 + self.m + k
 
     def e(self, k: int) -> int:
+        if not 1 <= k <= self.shocks:
+            raise ValueError(f"shock term {k} is asked for; the design holds {self.shocks}")
         return 1 + self.m + self.lags + k
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.calendar import is_holiday, step_seconds
@@ -90,53 +91,77 @@ def with_future_base(ticks: DataFrame, models: DataFrame, target: str, step: str
     return based.select("DeviceId", "BucketTime", "y", xb.alias("xb"), "w", "theta", "sigma2", "seed_y", "seed_e")
 
 
-STATE = "y array<double>, e array<double>, times array<string>, values array<double>, ticks bigint"
+STATE = (
+    "y array<double>, e array<double>, ahead array<double>, times array<string>, values array<double>, "
+    "ticks bigint, last bigint"
+)
 OUTPUT = (
     "DeviceId string, BucketTime timestamp_ntz, tick bigint, residual double, forecast array<double>, "
     "history array<struct<time:string,actual:double>>"
 )
+#: Event time, in seconds behind the newest ticks, after which a silent device's state is dropped.
+IDLE = 7 * 24 * 3600
+LATE = "1 day"
 
 
-def extend_and_forecast(base: DataFrame, step: str = "5 minutes") -> DataFrame:
+def extend_and_forecast(base: DataFrame, step: str = "5 minutes", idle: int = IDLE, late: str = LATE) -> DataFrame:
     """Stateful model extension: each tick updates a device's lags and shocks, no refit.
 
-    State per device is bounded: the lag buffer, two shocks and the last 24 points, seeded
-    from the rows before the first tick. Every tick answers with the one-step residual,
+    State per device is bounded: the lag buffer, two shocks, the last forecasts and the last 24
+    points, seeded from the rows before the first tick. Every tick answers with the one-step residual,
     the next 24 steps and the sliding history.
+
+    A tick that is not newer than the last one is late or repeated and changes nothing; of two ticks
+    of one stamp in a batch the first counts. A skipped step enters the lags as it was forecast, without a
+    shock, so later lags keep their distance. A device that stays ``idle`` seconds behind the watermark is
+    forgotten and starts from its seed again.
     """
-    gap = pd.Timedelta(seconds=step_seconds(step))
+    size = step_seconds(step)
+    gap = pd.Timedelta(seconds=size)
     label = lambda t: t.strftime("%Y-%m-%d %H:%M")
 
     def extend(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("BucketTime")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("BucketTime", kind="stable").drop_duplicates("BucketTime")
         if state.exists:
-            y, e, times, values, ticks = state.get
-            y, e, times, values = list(y), list(e), list(times), list(values)
+            y, e, ahead, times, values, ticks, last = state.get
+            y, e, ahead, times, values = list(y), list(e), list(ahead), list(times), list(values)
         else:
             first = rows.iloc[0]
-            y, e, ticks = first["seed_y"].tolist(), first["seed_e"].tolist(), 0
+            y, e, ahead, ticks = first["seed_y"].tolist(), first["seed_e"].tolist(), [], 0
             times = [label(first["BucketTime"] - k * gap) for k in range(KEEP, 0, -1)]
-            values = y[KEEP - 1 :: -1]
+            values, last = y[KEEP - 1 :: -1], int(first["BucketTime"].timestamp()) - size
         out = []
         for r in rows.to_dict("records"):
+            now = int(r["BucketTime"].timestamp())
+            if now <= last:
+                continue
+            skipped = min((now - last) // size - 1, len(y))
+            for k in range(skipped):
+                y = [ahead[min(k, len(ahead) - 1)] if ahead else y[0], *y[:-1]]
+                e = [0.0, e[0]]
             model = {k: r[k] for k in ("w", "theta", "sigma2")}
             xb = np.asarray(r["xb"])
             one = float(S.recurse(model, xb[:1], np.asarray(y), np.asarray(e))[0])
             e = [float(r["y"]) - one, e[0]]
             y = [float(r["y"]), *y[:-1]]
-            ticks += 1
-            ahead = np.maximum(S.recurse(model, xb[1:], np.asarray(y), np.asarray(e)), 0.0)
+            ticks, last = ticks + 1, now
+            ahead = np.maximum(S.recurse(model, xb[1:], np.asarray(y), np.asarray(e)), 0.0).tolist()
             times = [*times, label(r["BucketTime"])][-KEEP:]
             values = [*values, float(r["y"])][-KEEP:]
             out.append(
-                (key[0], r["BucketTime"], ticks, e[0], ahead.tolist(),
+                (key[0], r["BucketTime"], ticks, e[0], ahead,
                  [{"time": t, "actual": v} for t, v in zip(times, values)])
             )
-        state.update((y, e, times, values, ticks))
+        state.update((y, e, ahead, times, values, ticks, last))
+        state.setTimeoutTimestamp(max(last * 1000, state.getCurrentWatermarkMs()) + idle * 1000)
         yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
 
-    return base.groupBy("DeviceId").applyInPandasWithState(
-        extend, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    timed = base.withColumn("_event", F.col("BucketTime").cast("timestamp")).withWatermark("_event", late)
+    return timed.groupBy("DeviceId").applyInPandasWithState(
+        extend, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -148,22 +173,38 @@ def horizon_snapshot(forecasts: DataFrame) -> DataFrame:
 
 
 def latest_documents(stream: DataFrame, path: str) -> None:
-    """Overwrite one JSON document set per batch with each device's newest tick."""
+    """A JSON document set per batch: the newest tick of every device seen so far.
+
+    Each batch merges its ticks with the set before it and writes a set of its own, so a device
+    that is silent in a batch keeps its document and a repeated batch writes the same again.
+    """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("DeviceId").agg(
-            F.max_by(F.struct(*[c for c in batch.columns if c != "DeviceId"]), "BucketTime").alias("_l")
-        ).select("DeviceId", "_l.*")
-        newest.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").json(path)
+        docs = batch.withColumn("batch", F.lit(batch_id))
+        if batch_id > 0:
+            before = spark.read.schema(docs.schema).json(f"{path}/version={batch_id - 1}")
+            docs = docs.unionByName(before)
+        rest = F.struct(*[c for c in docs.columns if c != "DeviceId"])
+        newest = docs.groupBy("DeviceId").agg(F.max_by(rest, F.struct("BucketTime", "batch")).alias("_l"))
+        newest.select("DeviceId", "_l.*").write.mode("overwrite").json(f"{path}/version={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, "latest-checkpoint"))
+        .option("checkpointLocation", scratch_path(spark, "latest-checkpoint"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest document set below ``path``; ``schema`` is the stream's."""
+    sets = spark.read.json(path).select("version").distinct()
+    newest = sets.agg(F.max("version")).first()[0]
+    fields = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(fields).json(f"{path}/version={newest}")
+
+
 def append_history(ticks: DataFrame, name: str = "history") -> DataFrame:
     """Append raw ticks to the history table, one file set per trigger."""
     return run_to_table(ticks, name)

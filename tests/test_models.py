@@ -149,3 +149,54 @@ def test_qq_points_are_symmetric(spark):
     df = spark.range(101).selectExpr("'d' DeviceId", "double(id - 50) residual")
     out = E.qq_points(df).orderBy("rank").toPandas()
     np.testing.assert_allclose(out["theoretical"], -out["theoretical"][::-1].to_numpy(), atol=1e-9)
+
+
+def _series_of(spark, sizes):
+    """A device per size: an autoregression with the measures the design needs."""
+    import numpy as np
+
+    from roadflow.schemas import TRAFFIC_METRICS, WEATHER_COLS
+
+    rng, rows = np.random.default_rng(8), []
+    for size in sizes:
+        y = 20.0
+        for t in range(size):
+            y = 5 + 0.75 * y + rng.normal()
+            rows.append((f"N{size}", t, float(y), *[float(rng.normal()) for _ in range(10)]))
+    names = ["NumVehicles", *[c for c in TRAFFIC_METRICS if c != "NumVehicles"], *WEATHER_COLS]
+    df = spark.createDataFrame(rows, "DeviceId string, t int, " + ", ".join(f"{c} double" for c in names))
+    return df.selectExpr("DeviceId", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, t) BucketTime", *names)
+
+
+def test_no_device_vanishes(spark):
+    from roadflow.models import fit as M
+    from roadflow.plans import training
+    from roadflow.session import stage
+
+    sizes = [1, 5, 30, 90, 200, 700]
+    series = stage(_series_of(spark, sizes), "sizes")
+    names = {f"N{n}" for n in sizes}
+    rows = stage(training.design(series, "NumVehicles"), "design")
+    models, _ = M.fit_models(rows, "NumVehicles", order=(2, 0, 1), window=(13, M.EVERYTHING), name="train")
+    status = {r["DeviceId"]: r["status"] for r in models.collect()}
+    assert set(status) == names and status["N1"] == status["N5"] == "fallback" and status["N700"] == status["N90"] == "fitted"
+    run = training.train(series, "NumVehicles", "1 hour", order=(2, 0, 0))
+    assert {r["DeviceId"] for r in run.metrics.collect()} == names
+    ahead = run.future.collect()
+    assert {r["DeviceId"] for r in ahead} == names and all(r["predicted"] == r["predicted"] for r in ahead)
+    best = M.best_order(M.order_search(rows, "NumVehicles", {"quick": (300, 60, False)}, 12)).collect()
+    assert {r["DeviceId"] for r in best} == names and len(best) == len(names)
+
+
+def test_orders_beyond_the_design_fail_clearly():
+    import numpy as np
+    import pytest as pt
+
+    from roadflow.models import solve as S
+
+    lay = S.Layout(1, 26)
+    gram = np.eye(lay.size)
+    S.fit(gram, 100.0, lay, (26, 0, 2), (0, 0, 0, 0))
+    for order in ((26, 1, 0), (28, 0, 0), (60, 0, 0), (1, 0, 3)):
+        with pt.raises(ValueError):
+            S.fit(gram, 100.0, lay, order, (0, 0, 0, 0))

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 ONLY = sorted(set(entry.queries()) - set(entry.oracle_sql()))
-BY_PROPERTY = {"stream_extend", "stream_resample", "order_search", "backtest_table", "newest_file"}
+BY_PROPERTY = {"stream_extend", "order_search", "backtest_table"}
 
 
 @pytest.mark.parametrize("name", [n for n in ONLY if n not in BY_PROPERTY])
@@ -31,8 +31,3 @@ def test_search_scores_every_candidate(spark, small):
 def test_backtest_covers_each_origin(spark, small):
     rows = entry.queries()["backtest_table"](spark, small).groupBy("DeviceId", "origin").count().collect()
     assert rows and all(r["count"] == 12 for r in rows)
-
-
-def test_newest_file_wins(spark, small):
-    rows = entry.queries()["newest_file"](spark, small).collect()
-    assert rows and all(float(r["Rain"]) > 5 for r in rows)

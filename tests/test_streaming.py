@@ -68,3 +68,38 @@ def test_history_slides_and_forecasts_are_clipped(extended):
 def test_ticks_count_per_device(extended):
     got = extended.groupBy("DeviceId").agg(F.max("tick"), F.count("*")).collect()
     assert all(r[1] == r[2] == 12 for r in got)
+
+
+def _base(spark, path, stamps):
+    """Ticks of a device whose next value is its last one: (stamp, value) rows as one more file."""
+    rows = [("d", s, v, [0.0] * 25, [1.0] + [0.0] * 25, [0.0, 0.0], 1.0, [5.0] * 26, [0.0, 0.0]) for s, v in stamps]
+    spark.createDataFrame(
+        rows, "DeviceId string, t string, y double, xb array<double>, w array<double>, theta array<double>, "
+        "sigma2 double, seed_y array<double>, seed_e array<double>",
+    ).selectExpr("DeviceId", "cast(t AS timestamp_ntz) BucketTime", "* EXCEPT (DeviceId, t)").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_repeated_and_skipped_ticks(spark):
+    path = scratch_path(spark, "odd-ticks")
+    day = "2024-01-01 "
+    _base(spark, path, [(day + "00:05:00", 7.0), (day + "00:10:00", 10.0)])
+    _base(spark, path, [(day + "00:00:00", 50.0), (day + "00:10:00", 10.0), (day + "00:10:00", 99.0)])
+    _base(spark, path, [(day + "00:25:00", 20.0)])
+    stream = R.tick_stream(spark, path, spark.read.parquet(path).schema, 1)
+    out = R.run_to_table(R.extend_and_forecast(stream), "odd").orderBy("tick").collect()
+    assert [(r["tick"], r["BucketTime"].minute, r["residual"], r["forecast"][0]) for r in out] == [
+        (1, 5, 2.0, 7.0), (2, 10, 3.0, 10.0), (3, 25, 10.0, 20.0)]
+    assert [h["time"][-5:] for h in out[-1]["history"][-3:]] == ["00:05", "00:10", "00:25"]
+
+
+def test_silent_device_keeps_its_document(spark):
+    path = scratch_path(spark, "docs-in")
+    schema = "DeviceId string, BucketTime timestamp_ntz, x double"
+    for part in ([("a", 1.0), ("b", 2.0)], [("a", 3.0)]):
+        spark.createDataFrame(part, "DeviceId string, x double").selectExpr(
+            "DeviceId", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(x AS int)) BucketTime", "x"
+        ).coalesce(1).write.mode("append").parquet(path)
+    stream, out = R.tick_stream(spark, path, schema, 1), scratch_path(spark, "docs")
+    R.latest_documents(stream, out)
+    docs = R.read_documents(spark, out, stream.schema).collect()
+    assert {(r["DeviceId"], r["x"], r["batch"]) for r in docs} == {("a", 3.0, 1), ("b", 2.0, 0)}
