@@ -12,8 +12,8 @@ the class. So the chain works on a bounded alphabet while every word of the corp
   expected counts of the partitions (states x (states + classes) numbers each). Texts are whole sequences.
 * **Scores**: the exact likelihood, by the scaled forward recursion. A long text is cut into segments whose transfer
   matrices are computed side by side and then multiplied in order, which is the same recursion.
-* **Words**: the KNOWN most frequent words and their counts are broadcast, which is bounded and takes the hot
-  words out; all other words meet the table of counts in a join of (row, word) pairs. Nothing is dropped.
+* **Words**: the most frequent words, at most KNOWN, and their counts are broadcast, which is bounded and takes
+  the hot words out; all other words meet the table of counts in a join of (row, word) pairs. Nothing is dropped.
 
 Null and empty texts consist of the end. A null id counts as empty text when rows are held out. Repeated rows are
 texts of their own. Without any training text counts are zero and the chain stays as it starts.
@@ -38,6 +38,7 @@ STATES, ROUNDS = 4, 4
 FREQUENT, BUCKETS = 1000, 256
 CLASSES = FREQUENT + BUCKETS
 KNOWN = 200_000
+LEVELS = 16
 #: Tokens of a segment, and of the texts that are worked on at once.
 SEGMENT, TOKENS = 64, 200_000
 HELD_OUT = 5
@@ -88,8 +89,20 @@ def bucket(word: bytes) -> int:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the table of counts: its head, and for each bucket the tokens and words outside the head."""
-    head = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
+    """From the table of counts: its head, and for each bucket the tokens and words outside the head.
+
+    The head is every word from a level of counts up, the lowest level at which KNOWN words or fewer are
+    in it; a table of levels (LEVELS for each doubling of the count) finds it without sorting the words.
+    """
+    level = F.floor(F.log2("c") * LEVELS)
+    found, lowest = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        found += r["count"]
+        if found > KNOWN:
+            break
+        lowest = r["level"]
+    rows = [] if lowest is None else counts.where(level >= lowest).collect()
+    head = sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     own = [w for w, _ in head[:FREQUENT]]
     rest = counts.where(~F.col("word").isin(own)) if own else counts
