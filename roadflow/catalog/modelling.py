@@ -14,6 +14,7 @@ from ..plans.features import model_features as features
 from ..schemas import TARGET_REGRESSORS
 from ..sources import configs
 from ..sources import sample_feeds as S
+from ..schemas import WEATHER_COLS
 from . import inputs as I
 from .joining import METRICS_SQL, _metric_rows
 from .registry import query, rounded
@@ -382,12 +383,14 @@ def dashboard_doc(spark, d):
 
 @query("node_forecast")
 def node_forecast(spark, d):
+    """The newest observation of each device, forecast an hour or more ahead from its own stamp."""
     models, rows = _models(spark, d, "AvgSpeed")
     series = I.series(spark, d)
-    ahead = P.forecast_requests(P.holdout_requests(rows, models, "AvgSpeed", 12))
-    cols = ["NumVehicles", "AvgSpeed", "Occupancy", "AvgDensity", "AvgHeadway", "FlowRate"]
+    cols = ["NumVehicles", "AvgSpeed", "Occupancy", "AvgDensity", "AvgHeadway", "FlowRate", *WEATHER_COLS]
     latest = T.last_row(series, ["DeviceId"])
     newest = Doc.resolve_observations(T.last_row(
         _observations(spark, d).withColumn("BucketTime", F.col("event_id")), ["DeviceId"]
     ).drop("BucketTime"), latest, cols, I.HOUR)
+    asked = newest.withColumn("_minutes", F.lit(12 * 60)).withColumn("steps", Doc.horizon_steps("_minutes", 60))
+    ahead = P.forecast_requests(P.observed_requests(rows, series, models, asked, "AvgSpeed", I.HOUR))
     return Doc.node_forecast(ahead, series, newest, "AvgSpeed")

@@ -97,6 +97,40 @@ def future_requests(
     )
 
 
+def observed_requests(
+    rows: DataFrame, series: DataFrame, models: DataFrame, observed: DataFrame, target: str, step: str
+) -> DataFrame:
+    """Requests that start from an observation: DeviceId, BucketTime, ``steps``, the target and its regressors.
+
+    The model is extended by the observed row, not refitted: the observed target becomes the newest lag, its
+    distance from the one-step forecast the newest shock. Later steps see the observed regressors
+    and the calendar of their own stamps. One observation per device.
+    """
+    regressors, lags = TARGET_REGRESSORS[target], ["y", *LAG_COLS[:-1]]
+    tail = last_row(rows.select("DeviceId", "BucketTime", "e", "e1", *lags), ["DeviceId"]).select(
+        "DeviceId", tail_of(lags).alias("_y"), shocks_of(["e", "e1"]).alias("_e"))
+    last = last_row(series.select("DeviceId", "BucketTime", *regressors), ["DeviceId"]).select(
+        "DeviceId", *[F.col(c).alias(f"_last_{c}") for c in regressors])
+    seen = observed.select("DeviceId", F.col("BucketTime").alias("origin"), "steps", F.col(target).alias("_now"),
+                           *[F.col(c).alias(f"_seen_{c}") for c in regressors])
+    joined = seen.join(tail, "DeviceId").join(last, "DeviceId").join(models.select("DeviceId", *WEIGHTS), "DeviceId")
+
+    def x_at(prefix, t):
+        values = [F.col(f"{prefix}{c}") for c in regressors] + [is_holiday(t), *calendar_dummies(t).values()]
+        return F.array(*[v.cast("double") for v in values])
+
+    def times(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+
+    one = F.col("const") + times(F.col("beta"), x_at("_last_", F.col("origin"))) + times(F.col("w"), F.col("_y")) + times(
+        F.col("theta"), F.col("_e"))
+    ahead = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda k: add_steps(F.col("origin"), k, step))
+    return joined.withColumns({"times": ahead, "_one": one}).select(
+        "DeviceId", "origin", "times", F.transform("times", lambda t: x_at("_seen_", t)).alias("x"),
+        F.concat(F.array("_now"), F.slice("_y", 1, len(lags) - 1)).alias("y_tail"),
+        F.array(F.col("_now") - F.col("_one"), F.col("_e")[0]).alias("e_tail"), *WEIGHTS)
+
+
 def backtest_requests(
     rows: DataFrame, models: DataFrame, origins: DataFrame, target: str, n: int, step: str
 ) -> DataFrame:

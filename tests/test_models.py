@@ -200,3 +200,28 @@ def test_orders_beyond_the_design_fail_clearly():
     for order in ((26, 1, 0), (28, 0, 0), (60, 0, 0), (1, 0, 3)):
         with pt.raises(ValueError):
             S.fit(gram, 100.0, lay, order, (0, 0, 0, 0))
+
+
+def test_observation_moves_the_forecast(spark):
+    """The observed row is the newest lag: another observed value gives another forecast, from its own stamp."""
+    from roadflow.models import fit as M
+    from roadflow.models import forecast as P
+    from roadflow.plans import training
+    from roadflow.schemas import TARGET_REGRESSORS
+    from roadflow.session import stage
+
+    series = stage(_series_of(spark, [400]), "observed")
+    models, full = M.fit_models(stage(training.design(series, "NumVehicles"), "design"), "NumVehicles", order=(1, 0, 0))
+    models = stage(models, "models")
+
+    def ahead(value):
+        seen = spark.createDataFrame([("N400", 3, value)], "DeviceId string, steps int, NumVehicles double").selectExpr(
+            "*", "timestamp_ntz'2024-01-17 16:00:00' AS BucketTime",
+            *[f"0.0D AS {c}" for c in TARGET_REGRESSORS["NumVehicles"]])
+        rows = P.forecast_requests(P.observed_requests(full, series, models, seen, "NumVehicles", "1 hour")).collect()
+        return sorted((r["step"], r["BucketTime"].hour, r["predicted"]) for r in rows)
+
+    low, high = ahead(20.0), ahead(30.0)
+    assert [r[:2] for r in low] == [r[:2] for r in high] == [(1, 17), (2, 18), (3, 19)]
+    w = models.first()["w"][0]
+    assert abs((high[0][2] - low[0][2]) - 10 * w) < 1e-6 and abs((high[1][2] - low[1][2]) - 10 * w * w) < 1e-6
