@@ -17,33 +17,33 @@ from pyspark.sql import functions as F
 
 from roadflow.llm import bpe, decontaminate, neardup, quality, toxicity
 from roadflow.llm.queries import vocabulary_file
-from roadflow.llm.text import table
-from roadflow.session import configure, stage
+from roadflow.llm.text import prepared, table
+from roadflow.session import stage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(configure(spark), sf_dir, table(spark, sf_dir, "documents"))
+    model = quality.train(prepared(spark), sf_dir, table(spark, sf_dir, "documents"))
     scored = quality.score(docs, model, "_quality")
     return scored.where(F.col("_quality") >= quality.ACCEPT).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(configure(spark), sf_dir, table(spark, sf_dir, "documents"))
+    model = toxicity.train(prepared(spark), sf_dir, table(spark, sf_dir, "documents"))
     scored = toxicity.score(docs, model, "_toxicity")
     return scored.where(F.col("_toxicity") < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    prepared(spark)
     return neardup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove(docs, table(configure(spark), sf_dir, "benchmark"))
+    return decontaminate.remove(docs, table(prepared(spark), sf_dir, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    prepared(spark)
     path = vocabulary_file()
     decoded = bpe.decode(bpe.encode(docs, path), path)
     return decoded.select(*docs.columns, F.size("tokens").alias("n_tokens"), "tokens", "decoded")
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(configure(spark), sf_dir, "documents")
+    docs = table(prepared(spark), sf_dir, "documents")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), f"corpus-{name}")
     return docs

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import worker_slot
+
 #: Pieces that one of the two generations of a worker's cache holds.
 CACHED = 100_000
 #: Rows for which tokens are handed back at once.
@@ -180,16 +182,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def codec_of(spec: str) -> Codec:
     """One codec for each vocabulary and worker, so its cache outlives a task."""
-    key = hash(spec)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    return worker_slot(("bpe", hash(spec)), lambda: Codec(spec))
 
 
 def read_spec(path: str) -> str:

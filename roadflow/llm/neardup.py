@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import connected_components
-from .text import byte_words
+from .text import byte_words, forget
 
 WORDS = 5
 PERCENT = 80
@@ -123,6 +123,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     none = np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)

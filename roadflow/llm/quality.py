@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import labelled, slices
+from .text import forget, labelled, slices
 
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 20_000
@@ -179,6 +179,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = T.StructType([f for f in docs.schema if f.name != name] + [T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             x = np.array([figures(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FIGURES))
             scores = pa.array(shared.value.score(x), pa.float64())

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
 from . import bpe, chat, decontaminate, hmm, kdtree, licenses, neardup, quality, ring, toxicity
-from .text import held_out, table
+from .text import held_out, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(configure(spark), folder)
+            return fn(prepared(spark), folder)
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import configure
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Word characters are digits, lower-case a-z and everything outside ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,6 +57,31 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings of the jobs and small Arrow batches: a row can be a long text."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
+_slot: dict = {}
+
+
+def worker_slot(key, build: Callable):
+    """What ``build`` gives, kept in the worker under ``key`` until another key is asked for.
+
+    A worker lives through many tasks and operators; one slot for all keeps its memory bounded.
+    """
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = build()
+    return _slot[key]
+
+
+def forget() -> None:
+    _slot.clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows a few at a time: texts become Python objects only as long as they are worked on."""
     for batch in batches:

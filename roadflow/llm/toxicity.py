@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import byte_words, labelled, slices
+from .text import byte_words, labelled, slices, worker_slot
 
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 4_000
@@ -166,15 +166,9 @@ class Scorer:
         return self.bias + (total / weight if weight else 0.0)
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def scorer_of(key: bytes, model: tuple[np.ndarray, np.ndarray, float]) -> Scorer:
     """One scorer for each model and worker, so its cache outlives a task."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*model)
-    return _scorers[key]
+    return worker_slot(("toxicity", key), lambda: Scorer(*model))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
