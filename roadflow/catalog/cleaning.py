@@ -235,7 +235,7 @@ def align_features(spark, d):
     )
 
 
-@query("drop_pattern")
+@query("drop_pattern", sql("SELECT Id, BucketTime, AvgSpeed FROM traffic_raw", "traffic_raw"))
 def drop_pattern(spark, d):
     """Calendar dummies dropped by name pattern."""
     feed = S.traffic_feed(spark, d).select("Id", "BucketTime", "AvgSpeed")
@@ -351,10 +351,14 @@ def distinct_dims(spark, d):
     return D.distinct_values(clean, "DeviceId", "Lane", "Date")
 
 
-@query("assert_unique")
+@query(
+    "assert_unique",
+    sql("SELECT BucketTime, DeviceId, Lane, TrafficRowsInKey, " + each(TRAFFIC_METRICS, "round({c}, 8) AS {c}")
+        + " FROM traffic_agg", "traffic_agg", grain=I.HOUR_S),
+)
 def assert_unique(spark, d):
     """Aggregated keys pass the check and come back unchanged."""
-    return D.assert_unique(I.traffic_agg(spark, d), KEYS, "traffic")
+    return rounded(D.assert_unique(I.traffic_agg(spark, d), KEYS, "traffic"))
 
 
 @query(

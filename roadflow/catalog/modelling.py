@@ -261,7 +261,7 @@ def dashboard_history(spark, d):
 _OBS = {
     "rq": """SELECT event_id, 'N' || CAST(user_id // 10 AS VARCHAR) AS DeviceId, CASE WHEN kk % 2 = 0 THEN ts END AS t,
     "value" AS AvgSpeed, CASE WHEN kk % 3 <> 0 THEN CAST(kk AS DOUBLE) END AS Occupancy, CAST(kk AS DOUBLE) AS Confidence
-    FROM ev WHERE event_type = 'purchase'""",
+    FROM ev""",
     "la": "SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY DeviceId ORDER BY BucketTime DESC) = 1",
 }
 
@@ -283,7 +283,7 @@ def obs_resolve(spark, d):
 
 def _observations(spark, d):
     kk = F.col("kk")
-    return S.events(spark, d).filter("event_type = 'purchase'").select(
+    return S.events(spark, d).select(
         "event_id", F.concat(F.lit("n"), F.floor(F.col("user_id") / 10).cast("string")).alias("DeviceId"),
         F.when(kk % 2 == 0, F.col("ts")).alias("ObservationTime"), F.col("value").alias("AvgSpeed"),
         F.when(kk % 3 != 0, kk.cast("double")).alias("Occupancy"), kk.cast("double").alias("Confidence"),

@@ -150,7 +150,7 @@ _CFG_SQL = {
     "dv": "SELECT DISTINCT 'N' || CAST(user_id // 10 AS VARCHAR) AS DeviceId FROM ev",
     "cfg": """SELECT 'N' || CAST(user_id // 10 AS VARCHAR) AS DeviceId, CAST(max(kk) % 3 AS INTEGER) AS p,
     CASE WHEN max(user_id // 10) % 4 = 0 THEN NULL ELSE CAST(500 + min(kk) AS INTEGER) END AS train_length
-    FROM ev WHERE event_type='purchase' AND "value" > 150 GROUP BY ALL""",
+    FROM ev GROUP BY ALL""",
 }
 
 
@@ -159,7 +159,7 @@ def _node():
 
 
 def _config(spark, d):
-    ev = S.events(spark, d).filter("event_type = 'purchase' AND value > 150")
+    ev = S.events(spark, d)
     return ev.groupBy(_node().alias("DeviceId")).agg(
         (F.max("kk") % 3).cast("int").alias("p"),
         F.when(F.max(F.floor(F.col("user_id") / 10)) % 4 != 0, 500 + F.min("kk")).cast("int").alias("train_length"),

@@ -91,12 +91,3 @@ def total(columns) -> Column:
 
 def is_close(a, b, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.abs(col(a) - col(b)) <= F.lit(atol) + F.lit(rtol) * F.abs(col(b))
-
-
-def order_text_to_struct(c) -> Column:
-    """'(p, d, q)' or '(P, D, Q, s)' as an array of ints."""
-    return F.expr("transform(regexp_extract_all({0}, '(-?[0-9]+)', 1), v -> int(v))".format(c))
-
-
-def half_up(c, places: int) -> Column:
-    return F.round(col(c), places)
