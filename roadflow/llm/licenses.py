@@ -1,8 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in SQL functions only.
 
 A block is a line of a text; blocks and templates are sets of words. A block matches a template
-if it contains at least THRESHOLD of the template's words. The join follows the usual filters, all
-of which are lossless:
+if it contains at least THRESHOLD of the template's words. A notice may be wrapped: so is every run of
+consecutive words that goes on beyond a line's end a block for a template, if it is no longer than the
+template's words divided by THRESHOLD (``wrapped_matches``). The join of lines follows the usual filters,
+all of which are lossless:
 
 * words are ordered by how many blocks of the corpus hold them, rarest first. Only template words
   can add to an overlap, so blocks are reduced to these (in that order) and only these are counted;
@@ -64,9 +66,13 @@ TEMPLATES = [
 ]
 
 
-def word_set(text: str) -> list[str]:
+def word_list(text: str) -> list[str]:
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text)
-    return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def word_set(text: str) -> list[str]:
+    return list(dict.fromkeys(word_list(text)))
 
 
 def needed(words: list[str], threshold: float) -> int:
@@ -117,6 +123,51 @@ def template_matches(lines: Column, templates: list[tuple[str, str]], counts: di
     return F.filter(F.flatten(looked_at), lambda m: m["overlap"] >= m["need"])
 
 
+def wrapped_matches(lines: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """Like ``template_matches``, of the words around the ends of ``lines``: the best run that starts in a line and leaves it.
+
+    A run starts at a word of the template (others in front add nothing), so it has ``reach`` words from there. Templates
+    that the whole text, then the words around an end, do not hold often enough are passed over; both lose nothing.
+    """
+    sets = [(label, word_set(t), math.ceil(round(len(word_list(t)) / threshold, 9))) for label, t in templates]
+    index = F.array(*[
+        F.struct(F.lit(label).alias("label"), strings(words).alias("words"), F.lit(needed(words, threshold)).alias("need"),
+                 F.lit(reach).alias("reach"))
+        for label, words, reach in sets])
+    most = max(1, *(reach - 1 for _, _, reach in sets))
+    vocabulary = strings(sorted({w for _, words, _ in sets for w in words}))
+
+    def of_text(held: Column) -> Column:
+        return F.filter(index, lambda t: F.size(F.array_intersect(t["words"], held)) >= t["need"])
+
+    def of_end(tail: Column, ahead: Column, line: Column, possible: Column) -> Column:
+        def best(t: Column, run: Column) -> Column:
+            first = F.greatest(F.size(tail) - t["reach"] + 2, F.lit(1))
+            return F.array_max(F.transform(F.sequence(first, F.size(tail)), lambda i: F.when(
+                F.array_contains(t["words"], F.element_at(run, i)), F.size(F.array_intersect(t["words"], F.slice(run, i, t["reach"]))))))
+
+        def match(t: Column, both: Column) -> Column:
+            return F.struct(line.alias("block"), t["label"].alias("label"), both.alias("overlap"), t["need"].alias("need"),
+                            (both / F.size(t["words"])).alias("containment"))
+
+        return let(F.concat(tail, ahead), lambda run: F.transform(
+            F.filter(possible, lambda t: F.size(F.array_intersect(t["words"], run)) >= t["need"]),
+            lambda t: let(F.coalesce(best(t, run), F.lit(0)), lambda both: match(t, both))))
+
+    def of_lines(possible: Column) -> Column:
+        cut = F.filter(F.transform(lines, lambda b, k: F.struct(
+            k.alias("line"), F.slice(b, 1, most).alias("head"), F.slice(b, F.greatest(F.size(b) - most + 1, F.lit(1)), most).alias("tail"))),
+            lambda b: F.size(b["head"]) > 0)
+        # A line here has a word at least, so the next ``most`` lines hold all that a run can reach.
+        return let(cut, lambda held: F.flatten(F.transform(held, lambda b, k: let(b["tail"], lambda tail: let(
+            F.slice(F.flatten(F.transform(F.slice(held, k + 2, most), lambda n: n["head"])), 1, most),
+            lambda ahead: of_end(tail, ahead, b["line"], possible))))))
+
+    found = let(F.array_intersect(vocabulary, F.flatten(lines)), lambda held: let(of_text(held), lambda possible: F.when(
+        F.size(possible) > 0, F.filter(of_lines(possible), lambda m: m["overlap"] >= m["need"]))))
+    return F.when(F.size(lines) > 1, found)
+
+
 def phrase_places(words: Column) -> Column:
     """array<struct<start, label>>: where the words of a phrase stand consecutively."""
     def label_at(i: Column) -> Column:
@@ -144,7 +195,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         F.transform(F.split(low, "\n"), split_words), lambda lines: F.struct(
             F.aggregate(lines, F.lit(0), lambda n, b: n + F.size(b)).cast("long").alias("n_words"),
             F.when(low.rlike(gaps), let(F.flatten(lines), phrase_places)).alias("places"),
-            template_matches(lines, templates, counts, threshold).alias("matches")))))
+            F.concat(template_matches(lines, templates, counts, threshold), F.coalesce(
+                wrapped_matches(lines, templates, threshold),
+                F.array().cast("array<struct<block:int,label:string,overlap:int,need:int,containment:double>>"))).alias("matches")))))
 
 
 def report(scanned: DataFrame) -> DataFrame:

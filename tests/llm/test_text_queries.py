@@ -49,6 +49,34 @@ def test_license_filters_lose_nothing(spark):
     assert got == {k: license_row(t) for k, t in enumerate(lines)}
 
 
+def wrapped(text, lines):
+    """``text`` over so many lines, as a comment."""
+    w = text.split()
+    at = [len(w) * k // lines for k in range(lines + 1)]
+    return "\n".join(" * " + " ".join(w[a:b]) for a, b in zip(at, at[1:]))
+
+
+def test_wrapped_notices_are_found(spark):
+    rows = []
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        rows += [(100 * k + n, label, "some words before\n\n" + wrapped(t, n) + "\n\nand after") for n in (2, 3, 5, len(t.split()))]
+    mit = licenses.TEMPLATES[1][1]
+    rows += [
+        (9001, "mit", "word " * 400 + mit.replace("free of", "free\r\n\r\n//\n of") + " word" * 400),
+        (9002, "", mit.replace("hereby granted", "X\nX").replace("obtaining", "X")),  # three of its words are gone
+        (9003, "mit", mit.replace("obtaining", "obtaining\n")),
+        (9004, "", mit.replace(" ", "\nother ")),  # all words, but not consecutively
+        (9005, "", mit[:60] + "\n" + "far " * 30 + "\n" + mit[60:]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.report(licenses.scan(docs)).collect()}
+    for i, label, _ in rows:
+        wanted = {label} - {""}
+        assert wanted <= set(got[i].labels.split(",")), i
+        assert wanted or not got[i].labels, i
+        assert not wanted or got[i].score == 1.0, i
+
+
 BENCH = [(1, messy.prose(60, 1)[40:200]), (2, "one two three"), (3, None), (4, ""), (5, "one two three"), (5, "one two three"),
          (None, "naïve café"), (10, "The general PUBLIC license")]
 
