@@ -3,7 +3,9 @@
 A word is the bag of itself and of its character n-grams, with its borders marked, hashed into BUCKETS rows of
 an embedding table. A text is the average of all its rows, and a linear softmax over two classes reads that
 average. Table and softmax are trained together (Adagrad over small batches), so a misspelt word that was never
-seen is scored by the n-grams that it shares.
+seen is scored by the n-grams that it shares. How many passes that takes, and how rare a table row may be (ONE_IN), is
+found on one in SPLIT of the training rows, by a digest of their features: passes over the others go on until the loss
+on these has not fallen for PATIENCE passes. The model is then trained on all of them the way that had the smallest loss.
 
 Features are made where the text is; the driver gets them for at most TRAIN_ROWS labelled rows. For scoring, the
 softmax is linear in the average, so each row of the table becomes one number; only these are broadcast.
@@ -29,9 +31,12 @@ from .text import byte_words, labelled, slices, worker_slot
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 4_000
 BUCKETS, GRAMS, DIMS = 1 << 18, (3, 4, 5), 8
-EPOCHS, BATCH, RATE = 6, 64, 0.5
+BATCH, RATE = 64, 0.5
+#: Training rows that the loss is taken on: one in so many. A pass counts as better if the loss falls by GAIN.
+SPLIT, PATIENCE, GAIN = 5, 5, 1e-4
 #: Table rows that fewer than one in so many training texts touch are left out of averages (three texts at least).
-ONE_IN = 400
+#: The split of the training rows decides which of these it is.
+ONE_IN = (400, 200, 100, 50, 25)
 REJECT = 0.7
 #: Words that one of the two generations of a worker's cache holds.
 CACHED = 100_000
@@ -64,27 +69,56 @@ class Model:
     def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray) -> None:
         share = float(y.mean()) if len(y) else 0.0
         self.values, self.weights = np.zeros(BUCKETS, np.float32), np.ones(BUCKETS, np.float32)
-        self.bias = float(np.log((share * len(y) + 1e-9) / ((1 - share) * len(y) + 1)))
+        self.share = self.bias = float(np.log((share * len(y) + 1e-9) / ((1 - share) * len(y) + 1)))
+        self.losses: list[float] = []
         if len(np.unique(y)) == 2:
             self._train(keys, counts, y)
 
     def _train(self, keys: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray) -> None:
+        apart = np.array([zlib.crc32(k.tobytes()) % SPLIT == 0 for k in keys])
+        # With one kind of rows only on a side, nothing can be told from the split: all rows are on both.
+        fit, check = (~apart, apart) if len(np.unique(y[apart])) == 2 and len(np.unique(y[~apart])) == 2 else (~apart | apart,) * 2
+        fit, check = np.flatnonzero(fit), np.flatnonzero(check)
+        some, rest = ([keys[i] for i in fit], [counts[i] for i in fit], y[fit]), ([keys[i] for i in check], [counts[i] for i in check], y[check])
+        best, passes, cut = np.inf, 0, ONE_IN[0]
+        for one_in in {max(3, len(fit) // k): k for k in reversed(ONE_IN)}.values():
+            lowest, at = np.inf, 0
+            for n, _ in enumerate(self._passes(*some, one_in), 1):
+                self.losses.append(self.loss(*rest))
+                if self.losses[-1] < lowest - GAIN:
+                    lowest, at = self.losses[-1], n
+                elif n - at >= PATIENCE:
+                    break
+            if lowest < best:
+                best, passes, cut = lowest, at, one_in
+        for n, _ in enumerate(self._passes(keys, counts, y, cut), 1):
+            if n >= passes:
+                break
+
+    def loss(self, keys: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray) -> float:
+        """The mean log loss of some texts."""
+        values = self.values * self.weights
+        logits = np.array([self.bias + float(c @ values[k]) / max(1e-9, float(c @ self.weights[k])) for k, c in zip(keys, counts)])
+        return float(np.logaddexp(0, np.where(y == 1, -logits, logits)).mean())
+
+    def _passes(self, keys: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, one_in: int) -> Iterator[None]:
+        """Trains from the start, one pass over the texts for each step; the model is that of the passes so far."""
         rng = np.random.default_rng(7)
         texts = np.bincount(np.concatenate(keys), minlength=BUCKETS)
         # The average weighs a row by how rare it is among texts; what only a few texts hold would be learned by heart.
-        least = max(3, len(y) // ONE_IN)
+        least = max(3, len(y) // one_in)
         rows = np.flatnonzero(texts >= least)
+        self.values, self.bias = np.zeros(BUCKETS, np.float32), self.share
+        self.weights = np.where(texts >= least, least / (least + texts), 0).astype(np.float32)
         if not len(rows):
             return
-        self.weights = np.where(texts >= least, least / (least + texts), 0).astype(np.float32)
         place = np.full(BUCKETS, -1, np.int32)
         place[rows] = np.arange(len(rows))
         table = rng.uniform(-1, 1, (len(rows), DIMS)).astype(np.float32) / DIMS
         softmax, bias = np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32)
         squares = [np.full(p.shape, 1e-8, np.float32) for p in (table, softmax, bias)]
         batches = [self._batch(b, keys, counts, y, place) for b in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH))]
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
+        while True:
             for b in rng.permutation(len(batches)):
                 f, w, starts, of, at, cuts, mine = batches[b]
                 mean = np.add.reduceat(table[f] * w, starts)
@@ -99,9 +133,10 @@ class Model:
                          (table, to_table, squares[0], touched))
                 for param, gradient, square, where in steps:
                     square[where] += gradient**2
-                    param[where] -= rate * gradient / np.sqrt(square[where])
-        self.values[rows] = table @ (softmax[:, 1] - softmax[:, 0])
-        self.bias = float(bias[1] - bias[0])
+                    param[where] -= RATE * gradient / np.sqrt(square[where])
+            self.values[rows] = table @ (softmax[:, 1] - softmax[:, 0])
+            self.bias = float(bias[1] - bias[0])
+            yield
 
     def _batch(self, rows: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, place: np.ndarray):
         """Table rows and weights of some texts, where each text starts, and their order by table row."""

@@ -145,6 +145,32 @@ def test_held_out_accuracy(spark, corpus, name, label, least):
     assert sum(r.predicted == truth[r.doc_id] for r in rows) / len(rows) >= least
 
 
+def rare_insults(n, seed):
+    """Long texts of many words; one in eight holds two of a few rare ones."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(np.random.default_rng(k).choice(list("abcdefghijklmnopqrstuvwxyz"), 4 + k % 6)) for k in range(6000)]
+    share = 1 / np.arange(20, 6020)
+    y = (rng.random(n) < 1 / 8).astype(np.int64)
+    texts = []
+    for toxic in y:
+        text = list(rng.choice(words, 250, p=share / share.sum()))
+        if toxic:
+            text[100], text[200] = rng.choice(["achlicha", "achlichen", "bomented"], 2)
+        texts.append(" ".join(text))
+    return texts, y
+
+
+def test_toxicity_is_trained_until_a_split_says_so():
+    texts, y = rare_insults(1000, 1)
+    model = toxicity.Model(*zip(*map(toxicity.bag, texts)), y)
+    fresh, truth = rare_insults(500, 2)
+    scorer = toxicity.Scorer(model.values, model.weights, model.bias)
+    logits = np.array([scorer.logit(t) for t in fresh])
+    found = logits > np.quantile(logits[truth == 0], 0.99)
+    assert found[truth == 1].mean() > 0.7
+    assert len(model.losses) > toxicity.PATIENCE and min(model.losses[-toxicity.PATIENCE :]) >= min(model.losses) - toxicity.GAIN
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_on_messy_rows(spark, corpus, module):
     docs = messy.documents(spark)
