@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, hmm, kdtree, licenses, neardup, quality, ring, toxicity
+from ..session import scratch_path
+from . import bpe, chat, decontaminate, divergence, hmm, kdtree, licenses, neardup, quality, repair, ring, tokencounts, toxicity
 from .text import held_out, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +140,23 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = quality.train(spark, folder, docs)
     return quality.report(quality.score(docs, model), held_out(F.col("doc_id"), 3))
+
+
+@register("op11_conversation_repair")
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and the hash of what that leaves."""
+    return repair.repair(repair.damage(table(spark, folder, "conversations")))
+
+
+@register("op12_source_divergence", divergence.report_sql())
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Differences between the sources of each language, and the terms that set each apart."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@register("op13_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every text; the query starts from an empty cache of its own, whatever ran before."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    spec = bpe.read_spec(vocabulary_file("word_bpe_49k.json"))
+    return tokencounts.count_tokens(docs, spec, scratch_path(spark, "token-counts"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, stage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Word characters are digits, lower-case a-z and everything outside ASCII.
@@ -103,3 +103,16 @@ def labelled(spark: SparkSession, folder: str, docs: DataFrame, label: str, rows
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "y")
+
+
+def join_unique(rows: DataFrame, facts: DataFrame, key: str, heavy: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for each key of ``rows``.
+
+    A key that at least one in ``heavy`` rows holds would load one task; there are at most ``heavy`` such keys
+    whatever the input, so their facts are broadcast and only the other rows move.
+    """
+    often = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * heavy >= rows.count())
+    often = stage(often.select(key), "heavy-keys")
+    near = rows.join(F.broadcast(facts.join(F.broadcast(often), key)), key)
+    far = rows.join(F.broadcast(often), key, "left_anti").join(facts, key)
+    return near.unionByName(far)
