@@ -3,13 +3,15 @@
 A text is cut at the added tokens and then into pieces by the pattern of byte-level tokenizers. A piece
 is a row of byte tokens; the leaves of a segment tree hold the merge rank of each adjacent pair with its
 place, so the root is the leftmost pair of lowest rank. Merging it changes two neighbouring leaves, each
-in logarithmic time, and the piece is done when no leaf holds a rank: n log n steps for any length.
-Pieces met before come from a bounded cache of the worker.
+in logarithmic time, and the piece is done when no leaf holds a rank: n log n steps for any length. Short pieces of many texts
+are worked on side by side, one merge of every tree at a time. Pieces met before come from a bounded cache of the worker.
 
 The vocabulary file of a public tokenizer is a parameter (a JSON file of the tokenizers library with a
 byte-level BPE model). It is read on the driver and broadcast; its size is that of the vocabulary.
 
-Null texts count as empty and give no tokens. Repeated rows are encoded one by one; other columns pass through.
+Null texts count as empty and give no tokens. Repeated rows are encoded one by one; an empty table gives no rows. Other
+columns pass through; one with the name of a result is an error, and the results can be named otherwise. A text of any
+length is encoded whole; one text must fit a worker.
 """
 
 from __future__ import annotations
@@ -24,12 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import worker_slot
+from .text import slices, worker_slot
 
 #: Pieces that one of the two generations of a worker's cache holds.
 CACHED = 100_000
 #: Rows for which tokens are handed back at once.
 ROWS = 500
+#: Leaves of the widest tree that is worked on side by side with others, and how many at a time.
+WIDE, TREES = 64, 4096
+#: Characters of texts whose pieces are looked up together.
+TOGETHER = 1_000_000
+NONE = 1 << 62
 
 # Letters and numbers that came with Unicode 17 and later. The tokenizers library
 # knows Unicode 16, so to it these are neither.
@@ -95,7 +102,11 @@ class Codec:
             self.rank[vocab[a] << 32 | vocab[b]] = k
             self.result.append(vocab[a + b])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.new: dict[str, bytes] = {}
+        self.pairs = np.array(sorted(self.rank), np.int64)
+        self.pair_rank = np.array([self.rank[p] for p in self.pairs.tolist()], np.int64)
+        self.merged = np.array(self.result, np.int64)
+        self.fixed = {token: np.int32(k).tobytes() for token, k in self.added.items()}
+        self.new: dict[str, bytes] = dict(self.fixed)
         self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -150,33 +161,111 @@ class Codec:
             i = after[i]
         return out
 
-    def piece(self, text: str) -> bytes:
-        """The ids of a piece as packed 32-bit integers."""
-        found = self.old.get(text)
-        if found is None:
-            found = np.array(self.merge(text.encode()), np.int32).tobytes()
-        if len(self.new) >= CACHED:
-            self.old, self.new = self.new, {}
-        self.new[text] = found
-        return found
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair of ids, ``NONE`` where they do not merge."""
+        asked = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == asked, self.pair_rank[at], NONE) if len(self.pairs) else np.full(left.shape, NONE)
+
+    def merge_level(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Packed ids of pieces of 2 to ``size`` + 1 bytes: one tree of ``size`` leaves each, all trees a merge at a time."""
+        n, width = len(pieces), size + 1
+        length = np.fromiter(map(len, pieces), np.int64, n)
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
+        ids = np.asarray(self.first, np.int64)[raw]
+        place = np.arange(width)
+        alive = place < length[:, None]
+        after, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
+
+        def leaf(row: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            found = self.ranks(ids[row, i], ids[row, np.minimum(j, size)])
+            return np.where((j < length[row]) & (found < NONE), found << 32 | i, NONE)
+
+        tree = np.full((n, 2 * size), NONE)
+        every = np.repeat(np.arange(n), size)
+        tree[:, size:] = leaf(every, np.tile(place[:-1], n), np.tile(place[1:], n)).reshape(n, size)
+        level = size
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+        row = np.flatnonzero(tree[:, 1] < NONE)
+        while len(row):
+            best = tree[row, 1]
+            i = best & 0xFFFFFFFF
+            ids[row, i] = self.merged[best >> 32]
+            j = after[row, i]
+            k = after[row, i] = after[row, j]
+            alive[row, j] = False
+            more = k < length[row]
+            before[row[more], k[more]] = i[more]
+            p = before[row, i]
+            has = p >= 0
+            inner = j < size
+            changed = [(row, i, leaf(row, i, k)), (row[inner], j[inner], np.full(inner.sum(), NONE)),
+                       (row[has], p[has], leaf(row[has], p[has], i[has]))]
+            for r, at, value in changed:
+                tree[r, at + size] = value
+            for r, at, _ in changed:
+                at = at + size
+                while size > 1 and len(at) and at[0] > 1:
+                    at = at >> 1
+                    tree[r, at] = np.minimum(tree[r, 2 * at], tree[r, 2 * at + 1])
+            row = row[tree[row, 1] < NONE]
+        ends = np.cumsum(alive.sum(1)).tolist()
+        flat = ids[alive].astype(np.int32).tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Packed ids of ``pieces`` into the cache; older ones go when a generation is full."""
+        missing = pieces.difference(self.new)
+        if missing and len(self.new) + len(missing) > CACHED:
+            self.old, self.new, missing = self.new, dict(self.fixed), pieces.difference(self.fixed)
+        levels: dict[int, list[str]] = {}
+        for p in missing:
+            known = self.old.get(p)
+            if known is not None:
+                self.new[p] = known
+            else:
+                # One character can be four bytes: the tree is chosen by the bytes.
+                n = len(p.encode()) - 1
+                levels.setdefault(1 << (n - 1).bit_length() if n > 1 else n, []).append(p)
+        for size, some in levels.items():
+            if 1 <= size <= WIDE:
+                for at in range(0, len(some), TREES):
+                    part = some[at : at + TREES]
+                    self.new.update(zip(part, self.merge_level([p.encode() for p in part], size)))
+            else:
+                for p in some:
+                    self.new[p] = np.array(self.merge(p.encode()), np.int32).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        out = []
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+    def cuts(self, text: str | None) -> list[str]:
+        """A text as its pieces and added tokens; no piece reads like an added token, else it had been cut there."""
+        out: list[str] = []
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]) if text else ():
             if k % 2:
-                out.append(np.int32(self.added[part]).tobytes())
+                out.append(part)
             elif part:
                 try:
                     part.encode("latin-1")
-                    pieces = PLAIN.findall(part)
+                    out += PLAIN.findall(part)
                 except UnicodeEncodeError:
-                    pieces = EXACT.findall(part)
-                for p in pieces:
-                    found = self.new.get(p)
-                    out.append(found if found is not None else self.piece(p))
-        return b"".join(out)
+                    out += EXACT.findall(part)
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Packed 32-bit ids of each text. Texts are taken together up to ``TOGETHER`` characters."""
+        out, cut, held = [], [], 0
+        for k, text in enumerate(texts):
+            cut.append(self.cuts(text))
+            held += len(text or "")
+            if held >= TOGETHER or k + 1 == len(texts):
+                self.learn(set().union(*cut))
+                out += [b"".join(map(self.new.__getitem__, pieces)) for pieces in cut]
+                cut, held = [], 0
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -192,40 +281,45 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``tokens``: the ids of ``text``."""
+def columns(docs: DataFrame, path: str, tokens: str | None, decoded: str | None, given: str | None = None) -> DataFrame:
+    """``docs`` with the asked columns: ids of ``text`` (or those in the column ``given``), and the text they stand for."""
+    added = [T.StructField(tokens, T.ArrayType(T.IntegerType()))] if tokens else []
+    added += [T.StructField(decoded, T.StringType())] if decoded else []
+    if clash := sorted({f.name for f in added} & set(docs.columns)):
+        raise ValueError(f"the input has columns {clash}; name the results otherwise")
     shared = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-    schema = T.StructType([f for f in docs.schema if f.name != "tokens"] + [T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                packed = [codec.encode(t) for t in batch.column("text").to_pylist()]
-                offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, tokens], names=[*batch.schema.names, "tokens"])
+        for batch in slices(batches, ROWS):
+            if given:
+                column = batch.column(given)
+                ids, ends, known = column.values.to_numpy(), column.offsets.to_numpy(), column.is_valid().to_pylist()
+            else:
+                packed = codec.encode_all(batch.column("text").to_pylist())
+                ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
+                ids, known = np.frombuffer(b"".join(packed), np.int32), [True] * len(packed)
+            new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))] if tokens else []
+            if decoded:
+                new.append(pa.array([codec.decode(ids[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], known)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[f.name for f in added]])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *added]))
+
 
-    return docs.drop("tokens").mapInArrow(run, schema)
+def encode(docs: DataFrame, path: str, tokens: str = "tokens") -> DataFrame:
+    """``docs`` with ``tokens``: the ids of ``text``."""
+    return columns(docs, path, tokens, None)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:
     """``encoded`` with ``decoded``: the text that ``tokens`` stand for, null for null."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_spec(path))
-    schema = T.StructType([f for f in encoded.schema if f.name != "decoded"] + [T.StructField("decoded", T.StringType())])
+    return columns(encoded, path, None, decoded, tokens)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                column = batch.column("tokens")
-                ids, ends = column.values.to_numpy(), column.offsets.to_numpy()
-                texts = [codec.decode(ids[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
-
-    return encoded.drop("decoded").mapInArrow(run, schema)
+
+def round_trip(docs: DataFrame, path: str, tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with ids and the text decoded from these ids, in one pass over the texts."""
+    return columns(docs, path, tokens, decoded)
 
 
 def report(decoded: DataFrame) -> DataFrame:

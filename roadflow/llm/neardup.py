@@ -279,6 +279,11 @@ def find_links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, key) of each row of ``docs`` (doc_id, text)."""
+    return rooted(docs, words, percent).drop("root")
+
+
+def rooted(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``groups`` with ``root``, which tells groups of one smallest id apart."""
     rows = stage(sketches(docs, words), "sketches")
     roots = connected_components(find_links(docs, rows, words, percent))
     placed = rows.select("doc_id", "n", "node", "key").join(roots, "node", "left").select(
@@ -287,12 +292,16 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("name"))
     return placed.join(names, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "key")
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "key", "root")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest id. Rows without words stay, and so
-    does a group without any id, as it cannot be named. Rows equal in id and text count as one."""
-    keep = groups(docs, words, percent).where("kept or n_shingles = 0 or component_id is null").select("key").distinct()
+    """The documents that stay: of each group the one with the smallest id, and of several with this id the one
+    with the smallest key. Rows without words stay, and so does a group without any id, as it cannot be named. Rows
+    equal in id and text count as one."""
+    found = rooted(docs, words, percent)
+    alone = F.col("n_shingles").eqNullSafe(0) | F.col("component_id").isNull()
+    keep = found.where(F.col("kept") & ~alone).groupBy("root").agg(F.min("key").alias("key")).select("key")
+    keep = keep.union(found.where(alone).select("key")).distinct()
     return (docs.withColumn("_nd_key", row_key()).join(keep.withColumnRenamed("key", "_nd_key"), "_nd_key", "left_semi")
             .dropDuplicates(["_nd_key", "doc_id"]).select(*docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import forget, labelled, slices
+from .text import forget, give_back, labelled, slices
 
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 20_000
@@ -170,7 +170,10 @@ def train(spark: SparkSession, folder: str, docs: DataFrame, rows: int = TRAIN_R
     found = labelled(spark, folder, docs, "quality", rows).mapInArrow(run, "x array<double>, y int").toArrow()
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FIGURES))
     order = np.lexsort(x.T)  # the same model whatever the order of the rows
-    return Model(x[order], found.column("y").to_numpy()[order].astype(np.float64))
+    model = Model(x[order], found.column("y").to_numpy()[order].astype(np.float64))
+    del found, x
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -113,8 +113,7 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every text as tokens of a byte-level vocabulary and back."""
     path = vocabulary_file()
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
-    return bpe.report(bpe.decode(encoded.drop("text"), path))
+    return bpe.report(bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), path))
 
 
 TOP_K_SQL = """

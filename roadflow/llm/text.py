@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -82,6 +84,24 @@ def forget() -> None:
     _slot.clear()
 
 
+def give_back() -> None:
+    """Hand memory that this process no longer uses back to the system: after training, say, where libraries keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as no column in ``taken`` has."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows a few at a time: texts become Python objects only as long as they are worked on."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import byte_words, labelled, slices, worker_slot
+from .text import byte_words, give_back, labelled, slices, worker_slot
 
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 4_000
@@ -170,7 +170,10 @@ def train(spark: SparkSession, folder: str, docs: DataFrame, rows: int = TRAIN_R
     y = found.column("y").to_numpy().astype(np.int64)
     # The same model whatever the order of the rows.
     order = sorted(range(len(y)), key=lambda i: (len(keys[i]), keys[i].tobytes(), counts[i].tobytes(), y[i]))
-    return Model([keys[i] for i in order], [counts[i] for i in order], y[order])
+    model = Model([keys[i] for i in order], [counts[i] for i in order], y[order])
+    del found, keys, counts, y
+    give_back()
+    return model
 
 
 class Scorer:

@@ -61,6 +61,13 @@ def test_one_of_each_keeps_columns_and_repeats_once(spark):
     assert ids[5] == ids[6] == ids[7] == 1 and ids[None] == 2 and {r.key for r in kept.collect()} == {"k"}
 
 
+def test_one_of_each_of_a_repeated_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (1, text.upper()), (1, text + " x"), (2, text), (3, "other words stand in this text here"), (3, "other")]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 3]
+
+
 def test_links_that_no_star_shows(spark):
     """A chain: neighbours are similar, ends are not; and many copies that differ a little from each other."""
     rng = random.Random(5)

@@ -98,6 +98,33 @@ def test_bpe_is_exact(spark, small):
     assert bpe.decode(bpe.encode(messy.empty(spark), path), path).collect() == []
 
 
+def test_bpe_in_one_pass_and_clashing_names(spark):
+    path = vocabulary_file()
+    docs = messy.documents(spark)
+    one = bpe.round_trip(docs, path).select("doc_id", "text", "tokens", "decoded")
+    two = bpe.decode(bpe.encode(docs, path), path).select("doc_id", "text", "tokens", "decoded")
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    with pytest.raises(ValueError):
+        bpe.round_trip(docs.withColumn("tokens", docs.text), path)
+
+
+@pytest.mark.parametrize("cached, trees, together", [(30, 7, 50), (100_000, 4096, 1_000_000)])
+def test_bpe_trees_side_by_side(monkeypatch, cached, trees, together):
+    import random
+
+    monkeypatch.setattr(bpe, "CACHED", cached)
+    monkeypatch.setattr(bpe, "TREES", trees)
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    codec, theirs = bpe.Codec(bpe.read_spec(vocabulary_file())), tokenizers.Tokenizer.from_file(vocabulary_file())
+    rng = random.Random(2)
+    parts = ["a", "th", "é", "日本", "  ", "\n", "ing", "'s", "x" * 70, "-", "=", "7", "🙂", "<|endoftext|>", "wh" * 33, None]
+    texts = ["".join(p or "" for p in rng.choices(parts, k=rng.randrange(20))) for _ in range(500)] + [None]
+    for packed, text in zip(codec.encode_all(texts), texts, strict=True):
+        assert np.frombuffer(packed, np.int32).tolist() == theirs.encode(text or "", add_special_tokens=False).ids
+    for piece in {"th" * k for k in range(1, 40)}:
+        assert np.frombuffer(codec.encode(piece), np.int32).tolist() == codec.merge(piece.encode())
+
+
 def test_bpe_on_odd_text():
     import random
 
@@ -212,6 +239,19 @@ def test_pipeline_stages(spark, corpus):
         assert function(spark, messy.empty(spark), corpus).count() == 0
 
 
+def test_pipeline_with_clashing_names(spark, corpus):
+    names = ("tokens", "n_tokens", "decoded", "quality", "toxicity", "score", "_quality", "_toxicity")
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(60)
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, messy.F.lit(f"own {k}"))
+    docs, columns = corpus_pipeline.stage(docs, "docs"), docs.columns
+    for name, function in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stage(function(spark, docs, corpus), name)
+        assert docs.columns[:len(columns)] == columns
+    for r in docs.collect():
+        assert all(r[c] == f"own {k}" for k, c in enumerate(names)) and r.decoded_ == r.text and r.n_tokens_ == len(r.tokens_)
+
+
 def test_pipeline_run(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and all(r.decoded == r.text for r in rows)
