@@ -7,7 +7,8 @@
 5. tokens: what is left as ids of a byte-level vocabulary, with the text they decode to.
 
 The models learn from the labelled rows of ``documents`` that are not held out, whatever an earlier stage kept.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``; it adds ``n_tokens``, ``tokens`` and ``decoded``, with an
+underscore behind a name that the documents have already.
 """
 
 from __future__ import annotations
@@ -17,20 +18,20 @@ from pyspark.sql import functions as F
 
 from roadflow.llm import bpe, decontaminate, neardup, quality, toxicity
 from roadflow.llm.queries import vocabulary_file
-from roadflow.llm.text import prepared, table
+from roadflow.llm.text import free_name, prepared, table
 from roadflow.session import stage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(prepared(spark), sf_dir, table(spark, sf_dir, "documents"))
-    scored = quality.score(docs, model, "_quality")
-    return scored.where(F.col("_quality") >= quality.ACCEPT).select(*docs.columns)
+    name = free_name("quality", docs.columns)
+    return quality.score(docs, model, name).where(F.col(name) >= quality.ACCEPT).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(prepared(spark), sf_dir, table(spark, sf_dir, "documents"))
-    scored = toxicity.score(docs, model, "_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.REJECT).select(*docs.columns)
+    name = free_name("toxicity", docs.columns)
+    return toxicity.score(docs, model, name).where(F.col(name) < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    path = vocabulary_file()
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return decoded.select(*docs.columns, F.size("tokens").alias("n_tokens"), "tokens", "decoded")
+    tokens, decoded, n = (free_name(name, docs.columns) for name in ("tokens", "decoded", "n_tokens"))
+    coded = bpe.round_trip(docs, vocabulary_file(), tokens, decoded)
+    return coded.select(*docs.columns, F.size(tokens).alias(n), tokens, decoded)
 
 
 STAGES = [
