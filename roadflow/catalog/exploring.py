@@ -133,11 +133,15 @@ def top_values(spark, d):
     return P.top_values(S.vehicle_feed(spark, d), "VehicleColor", 12, label="unknown")
 
 
-@query("sample_n")
+@query(
+    "sample_n",
+    sql("""SELECT Id, round(AvgSpeed, 8) AS AvgSpeed, round(Occupancy, 8) AS Occupancy, IntervalType FROM traffic_raw
+        WHERE AvgSpeed IS NOT NULL AND Occupancy IS NOT NULL ORDER BY md5('42|' || Id), Id LIMIT 2500""", "traffic_raw"),
+)
 def sample_n(spark, d):
     """A repeatable sample of 2,500 speed / occupancy points; exact in size."""
     points = S.traffic_feed(spark, d).select("Id", "AvgSpeed", "Occupancy", "IntervalType").dropna()
-    return P.sample_n(points, 2500)
+    return rounded(P.sample_n(points, 2500, by=["Id"]))
 
 
 @query(

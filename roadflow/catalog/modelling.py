@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..models import evaluate as E
 from ..models import fit as M
 from ..models import forecast as P
+from ..models import store
 from ..operators import timeseries as T
 from ..plans import documents as Doc
 from ..plans import training
@@ -15,6 +17,7 @@ from ..schemas import TARGET_REGRESSORS
 from ..sources import configs
 from ..sources import sample_feeds as S
 from ..schemas import WEATHER_COLS
+from ..session import scratch_path, stage
 from . import inputs as I
 from .joining import METRICS_SQL, _metric_rows
 from .registry import query, rounded
@@ -127,20 +130,15 @@ _TIERS = ["cfg1_auto_fast", "cfg2_auto_seasonal", "cfg3_auto_long"]
 @query(
     "tier_select",
     sql(f"""SELECT DeviceId, TargetCol, "window", MAE, success FROM (SELECT *, row_number() OVER (PARTITION BY DeviceId, TargetCol
-        ORDER BY NOT success, CASE WHEN success THEN k ELSE MAE END, k) AS rn FROM (SELECT DeviceId, TargetCol, k,
+        ORDER BY NOT success, CASE WHEN success THEN k ELSE MAE END, k, MAE) AS rn FROM (SELECT DeviceId, TargetCol, k,
         ['cfg1_auto_fast','cfg2_auto_seasonal','cfg3_auto_long'][k] AS "window", MAE, {_LIMIT_SQL} AS success FROM (
-        SELECT *, CAST(row_number() OVER (PARTITION BY DeviceId, TargetCol ORDER BY "row") AS INTEGER) AS k FROM metrics)
-        WHERE k <= 3)) WHERE rn = 1""", "ev", extra=METRICS_SQL),
+        SELECT *, CAST("row" // 2 % 3 + 1 AS INTEGER) AS k FROM metrics))) WHERE rn = 1""", "ev", extra=METRICS_SQL),
 )
 def tier_select(spark, d):
-    """Each device's first three metric rows stand for the three tiers."""
-    from pyspark.sql import Window as W
-
-    k = F.row_number().over(W.partitionBy("DeviceId", "TargetCol").orderBy("row"))
-    rows = _metric_rows(spark, d).withColumn("_k", k).filter("_k <= 3")
+    """Every metric row belongs to one of the three tiers; a tier may have many rows."""
     tiers = F.array(*[F.lit(t) for t in _TIERS])
-    picked = E.tier_select(rows.withColumn("window", F.get(tiers, F.col("_k") - 1)).drop("_k"), _TIERS)
-    return picked.select("DeviceId", "TargetCol", "window", "MAE", "success")
+    rows = _metric_rows(spark, d).withColumn("window", F.get(tiers, (F.floor(F.col("row") / 2) % 3).cast("int")))
+    return E.tier_select(rows, _TIERS).select("DeviceId", "TargetCol", "window", "MAE", "success")
 
 
 @query(
@@ -215,9 +213,25 @@ def residual_hist(spark, d):
     return E.residual_histogram(_residuals(spark, d)).select("DeviceId", "bin", "n")
 
 
-@query("qq_points")
+def _quantile_sql(p: str) -> str:
+    def ratio(part, r):
+        return " / ".join("(" + " + ".join(f"CAST({c!r} AS DOUBLE) * pow({r}, {k})" for k, c in enumerate(cs)) + ")" for cs in E.QUANTILE[part])
+
+    tail = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return (f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio('middle', f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} "
+            f"ELSE sign({p} - 0.5) * CASE WHEN {tail} <= 5 THEN {ratio('near', f'({tail} - 1.6)')} ELSE {ratio('far', f'({tail} - 5)')} END END")
+
+
+@query(
+    "qq_points",
+    sql(f"""SELECT DeviceId, CAST(i AS INTEGER) AS "rank", round(r, 8) AS ordered, round({_quantile_sql('p')}, 8) AS theoretical FROM (
+        SELECT *, CAST(CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n)
+        ELSE (i - 0.3175) / (n + 0.365) END AS DOUBLE) AS p FROM (SELECT DeviceId, actual - predicted AS r,
+        row_number() OVER (PARTITION BY DeviceId ORDER BY actual - predicted) AS i, count(*) OVER (PARTITION BY DeviceId) AS n
+        FROM f WHERE predicted IS NOT NULL))""", "series", grain=H, extra=_NAIVE),
+)
 def qq_points(spark, d):
-    return E.qq_points(_residuals(spark, d))
+    return rounded(E.qq_points(_residuals(spark, d)))
 
 
 @query(
@@ -330,10 +344,10 @@ def fit_models(spark, d):
 
 @query("model_table")
 def model_table(spark, d):
-    """The model table written and read back: arrays and numbers, no pickles."""
-    from ..session import stage
-
-    return stage(_models(spark, d, "AvgSpeed")[0], "model-table")
+    """The model table stored by name and loaded again: arrays and numbers, no pickles."""
+    folder = scratch_path(spark, "models")
+    store.save(_models(spark, d, "AvgSpeed")[0], folder, "AvgSpeed")
+    return store.load(spark, folder, "AvgSpeed")
 
 
 @query("coef_report")
@@ -367,13 +381,40 @@ def train_eval(spark, d):
 
 @query("backtest_table")
 def backtest_table(spark, d):
-    """Every day's midnight is an origin of a 12-step backtest."""
+    """Every stamp is an origin of a 12-step backtest; late ones move back to the last with 12 known steps."""
     models, rows = _models(spark, d)
-    origins = rows.filter(F.hour("BucketTime") == 0).select("DeviceId", F.col("BucketTime").alias("origin"))
-    wanted = P.backtest_requests(rows, models, origins, "NumVehicles", 12, I.HOUR)
+    origins = rows.select("DeviceId", F.col("BucketTime").alias("origin"))
+    wanted = P.backtest_requests(rows, models, origins, "NumVehicles", 12)
     return P.with_actuals(P.forecast_requests(wanted), rows)
 
 
+@query(
+    "backtest_origin_scores",
+    sql("""SELECT DeviceId, origin, count(*) AS n, round(avg(abs(y - p)), 6) AS MAE, round(sqrt(avg((y - p) * (y - p))), 6) AS RMSE,
+        round(coalesce(avg(abs((y - p) / y)) FILTER (WHERE y > 0), 0) * 100, 6) AS MAPE,
+        round(CASE WHEN count(*) > 1 AND var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) ELSE 0 END, 6) AS R2
+        FROM (SELECT w.DeviceId, w.origin, a.NumVehicles AS y, b.NumVehicles AS p FROM placed w
+        JOIN num a ON a.DeviceId = w.DeviceId AND a.rn < w.rn AND a.rn >= w.rn - 12
+        JOIN num b ON b.DeviceId = w.DeviceId AND b.rn = w.rn) GROUP BY ALL""", "series", "ev", grain=H, extra={
+        "num": """SELECT DeviceId, BucketTime, NumVehicles, row_number() OVER (PARTITION BY DeviceId ORDER BY BucketTime DESC) AS rn,
+        count(*) OVER (PARTITION BY DeviceId) AS size FROM series""",
+        "asked": "SELECT DISTINCT 'N' || CAST(user_id // 10 AS VARCHAR) AS DeviceId, ts AS origin FROM ev",
+        "placed": """SELECT k.DeviceId, k.origin, least(greatest(coalesce(s.rn, z.size), 13), z.size) AS rn FROM asked k
+        JOIN (SELECT DeviceId, count(*) AS size FROM series GROUP BY ALL) z ON z.DeviceId = k.DeviceId
+        ASOF LEFT JOIN num s ON k.DeviceId = s.DeviceId AND k.origin >= s.BucketTime"""}),
+)
+def backtest_origin_scores(spark, d):
+    """Scores of every event's stamp as an origin, forecast by its last value: stamps off the grid and at both ends included."""
+    series = I.series(spark, d)
+    w = T.series_window(["DeviceId"])
+    size = F.count(F.lit(1)).over(W.partitionBy("DeviceId"))
+    rows = stage(series.select("DeviceId", "BucketTime", F.col("NumVehicles").alias("y"),
+                               (size - F.row_number().over(w) + 1).alias("rn")), "numbered")
+    node = F.concat(F.lit("N"), F.floor(F.col("user_id") / 10).cast("string"))
+    origins = S.events(spark, d).select(node.alias("DeviceId"), F.col("ts").alias("origin"))
+    return rounded(P.origin_scores(P.repeated_last(rows, origins, 12)), places=6)
+
+
 @query("dashboard_doc")
 def dashboard_doc(spark, d):
     series = I.series(spark, d)

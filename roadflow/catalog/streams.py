@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as K
 from ..models import fit as M
-from ..plans.features import LAG_COLS, model_features
+from ..plans.features import model_features
 from ..schemas import TARGET_REGRESSORS
 from ..session import scratch_path, stage
 from ..sources import sample_feeds as S
@@ -23,9 +23,7 @@ def _prepared(spark, d, order=(2, 0, 1)):
     series = stage(I.series(spark, d), "series")
     rows = stage(M.training_rows(model_features(series, "NumVehicles")), "design")
     models, full = M.fit_models(rows, "NumVehicles", order=order, window=(TICKS + 1, M.EVERYTHING), name="train")
-    seed = full.filter(F.col("rn") == TICKS).select(
-        "DeviceId", M.tail_of(LAG_COLS).alias("seed_y"), M.shocks_of(["e1", "e2"]).alias("seed_e")
-    )
+    seed = M.tails_before(full, TICKS).withColumnsRenamed({"y_tail": "seed_y", "e_tail": "seed_e"})
     models = stage(models.join(seed, "DeviceId"), "stream-models")
     raw = series.select("DeviceId", "BucketTime", *TARGET_REGRESSORS["NumVehicles"])
     names = [f"{c}_lag1" for c in TARGET_REGRESSORS["NumVehicles"]]

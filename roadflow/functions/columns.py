@@ -89,5 +89,10 @@ def total(columns) -> Column:
     return reduce(lambda a, b: a + b, [col(c) for c in columns])
 
 
+def order_text_to_struct(c) -> Column:
+    """The numbers of a written order, '(p, d, q)' or '(P, D, Q, s)', as an array."""
+    return F.transform(F.regexp_extract_all(col(c), F.lit(r"(-?\d+)"), F.lit(1)), lambda v: v.cast("int"))
+
+
 def is_close(a, b, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.abs(col(a) - col(b)) <= F.lit(atol) + F.lit(rtol) * F.abs(col(b))

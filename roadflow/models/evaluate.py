@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,14 +59,14 @@ def meets_targets(target: Column | str = "TargetCol") -> Column:
 
 
 def tier_select(scored: DataFrame, tiers: list[str]) -> DataFrame:
-    """First tier that meets the limits, else the tier with the smallest MAE."""
+    """First tier that meets the limits, else the tier with the smallest MAE; of several rows of a tier the best."""
     rank = F.array_position(F.array(*[F.lit(t) for t in tiers]), F.col("window"))
     ok = meets_targets()
     marked = scored.withColumns({"success": ok, "_rank": rank})
     order = F.struct(
         (~F.col("success")).alias("miss"),
         F.when(F.col("success"), F.col("_rank").cast("double")).otherwise(F.col("MAE")).alias("by"),
-        F.col("_rank"),
+        F.col("_rank"), F.col("MAE"),
     )
     rest = [c for c in marked.columns if c not in ("DeviceId", "TargetCol", "_rank")]
     return (
@@ -77,11 +77,16 @@ def tier_select(scored: DataFrame, tiers: list[str]) -> DataFrame:
 
 
 def order_source(devices: DataFrame, manual: DataFrame, default: dict | None, auto: DataFrame) -> DataFrame:
-    """Order per device: manual, else default (search switched off), else searched."""
-    cols = ["p", "q", "sp", "s"]
-    tag = lambda df, name: df.select("DeviceId", F.struct(*cols).alias(name))
+    """Order per device: manual, else default (search switched off), else searched.
+
+    Whatever of p, d, q, sp, sd, sq, s the sources give is passed on; a null d is left to the stationarity test.
+    """
+    given = {*manual.columns, *auto.columns, *(default or {})}
+    cols = [c for c in ("p", "d", "q", "sp", "sd", "sq", "s") if c in given]
+    own = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("int").alias(c)
+    tag = lambda df, name: df.select("DeviceId", F.struct(*[own(df, c) for c in cols]).alias(name))
     joined = devices.join(tag(manual, "_m"), "DeviceId", "left").join(tag(auto, "_a"), "DeviceId", "left")
-    fixed = F.struct(*[F.lit(default[c]).alias(c) for c in cols]) if default else F.lit(None)
+    fixed = F.struct(*[F.lit(default.get(c)).cast("int").alias(c) for c in cols]) if default else F.lit(None)
     pick = F.coalesce("_m", fixed, "_a") if default else F.coalesce("_m", "_a")
     source = F.when(F.col("_m").isNotNull(), "manual").otherwise("default" if default else "auto")
     return joined.select("DeviceId", *[pick[c].alias(c) for c in cols], source.alias("ConfigSource"))
@@ -145,10 +150,34 @@ def residual_histogram(df: DataFrame, bins: int = 30, value: str = "residual", b
     return counts.withColumn("density", F.when(width > 0, F.col("n") / (n * width)))
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return p.map(inv)
+# Wichura's rational approximations of the normal quantile (AS 241), numerator and denominator,
+# constant terms first: the middle, the near and the far tail.
+QUANTILE = {
+    "middle": ((3.3871328727963666080, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+                4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+               (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+                2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3)),
+    "near": ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504,
+              1.27045825245236838258, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+             (1.0, 2.05319162663775882187, 1.67638483018380384940, 6.89767334985100004550e-1,
+              1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9)),
+    "far": ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 2.96560571828504891230e-1,
+             2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+            (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+             7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)),
+}
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the normal distribution function, by column arithmetic."""
+    def ratio(part: str, r: Column) -> Column:
+        above, below = (reduce(lambda acc, c: acc * r + F.lit(c), reversed(cs[:-1]), F.lit(cs[-1])) for cs in QUANTILE[part])
+        return above / below
+
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.when(r <= 5, ratio("near", r - 1.6)).otherwise(ratio("far", r - 5))
+    return F.when(F.abs(q) <= 0.425, q * ratio("middle", 0.180625 - q * q)).otherwise(F.when(q < 0, -tail).otherwise(tail))
 
 
 def qq_points(df: DataFrame, value: str = "residual", by: str = "DeviceId") -> DataFrame:

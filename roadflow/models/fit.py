@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,26 +11,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.timeseries import series_window
-from ..plans.features import LAG_COLS, MAX_LAG, regressor_names, with_target_lags
+from ..plans.features import (
+    LAG_COLS, LAGS, MAX_LAG, MAX_SHOCK, REACHES, SHOCK_COLS, SHOCK_LAGS, regressor_names, with_target_lags,
+)
 from ..session import stage as staged
 from . import solve as S
-from .moments import series_moments
+from .moments import lag_moments, series_moments
 
 LONG_AR = 5  # lags of the first-stage regression that estimates the shocks
 ADF_ROWS = 60  # complete rows from which the stationarity test is run
+FREE_ROWS = 8  # rows for each column from which the first stage weighs all lags freely
+LEAST_TRAIN = 60  # training rows that a search asks of a short series, if it has them
 EVERYTHING = 2**31 - 1
 
-# Candidate orders (p, d, q); d is replaced by the series' own difference order.
+# Candidate orders (p, d, q).
 ORDERS = [
     (1, 0, 0), (2, 0, 0), (3, 0, 0), (1, 0, 1), (2, 0, 1), (0, 0, 1), (0, 0, 2),
     (1, 1, 0), (2, 1, 0), (1, 1, 1), (2, 1, 1), (3, 1, 0),
 ]
-# Seasonal autoregressive terms tried with the first five orders.
-SEASONALS = [(1, 0, 0, 12), (2, 0, 0, 12)]
+# Seasonal terms (P, D, Q, s) tried with the first five orders.
+SEASONALS = [(1, 0, 0, 60), (1, 1, 0, 60), (2, 0, 0, 60), (1, 0, 1, 60)]
+#: Seasons of an hour of five-minute steps, tried besides.
+HOURLY = [(1, 0, 0, 12), (2, 0, 0, 12)]
 NO_SEASON = (0, 0, 0, 0)
 
 MODEL_TYPE = (
-    "DeviceId string, TargetCol string, window string, p int, d int, q int, sp int, s int, n double, const double, "
+    "DeviceId string, TargetCol string, window string, p int, d int, q int, sp int, sd int, sq int, s int, n double, const double, "
     "beta array<double>, w array<double>, theta array<double>, sigma2 double, coef array<double>, "
     "pvalue array<double>, terms array<string>, adf_p_before double, adf_p_after double, status string"
 )
@@ -37,55 +44,102 @@ MODEL_COLS = [f.split()[0] for f in MODEL_TYPE.split(", ")]
 WEIGHTS = ["const", "beta", "w", "theta", "sigma2"]
 
 
+REACH = (MAX_LAG, MAX_SHOCK)
+ORDER_COLS = ["p", "q", "sp", "sd", "sq", "s"]
+
+
 def candidates(seasonal: bool = True) -> list[tuple[tuple, tuple]]:
-    """Distinct (p, q) with and without seasonal terms."""
-    pq = list(dict.fromkeys((p, q) for p, _, q in ORDERS))
-    plain = [((p, 0, q), NO_SEASON) for p, q in pq]
-    with_season = [((p, 0, q), sea) for sea in SEASONALS for p, _, q in ORDERS[:5]]
-    return plain + (with_season if seasonal else [])
+    """Orders, and the first five with every seasonal term."""
+    with_season = [(order, season) for season in SEASONALS + HOURLY for order in ORDERS[:5]]
+    return [(order, NO_SEASON) for order in ORDERS] + (with_season if seasonal else [])
+
+
+def within(lags: tuple[int, ...], reach: int) -> tuple[int, ...]:
+    return tuple(k for k in lags if k <= reach)
+
+
+def raw_columns(target: str) -> dict[int, list[str]]:
+    return {r: regressor_names(target) + ["y", *[f"y{k}" for k in within(LAGS, r)]] for r in REACHES}
 
 
-def raw_columns(target: str, shocks: bool) -> list[str]:
-    return regressor_names(target) + ["y", *LAG_COLS] + (["e1", "e2"] if shocks else [])
+def shock_columns() -> dict[int, list[str]]:
+    return {r: [f"e{k}" for k in within(SHOCK_LAGS, r)] for r in REACHES}
 
 
-def layout(target: str, shocks: bool) -> S.Layout:
-    return S.Layout(len(regressor_names(target)), MAX_LAG, S.SHOCKS if shocks else 0)
+def layout(target: str, shocks: bool, reach: int) -> S.Layout:
+    return S.Layout(len(regressor_names(target)), within(LAGS, reach), within(SHOCK_LAGS, reach) if shocks else ())
 
 
-def dot(weights: str, names: list[str]) -> Column:
+def sparse_weights(models: DataFrame) -> DataFrame:
+    """Weights of the raw lags and shocks only, so a join does not carry the zeros between them."""
+    pick = lambda c, lags: F.array(*[F.col(c)[k - 1] for k in lags])
+    return models.select("DeviceId", F.col("const").alias("_const"), F.col("beta").alias("_beta"),
+                         pick("w", LAGS).alias("_w"), pick("theta", SHOCK_LAGS).alias("_theta"))
+
+
+def weighed(weights: str, names: list[str], only_used: bool = False) -> Column:
+    """Sum of weight times column. ``only_used``: a column whose weight is 0 may be unknown."""
     total = F.lit(0.0)
     for i, c in enumerate(names):
-        total = total + F.col(weights)[i] * F.col(c)
+        term = F.col(weights)[i] * F.col(c)
+        total = total + (F.when(F.col(weights)[i] != 0, term).otherwise(F.lit(0.0)) if only_used else term)
     return total
 
 
 def fitted(target: str, shocks: bool = True) -> Column:
-    """One-step fitted value of a row that carries a model's weights."""
-    value = F.col("const") + dot("beta", regressor_names(target)) + dot("w", LAG_COLS)
-    return value + dot("theta", ["e1", "e2"]) if shocks else value
+    """One-step fitted value of a row that carries ``sparse_weights``; null where a lag that counts is unknown."""
+    value = F.col("_const") + weighed("_beta", regressor_names(target)) + weighed("_w", LAG_COLS, True)
+    return value + weighed("_theta", SHOCK_COLS, True) if shocks else value
+
 
+def fixed_ranges(rows: DataFrame, windows: dict[str, tuple[int, int]]) -> DataFrame:
+    """The same range of ``rn`` for every series, as far as it has rows."""
+    ends = [c for i, (low, high) in enumerate(windows.values()) for c in (
+        F.lit(low).alias(f"low_{i}"), F.least(F.lit(high), "size").alias(f"high_{i}"))]
+    return staged(rows.groupBy("DeviceId").agg(F.max("rn").cast("int").alias("size")).select("DeviceId", *ends), "ranges")
 
-def _each_series(moments: DataFrame, target: str, shocks: bool, solve_one) -> DataFrame:
-    """Run ``solve_one(gram, n, layout, row)`` on every moment row; it returns model dicts."""
-    lay = layout(target, shocks)
 
+def search_ranges(rows: DataFrame, tiers: dict[str, tuple[int, int, bool]], test: int) -> DataFrame:
+    """Training rows of every series and tier: before the validation rows, fewer where the series is short."""
+    known, ends = F.col("size") - test, []
+    for i, (train, val, _) in enumerate(tiers.values()):
+        short = F.greatest(F.lit(LEAST_TRAIN), known - val)
+        rows_of = F.when(known >= train + val, F.lit(train)).otherwise(short)
+        low = test + val + 1
+        ends += [F.lit(low).alias(f"low_{i}"), F.least(low - 1 + rows_of, "size").cast("int").alias(f"high_{i}")]
+    return staged(rows.groupBy("DeviceId").agg(F.max("rn").cast("int").alias("size")).select("DeviceId", *ends), "ranges")
+
+
+def _each_series(moments: DataFrame, target: str, solve_one) -> DataFrame:
+    """Run ``solve_one(grams, row)`` on every moment row; ``grams``: reach -> (matrix, rows). It yields model dicts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                gram = np.asarray(row["gram"]).reshape(lay.size, lay.size)
-                for found in solve_one(gram, row["n"], lay, row):
+                for found in solve_one(read_grams(row["grams"]), row):
                     out.append({**row, "TargetCol": target, **found})
             yield pd.DataFrame(out, columns=MODEL_COLS)
 
     return moments.mapInPandas(run, MODEL_TYPE)
 
 
+def read_grams(grams) -> dict[int, tuple[np.ndarray, float]]:
+    square = lambda g: np.asarray(g).reshape(math.isqrt(len(g)), -1)
+    return {g["reach"]: (square(g["gram"]), g["n"]) for g in grams}
+
+
+def nearest(grams: dict, order: tuple, seasonal: tuple) -> int | None:
+    """The nearest reach that holds a model, if the series has rows of it."""
+    need = S.reach_of(order, seasonal)
+    if need > REACHES[-1]:
+        raise ValueError(f"order {order} {seasonal} looks {need} steps back; designs hold {REACHES[-1]}")
+    return min((r for r in grams if r >= need), default=None)
+
+
 def _labelled(model: dict, order, seasonal, d, before=None, after=None) -> dict:
     return {
-        **model, "p": order[0], "d": d, "q": order[2], "sp": seasonal[0], "s": seasonal[3],
-        "adf_p_before": before, "adf_p_after": after, "status": "fitted",
+        **model, "p": order[0], "d": d, "q": order[2], "sp": seasonal[0],
+        "sd": seasonal[1], "sq": seasonal[2], "s": seasonal[3], "adf_p_before": before, "adf_p_after": after, "status": "fitted",
     }
 
 
@@ -98,9 +152,9 @@ def with_fallback(models: DataFrame, rows: DataFrame, target: str, name: str) ->
     zeros = lambda k: F.array_repeat(F.lit(0.0), k)
     plain = {
         "TargetCol": F.lit(target), "window": F.lit(name), "p": F.lit(1), "d": F.lit(0), "q": F.lit(0),
-        "sp": F.lit(0), "s": F.lit(0), "n": F.col("_n").cast("double"), "const": F.lit(0.0),
+        "sp": F.lit(0), "sd": F.lit(0), "sq": F.lit(0), "s": F.lit(0), "n": F.col("_n").cast("double"), "const": F.lit(0.0),
         "beta": zeros(len(regressor_names(target))), "w": F.concat(F.array(F.lit(1.0)), zeros(MAX_LAG - 1)),
-        "theta": zeros(S.SHOCKS), "sigma2": F.col("_var"), "coef": zeros(0), "pvalue": zeros(0),
+        "theta": zeros(MAX_SHOCK), "sigma2": F.col("_var"), "coef": zeros(0), "pvalue": zeros(0),
         "terms": F.array().cast("array<string>"), "adf_p_before": F.lit(None).cast("double"),
         "adf_p_after": F.lit(None).cast("double"), "status": F.lit("fallback"),
     }
@@ -110,35 +164,56 @@ def with_fallback(models: DataFrame, rows: DataFrame, target: str, name: str) ->
 
 def stationarity(rows: DataFrame, target: str, windows: dict | None = None) -> DataFrame:
     """Difference order per series by the augmented Dickey-Fuller test, p before and after."""
-    return first_stage(rows, target, windows).select(
+    windows = windows or {"all": (1, EVERYTHING)}
+    return first_stage(rows, target, fixed_ranges(rows, windows), list(windows)).select(
         "DeviceId", "TargetCol", "window", "d", "adf_p_before", "adf_p_after"
     )
 
 
-def first_stage(rows: DataFrame, target: str, windows: dict | None = None) -> DataFrame:
-    """Difference order and a long autoregression per series and window."""
-    moments = series_moments(rows, raw_columns(target, False), windows or {"all": (1, EVERYTHING)})
+def first_stage(rows: DataFrame, target: str, ranges: DataFrame, names: list[str]) -> DataFrame:
+    """Difference order and a long autoregression per series and window, all windows in one pass.
 
-    def one(gram, n, lay, row):
-        # Too few rows tell nothing about unit roots; their autoregression is shorter, too.
-        d, before, after = S.difference_order(gram, n, lay) if n >= ADF_ROWS else (0, None, None)
+    The test has the lag count of the series' own length. The autoregression weighs all lags of the design freely
+    where there are rows enough, so that its residuals hold no season; else the five nearest.
+    """
+    def rows_of(i):
+        return F.greatest(F.col(f"high_{i}") - F.col(f"low_{i}") + 1, F.lit(0))
+
+    def lags(i):
+        asked = F.least(F.ceil(12 * F.pow(rows_of(i) / 100, F.lit(0.25))), F.floor(rows_of(i) / 2) - 3)
+        return (F.greatest(asked, F.lit(0)) + 3).cast("int")
+
+    widest = ranges.agg(F.greatest(*[F.max(lags(i)) for i in range(len(names))], F.lit(3))).first()[0] or 3
+    unit_roots = lag_moments(rows, ranges, names, lags, widest).withColumnRenamed("grams", "lagged")
+    moments = series_moments(rows, raw_columns(target), ranges, names).join(unit_roots, ["DeviceId", "window"], "left")
+
+    def one(grams, row):
+        d, before, after = 0, None, None
+        lagged = read_grams(row["lagged"]) if row["lagged"] is not None else {}
+        for reach, (gram, n) in lagged.items():
+            # Too few rows tell nothing about unit roots.
+            if n >= ADF_ROWS:
+                d, before, after = S.difference_order(gram, n, S.Layout(0, reach, ()), reach - 3)
+        rich = [r for r, (gram, n) in grams.items() if n >= FREE_ROWS * len(gram)]
+        reach = max(rich, default=min(grams))
+        (gram, n), lay = grams[reach], layout(target, False, reach)
         order = (min(LONG_AR, int(n // 12)), d, 0)
-        yield _labelled(S.fit(gram, n, lay, order, NO_SEASON), order, NO_SEASON, d, before, after)
+        model = S.free_autoregression(gram, n, lay, REACH) if rich else S.fit(gram, n, lay, order, NO_SEASON, REACH)
+        yield _labelled({**model, "n": n}, order, NO_SEASON, d, before, after)
 
-    found = _each_series(moments, target, False, one)
-    names = list(windows or {"all": None})
+    found = _each_series(moments, target, one)
     return with_fallback(found, rows, target, names[0]) if len(names) == 1 else found
 
 
-def with_shocks(rows: DataFrame, stage: DataFrame, target: str) -> DataFrame:
-    """Lagged first-stage residuals ``e1``, ``e2`` (and ``e``) next to every row.
+def with_shocks(rows: DataFrame, stage: DataFrame, target: str, suffix: str = "") -> DataFrame:
+    """The first-stage residual ``e`` and its lags ``e1``, ``e2``, ``e60`` next to every row.
 
-    The model side has one row per series, so the join adds columns, not rows.
+    The model side has one row per series, so the join adds columns, not rows. A series without a first stage has no shocks.
     """
-    weights = stage.select("DeviceId", "d", "adf_p_before", "adf_p_after", *WEIGHTS)
     w = series_window(["DeviceId"])
-    joined = rows.join(weights, "DeviceId").withColumn("e", F.col("y") - fitted(target, False))
-    return joined.drop(*WEIGHTS).withColumns({f"e{k}": F.lag("e", k).over(w) for k in (1, 2)})
+    weights = sparse_weights(stage)
+    joined = rows.join(weights, "DeviceId", "left").withColumn(f"e{suffix}", F.col("y") - fitted(target, False))
+    return joined.drop(*weights.columns[1:]).withColumns({f"e{k}{suffix}": F.lag(f"e{suffix}", k).over(w) for k in SHOCK_LAGS})
 
 
 def training_rows(features: DataFrame) -> DataFrame:
@@ -152,32 +227,40 @@ def fit_models(
 ) -> tuple[DataFrame, DataFrame]:
     """Model table and the rows with shocks it was fitted on.
 
-    ``orders`` (DeviceId, p, q, sp, s) gives each series its own order. A series whose
-    seasonal fit does not come out finite falls back to the plain order.
+    ``orders`` (DeviceId, p, q and optionally sp, sd, sq, s, d) gives each series its own order; d is that of the
+    stationarity test unless given there. A series that is too short for its seasonal terms, or whose seasonal fit
+    does not come out finite, falls back to the plain order.
     """
     # One row per series, read by the shocks and by the fit.
-    stage = staged(first_stage(rows, target, {name: window}), "first-stage")
+    ranges = fixed_ranges(rows, {name: window})
+    stage = staged(first_stage(rows, target, ranges, [name]), "first-stage")
     full = with_shocks(rows, stage, target)
-    moments = series_moments(full, raw_columns(target, True), {name: window})
-    moments = moments.join(stage.select("DeviceId", "d", "adf_p_before", "adf_p_after"), "DeviceId")
+    shocks = shock_columns()
+    moments = series_moments(full, {r: cols + shocks[r] for r, cols in raw_columns(target).items()}, ranges, [name])
+    moments = moments.join(stage.select("DeviceId", F.col("d").alias("_d"), "adf_p_before", "adf_p_after"), "DeviceId")
+    default = dict(zip(ORDER_COLS, (order[0], order[2], *seasonal)))
     if orders is None:
-        moments = moments.select(
-            "*", F.lit(order[0]).alias("p"), F.lit(order[2]).alias("q"),
-            F.lit(seasonal[0]).alias("sp"), F.lit(seasonal[3]).alias("s"),
-        )
+        moments = moments.select("*", *[F.lit(v).alias(c) for c, v in default.items()], F.lit(None).cast("int").alias("d"))
     else:
-        own = moments.join(orders.select("DeviceId", "p", "q", "sp", "s"), "DeviceId", "left")
-        moments = own.fillna({"p": order[0], "q": order[2], "sp": seasonal[0], "s": seasonal[3]})
-
-    def one(gram, n, lay, row):
-        o, sea = (row["p"], row["d"], row["q"]), (row["sp"], 0, 0, row["s"])
-        model = S.fit(gram, n, lay, o, sea)
-        if not np.isfinite(model["sigma2"]) or not np.all(np.isfinite(model["w"])):
-            sea = NO_SEASON
-            model = S.fit(gram, n, lay, o, sea)
-        yield _labelled(model, o, sea, row["d"], row["adf_p_before"], row["adf_p_after"])
-
-    return with_fallback(_each_series(moments, target, True, one), rows, target, name), full
+        given = [c for c in [*ORDER_COLS, "d"] if c in orders.columns]
+        own = moments.join(orders.select("DeviceId", *given), "DeviceId", "left")
+        missing = {c: F.lit(v) for c, v in default.items() if c not in given} | ({} if "d" in given else {"d": F.lit(None).cast("int")})
+        moments = own.withColumns(missing).fillna(default)
+
+    def one(grams, row):
+        d = row["_d"] if pd.isna(row["d"]) else int(row["d"])
+        o, sea = (row["p"], d, row["q"]), (row["sp"], row["sd"], row["sq"], row["s"])
+        for season in dict.fromkeys((sea, NO_SEASON)):
+            reach = nearest(grams, o, season)
+            if reach is None:
+                continue
+            gram, n = grams[reach]
+            model = S.fit(gram, n, layout(target, True, reach), o, season, REACH)
+            if np.isfinite(model["sigma2"]) and np.all(np.isfinite(model["w"])):
+                break
+        yield _labelled({**model, "n": n}, o, season, d, row["adf_p_before"], row["adf_p_after"])
+
+    return with_fallback(_each_series(moments, target, one), rows, target, name), full
 
 
 def order_search(
@@ -186,19 +269,20 @@ def order_search(
     """Every candidate order scored on a validation tail: one row per series, tier, order.
 
     ``tiers``: name -> (training rows, validation rows, seasonal). The last ``test`` rows
-    stay untouched. Training enters as moments, validation as an array of at most the
-    tier's validation rows; both are bounded, whatever the length of the series.
+    stay untouched; a short series trains on the rows it has. All tiers are reduced in one pass: training enters as
+    moments, validation as an array of at most the tier's validation rows, whatever the length of the series.
+    Orders that a series is too short for are not scored.
     """
+    names, ranges = list(tiers), search_ranges(rows, tiers, test)
+    stage = staged(first_stage(rows, target, ranges, names), "first-stage")
+    full = rows
+    for i, name in enumerate(names):
+        full = with_shocks(full, stage.where(F.col("window") == name), target, f"_{i}")
+    moments = staged(series_moments(full, raw_columns(target), ranges, names, shock_columns()), "moments")
     out = None
-    for name, (train, val, seasonal) in tiers.items():
-        window = {name: (test + val + 1, test + val + train)}
-        stage = staged(first_stage(rows, target, window), "first-stage")
-        full = with_shocks(rows, stage, target)
-        moments = series_moments(full, raw_columns(target, True), window).join(
-            stage.select("DeviceId", "d"), "DeviceId"
-        )
-        held = holdout(full, target, test + 1, test + val)
-        scored = _score(moments.join(held, "DeviceId"), target, seasonal)
+    for i, (name, (_, val, seasonal)) in enumerate(tiers.items()):
+        held = holdout(full, target, test + 1, test + val, f"_{i}")
+        scored = _score(moments.where(F.col("window") == name).join(held, "DeviceId"), target, seasonal)
         scored = unscored(scored, rows, target, name)
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -207,21 +291,37 @@ def order_search(
 def unscored(scored: DataFrame, rows: DataFrame, target: str, name: str) -> DataFrame:
     """``scored`` plus one row without scores, order (1, 0, 0), for every device too short to be scored."""
     missing = rows.select("DeviceId").distinct().join(scored.select("DeviceId"), "DeviceId", "left_anti")
-    plain = {"TargetCol": F.lit(target), "window": F.lit(name), "p": F.lit(1), **{c: F.lit(0) for c in ("d", "q", "sp", "s")}}
+    plain = {"TargetCol": F.lit(target), "window": F.lit(name), "p": F.lit(1), **{c: F.lit(0) for c in ("d", "q", "sp", "sd", "sq", "s")}}
     none = {c: F.lit(None).cast("double") for c in ("MAE", "RMSE", "MAPE", "R2")}
     return scored.unionByName(missing.select("DeviceId", *[v.alias(k) for k, v in {**plain, **none}.items()]))
 
 
-def tail_of(lags: list[str]) -> Column:
-    """Lags, newest first; one from before the series counts as the next newer one that is known, else 0."""
-    return F.array(*[F.coalesce(*[F.col(c) for c in lags[k::-1]], F.lit(0.0)) for k in range(len(lags))])
+def tails_before(rows: DataFrame, rn: int, suffix: str = "") -> DataFrame:
+    """``y_tail`` and ``e_tail`` of every series: what lies before its row ``rn``, newest first.
 
+    One from before the series counts as the oldest that is known, an unknown shock as 0.
+    """
+    kept = rows.where(F.col("rn").between(rn + 1, rn + MAX_LAG))
+    newest = F.sort_array(F.collect_list(F.struct("rn", F.col("y").alias("y"), F.col(f"e{suffix}").alias("e"))))
+    return kept.groupBy("DeviceId").agg(newest.alias("_t")).select("DeviceId", *padded(F.col("_t.y"), F.col("_t.e")))
+
+
+def padded(values: Column, shocks: Column) -> list[Column]:
+    """Both tails at their full length, from what is known."""
+    last = F.coalesce(F.get(values, F.size(values) - 1), F.lit(0.0))
+    known = F.transform(shocks, lambda e: F.coalesce(e, F.lit(0.0)))
+    return [F.slice(F.concat(values, F.array_repeat(last, MAX_LAG)), 1, MAX_LAG).alias("y_tail"),
+            F.slice(F.concat(known, F.array_repeat(F.lit(0.0), MAX_SHOCK)), 1, MAX_SHOCK).alias("e_tail")]
 
-def shocks_of(cols: list[str]) -> Column:
-    return F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
 
+def with_tails(requests: DataFrame, tails: DataFrame) -> DataFrame:
+    """``requests`` with their tails; a series without earlier rows looks back on zeros."""
+    none = lambda c, n: F.coalesce(c, F.array_repeat(F.lit(0.0), n)).alias(c)
+    others = [c for c in requests.columns if c != "DeviceId"]
+    return requests.join(tails, "DeviceId", "left").select("DeviceId", *others, none("y_tail", MAX_LAG), none("e_tail", MAX_SHOCK))
 
-def holdout(rows: DataFrame, target: str, first: int, last: int) -> DataFrame:
+
+def holdout(rows: DataFrame, target: str, first: int, last: int, suffix: str = "") -> DataFrame:
     """Rows ``rn`` in [first, last] of each series as arrays in time order (bounded size).
 
     ``x``: regressors per step, ``actual``: target per step, ``y_tail`` / ``e_tail``: lags
@@ -233,25 +333,18 @@ def holdout(rows: DataFrame, target: str, first: int, last: int) -> DataFrame:
         F.col("BucketTime").alias("t"), F.col("y"),
         F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
     )
-    known, shocks = tail_of(LAG_COLS), shocks_of(["e1", "e2"])
-    return kept.groupBy("DeviceId").agg(
-        F.sort_array(F.collect_list(step)).alias("_steps"),
-        F.max_by(known, "rn").alias("y_tail"),
-        F.max_by(shocks, "rn").alias("e_tail"),
-    ).select(
-        "DeviceId", F.col("_steps.t").alias("times"), F.col("_steps.y").alias("actual"),
-        F.col("_steps.x").alias("x"), "y_tail", "e_tail",
-    )
+    steps = kept.groupBy("DeviceId").agg(F.sort_array(F.collect_list(step)).alias("_steps")).select(
+        "DeviceId", F.col("_steps.t").alias("times"), F.col("_steps.y").alias("actual"), F.col("_steps.x").alias("x"))
+    return with_tails(steps, tails_before(rows, last, suffix))
 
 
 SCORE_TYPE = (
-    "DeviceId string, TargetCol string, window string, p int, d int, q int, sp int, s int, "
+    "DeviceId string, TargetCol string, window string, p int, d int, q int, sp int, sd int, sq int, s int, "
     "MAE double, RMSE double, MAPE double, R2 double"
 )
 
 
 def _score(joined: DataFrame, target: str, seasonal: bool) -> DataFrame:
-    lay = layout(target, True)
     tries = candidates(seasonal)
     names = [f.split()[0] for f in SCORE_TYPE.split(", ")]
 
@@ -259,24 +352,24 @@ def _score(joined: DataFrame, target: str, seasonal: bool) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_dict("records"):
-                gram = np.asarray(r["gram"]).reshape(lay.size, lay.size)
-                x = np.stack(r["x"])
+                grams, x = read_grams(r["grams"]), np.stack(r["x"])
                 actual = np.asarray(r["actual"], dtype=float)
-                for (p, _, q), sea in tries:
-                    model = S.fit(gram, r["n"], lay, (p, r["d"], q), sea)
+                for order, sea in tries:
+                    reach = nearest(grams, order, sea)
+                    if reach is None:
+                        continue
+                    gram, n = grams[reach]
+                    model = S.fit(gram, n, layout(target, True, reach), order, sea, REACH)
                     xb = model["const"] + x @ np.asarray(model["beta"])
                     guess = S.recurse(model, xb, np.asarray(r["y_tail"]), np.asarray(r["e_tail"]))
                     if not np.all(np.isfinite(guess)):
                         continue
                     out.append(
-                        (r["DeviceId"], target, r["window"], p, r["d"], q, sea[0], sea[3],
-                         *scores(actual, np.maximum(guess, 0.0)))
+                        (r["DeviceId"], target, r["window"], *order, *sea, *scores(actual, np.maximum(guess, 0.0)))
                     )
             yield pd.DataFrame(out, columns=names)
 
-    return joined.select(
-        "DeviceId", "window", "n", "gram", "d", "x", "actual", "y_tail", "e_tail"
-    ).mapInPandas(run, SCORE_TYPE)
+    return joined.select("DeviceId", "window", "grams", "x", "actual", "y_tail", "e_tail").mapInPandas(run, SCORE_TYPE)
 
 
 def scores(actual: np.ndarray, guess: np.ndarray) -> tuple[float, float, float, float]:
@@ -293,7 +386,7 @@ def best_order(scored: DataFrame) -> DataFrame:
 
     Equal errors go to the smaller model.
     """
-    rank = F.struct("MAE", "p", "q", "sp")
+    rank = F.struct("MAE", "p", "q", "sp", "sd", "sq", "d", "s")
     rest = [c for c in scored.columns if c not in ("DeviceId", "TargetCol", "window")]
     return (
         scored.groupBy("DeviceId", "TargetCol", "window")

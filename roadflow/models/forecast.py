@@ -8,14 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.calendar import add_steps, calendar_dummies, is_holiday
 from ..functions.columns import clip_low
 from ..operators.timeseries import last_row
-from ..plans.features import LAG_COLS, regressor_names
+from ..plans.features import MAX_LAG, MAX_SHOCK, regressor_names
 from ..schemas import TARGET_REGRESSORS
 from . import solve as S
-from .fit import WEIGHTS, fitted, holdout, shocks_of, tail_of
+from .fit import WEIGHTS, fitted, holdout, padded, sparse_weights, tails_before, with_tails
 
 Z95 = 1.959963984540054
 
@@ -34,23 +35,19 @@ def forecast_requests(requests: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
+            parts: dict[str, list] = {c.split()[0]: [] for c in FORECAST_TYPE.split(", ")}
             for r in batch.to_dict("records"):
                 xb = r["const"] + np.stack(r["x"]) @ np.asarray(r["beta"])
                 guess = S.recurse(r, xb, np.asarray(r["y_tail"]), np.asarray(r["e_tail"]))
                 half = Z95 * S.error_spread(r, len(xb))
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "DeviceId": r["DeviceId"], "origin": r["origin"],
-                            "step": np.arange(1, len(xb) + 1, dtype="int32"), "BucketTime": r["times"],
-                            "predicted": np.maximum(guess, 0.0),
-                            "lower": np.maximum(guess - half, 0.0), "upper": guess + half,
-                        }
-                    )
-                )
-            if parts:
-                yield pd.concat(parts)
+                steps = len(xb)
+                for name, values in (
+                    ("DeviceId", [r["DeviceId"]] * steps), ("origin", [r["origin"]] * steps),
+                    ("step", range(1, steps + 1)), ("BucketTime", r["times"]), ("predicted", np.maximum(guess, 0.0)),
+                    ("lower", np.maximum(guess - half, 0.0)), ("upper", guess + half),
+                ):
+                    parts[name].extend(values)
+            yield pd.DataFrame(parts).astype({"step": "int32"})
 
     return requests.select(
         "DeviceId", "origin", "times", "x", "y_tail", "e_tail", *WEIGHTS
@@ -68,16 +65,7 @@ def future_requests(
 ) -> DataFrame:
     """Requests for the n steps after each series: last regressors, future calendar."""
     names = regressor_names(target)
-    tail = last_row(
-        rows.select(
-            "DeviceId", "BucketTime", "y", "e", "e1",
-            *LAG_COLS[:-1],
-        ),
-        ["DeviceId"],
-    ).select(
-        "DeviceId", F.col("BucketTime").alias("origin"),
-        tail_of(["y", *LAG_COLS[:-1]]).alias("y_tail"), shocks_of(["e", "e1"]).alias("e_tail"),
-    )
+    origin = rows.groupBy("DeviceId").agg(F.max("BucketTime").alias("origin"))
     # The regressors of the first future step are the last row's values: a true lag of one.
     last = last_row(series.select("DeviceId", "BucketTime", *TARGET_REGRESSORS[target]), ["DeviceId"])
     ahead = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
@@ -90,11 +78,8 @@ def future_requests(
             F.collect_list(F.struct("t", F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
         ).alias("_s")
     )
-    return (
-        arrays.select("DeviceId", F.col("_s.t").alias("times"), F.col("_s.x").alias("x"))
-        .join(tail, "DeviceId")
-        .join(models.select("DeviceId", *WEIGHTS), "DeviceId")
-    )
+    asked = arrays.select("DeviceId", F.col("_s.t").alias("times"), F.col("_s.x").alias("x")).join(origin, "DeviceId")
+    return with_tails(asked, tails_before(rows, 0)).join(models.select("DeviceId", *WEIGHTS), "DeviceId")
 
 
 def observed_requests(
@@ -106,9 +91,8 @@ def observed_requests(
     distance from the one-step forecast the newest shock. Later steps see the observed regressors
     and the calendar of their own stamps. One observation per device.
     """
-    regressors, lags = TARGET_REGRESSORS[target], ["y", *LAG_COLS[:-1]]
-    tail = last_row(rows.select("DeviceId", "BucketTime", "e", "e1", *lags), ["DeviceId"]).select(
-        "DeviceId", tail_of(lags).alias("_y"), shocks_of(["e", "e1"]).alias("_e"))
+    regressors = TARGET_REGRESSORS[target]
+    tail = tails_before(rows, 0).select("DeviceId", F.col("y_tail").alias("_y"), F.col("e_tail").alias("_e"))
     last = last_row(series.select("DeviceId", "BucketTime", *regressors), ["DeviceId"]).select(
         "DeviceId", *[F.col(c).alias(f"_last_{c}") for c in regressors])
     seen = observed.select("DeviceId", F.col("BucketTime").alias("origin"), "steps", F.col(target).alias("_now"),
@@ -127,39 +111,75 @@ def observed_requests(
     ahead = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda k: add_steps(F.col("origin"), k, step))
     return joined.withColumns({"times": ahead, "_one": one}).select(
         "DeviceId", "origin", "times", F.transform("times", lambda t: x_at("_seen_", t)).alias("x"),
-        F.concat(F.array("_now"), F.slice("_y", 1, len(lags) - 1)).alias("y_tail"),
-        F.array(F.col("_now") - F.col("_one"), F.col("_e")[0]).alias("e_tail"), *WEIGHTS)
+        F.concat(F.array("_now"), F.slice("_y", 1, MAX_LAG - 1)).alias("y_tail"),
+        F.concat(F.array(F.col("_now") - F.col("_one")), F.slice("_e", 1, MAX_SHOCK - 1)).alias("e_tail"), *WEIGHTS)
+
+
+def placed_origins(rows: DataFrame, origins: DataFrame, n: int) -> DataFrame:
+    """(DeviceId, asked, origin, rn, steps): each origin at a row of its series, moved as little as needed.
+
+    An origin stands at the last row that is not after it; one before the series at its first row, one with fewer
+    than n rows after it moves back. A series of n rows or fewer starts at its first row and has fewer steps.
+    """
+    asked = origins.select("DeviceId", F.col("origin").alias("BucketTime"), F.lit(None).cast("long").alias("rn"),
+                           F.lit(1).alias("_asked")).distinct()
+    known = rows.select("DeviceId", "BucketTime", F.col("rn").cast("long").alias("rn"), F.lit(0).alias("_asked"))
+    before = W.partitionBy("DeviceId").orderBy("BucketTime", "_asked")
+    met = known.unionByName(asked).withColumn("_rn", F.last("rn", True).over(before)).where("_asked = 1")
+    sizes = rows.groupBy("DeviceId").agg(F.max("rn").cast("long").alias("_size"))
+    at = F.least(F.greatest(F.coalesce("_rn", "_size"), F.lit(n + 1)), "_size")
+    return met.join(sizes, "DeviceId").select(
+        "DeviceId", F.col("BucketTime").alias("asked"), at.alias("rn"), F.least(at - 1, F.lit(n)).cast("int").alias("steps"))
 
 
 def backtest_requests(
-    rows: DataFrame, models: DataFrame, origins: DataFrame, target: str, n: int, step: str
+    rows: DataFrame, models: DataFrame, origins: DataFrame, target: str, n: int, step: str | None = None
 ) -> DataFrame:
-    """Requests for many origins at once: n known regressor rows after each origin.
+    """Requests for many origins at once: the n known rows after each origin, with their regressors.
 
-    Origins (DeviceId, origin) are exploded to their steps and met by equi-join on device
-    and stamp; each request gathers at most n rows. An origin with fewer than n known steps after it
-    moves back to the last one that has them.
+    Origins (DeviceId, origin) may be any stamps (``placed_origins``), and the steps are the rows that follow, gaps
+    or not; ``origin`` is the stamp asked for, ``start`` that of the row it stands at. Only a series of one row has
+    no step to forecast. Tails are gathered where an origin stands, so their arrays move for origins only.
     """
     names = regressor_names(target)
-    latest = rows.groupBy("DeviceId").agg(add_steps(F.max("BucketTime"), F.lit(-n), step).alias("_latest"))
-    origins = origins.join(latest, "DeviceId").select("DeviceId", F.least("origin", "_latest").alias("origin")).distinct()
-    steps = origins.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
-        "BucketTime", add_steps("origin", F.col("step"), step)
-    )
+    placed = placed_origins(rows, origins, n).where("steps > 0")
+    steps = placed.select("DeviceId", "asked", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("step"), "rn").select(
+        "DeviceId", "asked", (F.col("rn") - F.col("step")).alias("rn"))
     known = rows.select(
-        "DeviceId", "BucketTime", F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
-        tail_of(LAG_COLS).alias("y_tail"), shocks_of(["e1", "e2"]).alias("e_tail"),
-    )
-    first = F.col("step") == 1
-    met = steps.join(known, ["DeviceId", "BucketTime"]).groupBy("DeviceId", "origin").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("BucketTime").alias("t"), "x"))).alias("_s"),
-        F.max(F.when(first, F.col("y_tail"))).alias("y_tail"),
-        F.max(F.when(first, F.col("e_tail"))).alias("e_tail"),
+        "DeviceId", F.col("rn").cast("long").alias("rn"), "BucketTime",
+        F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+    met = steps.join(known, ["DeviceId", "rn"]).groupBy("DeviceId", "asked").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("BucketTime").alias("t"), "x"))).alias("_s"))
+    back = W.partitionBy("DeviceId").orderBy("BucketTime")
+    newest = lambda c, k: F.reverse(F.collect_list(F.coalesce(c, F.lit(0.0))).over(back.rowsBetween(1 - k, 0)))
+    stands = rows.select("DeviceId", F.col("rn").cast("long").alias("rn"), "BucketTime", "y", "e").join(
+        placed.select("DeviceId", "rn").distinct().withColumn("_here", F.lit(True)), ["DeviceId", "rn"], "left")
+    tails = stands.withColumns({"_y": newest("y", MAX_LAG), "_e": newest("e", MAX_SHOCK)}).where("_here").select(
+        "DeviceId", "rn", F.col("BucketTime").alias("start"), *padded(F.col("_y"), F.col("_e")))
+    return (
+        met.join(placed.select("DeviceId", "asked", "rn"), ["DeviceId", "asked"]).join(tails, ["DeviceId", "rn"])
+        .select("DeviceId", F.col("asked").alias("origin"), "start", F.col("_s.t").alias("times"), F.col("_s.x").alias("x"), "y_tail", "e_tail")
+        .join(models.select("DeviceId", *WEIGHTS), "DeviceId")
     )
-    whole = met.filter(F.size("_s") == n)
-    return whole.select(
-        "DeviceId", "origin", F.col("_s.t").alias("times"), F.col("_s.x").alias("x"), "y_tail", "e_tail"
-    ).join(models.select("DeviceId", *WEIGHTS), "DeviceId")
+
+
+def repeated_last(rows: DataFrame, origins: DataFrame, n: int) -> DataFrame:
+    """The plainest forecast, to hold others against: the value at the origin for each of the n rows after it.
+
+    ``rows``: DeviceId, BucketTime, y, rn. Gives DeviceId, origin, step, predicted, actual.
+    """
+    placed = placed_origins(rows, origins, n).where("steps > 0").select("DeviceId", F.col("asked").alias("origin"), "rn", "steps")
+    value = lambda name: rows.select("DeviceId", F.col("rn").cast("long").alias("rn"), F.col("y").alias(name))
+    steps = placed.join(value("predicted"), ["DeviceId", "rn"]).select(
+        "DeviceId", "origin", "rn", "predicted", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("step"))
+    return steps.withColumn("rn", F.col("rn") - F.col("step")).join(value("actual"), ["DeviceId", "rn"]).drop("rn")
+
+
+def origin_scores(forecasts: DataFrame) -> DataFrame:
+    """MAE, RMSE, MAPE and R2 of each origin's forecast, by the dashboard's rule."""
+    from .evaluate import forecast_metrics
+
+    return forecast_metrics(forecasts, ["DeviceId", "origin"], dashboard_rule=True)
 
 
 def with_actuals(forecasts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -172,7 +192,7 @@ def with_actuals(forecasts: DataFrame, rows: DataFrame) -> DataFrame:
 
 def fitted_values(rows: DataFrame, models: DataFrame, target: str) -> DataFrame:
     """One-step fitted values and residuals of every row with complete lags."""
-    joined = rows.join(models.select("DeviceId", *WEIGHTS), "DeviceId")
+    joined = rows.join(sparse_weights(models), "DeviceId")
     return joined.select(
         "DeviceId", "BucketTime", "rn", "y", fitted(target).alias("fitted")
     ).filter(F.col("fitted").isNotNull()).withColumn("residual", F.col("y") - F.col("fitted"))

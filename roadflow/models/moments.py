@@ -6,60 +6,123 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.timeseries import series_window
+
 _OPEN_SERIES = 64
 
+GRAMS = "DeviceId string, window string, reach int, n double, gram array<double>"
+
+
+class Sums:
+    """Matrices of the series a task has met, handed on when they are many."""
+
+    def __init__(self) -> None:
+        self.sums: dict[tuple, list] = {}
+
+    def add(self, key: tuple, z: np.ndarray) -> None:
+        v = np.column_stack([np.ones(len(z)), z])
+        slot = self.sums.setdefault(key, [0, 0.0])
+        slot[0] += len(z)
+        slot[1] = slot[1] + v.T @ v
+
+    def flush(self) -> pd.DataFrame:
+        out = pd.DataFrame([(*key, float(n), g.ravel().tolist()) for key, (n, g) in self.sums.items()],
+                           columns=["DeviceId", "window", "reach", "n", "gram"])
+        self.sums.clear()
+        return out
+
+
+def added_up(partial: DataFrame) -> DataFrame:
+    """(DeviceId, window, grams): the matrices of each reach, added up by the JVM; raw rows never meet in Python."""
+    first = F.element_at(F.collect_list("gram"), 1)
+    rest = F.slice(F.collect_list("gram"), 2, 2**31 - 1)
+    add = lambda acc, g: F.zip_with(acc, g, lambda a, b: a + b)
+    whole = partial.groupBy("DeviceId", "window", "reach").agg(F.sum("n").alias("n"), F.aggregate(rest, first, add).alias("gram"))
+    return whole.groupBy("DeviceId", "window").agg(F.sort_array(F.collect_list(F.struct("reach", "n", "gram"))).alias("grams"))
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` that a range of their series holds, with the ends of its ranges (``low_i``, ``high_i``).
+
+    ``ranges``: one row per series (DeviceId, ``low_i``, ``high_i`` for the i-th window), ends counted as ``rn``.
+    """
+    inside = [F.col("rn").between(F.col(f"low_{i}"), F.col(f"high_{i}")) for i in range(len(names))]
+    use = inside[0]
+    for other in inside[1:]:
+        use = use | other
+    return rows.join(ranges, "DeviceId").where(use)
+
+
+def bounds(names: list[str]) -> list[str]:
+    return [f"{end}_{i}" for i in range(len(names)) for end in ("low", "high")]
+
 
 def series_moments(
-    rows: DataFrame, columns: list[str], windows: dict[str, tuple[int, int]]
+    rows: DataFrame, columns: dict[int, list[str]], ranges: DataFrame, names: list[str], own: dict[int, list[str]] | None = None,
 ) -> DataFrame:
-    """Gram matrix of ``[1, columns]`` per device and window: DeviceId, window, n, gram.
+    """Gram matrices of ``[1, columns]`` per series and window, one for each reach: (DeviceId, window, grams).
 
-    A window is a range of ``rn`` (rows counted from the end of the series), both ends
-    included. Every task reduces its rows to one small matrix per series it meets; the
-    JVM adds the matrices up. Raw rows are never grouped in Python.
+    ``columns``: reach -> column names; rows with a null in them are left out, so a near reach keeps rows that a far
+    one loses. All windows and reaches come from one pass. ``own``: reach -> further columns that every window has
+    for itself, named ``<column>_<i>``.
     """
-    k = len(columns) + 1
+    own = own or {reach: [] for reach in columns}
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, str], list] = {}
+        sums = Sums()
+        for batch in batches:
+            for device, part in batch.groupby("DeviceId", sort=False):
+                rn = part["rn"].to_numpy()
+                for i, name in enumerate(names):
+                    inside = (rn >= part[f"low_{i}"].to_numpy()) & (rn <= part[f"high_{i}"].to_numpy())
+                    for reach, base in columns.items():
+                        z = part[[*base, *[f"{c}_{i}" for c in own[reach]]]].to_numpy(dtype=float)[inside]
+                        z = z[~np.isnan(z).any(axis=1)]
+                        if len(z):
+                            sums.add((device, name, reach), z)
+            if len(sums.sums) > _OPEN_SERIES * len(names) * len(columns):
+                yield sums.flush()
+        if sums.sums:
+            yield sums.flush()
+
+    used = sorted({c for cols in columns.values() for c in cols})
+    used += sorted({f"{c}_{i}" for cols in own.values() for c in cols for i in range(len(names))})
+    kept = in_ranges(rows, ranges, names).select(
+        "DeviceId", "rn", *bounds(names), *[F.col(c).cast("double").alias(c) for c in used])
+    return added_up(kept.mapInPandas(reduce, GRAMS))
+
 
-        def flush():
-            out = pd.DataFrame(
-                [(dev, win, float(n), g.ravel().tolist()) for (dev, win), (n, g) in sums.items()],
-                columns=["DeviceId", "window", "n", "gram"],
-            )
-            sums.clear()
-            return out
+def lag_moments(rows: DataFrame, ranges: DataFrame, names: list[str], lags: Column, widest: int) -> DataFrame:
+    """Gram matrices of ``[1, y, y_1 .. y_R]`` with R = ``lags`` of the series' own window (one column per window).
 
+    All lags up to R are there, whatever the design holds; ``widest`` is the largest R of any series.
+    """
+    known = F.coalesce(F.col("y").cast("double"), F.lit(float("nan")))
+    back = F.collect_list(known).over(series_window(["DeviceId"]).rowsBetween(-widest, 0))
+    # One array of at most ``widest`` + 1 numbers a row, made where it is reduced.
+    kept = in_ranges(rows.select("DeviceId", "BucketTime", "rn", back.alias("back")), ranges, names)
+    kept = kept.select("DeviceId", "rn", *bounds(names), "back", *[lags(i).alias(f"lags_{i}") for i in range(len(names))])
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = Sums()
         for batch in batches:
             for device, part in batch.groupby("DeviceId", sort=False):
-                z = part[columns].to_numpy(dtype=float)
-                rn = part["rn"].to_numpy()
-                whole = ~np.isnan(z).any(axis=1)
-                for name, (low, high) in windows.items():
-                    use = z[whole & (rn >= low) & (rn <= high)]
-                    if not len(use):
+                rn, size = part["rn"].to_numpy(), part["back"].str.len().to_numpy()
+                for i, name in enumerate(names):
+                    reach = int(part[f"lags_{i}"].iloc[0])
+                    use = (rn >= part[f"low_{i}"].to_numpy()) & (rn <= part[f"high_{i}"].to_numpy()) & (size > reach)
+                    if not use.any():
                         continue
-                    v = np.column_stack([np.ones(len(use)), use])
-                    slot = sums.setdefault((device, name), [0, np.zeros((k, k))])
-                    slot[0] += len(use)
-                    slot[1] += v.T @ v
-            if len(sums) > _OPEN_SERIES * len(windows):
-                yield flush()
-        if sums:
-            yield flush()
-
-    # Rows outside every window stay in the scan.
-    ends = [end for window in windows.values() for end in window]
-    rows = rows.filter(F.col("rn").between(min(ends), max(ends)))
-    partial = rows.select("DeviceId", "rn", *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(
-        reduce, "DeviceId string, window string, n double, gram array<double>"
-    )
-    zero = F.array_repeat(F.lit(0.0), k * k)
-    add = lambda acc, g: F.zip_with(acc, g, lambda a, b: a + b)
-    return partial.groupBy("DeviceId", "window").agg(
-        F.sum("n").alias("n"), F.aggregate(F.collect_list("gram"), zero, add).alias("gram")
-    )
+                    z = np.stack([np.asarray(b)[: -reach - 2 : -1] for b in part["back"][use]])
+                    z = z[~np.isnan(z).any(axis=1)]
+                    if len(z):
+                        sums.add((device, name, reach), z)
+            if len(sums.sums) > _OPEN_SERIES * len(names):
+                yield sums.flush()
+        if sums.sums:
+            yield sums.flush()
+
+    return added_up(kept.mapInPandas(reduce, GRAMS))

@@ -1,42 +1,54 @@
 """Least squares on moment matrices: the only numeric helper the model jobs need.
 
-A series is described by the Gram matrix of the raw vector
-``[1, x_1..x_m, y_0, y_1..y_L, e_1, e_2]`` (regressors, target and its lags, lagged
-shocks). Differences, autoregressive and seasonal terms are linear in the raw lags, so
-every candidate model is a transform of one matrix.
+A series is described by the Gram matrix of the raw vector ``[1, x_1..x_m, y_0, y_k.., e_j..]``: regressors, the
+target and a sparse set of its lags, lagged shocks. Differences, seasonal differences, autoregressive and seasonal
+terms are linear in the raw lags, so every candidate model is a transform of one matrix.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
-SHOCKS = 2
-
 
 @dataclass(frozen=True)
 class Layout:
-    """Positions inside the raw vector."""
+    """Positions inside the raw vector. A number of lags or shocks stands for all from 1 on."""
 
     m: int  # regressors
-    lags: int
-    shocks: int = SHOCKS
+    lags: tuple[int, ...] | int
+    shocks: tuple[int, ...] | int = 2
+
+    def __post_init__(self) -> None:
+        for name in ("lags", "shocks"):
+            given = getattr(self, name)
+            if isinstance(given, int):
+                object.__setattr__(self, name, tuple(range(1, given + 1)))
 
     @property
     def size(self) -> int:
-        return 2 + self.m + self.lags + self.shocks
+        return 2 + self.m + len(self.lags) + len(self.shocks)
+
+    @cached_property
+    def _y(self) -> dict[int, int]:
+        return {k: 1 + self.m + i for i, k in enumerate((0, *self.lags))}
+
+    @cached_property
+    def _e(self) -> dict[int, int]:
+        return {k: 2 + self.m + len(self.lags) + i for i, k in enumerate(self.shocks)}
 
     def y(self, k: int) -> int:
-        if not 0 <= k <= self.lags:
-            raise ValueError(f"lag {k} of the target is asked for; the design holds lags up to {self.lags}")
-        return 1 + self.m + k
+        if k not in self._y:
+            raise ValueError(f"lag {k} of the target is asked for; the design holds {self.lags}")
+        return self._y[k]
 
     def e(self, k: int) -> int:
-        if not 1 <= k <= self.shocks:
+        if k not in self._e:
             raise ValueError(f"shock term {k} is asked for; the design holds {self.shocks}")
-        return 1 + self.m + self.lags + k
+        return self._e[k]
 
 
 def _unit(size: int, at: int) -> np.ndarray:
@@ -45,14 +57,36 @@ def _unit(size: int, at: int) -> np.ndarray:
     return row
 
 
-def diff_row(lay: Layout, k: int, d: int) -> np.ndarray:
-    """The d-th difference of the target k steps back, over the raw vector."""
+def difference_terms(d: int, seasonal_d: int = 0, s: int = 0) -> dict[int, float]:
+    """(1 - B)^d (1 - B^s)^D as lag -> coefficient."""
+    terms = {0: 1.0}
+    for step in [1] * d + [s] * seasonal_d:
+        shifted = {k + step: -c for k, c in terms.items()}
+        terms = {k: terms.get(k, 0.0) + shifted.get(k, 0.0) for k in {**terms, **shifted}}
+    return terms
+
+
+def diff_row(lay: Layout, k: int, d: int, seasonal_d: int = 0, s: int = 0) -> np.ndarray:
+    """The differenced target k steps back, over the raw vector."""
     row = np.zeros(lay.size)
-    for i, c in enumerate({0: [1], 1: [1, -1], 2: [1, -2, 1]}[d]):
+    for i, c in difference_terms(d, seasonal_d, s).items():
         row[lay.y(k + i)] += c
     return row
 
 
+def terms_of(order: tuple, seasonal: tuple) -> tuple[list[int], list[int]]:
+    """Lags of the differenced target and of the shocks that a model has."""
+    (p, _, q), (big_p, _, big_q, s) = order, seasonal
+    near = lambda n, big: list(range(1, n + 1)) + [s * j for j in range(1, big + 1) if s * j > n]
+    return near(p, big_p), near(q, big_q)
+
+
+def reach_of(order: tuple, seasonal: tuple) -> int:
+    """The farthest raw lag or shock that a model looks back to."""
+    ks, js = terms_of(order, seasonal)
+    return max([max(ks, default=0) + max(difference_terms(order[1], seasonal[1], seasonal[3])), *js])
+
+
 def least_squares(gram: np.ndarray, rows: np.ndarray, goal: np.ndarray, n: float):
     """Coefficients, standard errors and residual sum of squares; constant columns get 0."""
     a = rows @ gram @ rows.T
@@ -71,44 +105,58 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-def fit(gram: np.ndarray, n: float, lay: Layout, order: tuple, seasonal: tuple, m_used: int | None = None) -> dict:
-    """One model: regressors, p lags, P seasonal lags and q shocks on the d-th difference.
+def _model(lay: Layout, rows: np.ndarray, goal: np.ndarray, solved: tuple, terms: list[str], reach: tuple[int, int]) -> dict:
+    """The answer phrased on the raw vector: y is ``const + beta . x + w . (y_1, y_2 ..) + theta . (e_1, e_2 ..)``.
 
-    The answer is phrased on the raw vector: the forecast of y is
-    ``const + beta . x + w . (y_1..y_L) + theta . (e_1, e_2)``.
+    ``w`` and ``theta`` are dense up to ``reach``, so forecasts need not know the layout.
     """
-    p, d, q = order
-    big_p, s = seasonal[0], seasonal[3]
-    ks = list(range(1, p + 1)) + [s * j for j in range(1, big_p + 1) if s * j > p]
-    exog = lay.m if m_used is None else m_used
-    rows = [_unit(lay.size, i) for i in range(1 + exog)]
-    rows += [diff_row(lay, k, d) for k in ks] + [_unit(lay.size, lay.e(j)) for j in range(1, q + 1)]
-    goal = diff_row(lay, 0, d)
-    coef, se, sse, dof = least_squares(gram, np.array(rows), goal, n)
-    whole = coef @ np.array(rows) - goal
-    whole[lay.y(0)] = 0.0
+    coef, se, sse, dof = solved
+    whole = coef @ rows - goal
+    w, theta = np.zeros(reach[0]), np.zeros(reach[1])
+    for k in lay.lags:
+        w[k - 1] = whole[lay.y(k)]
+    for k in lay.shocks:
+        theta[k - 1] = whole[lay.e(k)]
     return {
-        "const": float(coef[0]),
-        "beta": whole[1 : 1 + lay.m].tolist(),
-        "w": whole[lay.y(1) : lay.y(lay.lags) + 1].tolist(),
-        "theta": whole[lay.e(1) : lay.e(lay.shocks) + 1].tolist() if lay.shocks else [0.0] * SHOCKS,
-        "sigma2": sse / dof,
-        "coef": coef.tolist(),
-        "pvalue": [2 * normal_tail(abs(c) / v) if v > 0 else 1.0 for c, v in zip(coef, se)],
-        "terms": [f"ar{k}" for k in ks] + [f"ma{j}" for j in range(1, q + 1)],
+        "const": float(coef[0]), "beta": whole[1 : 1 + lay.m].tolist(), "w": w.tolist(), "theta": theta.tolist(),
+        "sigma2": sse / dof, "coef": coef.tolist(),
+        "pvalue": [2 * normal_tail(abs(c) / v) if v > 0 else 1.0 for c, v in zip(coef, se)], "terms": terms,
     }
 
 
+def reaches(lay: Layout, reach: tuple[int, int] | None) -> tuple[int, int]:
+    return reach or (max(lay.lags, default=0), max(lay.shocks, default=0))
+
+
+def fit(gram: np.ndarray, n: float, lay: Layout, order: tuple, seasonal: tuple, reach: tuple[int, int] | None = None) -> dict:
+    """One model: regressors, p lags, P seasonal lags, q shocks and Q seasonal shocks on the (d, D)-th difference."""
+    d, seasonal_d, s = order[1], seasonal[1], seasonal[3]
+    ks, js = terms_of(order, seasonal)
+    rows = [_unit(lay.size, i) for i in range(1 + lay.m)]
+    rows += [diff_row(lay, k, d, seasonal_d, s) for k in ks] + [_unit(lay.size, lay.e(j)) for j in js]
+    goal, rows = diff_row(lay, 0, d, seasonal_d, s), np.array(rows)
+    terms = [f"ar{k}" for k in ks] + [f"ma{j}" for j in js]
+    return _model(lay, rows, goal, least_squares(gram, rows, goal, n), terms, reaches(lay, reach))
+
+
+def free_autoregression(gram: np.ndarray, n: float, lay: Layout, reach: tuple[int, int] | None = None) -> dict:
+    """All lags of the layout with a weight of their own: any difference and season is a case of it."""
+    rows = np.array([_unit(lay.size, i) for i in range(1 + lay.m)] + [_unit(lay.size, lay.y(k)) for k in lay.lags])
+    goal = _unit(lay.size, lay.y(0))
+    return _model(lay, rows, goal, least_squares(gram, rows, goal, n), [f"ar{k}" for k in lay.lags], reaches(lay, reach))
+
+
 def recurse(model: dict, xb: np.ndarray, y_tail: np.ndarray, e_tail: np.ndarray) -> np.ndarray:
     """h-step forecast; tails are newest first, ``xb`` is const + beta . x per step."""
     w, theta = np.asarray(model["w"]), np.asarray(model["theta"])
-    past = list(y_tail[: len(w)])
+    past = np.asarray(y_tail, dtype=float)[: len(w)]
+    shocks = [(j, theta[j]) for j in np.flatnonzero(theta)]
     out = []
     for h, base in enumerate(xb):
-        shock = sum(theta[j] * e_tail[j - h] for j in range(len(theta)) if 0 <= j - h < len(e_tail))
-        value = float(base + w @ np.asarray(past) + shock)
+        shock = sum(t * e_tail[j - h] for j, t in shocks if 0 <= j - h < len(e_tail))
+        value = float(base + w @ past + shock)
         out.append(value)
-        past = [value, *past[:-1]]
+        past = np.concatenate(([value], past[:-1]))
     return np.asarray(out)
 
 
@@ -140,9 +188,13 @@ def dickey_fuller_p(tau: float) -> float:
     return normal_tail(-sum(c * tau**i for i, c in enumerate(surface)))
 
 
-def dickey_fuller(gram: np.ndarray, n: float, lay: Layout, d: int) -> float:
-    """p-value of the augmented test on the d-th difference; lag count by AIC."""
-    most = min(math.ceil(12 * (n / 100) ** 0.25), lay.lags - 1 - d, int(n // 2) - 3)
+def lag_count(n: int) -> int:
+    """Lagged differences that the test on n rows may use."""
+    return max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3))
+
+
+def dickey_fuller(gram: np.ndarray, n: float, lay: Layout, d: int, most: int) -> float:
+    """p-value of the augmented test on the d-th difference with up to ``most`` lagged differences, chosen by AIC."""
     goal = diff_row(lay, 0, d) - diff_row(lay, 1, d)
     base = [_unit(lay.size, 0), diff_row(lay, 1, d)]
     steps = [diff_row(lay, k, d) - diff_row(lay, k + 1, d) for k in range(1, most + 1)]
@@ -155,13 +207,13 @@ def dickey_fuller(gram: np.ndarray, n: float, lay: Layout, d: int) -> float:
     return dickey_fuller_p(best[1])
 
 
-def difference_order(gram: np.ndarray, n: float, lay: Layout, most: int = 2):
+def difference_order(gram: np.ndarray, n: float, lay: Layout, lags: int, most: int = 2):
     """Smallest d with a p-value below 0.05 (else the largest), p before and after."""
-    before = dickey_fuller(gram, n, lay, 0)
+    before = dickey_fuller(gram, n, lay, 0, lags)
     d, after = 0, before
     while after >= 0.05 and d < most:
         d += 1
-        after = dickey_fuller(gram, n, lay, d)
+        after = dickey_fuller(gram, n, lay, d, lags)
     return d, before, after
 
 

@@ -20,23 +20,14 @@ def top_values(
     )
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def sample_n(df: DataFrame, n: int, seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """Exactly n rows, repeatable for a seed; all rows when there are no more than n.
 
-    Rows are ordered by a hash of their content. A hash threshold sized from the row
-    count leaves little more than n candidates, so the final top-n never sees the table.
+    Rows are ordered by a digest of the columns ``by`` (all of them unless given), then by their content. Every
+    task keeps its own first n, and only these meet.
     """
-    rows = df.count()
-    if rows <= n:
-        return df
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *df.columns))
-    share = n / rows
-    while True:
-        share = min(1.0, share * 1.2 + 1e-9)
-        top = int(-(2**63) + share * (2**64 - 1))
-        few = hashed.filter(F.col("_h") <= F.lit(min(top, 2**63 - 1)))
-        if share >= 1.0 or few.count() >= n:
-            return few.orderBy("_h", *df.columns).limit(n).drop("_h")
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by or df.columns])
+    return df.withColumn("_h", F.md5(text.cast("binary"))).orderBy("_h", *df.columns).limit(n).drop("_h")
 
 
 def first_devices(df: DataFrame, n: int) -> DataFrame:

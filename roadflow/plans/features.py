@@ -10,8 +10,15 @@ from ..functions.calendar import DUMMY_COLS, calendar_dummies, is_holiday
 from ..operators.timeseries import series_window
 from ..schemas import TARGET_REGRESSORS
 
-# Raw lags of the target every design keeps: two seasons of 12 steps and two differences.
-MAX_LAG = 26
+#: Raw lags of the target that a design holds: the near ones (three terms or a long autoregression of five, two
+#: differences), and those that seasons of 12 and 60 steps reach with two differences and, for 60, a seasonal one.
+LAGS = (*range(1, 8), 12, 13, 14, 24, 25, 26, *range(60, 66), 120, 121, 122)
+#: Lags of the shocks: two near ones and one season.
+SHOCK_LAGS = (1, 2, 60)
+#: How far lags may reach: the nearer a model looks, the earlier in a series its rows begin.
+REACHES = (7, 26, 65, 122)
+#: Values before a forecast that models may weigh.
+MAX_LAG, MAX_SHOCK = max(LAGS), max(SHOCK_LAGS)
 
 
 def regressor_names(target: str) -> list[str]:
@@ -36,16 +43,14 @@ def model_features(series: DataFrame, target: str) -> DataFrame:
     )
 
 
-def with_target_lags(features: DataFrame, lags: int = MAX_LAG) -> DataFrame:
-    """Columns y1..yN, the target 1..N steps back, and ``rn``, the row counted from the end."""
+def with_target_lags(features: DataFrame) -> DataFrame:
+    """Columns y1, y2 .., the target so many steps back (``LAGS``), and ``rn``, the row counted from the end."""
     w = series_window(["DeviceId"])
     size = F.count(F.lit(1)).over(W.partitionBy("DeviceId"))
     return features.withColumns(
-        {
-            **{f"y{k}": F.lag("y", k).over(w) for k in range(1, lags + 1)},
-            "rn": size - F.row_number().over(w) + 1,
-        }
+        {**{f"y{k}": F.lag("y", k).over(w) for k in LAGS}, "rn": size - F.row_number().over(w) + 1}
     )
 
 
-LAG_COLS = [f"y{k}" for k in range(1, MAX_LAG + 1)]
+LAG_COLS = [f"y{k}" for k in LAGS]
+SHOCK_COLS = [f"e{k}" for k in SHOCK_LAGS]

@@ -52,7 +52,7 @@ def train(
     )
     tested = stage(tested, "holdout")
     everything, all_rows = M.fit_models(
-        rows, target, models.select("DeviceId", "p", "q", "sp", "s"), name="all"
+        rows, target, models.select("DeviceId", *M.ORDER_COLS, "d"), name="all"
     )
     future = P.forecast_requests(
         P.future_requests(all_rows, series, everything, target, TEST_STEPS, step)
@@ -66,7 +66,7 @@ def train(
             models.select(
                 "DeviceId", "TargetCol", "adf_p_before", "adf_p_after",
                 F.concat(F.lit("("), F.concat_ws(", ", "p", "d", "q"), F.lit(")")).alias("Order"),
-                F.concat(F.lit("("), F.concat_ws(", ", "sp", F.lit(0), F.lit(0), "s"), F.lit(")")).alias(
+                F.concat(F.lit("("), F.concat_ws(", ", "sp", "sd", "sq", "s"), F.lit(")")).alias(
                     "Seasonal_Order"
                 ),
             ),

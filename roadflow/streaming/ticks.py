@@ -107,7 +107,7 @@ LATE = "1 day"
 def extend_and_forecast(base: DataFrame, step: str = "5 minutes", idle: int = IDLE, late: str = LATE) -> DataFrame:
     """Stateful model extension: each tick updates a device's lags and shocks, no refit.
 
-    State per device is bounded: the lag buffer, two shocks, the last forecasts and the last 24
+    State per device is bounded: the lag buffer, a season of shocks, the last forecasts and the last 24
     points, seeded from the rows before the first tick. Every tick answers with the one-step residual,
     the next 24 steps and the sliding history.
 
@@ -141,11 +141,11 @@ def extend_and_forecast(base: DataFrame, step: str = "5 minutes", idle: int = ID
             skipped = min((now - last) // size - 1, len(y))
             for k in range(skipped):
                 y = [ahead[min(k, len(ahead) - 1)] if ahead else y[0], *y[:-1]]
-                e = [0.0, e[0]]
+                e = [0.0, *e[:-1]]
             model = {k: r[k] for k in ("w", "theta", "sigma2")}
             xb = np.asarray(r["xb"])
             one = float(S.recurse(model, xb[:1], np.asarray(y), np.asarray(e))[0])
-            e = [float(r["y"]) - one, e[0]]
+            e = [float(r["y"]) - one, *e[:-1]]
             y = [float(r["y"]), *y[:-1]]
             ticks, last = ticks + 1, now
             ahead = np.maximum(S.recurse(model, xb[1:], np.asarray(y), np.asarray(e)), 0.0).tolist()
