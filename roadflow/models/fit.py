@@ -14,6 +14,7 @@ from ..operators.timeseries import series_window
 from ..plans.features import (
     LAG_COLS, LAGS, MAX_LAG, MAX_SHOCK, REACHES, SHOCK_COLS, SHOCK_LAGS, regressor_names, with_target_lags,
 )
+from ..session import shuffle_partitions
 from ..session import stage as staged
 from . import solve as S
 from .moments import lag_moments, series_moments
@@ -120,7 +121,12 @@ def _each_series(moments: DataFrame, target: str, solve_one) -> DataFrame:
                     out.append({**row, "TargetCol": target, **found})
             yield pd.DataFrame(out, columns=MODEL_COLS)
 
-    return moments.mapInPandas(run, MODEL_TYPE)
+    return spread(moments).mapInPandas(run, MODEL_TYPE)
+
+
+def spread(moments: DataFrame) -> DataFrame:
+    """One small row per series, much work for each: dealt out evenly, where sizes in bytes would put all into one task."""
+    return moments.repartition(shuffle_partitions(moments.sparkSession), "DeviceId")
 
 
 def read_grams(grams) -> dict[int, tuple[np.ndarray, float]]:
@@ -282,7 +288,8 @@ def order_search(
     out = None
     for i, (name, (_, val, seasonal)) in enumerate(tiers.items()):
         held = holdout(full, target, test + 1, test + val, f"_{i}")
-        scored = _score(moments.where(F.col("window") == name).join(held, "DeviceId"), target, seasonal)
+        # Few rows, dear to make: read once as they are and once to see which series have none.
+        scored = staged(_score(moments.where(F.col("window") == name).join(held, "DeviceId"), target, seasonal), "scores")
         scored = unscored(scored, rows, target, name)
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -369,7 +376,7 @@ def _score(joined: DataFrame, target: str, seasonal: bool) -> DataFrame:
                     )
             yield pd.DataFrame(out, columns=names)
 
-    return joined.select("DeviceId", "window", "grams", "x", "actual", "y_tail", "e_tail").mapInPandas(run, SCORE_TYPE)
+    return spread(joined.select("DeviceId", "window", "grams", "x", "actual", "y_tail", "e_tail")).mapInPandas(run, SCORE_TYPE)
 
 
 def scores(actual: np.ndarray, guess: np.ndarray) -> tuple[float, float, float, float]:

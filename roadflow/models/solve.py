@@ -93,10 +93,12 @@ def least_squares(gram: np.ndarray, rows: np.ndarray, goal: np.ndarray, n: float
     b = rows @ gram @ goal
     scale = np.sqrt(np.maximum(np.diag(a), 0.0))
     scale[scale == 0] = 1.0
-    inv = np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-10, hermitian=True)
+    values, vectors = np.linalg.eigh(a / np.outer(scale, scale))
+    used = np.abs(values) > 1e-10 * np.abs(values).max()
+    inv = (vectors[:, used] / values[used]) @ vectors[:, used].T
     coef = inv @ (b / scale) / scale
     sse = max(float(goal @ gram @ goal - coef @ b), 0.0)
-    dof = max(n - np.linalg.matrix_rank(inv, hermitian=True), 1.0)
+    dof = max(n - int(used.sum()), 1.0)
     se = np.sqrt(np.maximum(np.diag(inv), 0.0) * sse / dof) / scale
     return coef, se, sse, dof
 
