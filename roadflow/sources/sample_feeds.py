@@ -1,7 +1,7 @@
 """The three feeds as views over an event table (event_id, ts, user_id, event_type, value, props).
 
-Every event is one reading: a row of the interval feed, of the detection feed and, for
-``error`` events, of the weather feed. Nothing is filtered, so the work grows with the table.
+Every event is one row of the interval feed and of the detection feed, and every
+``error`` event one of the weather feed, so the work grows with the table.
 """
 
 from __future__ import annotations
