@@ -78,12 +78,13 @@ def asfreq(
     size = step_seconds(step)
     whole = W.partitionBy(*keys)
     order = whole.orderBy(time)
-    on_grid = df.withColumns({"_s": epoch(time), "_s0": epoch(F.min(time).over(whole))}).filter(
-        (F.col("_s") - F.col("_s0")) % size == 0
+    marked = df.withColumns({"_s": epoch(time), "_s0": epoch(F.min(time).over(whole)), "_after": F.lead(time).over(order)})
+    # Looked for before rows off the grid go: a repeated one is as wrong as any other.
+    twice = F.raise_error(F.lit(f"asfreq: a series of {keys} has a stamp twice")).cast("boolean")
+    on_grid = marked.filter(
+        F.when(F.col("_after") == F.col(time), twice).otherwise((F.col("_s") - F.col("_s0")) % size == 0)
     )
-    nxt = F.lead("_s").over(order)
-    twice = F.raise_error(F.lit(f"asfreq: a series of {keys} has a stamp twice")).cast("long")
-    last = F.when(nxt == F.col("_s"), twice).otherwise(F.coalesce(nxt - size, F.col("_s")))
+    last = F.coalesce(F.lead("_s").over(order) - size, F.col("_s"))
     rest = [c for c in df.columns if c not in keys + [time]]
     return (
         on_grid.withColumn("_to", last)

@@ -120,6 +120,14 @@ def test_asfreq_and_resample(spark):
     np.testing.assert_array_equal(back(ten), [1.0, 4.0, 6.0, 7.0])
 
 
+def test_asfreq_rejects_a_repeated_stamp_off_the_grid(spark):
+    rows = [("d", "2024-01-01 00:00:00"), ("d", "2024-01-01 00:07:00"), ("d", "2024-01-01 00:10:00")]
+    df = spark.createDataFrame(rows, "DeviceId string, t string").selectExpr("DeviceId", "cast(t AS timestamp_ntz) BucketTime", "1.0 v")
+    assert T.asfreq(df, "5 minutes").count() == 3
+    with pytest.raises(Exception, match="twice"):
+        T.asfreq(df.unionByName(df.where("minute(BucketTime) = 7")), "5 minutes").collect()
+
+
 def test_asfreq_rejects_a_stamp_twice(spark):
     df = to_spark(spark, frame({"a": np.array([1.0, 2.0])}))
     with pytest.raises(PySparkException, match="twice"):
