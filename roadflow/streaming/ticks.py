@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,37 +173,71 @@ def horizon_snapshot(forecasts: DataFrame) -> DataFrame:
     )
 
 
-def latest_documents(stream: DataFrame, path: str) -> None:
+MANIFEST = "version long, slot int, run string, batch long, documents long"
+#: Document sets that are kept; a reader has as many batches' time before its set is written over.
+KEEP_SETS = 4
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(version, slot, run, batch, documents) of the complete document sets below ``path``, at most ``KEEP_SETS``."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def latest_documents(stream: DataFrame, path: str, checkpoint: str | None = None, keep: int = KEEP_SETS) -> None:
     """A JSON document set per batch: the newest tick of every device seen so far.
 
-    Each batch merges its ticks with the set before it and writes a set of its own, so a device
-    that is silent in a batch keeps its document and a repeated batch writes the same again.
+    Each batch merges its ticks with the current set, so a device that is silent keeps its document. Sets
+    take turns in ``keep`` folders and a manifest line is written when a set is complete: what is stored and read
+    stays the same however long the stream runs, and a writer that dies leaves the sets before it alone. A batch
+    that comes again after its set was completed writes nothing.
+
+    With ``checkpoint`` the stream goes on where it stopped. A stream with a checkpoint of its own starts from the
+    set that is there. One stream at a time writes below ``path``.
     """
+    if keep < 2:
+        raise ValueError("two document sets at least: the current one is never written over")
     spark = stream.sparkSession
+    checkpoint = checkpoint or scratch_path(spark, "latest-checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.withColumn("batch", F.lit(batch_id))
-        if batch_id > 0:
-            before = spark.read.schema(docs.schema).json(f"{path}/version={batch_id - 1}")
-            docs = docs.unionByName(before)
+        own = batch.sparkSession
+        last = manifest(own, path).orderBy(F.desc("version")).first()
+        if last and last["run"] == checkpoint and last["batch"] >= batch_id:
+            return
+        version = last["version"] + 1 if last else 0
+        docs = batch.withColumn("batch", F.lit(version).cast("long"))
+        if last:
+            docs = docs.unionByName(own.read.schema(docs.schema).json(f"{path}/set={last['slot']}"))
         rest = F.struct(*[c for c in docs.columns if c != "DeviceId"])
         newest = docs.groupBy("DeviceId").agg(F.max_by(rest, F.struct("BucketTime", "batch")).alias("_l"))
-        newest.select("DeviceId", "_l.*").write.mode("overwrite").json(f"{path}/version={batch_id}")
+        slot = version % keep
+        newest.select("DeviceId", "_l.*").write.mode("overwrite").json(f"{path}/set={slot}")
+        devices = own.read.schema("DeviceId string").json(f"{path}/set={slot}").count()
+        line = own.createDataFrame([(version, slot, checkpoint, batch_id, devices)], MANIFEST)
+        line.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/of={slot}")
 
     query = (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", scratch_path(spark, "latest-checkpoint"))
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
 def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The newest document set below ``path``; ``schema`` is the stream's."""
-    sets = spark.read.json(path).select("version").distinct()
-    newest = sets.agg(F.max("version")).first()[0]
-    fields = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(fields).json(f"{path}/version={newest}")
+    """The current document set below ``path``, empty before the first; ``schema`` is the stream's.
+
+    ``batch`` numbers the set that a document was written with.
+    """
+    fields = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    last = manifest(spark, path).orderBy(F.desc("version")).first()
+    if last is None:
+        return spark.createDataFrame([], fields)
+    return spark.read.schema(fields).json(f"{path}/set={last['slot']}")
 
 
 def append_history(ticks: DataFrame, name: str = "history") -> DataFrame:

@@ -92,14 +92,65 @@ def test_late_repeated_and_skipped_ticks(spark):
     assert [h["time"][-5:] for h in out[-1]["history"][-3:]] == ["00:05", "00:10", "00:25"]
 
 
-def test_silent_device_keeps_its_document(spark):
-    path = scratch_path(spark, "docs-in")
-    schema = "DeviceId string, BucketTime timestamp_ntz, x double"
-    for part in ([("a", 1.0), ("b", 2.0)], [("a", 3.0)]):
+DOCS = "DeviceId string, BucketTime timestamp_ntz, x double"
+
+
+def _ticks(spark, path, *files):
+    """A file of (device, value) ticks per part; the stamp is 2024 plus as many hours as the value."""
+    for part in files:
         spark.createDataFrame(part, "DeviceId string, x double").selectExpr(
-            "DeviceId", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(x AS int)) BucketTime", "x"
+            "DeviceId", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(x AS int)) BucketTime", "x"
         ).coalesce(1).write.mode("append").parquet(path)
-    stream, out = R.tick_stream(spark, path, schema, 1), scratch_path(spark, "docs")
+
+
+def _folders(path):
+    import glob
+    import os
+
+    return {os.path.basename(p) for p in glob.glob(f"{path.removeprefix('file:')}/*")}
+
+
+def test_silent_device_keeps_its_document(spark):
+    path, out = scratch_path(spark, "docs-in"), scratch_path(spark, "docs")
+    _ticks(spark, path, [("a", 1.0), ("b", 2.0)], [("a", 3.0)])
+    stream = R.tick_stream(spark, path, DOCS, 1)
+    assert R.read_documents(spark, out, stream.schema).collect() == []
     R.latest_documents(stream, out)
     docs = R.read_documents(spark, out, stream.schema).collect()
     assert {(r["DeviceId"], r["x"], r["batch"]) for r in docs} == {("a", 3.0, 1), ("b", 2.0, 0)}
+
+
+def test_document_sets_do_not_pile_up_and_streams_go_on(spark):
+    path, out, marks = (scratch_path(spark, n) for n in ("docs-in", "docs", "docs-marks"))
+    _ticks(spark, path, *[[("a", float(k)), (f"d{k}", float(k))] for k in range(7)])
+    stream = R.tick_stream(spark, path, DOCS, 1)
+    R.latest_documents(stream, out, marks, keep=3)
+    assert _folders(out) == {"manifest", "set=0", "set=1", "set=2"}
+    assert sorted(r["version"] for r in R.manifest(spark, out).collect()) == [4, 5, 6]
+
+    def read():
+        return {(r["DeviceId"], r["x"]) for r in R.read_documents(spark, out, stream.schema).collect()}
+
+    assert read() == {("a", 6.0)} | {(f"d{k}", float(k)) for k in range(7)}
+    # From its checkpoint a stream reads new files only.
+    _ticks(spark, path, [("a", 9.0)])
+    R.latest_documents(stream, out, marks, keep=3)
+    last = R.manifest(spark, out).orderBy("version").tail(1)[0]
+    assert (last["version"], last["batch"], last["documents"]) == (7, 7, 8) and ("a", 9.0) in read()
+    # A stream that starts anew meets the documents that are there; old ticks do not win over them.
+    other = scratch_path(spark, "docs-in")
+    _ticks(spark, other, [("a", 2.0), ("late", 1.0)])
+    R.latest_documents(R.tick_stream(spark, other, DOCS, 1), out, keep=3)
+    assert read() == {("a", 9.0), ("late", 1.0)} | {(f"d{k}", float(k)) for k in range(7)}
+
+
+def test_a_set_without_its_manifest_line_is_not_read(spark):
+    path, out = scratch_path(spark, "docs-in"), scratch_path(spark, "docs")
+    _ticks(spark, path, [("a", 1.0)], [("a", 2.0)])
+    stream = R.tick_stream(spark, path, DOCS, 1)
+    R.latest_documents(stream, out)
+    # What a writer that died in the third batch leaves behind.
+    spark.createDataFrame([("broken",)], "DeviceId string").write.json(f"{out}/set=2")
+    assert [(r["DeviceId"], r["x"]) for r in R.read_documents(spark, out, stream.schema).collect()] == [("a", 2.0)]
+    with pytest.raises(ValueError, match="two document sets"):
+        R.latest_documents(stream, out, keep=1)
