@@ -26,7 +26,7 @@ K3 = "BucketTime, DeviceId, Lane"
         FROM traffic_agg LEFT JOIN vehicle_feat USING ({K3})""", "traffic_agg", "vehicle_feat"),
 )
 def traffic_left_vehicle(spark, d):
-    joined = J.with_match(I.traffic_agg(spark, d, I.FIVE), I.vehicle_feat(spark, d, I.FIVE))
+    joined = J.with_match(I.traffic_agg(spark, d, I.FIVE), I.vehicle_feat(spark, d, I.FIVE), relation="one_to_one")
     return rounded(joined.select(*KEYS, "NumVehicles", "MedianSpeed", "CarCount", "match"))
 
 
@@ -147,6 +147,38 @@ def asof_nearest(spark, d):
     return rounded(J.asof_nearest(_requests(spark, d), dev, I.HOUR))
 
 
+_ASOF = {
+    "obs": """SELECT 'N' || CAST(user_id // 10 AS VARCHAR) AS DeviceId, ts AS seen, max(struct_pack(v := "value", e := event_id)) AS r
+    FROM events GROUP BY ALL""",
+    "asked": """SELECT event_id AS request, 'N' || CAST(user_id // 10 AS VARCHAR) AS DeviceId,
+    ts + to_seconds(event_id * 7919 % 172801 - 86400) AS "at" FROM events""",
+    "sides": """SELECT a.*, b.seen AS s0, b.r AS r0, n.seen AS s1, n.r AS r1 FROM asked a
+    ASOF LEFT JOIN obs b ON a.DeviceId = b.DeviceId AND a."at" >= b.seen
+    ASOF LEFT JOIN obs n ON a.DeviceId = n.DeviceId AND a."at" <= n.seen""",
+    "chosen": """SELECT *, s1 IS NULL OR coalesce(epoch_us("at") - epoch_us(s0) < epoch_us(s1) - epoch_us("at"), FALSE) AS early FROM sides""",
+}
+
+
+@query(
+    "asof_irregular",
+    sql("""SELECT request, DeviceId, "at", CASE WHEN early THEN s0 ELSE s1 END AS seen,
+        CASE WHEN early THEN r0.v ELSE r1.v END AS reading, CASE WHEN early THEN r0.e ELSE r1.e END AS event,
+        s0 AS last_seen, s1 AS next_seen FROM chosen""", extra=_ASOF),
+)
+def asof_irregular(spark, d):
+    """The reading nearest to each request, and the stamps on both sides, where readings come at any time."""
+    shift = F.make_dt_interval(secs=F.col("event_id") * 7919 % 172801 - 86400)
+    asked = _requests(spark, d).select(F.col("event_id").alias("request"), "DeviceId", (F.col("at") + shift).alias("at"))
+    node = F.concat(F.lit("N"), F.floor(F.col("user_id") / 10).cast("string"))
+    readings = S.events(spark, d).select(
+        node.alias("DeviceId"), F.col("ts").alias("seen"), F.col("value").alias("reading"), F.col("event_id").alias("event"))
+    stamps = readings.select("DeviceId", "seen")
+    out = J.asof(asked, readings, time="seen")
+    for name, direction in (("last_seen", "before"), ("next_seen", "after")):
+        out = J.asof(out, stamps.withColumnRenamed("seen", name), time=name, direction=direction)
+    return out
+
+
 @query(
     "future_exog_fallback",
     sql("""SELECT o.DeviceId, CAST(k AS INTEGER) AS step, o.BucketTime + to_hours(k) AS FutureTime,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.apportion import largest_remainder
@@ -63,10 +63,13 @@ def vehicle_keys(feed: DataFrame, o: EtlOptions = EtlOptions()) -> DataFrame:
     return A.vehicle_features(K.clean_vehicle(rows, o.align), hot=hot)
 
 
-def observed_table(traffic: DataFrame, vehicle: DataFrame) -> DataFrame:
-    """Traffic keys with imputed measures and the vehicle features of matched keys."""
+def observed_table(traffic: DataFrame, vehicle: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """Traffic keys with imputed measures and the vehicle features of matched keys; a repeated key ends the job.
+
+    ``counts`` learns the joined, matched and unmatched rows when the table is computed.
+    """
     filled = A.median_impute(traffic.select(*KEYS, *TRAFFIC_METRICS))
-    return filled.join(vehicle, KEYS, "left").select(
+    return J.with_match(filled, vehicle, KEYS, "left", "one_to_one", counts).select(
         *KEYS, *[F.col(c).cast("double").alias(c) for c in PROFILE_COLS]
     )
 
@@ -118,6 +121,7 @@ class EtlResult:
     traffic: DataFrame
     vehicle: DataFrame
     observed: DataFrame
+    join_counts: dict  # rows, both, left_only of the join of traffic and vehicle keys
 
     @property
     def processed(self) -> DataFrame:
@@ -136,7 +140,8 @@ def build(
     spark = traffic.sparkSession
     t = stage(traffic_keys(traffic, o), "traffic-keys")
     v = vehicle_keys(vehicle, o)
-    observed = stage(observed_table(t, v), "observed")
+    counts = Observation("traffic-vehicle")
+    observed = stage(observed_table(t, v, counts), "observed")
     size = observed.agg(
         floor_to(F.min("BucketTime"), o.step).alias("t0"),
         floor_to(F.max("BucketTime"), o.step).alias("t1"),
@@ -150,7 +155,7 @@ def build(
     partitions = max(shuffle_partitions(spark), cells // CELLS_PER_PARTITION)
     filled = fill_grid(observed, o, partitions)
     table = weather_table(weather, T.time_grid(observed, o.step), o)
-    return EtlResult(finish(filled, table, steps <= BROADCAST_STEPS), t, v, observed)
+    return EtlResult(finish(filled, table, steps <= BROADCAST_STEPS), t, v, observed, counts.get)
 
 
 def etl_report(

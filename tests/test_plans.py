@@ -85,3 +85,13 @@ def test_align_keeps_off_grid_minutes(spark, small):
         return etl.fill_grid(seen, o).filter("fill_source = 'observed'").count()
 
     assert kept(etl.EtlOptions(align="5 minutes")) > kept(etl.EtlOptions())
+
+
+def test_join_counts_come_with_the_observed_table(spark, small):
+    from roadflow.operators.validate import key_overlap
+
+    run = etl.build(S.traffic_feed(spark, small), S.vehicle_feed(spark, small), S.weather_feed(spark, small))
+    keys = key_overlap(run.traffic, run.vehicle).first()
+    assert run.join_counts["rows"] == keys["traffic_keys"] == run.observed.count()
+    assert run.join_counts["both"] == keys["matched_keys"] > 0
+    assert run.join_counts["left_only"] == keys["traffic_keys"] - keys["matched_keys"]
