@@ -15,7 +15,8 @@ so that a mark is real exactly if no backslash precedes it, and ``unescape`` giv
 The loss mask lists (start, length) of the assistant texts in characters of the output.
 
 Null texts are empty; null turns come first; a null conversation id is a conversation of its own; repeated
-rows are repeated turns. One conversation is one output row, as large as its turns together.
+rows are repeated turns. One conversation is one output row, as large as its turns together. Time grows with the
+length of the texts, also of runs of backslashes, and with n * sqrt(n) of a conversation's n turns.
 """
 
 from __future__ import annotations
@@ -37,27 +38,40 @@ _ANY = "|".join(re.escape(c) for c in CONTROLS)
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(\\*)({_ANY})", r"$1$1\\$2")
+    # Each run of backslashes is looked at once, from its start.
+    return F.regexp_replace(text, rf"(?<!\\)(\\*+)({_ANY})", r"$1$1\\$2")
 
 
 def unescape(text: Column) -> Column:
-    # Of an odd run of backslashes before a control string: half of it, and the last one goes.
-    return F.regexp_replace(text, rf"\\(?:(\\)(?=(?:\\\\)*\\(?:{_ANY}))|(?={_ANY}))", "$1")
+    # Of an odd run of backslashes before a control string: half of it, and the last one goes. What follows
+    # the run is looked at once, from its start; every further match goes on from the one before.
+    return F.regexp_replace(text, rf"(?:(?<!\\)(?=(?:\\\\)*+\\(?:{_ANY}))|\G(?<=\\))\\(\\|(?={_ANY}))", "$1")
+
+
+def cut(array: Column, starts: Column) -> Column:
+    """The runs of an array that begin at ``starts`` (from 0, ascending), up to the next start or the end."""
+    return F.transform(starts, lambda s, k: F.slice(array, s + 1, F.coalesce(F.get(starts, k + 1), F.size(array)) - s))
+
+
+def positions(array: Column) -> Column:
+    """0, 1, ... of an array."""
+    return F.transform(array, lambda x, i: i)
+
+
+def blocks_of(array: Column) -> Column:
+    """An array cut into about as many pieces as a piece has elements: work inside them grows with n * sqrt(n)."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(array))).cast("int"), F.lit(1))
+    return let(size, lambda n: cut(array, F.filter(positions(array), lambda i: i % n == 0)))
 
 
 def merged(turns: Column) -> Column:
     """array<struct<role, texts>>: adjacent turns of one role as one block."""
-    empty = F.expr("cast(array() as array<struct<role string, texts array<string>>>)")
+    def begins(turn: Column, i: Column) -> Column:
+        return (i == 0) | ~turn["role"].eqNullSafe(F.get(turns, i - 1)["role"])
 
-    def add(blocks: Column, turn: Column) -> Column:
-        one = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        last = F.get(blocks, F.size(blocks) - 1)
-        longer = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        return F.when((F.size(blocks) > 0) & last["role"].eqNullSafe(turn["role"]),
-                      F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(longer))).otherwise(
-                          F.concat(blocks, F.array(one)))
-
-    return F.aggregate(turns, empty, add)
+    flags = F.transform(turns, lambda t, i: F.when(begins(t, i), i))
+    return let(F.array_compact(flags), lambda starts: F.transform(cut(turns, starts), lambda run: F.struct(
+        F.get(run, 0)["role"].alias("role"), F.transform(run, lambda t: t["text"]).alias("texts"))))
 
 
 def segments(blocks: Column) -> Column:
@@ -84,15 +98,36 @@ def segments(blocks: Column) -> Column:
 
 def loss_spans(parts: Column) -> Column:
     """array<struct<start, length>> of the parts under the mask, in characters, from 0."""
-    zero = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start int, length int>>))")
+    def running(items: Column, zero: Column, length) -> Column:
+        """array<int>: for each item ``zero`` and the lengths of the items before it."""
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen"))
+
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("seen"))
+        return F.aggregate(items, start, step)["seen"]
+
+    def spans(block: Column, at: Column) -> Column:
+        found = F.transform(F.arrays_zip(block.alias("p"), running(block, at, lambda x: x["n"]).alias("at")), lambda x: F.when(
+            x["p"]["loss"], F.struct(x["at"].alias("start"), x["p"]["n"].alias("length"))))
+        return F.array_compact(found)
 
-    def step(acc: Column, part: Column) -> Column:
-        n = F.length(part["text"])
-        span = F.struct(acc["at"].alias("start"), n.alias("length"))
-        return F.struct((acc["at"] + n).alias("at"), F.when(
-            part["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    total = lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x["n"])
+    sizes = F.transform(parts, lambda p: F.struct(F.length(p["text"]).alias("n"), p["loss"].alias("loss")))
+    return let(let(sizes, blocks_of), lambda bs: let(running(bs, F.lit(0), total), lambda ats: F.flatten(
+        F.transform(bs, lambda b, i: spans(b, F.get(ats, i))))))
 
-    return F.aggregate(parts, zero, step)["spans"]
+
+def masked(formatted: Column, loss: Column) -> Column:
+    """array<string>: the texts under a loss mask, unescaped."""
+    def texts(whole: Column, block: Column) -> Column:
+        # A place in a string is found by walking from its start: a stretch is cut out first, then its spans.
+        low = F.get(block, 0)["start"]
+        last = F.get(block, F.size(block) - 1)
+        stretch = F.substring(whole, low + 1, last["start"] + last["length"] - low)
+        return let(stretch, lambda t: F.transform(block, lambda s: unescape(F.substring(t, s["start"] - low + 1, s["length"]))))
+
+    return let(formatted, lambda whole: let(loss, lambda spans: F.flatten(
+        F.transform(blocks_of(spans), lambda block: texts(whole, block)))))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -111,26 +146,28 @@ def read_back(formatted: Column) -> Column:
     pattern = F.lit(rf"(?s)(?<!\\)({opens}) (.*?) (?=(?<!\\)(?:{closes}))")
     found = F.arrays_zip(F.regexp_extract_all(formatted, pattern, F.lit(1)).alias("mark"),
                          F.regexp_extract_all(formatted, pattern, F.lit(2)).alias("text"))
-    start = F.expr("named_struct('role', cast(null as string), 'turns', cast(array() as array<struct<role string, text string>>))")
     names = {mark: role for role, mark in OPEN.items()}
 
-    def step(acc: Column, piece: Column) -> Column:
-        text = unescape(piece["text"])
-        role = acc["role"]
+    def turns(run: Column) -> Column:
+        """The turns of a block: its first piece has the mark of its role, or [ROLE] and the name."""
+        head = F.get(run, 0)
+        role = F.when(head["mark"] == ROLE, unescape(head["text"]))
         for mark, name in names.items():
-            role = F.when(piece["mark"] == mark, F.lit(name)).otherwise(role)
-        role = F.when(piece["mark"] == ROLE, text).otherwise(role)
-        return let(role, lambda r: F.struct(r.alias("role"), F.when(piece["mark"] == ROLE, acc["turns"]).otherwise(
-            F.concat(acc["turns"], F.array(F.struct(r.alias("role"), text.alias("text"))))).alias("turns")))
+            role = role.when(head["mark"] == mark, F.lit(name))
+        said = F.filter(run, lambda piece: piece["mark"] != ROLE)
+        return let(role, lambda r: F.transform(said, lambda piece: F.struct(r.alias("role"), unescape(piece["text"]).alias("text"))))
+
+    def starts(pieces: Column) -> Column:
+        return F.array_compact(F.transform(pieces, lambda p, i: F.when(~p["mark"].isin(NAMED, TURN), i)))
 
-    return let(found, lambda f: F.aggregate(f, start, step)["turns"])
+    return let(found, lambda f: let(starts(f), lambda s: F.flatten(F.transform(cut(f, s), turns))))
 
 
 def report(chats: DataFrame) -> DataFrame:
     """Figures read back from the output of ``format_chats``."""
     turns = F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    under = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
-    read = chats.select("conv_id", turns.alias("turns"), F.array_join(under, "").alias("learned"), F.length("formatted").alias("chars"))
+    under = F.array_join(masked(F.col("formatted"), F.col("loss")), "")
+    read = chats.select("conv_id", turns.alias("turns"), under.alias("learned"), F.length("formatted").alias("chars"))
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),

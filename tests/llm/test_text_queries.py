@@ -1,6 +1,7 @@
 """License scans, decontamination and chat formatting on messy rows, against plain Python."""
 
 import hashlib
+import time
 from collections import Counter
 
 import pytest
@@ -145,3 +146,26 @@ def test_escapes_mark_no_text(spark):
     for t, e, u in df.select("t", chat.escape(F.col("t")), chat.unescape(chat.escape(F.col("t")))).collect():
         assert u == t
         assert all(e[at - 1] == "\\" for c in chat.CONTROLS for at in range(len(e)) if e.startswith(c, at))
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    """100,000 turns in runs of one role, and a megabyte of backslashes, as text and before a control string."""
+    turns = spark.range(100_000).selectExpr(
+        "1L AS conv_id", "id AS turn", "element_at(array('user', 'user', 'assistant', 'tool'), cast(id % 4 AS int) + 1) AS role",
+        "concat('turn ', id, ' <s> \u00e9') AS text")
+    slashes = spark.range(2).selectExpr("2L AS conv_id", "id AS turn", "'assistant' AS role",
+                                        "concat(repeat('\\\\', 1000000), if(id = 0, '', '[INST]')) AS text")
+    start = time.perf_counter()
+    rows = {r.conv_id: r for r in chat.report(chat.format_chats(turns.union(slashes))).collect()}
+    took = time.perf_counter() - start
+    roles = ["user", "user", "assistant", "tool"]
+    texts = [f"turn {i} <s> \u00e9" for i in range(100_000)]
+    whole = "".join(f"{roles[i % 4]}\n{t}\n" for i, t in enumerate(texts))
+    learned = "".join(texts[2::4])
+    assert rows[1].n_turns == 100_000 and rows[1].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
+    assert (rows[1].loss_chars, rows[1].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    run = "\\" * 1_000_000
+    whole, learned = f"assistant\n{run}\nassistant\n{run}[INST]\n", f"{run}{run}[INST]"
+    assert rows[2].n_turns == 2 and rows[2].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
+    assert (rows[2].loss_chars, rows[2].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    assert took < 60
