@@ -176,6 +176,29 @@ def config_merge(spark, d):
     return configs.merge_config(devices, _config(spark, d), {"p": 1, "train_length": 1000})
 
 
+@query(
+    "config_document",
+    sql("""SELECT DeviceId, CAST(CASE p WHEN 0 THEN 1 WHEN 2 THEN 3 ELSE p END AS INTEGER) AS p, CAST(p = 2 AS INTEGER) AS d,
+        CASE p WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS q, CAST(p = 1 AS INTEGER) AS sp, 0 AS sd, 0 AS sq,
+        CASE WHEN p = 1 THEN 60 ELSE 0 END AS s, coalesce(train_length, 1000) AS train_length FROM cfg""", "ev", extra=_CFG_SQL),
+)
+def config_document(spark, d):
+    """Orders written as documents, changed by a second version, read back and merged with the defaults."""
+    folder = scratch_path(spark, "orders")
+    rows = _config(spark, d)
+    given = {"NumVehicles_order": F.when(F.col("p") > 0, F.format_string("[%d, 0, 0]", "p")),
+             "NumVehicles_seasonal_order": F.when(F.col("p") == 1, F.lit("[1, 0, 0, 60]")),
+             "NumVehicles_train_length": F.col("train_length").cast("string")}
+    settings = F.create_map(*[x for name, value in given.items() for x in (F.lit(name), value)])
+    own = rows.select("DeviceId", F.map_filter(settings, lambda k, v: v.isNotNull()).alias("settings"))
+    fixed = {"NumVehicles_order": "[1, 0, 1]", "NumVehicles_train_length": "1000"}
+    default = spark.createDataFrame([(None, fixed)], configs.CONFIG)
+    configs.save(own.unionByName(default), folder)
+    found = rows.filter("p = 2").select("DeviceId", F.create_map(F.lit("NumVehicles_order"), F.lit("[3, 1, 2]")).alias("settings"))
+    configs.save(configs.put(configs.load(spark, folder), found), folder)
+    return configs.orders(configs.effective(rows.select("DeviceId"), configs.load(spark, folder)), "NumVehicles")
+
+
 @query(
     "config_upsert",
     sql("""SELECT DeviceId, p, train_length FROM cfg WHERE p <> 2 UNION ALL

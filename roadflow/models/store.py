@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +25,12 @@ def _folder(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
-def save(models: DataFrame, folder: str, name: str) -> str:
-    """Store ``models`` as the current version of ``name``; returns the version."""
+def save(models: DataFrame, folder: str, name: str, kind: str = "parquet") -> str:
+    """Store ``models`` as the current version of ``name``, in files of a ``kind``; returns the version."""
     home = _folder(folder, name)
     spark, version = models.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    models.write.parquet(f"{home}/{version}")
-    stored = spark.read.parquet(f"{home}/{version}").count()
+    models.write.format(kind).save(f"{home}/{version}")
+    stored = spark.read.schema(models.schema).format(kind).load(f"{home}/{version}").count()
     spark.createDataFrame([(name, version, stored)], POINTER).coalesce(1).write.mode("append").parquet(f"{home}/pointers")
     return version
 
@@ -39,8 +40,16 @@ def versions(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(POINTER).parquet(f"{_folder(folder, name)}/pointers")
 
 
-def current(spark: SparkSession, folder: str, name: str) -> str:
-    newest = versions(spark, folder, name).agg(F.max("version")).first()[0]
+def current(spark: SparkSession, folder: str, name: str, **missing: None) -> str | None:
+    """The newest complete version. Without one this fails, or returns ``missing`` if that is given."""
+    try:
+        newest = versions(spark, folder, name).agg(F.max("version")).first()[0]
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None
+    if newest is None and "missing" in missing:
+        return missing["missing"]
     if newest is None:
         raise ValueError(f"no complete version of {name!r} in {folder}")
     return newest
