@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as K
 from ..plans import etl
-from ..schemas import FINAL_COLS, STRICT_COLS, TRAFFIC_METRICS, WEATHER_COLS
+from ..schemas import FINAL_COLS, KEYS, STRICT_COLS, TRAFFIC_METRICS, WEATHER_COLS
 from ..session import scratch_path
 from ..sources import configs, feeds, sinks
 from ..sources import sample_feeds as S
 from . import etl as E
 from . import inputs as I
-from .registry import query
+from .registry import query, rounded
 from .sqltext import each, sql
 
 
@@ -118,6 +118,38 @@ def sink_report(spark, d):
     return spark.read.schema(report.schema).json(path)
 
 
+@query(
+    "sink_class_map",
+    sql("""SELECT 'low' AS mapping_confidence, string_agg(code, ',' ORDER BY code) AS codes, 'NodeId' AS effective_device_id_source, 5 AS traffic_interval_type_kept FROM (SELECT DISTINCT CAST(VehicleClass AS INTEGER) AS code
+        FROM vehicle_clean WHERE VehicleClass NOT IN (2, 3, 6, 7))""", "vehicle_clean"),
+)
+def sink_class_map(spark, d):
+    """The class-map document, written and read back, its codes found in the whole detection feed."""
+    path = scratch_path(spark, "class-map")
+    document = sinks.class_map(I.vehicle_clean(spark, d, I.FIVE))
+    sinks.write_json(document, path)
+    back = spark.read.schema(document.schema).json(path)
+    return back.select("mapping_confidence", F.array_join("OtherVehicleClassCodesObserved", ",").alias("codes"),
+                       "effective_device_id_source", "traffic_interval_type_kept")
+
+
+def _audits(spark, d):
+    path = scratch_path(spark, "audits")
+    sinks.write_audits(I.traffic_obs(spark, d, I.FIVE), I.vehicle_feat(spark, d, I.FIVE), path)
+    return path
+
+
+@query(
+    "audit_unmatched",
+    sql("SELECT BucketTime, DeviceId, Lane, " + each(TRAFFIC_METRICS, "round({c}, 8) AS {c}") + ", TRUE AS VehicleDataMissing "
+        "FROM traffic_obs ANTI JOIN vehicle_feat USING (BucketTime, DeviceId, Lane)", "traffic_obs", "vehicle_feat"),
+)
+def audit_unmatched(spark, d):
+    """Traffic rows without detections, written as the audit file and read by its header."""
+    schema = I.traffic_obs(spark, d, I.FIVE).select(*KEYS, *TRAFFIC_METRICS, F.lit(True).alias("VehicleDataMissing")).schema
+    return rounded(feeds.read_csv(spark, f"{_audits(spark, d)}/unmatched", schema))
+
+
 def _dirty(feed):
     """The feed as it may arrive: each reading also as a copy of its id without time and lane, and such
     rows without any id."""

@@ -38,9 +38,11 @@ def coefficient_report(coefs: DataFrame) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("name", F.struct("coef", "pvalue"))))
         ).alias("coefs")
     )
+    # A map has no order of its own: targets are put in order by their names alone.
+    entry = F.struct("TargetCol", "coefs")
+    by_name = lambda a, b: F.when(a["TargetCol"] < b["TargetCol"], -1).when(a["TargetCol"] > b["TargetCol"], 1).otherwise(0)
     return by_target.groupBy("DeviceId").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("TargetCol", F.to_json("coefs")))))
-        .alias("targets")
+        F.map_from_entries(F.array_sort(F.collect_list(entry), by_name)).alias("targets")
     )
 
 
