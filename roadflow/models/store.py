@@ -1,4 +1,4 @@
-"""Model tables stored by name, in versions.
+"""Model tables, and the metrics and search results that go with them, stored by name, in versions.
 
 A version is a folder of its own that is never changed. What is current is told by a table of pointers, to which a
 row is appended when the version is complete: a reader sees the last complete version, whatever happens to a
@@ -26,7 +26,7 @@ def _folder(folder: str, name: str) -> str:
 
 
 def save(models: DataFrame, folder: str, name: str, kind: str = "parquet") -> str:
-    """Store ``models`` as the current version of ``name``, in files of a ``kind``; returns the version."""
+    """Store a table as the current version of ``name``, in files of a ``kind``; returns the version."""
     home = _folder(folder, name)
     spark, version = models.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     models.write.format(kind).save(f"{home}/{version}")
@@ -55,12 +55,16 @@ def current(spark: SparkSession, folder: str, name: str, **missing: None) -> str
     return newest
 
 
+def read(spark: SparkSession, folder: str, name: str, version: str | None = None) -> DataFrame:
+    """Any table that was stored by name: metrics, results of a search, coefficients."""
+    version = version or current(spark, folder, name)
+    return spark.read.parquet(f"{_folder(folder, name)}/{version}")
+
+
 def load(spark: SparkSession, folder: str, name: str, version: str | None = None) -> DataFrame:
     """The models of a version, the current one unless named. A stream that starts takes the version of that moment."""
-    version = version or current(spark, folder, name)
-    path = f"{_folder(folder, name)}/{version}"
-    found = spark.read.parquet(path)
+    found = read(spark, folder, name, version)
     lacking = {f.split()[0] for f in MODEL_TYPE.split(", ")} - set(found.columns)
     if lacking:
-        raise ValueError(f"{path} is no model table: {sorted(lacking)} are missing")
+        raise ValueError(f"{name!r} in {folder} is no model table: {sorted(lacking)} are missing")
     return found

@@ -59,3 +59,18 @@ def test_coefficients_are_nested_not_text(spark):
     assert list(doc["targets"]) == ["AvgSpeed", "NumVehicles"]
     assert doc["targets"]["NumVehicles"]["const"] == {"coef": 1.0, "pvalue": 0.5}
     assert doc["targets"]["NumVehicles"]["ar.L1"]["coef"] == 0.25
+
+
+def test_stored_metrics_are_served(spark):
+    from roadflow.models import store
+    from roadflow.operators.joins import metrics_lookup
+
+    folder = scratch_path(spark, "results")
+    rows = [(1, "a", "NumVehicles", 4.0, 0.5), (2, "a", "NumVehicles", 9.0, 0.1), (3, "b", "AvgSpeed", 1.0, 0.9)]
+    schema = "row long, DeviceId string, TargetCol string, MAE double, R2 double"
+    store.save(spark.createDataFrame(rows[2:], schema), folder, "metrics")
+    store.save(spark.createDataFrame(rows, schema), folder, "metrics")
+    devices = spark.createDataFrame([("a",), ("b",)], "DeviceId string")
+    served = metrics_lookup(devices, store.read(spark, folder, "metrics"), "NumVehicles", {"MAE": 50.0, "R2": 0.1})
+    assert sorted(map(tuple, served.collect())) == [("a", 4.0, 0.5), ("b", 50.0, 0.1)]
+    assert store.versions(spark, folder, "metrics").count() == 2
