@@ -9,7 +9,8 @@ the class. So the chain works on a bounded alphabet while every word of the corp
 
 * **Counts**: words are counted in the tasks and added up by word, over all training texts.
 * **Training**: each round broadcasts the chain, runs forward and backward over all training texts, and adds up the
-  expected counts of the partitions (states x (states + classes) numbers each). Texts are whole sequences.
+  expected counts of the partitions (those of states x (states + classes) numbers that are not zero). Texts are whole
+  sequences. Rounds end when the probability of the training tokens hardly rises, and after ROUNDS.
 * **Scores**: the exact likelihood, by the scaled forward recursion. A long text is cut into segments whose transfer
   matrices are computed side by side and then multiplied in order, which is the same recursion.
 * **Words**: the most frequent words, at most KNOWN, and their counts are broadcast, which is bounded and takes
@@ -21,12 +22,14 @@ texts of their own. Without any training text counts are zero and the chain stay
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +37,15 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .text import byte_words, held_out
 
-STATES, ROUNDS = 4, 4
-FREQUENT, BUCKETS = 1000, 256
+STATES, ROUNDS, GAIN = 6, 6, 0.002
+FREQUENT, BUCKETS = 20_000, 1024
 CLASSES = FREQUENT + BUCKETS
 KNOWN = 200_000
 LEVELS = 16
 #: Tokens of a segment, and of the texts that are worked on at once.
 SEGMENT, TOKENS = 64, 200_000
+#: Bytes of the texts whose words are looked up at once, and the parts of one in which expected counts are added up.
+CHARS, PARTS = 1 << 21, 10_000
 HELD_OUT = 5
 END = " "  # no word holds a blank
 
@@ -104,10 +109,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     rows = [] if lowest is None else counts.where(level >= lowest).collect()
     head = sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    own = [w for w, _ in head[:FREQUENT]]
-    rest = counts.where(~F.col("word").isin(own)) if own else counts
     in_bucket = (F.crc32(F.col("word").cast("binary")) % BUCKETS + FREQUENT).cast("int")
-    sizes = {r["k"]: (r["n"], r["v"]) for r in rest.groupBy(in_bucket.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    sizes = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy(in_bucket.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    for word, c in head[:FREQUENT]:
+        n, v = sizes[bucket(word.encode())]
+        sizes[bucket(word.encode())] = n - c, v - 1
     return Vocabulary(head, sizes, all_["n"], all_["v"])
 
 
@@ -119,6 +125,66 @@ def word_in_class(vocabulary: Vocabulary, k: int, c: int) -> float:
     return float(np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
 
 
+def portions(sizes: list[int], bound: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose ``sizes`` come to about ``bound`` together."""
+    start, size = 0, 0
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= bound:
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def joined_binary(content: bytes, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one behind the other in ``content``, by where each ends."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(content)])
+
+
+class Reader:
+    """Looks the words of some texts up at once."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        floor = v.total + 0.5 * (v.distinct + 1)
+        self.index = {w: k for k, w in enumerate(v.counts)}
+        # Class, and what one token adds to the base and inside its class; the last entry stands for a rare word.
+        self.classes = np.array([v.class_of(w) for w in v.counts] + [0], np.uint16)
+        self.base = np.append(np.log10((np.array(list(v.counts.values()), float) + 0.5) / floor), 0.0)
+        self.inner = np.array([word_in_class(v, v.class_of(w), c) for w, c in v.counts.items()] + [0.0])
+
+    def read(self, texts: list[str | None]) -> list[pa.Array]:
+        """n_tokens, n_known, base, inner, classes, rare, times of each text."""
+        words = [words_of(t) for t in texts]
+        lengths = np.array([len(w) for w in words])
+        ends = lengths.cumsum()
+        starts = ends - lengths
+        flat = list(itertools.chain.from_iterable(words))
+        ids = np.fromiter(map(self.index.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(ids < 0)
+        classes = self.classes[ids]
+        classes[missing] = [bucket(flat[k]) for k in missing.tolist()]
+        # Rare words of each text, each once with how often it stands there.
+        cuts = np.searchsorted(missing, np.concatenate((starts, ends[-1:])))
+        rare, times, offsets = [], [], [0]
+        for a, b in itertools.pairwise(cuts.tolist()):
+            if a < b:
+                found = Counter(flat[k] for k in missing[a:b].tolist())
+                rare += found
+                times += found.values()
+            offsets.append(len(rare))
+        offsets = pa.array(offsets, pa.int32())
+        # No text is without a token, so no sum is empty.
+        return [
+            pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((ids >= 0).astype(np.int64), starts)),
+            pa.array(np.add.reduceat(self.base[ids], starts)), pa.array(np.add.reduceat(self.inner[ids], starts)),
+            joined_binary(classes.tobytes(), ends * 2),
+            pa.ListArray.from_arrays(offsets, pa.array(rare, pa.binary()).cast(pa.string())),
+            pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
+        ]
+
+
 def read_texts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Each text by numbers: row, doc_id, held_out, n, classes (packed), known tokens and what they add, and rare words."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
@@ -126,36 +192,17 @@ def read_texts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
               "rare array<string>, times array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, context = shared.value, TaskContext.get()
+        reader, context = Reader(shared.value), TaskContext.get()
         row = (context.partitionId() if context else 0) << 40
-        floor = v.total + 0.5 * (v.distinct + 1)
-        # Class, what one token adds to the base and inside its class; for a rare word nothing is known yet.
-        known = {w: (v.class_of(w), float(np.log10((c + 0.5) / floor)), word_in_class(v, v.class_of(w), c)) for w, c in v.counts.items()}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch, out = whole.slice(at, 1000), []
-                for text in batch.column("text").to_pylist():
-                    words = words_of(text)
-                    n_known, base, inner, rare, classes = 0, 0.0, 0.0, [], []
-                    for word in words:
-                        found = known.get(word)
-                        if found is None:
-                            rare.append(word)
-                            classes.append(FREQUENT + zlib.crc32(word) % BUCKETS)
-                        else:
-                            classes.append(found[0])
-                            n_known += 1
-                            base += found[1]
-                            inner += found[2]
-                    times = Counter(rare)
-                    out.append((row, len(words), n_known, base, inner, np.array(classes, np.uint16).tobytes(),
-                                [w.decode() for w in times], list(times.values())))
-                    row += 1
-                columns = list(zip(*out)) if out else [[]] * 8
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
-                made = [pa.array(c, t) for c, t in zip(columns, types)]
+            sizes = pc.fill_null(pc.binary_length(whole.column("text")), 0).to_pylist()
+            for a, b in portions(sizes, CHARS):
+                batch = whole.slice(a, b - a)
+                made = reader.read(batch.column("text").to_pylist())
+                rows = pa.array(np.arange(row, row + b - a))
+                row += b - a
                 yield pa.RecordBatch.from_arrays(
-                    [made[0], batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), *made[1:]],
+                    [rows, batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), *made],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "classes", "rare", "times"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
@@ -166,6 +213,7 @@ class Chain:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         self.start, self.move, self.emit = start, move, emit
+        self.by_class = np.ascontiguousarray(emit.T)
 
     @staticmethod
     def initial(shares: np.ndarray) -> Chain:
@@ -178,48 +226,52 @@ class Chain:
 
     @staticmethod
     def of_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.ndarray) -> Chain:
-        """From expected counts, with a little of the shares so that nothing is impossible."""
-        parts = start + 0.1, move + 0.1, emit + 10 * shares
+        """From expected counts, as if each state had also seen one token for each class, dealt by the shares: nothing is
+        impossible, and few texts do not tie their words to a state."""
+        parts = start + 0.1, move + 0.1, emit + CLASSES * shares
         return Chain(*(p / p.sum(axis=-1, keepdims=True) for p in parts))
 
 
 class Segments:
-    """Some texts cut into pieces of SEGMENT tokens, padded; the pieces of a text follow each other."""
+    """Some texts cut into pieces of SEGMENT tokens, the longest pieces first: those with a token at a place are the first so many.
+
+    ``place`` has where each piece stands, the pieces of a text following each other.
+    """
 
     def __init__(self, packed: list[bytes]) -> None:
-        texts = [np.frombuffer(p, np.uint16) for p in packed]
-        lengths = np.array([len(t) for t in texts])
-        pieces = -(-lengths // SEGMENT)
-        self.first = np.concatenate(([0], np.cumsum(pieces)))[:-1]
-        self.pieces = pieces
-        flat = np.zeros(pieces.sum() * SEGMENT, np.int64)
-        used = np.zeros(len(flat), bool)
-        for t, at in zip(texts, self.first * SEGMENT):
-            flat[at : at + len(t)] = t
-            used[at : at + len(t)] = True
-        self.tokens, self.used = flat.reshape(-1, SEGMENT), used.reshape(-1, SEGMENT)
-        self.opens = np.zeros(len(self.tokens), bool)
-        self.opens[self.first] = True
-
-    def emissions(self, chain: Chain, at: int) -> np.ndarray:
-        return np.where(self.used[:, at, None], chain.emit.T[self.tokens[:, at]], 1.0)
-
-    def moving(self, at: int) -> np.ndarray:
-        """Pieces that take a transition before this token: not for padding, nor the first of a text."""
-        return self.used[:, at] & ~self.opens if at == 0 else self.used[:, at]
-
-    def transfers(self, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
-        """The scaled product of each piece's steps, as matrices, and the log10 of the scale."""
-        matrix = np.broadcast_to(np.eye(STATES), (len(self.tokens), STATES, STATES)).copy()
+        lengths = np.array([len(p) // 2 for p in packed])
+        self.pieces = -(-lengths // SEGMENT)
+        self.first = self.pieces.cumsum() - self.pieces
+        count = int(self.pieces.sum())
+        flat = np.zeros(count * SEGMENT, np.uint16)
+        flat[np.arange(lengths.sum()) + np.repeat(self.first * SEGMENT - (lengths.cumsum() - lengths), lengths)] = np.frombuffer(b"".join(packed), np.uint16)
+        sizes = np.full(count, SEGMENT)
+        sizes[self.first + self.pieces - 1] = lengths - (self.pieces - 1) * SEGMENT
+        order = np.argsort(-sizes, kind="stable")
+        self.place = np.empty(count, np.int64)
+        self.place[order] = np.arange(count)
+        self.tokens = np.ascontiguousarray(flat.reshape(-1, SEGMENT)[order].T)
+        self.live = [int((sizes > at).sum()) for at in range(SEGMENT)]
+        self.opens = np.zeros(count, bool)
+        self.opens[self.place[self.first]] = True
+
+    def emissions(self, chain: Chain) -> np.ndarray:
+        """What each state gives each token: place in the piece, piece, state."""
+        return np.take(chain.by_class, self.tokens, axis=0)
+
+    def transfers(self, chain: Chain, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scaled product of each piece's steps, as matrices, and the log10 of the scale. A text opens without a transition."""
+        matrix = np.where(self.opens[:, None, None], np.eye(STATES), chain.move)
         scale = np.zeros(len(matrix))
-        for at in range(SEGMENT):
-            take = self.moving(at)
-            matrix[take] = matrix[take] @ chain.move
-            matrix *= self.emissions(chain, at)[:, None, :]
+        for at, k in enumerate(self.live):
+            if at:
+                matrix[:k] = (matrix[:k].reshape(-1, STATES) @ chain.move).reshape(-1, STATES, STATES)
+            matrix[:k] *= emissions[at, :k, None, :]
             if at % 8 == 7:
-                size = matrix.sum(axis=(1, 2))
-                matrix /= size[:, None, None]
-                scale += np.log10(size)
+                k = self.live[at - 7]
+                size = matrix[:k].reshape(k, STATES * STATES) @ np.ones(STATES * STATES)
+                matrix[:k] /= size[:, None, None]
+                scale[:k] += np.log10(size)
         return matrix, scale
 
     def entries(self, chain: Chain, matrix: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,56 +280,49 @@ class Segments:
         now, total = np.tile(chain.start, (len(self.first), 1)), np.zeros(len(self.first))
         for k in range(self.pieces.max(initial=0)):
             live = np.flatnonzero(self.pieces > k)
-            rows = self.first[live] + k
+            rows = self.place[self.first[live] + k]
             alpha[rows] = now[live]
             after = np.einsum("ts,tsu->tu", now[live], matrix[rows])
             size = after.sum(axis=1)
             total[live] += np.log10(size) + scale[rows]
             now[live] = after / size[:, None]
         for k in range(self.pieces.max(initial=0) - 1, 0, -1):
-            rows = self.first[np.flatnonzero(self.pieces > k)] + k
+            at = self.first[np.flatnonzero(self.pieces > k)] + k
+            rows = self.place[at]
             back = np.einsum("tsu,tu->ts", matrix[rows], beta[rows])
-            beta[rows - 1] = back / back.sum(axis=1, keepdims=True)
+            beta[self.place[at - 1]] = back / back.sum(axis=1, keepdims=True)
         return alpha, beta, total
 
-    def expected(self, chain: Chain, alpha: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def expected(self, chain: Chain, emissions: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, transitions and emissions, by forward and backward inside the pieces."""
-        forward = np.empty((SEGMENT, len(alpha), STATES))
-        now = alpha
-        for at in range(SEGMENT):
-            take = self.moving(at)
-            now = np.where(take[:, None], now @ chain.move, now) * self.emissions(chain, at)
-            now = now / now.sum(axis=1, keepdims=True)
-            forward[at] = now
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        for at in range(SEGMENT - 1, -1, -1):
-            use = self.used[:, at]
-            here = forward[at] * beta
-            here /= here.sum(axis=1, keepdims=True)
-            for s in range(STATES):
-                emit[:, s] += np.bincount(self.tokens[use, at], here[use, s], CLASSES)
-            take = self.moving(at)
-            ahead = self.emissions(chain, at) * beta
-            before = forward[at - 1] if at else alpha
-            joint = before[take].T @ (ahead[take] / np.einsum("ts,su,tu->t", before[take], chain.move, ahead[take])[:, None])
-            move += joint * chain.move
+        ones, later = np.ones(STATES), ~self.opens
+        forward, sizes, now = np.empty(emissions.shape), np.empty(emissions.shape[:2]), alpha
+        for at, k in enumerate(self.live):
+            before = now[:k]
+            now = before @ chain.move
             if at == 0:
-                start += here[self.opens].sum(axis=0)
-            beta = np.where(take[:, None], ahead @ chain.move.T, ahead)
-            beta = beta / beta.sum(axis=1, keepdims=True)
-        return start, move, emit.T
-
-
-def portions(packed: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about TOKENS tokens together."""
-    start, size = 0, 0
-    for k, p in enumerate(packed):
-        size += len(p) // 2
-        if size >= TOKENS:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(packed):
-        yield start, len(packed)
+                now[self.opens] = before[self.opens]
+            now *= emissions[at, :k]
+            sizes[at, :k] = now @ ones
+            now /= sizes[at, :k, None]
+            forward[at, :k] = now
+        move, shares, beta = np.zeros((STATES, STATES)), np.zeros(emissions.shape), beta.copy()
+        for at in range(SEGMENT - 1, -1, -1):
+            k = self.live[at]
+            here = forward[at, :k] * beta[:k]
+            size = here @ ones
+            shares[at, :k] = here / size[:, None]
+            ahead = emissions[at, :k] * beta[:k]
+            # The weight of both tokens together is the forward step's size times ``size``.
+            joint = ahead / (sizes[at, :k] * size)[:, None]
+            move += (forward[at - 1, :k].T @ joint if at else alpha[later].T @ joint[later]) * chain.move
+            if at:
+                back = ahead @ chain.move.T
+                beta[:k] = back / (back @ ones)[:, None]
+        # Padding has no share, so it adds nothing to the class that it is filled with.
+        flat = self.tokens.ravel()
+        emit = np.stack([np.bincount(flat, shares[:, :, s].ravel(), CLASSES) for s in range(STATES)])
+        return shares[0, self.opens].sum(axis=0), move, emit
 
 
 def class_shares(vocab: Vocabulary) -> np.ndarray:
@@ -290,46 +335,57 @@ def class_shares(vocab: Vocabulary) -> np.ndarray:
     return shares / shares.sum()
 
 
-def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Chain:
-    """Baum-Welch over all ``texts`` (of ``read_texts``)."""
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, gain: float = GAIN) -> Chain:
+    """Baum-Welch over all ``texts`` (of ``read_texts``), until a round adds less than ``gain`` to the log10 probability
+    of a token, or for ``rounds`` rounds."""
     shares = class_shares(vocab)
-    chain = Chain.initial(shares)
+    chain, last = Chain.initial(shares), -np.inf
     for _ in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast(chain)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
+            sums, likelihood, tokens = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))], 0.0, 0
             for batch in batches:
-                packed = batch.column("classes").to_pylist()
-                for a, b in portions(packed):
-                    part = Segments(packed[a:b])
-                    alpha, beta, _ = part.entries(shared.value, *part.transfers(shared.value))
-                    for total, more in zip(sums, part.expected(shared.value, alpha, beta)):
+                for part in segments(batch):
+                    emissions = part.emissions(shared.value)
+                    alpha, beta, logs = part.entries(shared.value, *part.transfers(shared.value, emissions))
+                    for total, more in zip(sums, part.expected(shared.value, emissions, alpha, beta)):
                         total += more
-            flat = np.concatenate([s.ravel() for s in sums])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat, pa.float64())], names=["at", "n"])
-
-        # One row for each parameter: partitions are added up where they are, then by parameter.
-        summed = texts.select("classes").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum(F.col("n").cast("decimal(30,6)")).alias("n"))
-        flat = np.zeros(STATES * (1 + STATES + CLASSES))
-        for r in summed.collect():
-            flat[r["at"]] = float(r["n"])
-        start, move, emit = np.split(flat, [STATES, STATES * (1 + STATES)])
+                    likelihood += logs.sum()
+                    tokens += sum(part.live)
+            flat = np.rint(np.concatenate([*(s.ravel() for s in sums), [likelihood, tokens]]) * PARTS).astype(np.int64)
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "n"])
+
+        # One row for each number that is not zero, in whole parts: partitions are added up where they are, then by number,
+        # and the sum does not depend on their order.
+        summed = texts.select("classes").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        flat = np.zeros(STATES * (1 + STATES + CLASSES) + 2)
+        flat[summed["at"].to_numpy()] = summed["n"].to_numpy() / PARTS
+        start, move, emit, (likelihood, tokens) = np.split(flat, [STATES, STATES * (1 + STATES), len(flat) - 2])
         chain = Chain.of_counts(start, move.reshape(STATES, STATES), emit.reshape(STATES, CLASSES), shares)
+        shared.unpersist()
+        if likelihood - last < gain * tokens:
+            break
+        last = likelihood
     return chain
 
 
+def segments(batch: pa.RecordBatch) -> Iterator[Segments]:
+    packed = batch.column("classes").to_pylist()
+    for a, b in portions([len(p) // 2 for p in packed], TOKENS):
+        yield Segments(packed[a:b])
+
+
 def likelihoods(texts: DataFrame, chain: Chain) -> DataFrame:
     """(row, chain): log10 probability of the classes of each text."""
     shared = texts.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed, rows, totals = batch.column("classes").to_pylist(), batch.column("row"), []
-            for a, b in portions(packed):
-                part = Segments(packed[a:b])
-                totals.append(part.entries(shared.value, *part.transfers(shared.value))[2])
-            yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate(totals) if totals else np.empty(0), pa.float64())], names=["row", "chain"])
+            totals = [part.entries(shared.value, *part.transfers(shared.value, part.emissions(shared.value)))[2] for part in segments(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(np.concatenate(totals) if totals else np.empty(0), pa.float64())], names=["row", "chain"])
 
     return texts.select("row", "classes").mapInArrow(run, "row long, chain double")
 

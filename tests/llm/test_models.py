@@ -25,32 +25,35 @@ def plain_likelihood(classes, chain):
     return total + math.log10(a.sum())
 
 
-def test_segments_give_the_exact_likelihood_and_counts():
+def plain_counts(classes, chain):
+    """Expected starts, transitions and emissions of one text, token by token."""
+    n, f, b = len(classes), np.zeros((len(classes), hmm.STATES)), np.ones((len(classes), hmm.STATES))
+    for i in range(n):
+        f[i] = (f[i - 1] @ chain.move if i else chain.start) * chain.emit[:, classes[i]]
+        f[i] /= f[i].sum()
+    for i in range(n - 2, -1, -1):
+        b[i] = chain.move @ (chain.emit[:, classes[i + 1]] * b[i + 1])
+        b[i] /= b[i].sum()
+    move, emit = np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES))
+    for i in range(n):
+        emit[:, classes[i]] += f[i] * b[i] / (f[i] * b[i]).sum()
+        if i:
+            x = f[i - 1][:, None] * chain.move * (chain.emit[:, classes[i]] * b[i])
+            move += x / x.sum()
+    return f[0] * b[0] / (f[0] * b[0]).sum(), move, emit
+
+
+@pytest.mark.parametrize("lengths", [(1, 63, 64, 65, 129, 700), (1,), (1, 2, 1), (64, 128)])
+def test_segments_give_the_exact_likelihood_and_counts(lengths):
     rng = np.random.default_rng(0)
     chain = hmm.Chain.initial(np.full(hmm.CLASSES, 1 / hmm.CLASSES))
-    texts = [rng.integers(0, hmm.CLASSES, n).astype(np.uint16) for n in (1, 63, 64, 65, 129, 700)]
+    texts = [rng.integers(0, hmm.CLASSES, n).astype(np.uint16) for n in lengths]
     part = hmm.Segments([t.tobytes() for t in texts])
-    alpha, beta, total = part.entries(chain, *part.transfers(chain))
+    emissions = part.emissions(chain)
+    alpha, beta, total = part.entries(chain, *part.transfers(chain, emissions))
     assert np.allclose(total, [plain_likelihood(t, chain) for t in texts], rtol=0, atol=1e-8)
-    start, move, emit = part.expected(chain, alpha, beta)
-    want_move, want_emit = np.zeros_like(move), np.zeros_like(emit)
-    for t in texts:
-        n = len(t)
-        f, b = np.zeros((n, hmm.STATES)), np.ones((n, hmm.STATES))
-        f[0] = chain.start * chain.emit[:, t[0]]
-        f[0] /= f[0].sum()
-        for i in range(1, n):
-            f[i] = f[i - 1] @ chain.move * chain.emit[:, t[i]]
-            f[i] /= f[i].sum()
-        for i in range(n - 2, -1, -1):
-            b[i] = chain.move @ (chain.emit[:, t[i + 1]] * b[i + 1])
-            b[i] /= b[i].sum()
-        for i in range(n):
-            want_emit[:, t[i]] += f[i] * b[i] / (f[i] * b[i]).sum()
-            if i:
-                x = f[i - 1][:, None] * chain.move * (chain.emit[:, t[i]] * b[i])
-                want_move += x / x.sum()
-    assert np.allclose(move, want_move) and np.allclose(emit, want_emit) and math.isclose(start.sum(), len(texts))
+    want = [sum(x) for x in zip(*(plain_counts(t, chain) for t in texts))]
+    assert all(np.allclose(g, w) for g, w in zip(part.expected(chain, emissions, alpha, beta), want, strict=True))
 
 
 def test_language_model(spark):
@@ -68,10 +71,36 @@ def test_language_model(spark):
     assert hmm.score(messy.empty(spark)).collect() == []
 
 
+def test_language_model_by_hand(spark, monkeypatch):
+    """Scores of the whole operator against training and scoring token by token."""
+    monkeypatch.setattr(hmm, "GAIN", 0.0)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * i + k * (i % 3 + 1)) % 29}" for k in range(i % 90))) for i in range(40)] + [(None, None)],
+                                 "doc_id long, text string")
+    rows = docs.collect()
+    trained = [hmm.words_of(r.text) for r in rows if messy.remainder(r.doc_id, 5) != 1]
+    counts = Counter(w for words in trained for w in words)
+    own = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)))}
+    classes = lambda words: [own.get(w, hmm.bucket(w)) for w in words]
+    shares = np.full(hmm.CLASSES, 0.5)
+    for w, k in own.items():
+        shares[k] += counts[w]
+    shares /= shares.sum()
+    chain = hmm.Chain.initial(shares)
+    for _ in range(hmm.ROUNDS):
+        chain = hmm.Chain.of_counts(*(sum(x) for x in zip(*(plain_counts(classes(w), chain) for w in trained))), shares)
+    # No word is outside the frequent ones but unseen ones, each alone in its class with room for one word.
+    want = {r.doc_id: plain_likelihood(classes(hmm.words_of(r.text)), chain) for r in rows}
+    got = hmm.score(docs).collect()
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {sum(counts.values())}
+    assert all(math.isclose(r.score, want[r.doc_id], abs_tol=1e-3) for r in got)
+
+
 def test_rare_words_meet_their_counts(spark, monkeypatch):
     """The broadcast head only moves work: scores are the same without it."""
-    docs = messy.documents(spark)
-    rows = lambda: sorted(map(str, ((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in hmm.score(docs).collect())))
+    often, once = [f"a{k}" for k in range(hmm.FREQUENT - 1)], [f"b{k}" for k in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(often[k % 7 :: 7] * 3 + once[k % 7 :: 7])) for k in range(7)], "doc_id long, text string")
+    docs = docs.unionByName(messy.documents(spark).select("doc_id", "text"))
+    rows = lambda: sorted(map(str, ((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in hmm.score(docs).collect())))
     monkeypatch.setattr(hmm, "KNOWN", hmm.FREQUENT)
     few = rows()
     monkeypatch.setattr(hmm, "KNOWN", 10 * hmm.FREQUENT)
