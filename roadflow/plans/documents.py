@@ -87,13 +87,15 @@ def resolve_observations(
     Device ids are upper-cased; ``Confidence`` stands in for MeanConfidence, AvgSpeed for
     MedianSpeed; what is still missing comes from the latest row, then 0. Without a time
     the observation belongs to the step after the latest row; stamps are put on the grid.
+    A device without a latest row stays, with ``Known`` false and no time but its own.
     """
     alias = {"MeanConfidence": "Confidence", "MedianSpeed": "AvgSpeed"}
     have = set(requests.columns)
     last = latest.select(
-        "DeviceId", F.col("BucketTime").alias("_t"), *[F.col(c).alias(f"_l_{c}") for c in cols if c in latest.columns]
+        "DeviceId", F.lit(True).alias("_known"), F.col("BucketTime").alias("_t"),
+        *[F.col(c).alias(f"_l_{c}") for c in cols if c in latest.columns]
     )
-    joined = requests.withColumn("DeviceId", F.upper("DeviceId")).join(last, "DeviceId")
+    joined = requests.withColumn("DeviceId", F.upper("DeviceId")).join(last, "DeviceId", "left")
 
     def value(c):
         options = [F.col(c)] if c in have else []
@@ -103,7 +105,8 @@ def resolve_observations(
 
     time = F.coalesce(floor_to("ObservationTime", step), add_steps("_t", 1, step))
     rest = [c for c in requests.columns if c not in cols + ["DeviceId", "ObservationTime", "Confidence"]]
-    out = joined.select("DeviceId", *rest, time.alias("BucketTime"), *[value(c) for c in cols])
+    known = F.coalesce("_known", F.lit(False)).alias("Known")
+    out = joined.select("DeviceId", *rest, known, time.alias("BucketTime"), *[value(c) for c in cols])
     return out.withColumns({k: v for k, v in calendar("BucketTime").items() if k not in ("Day", "Month")})
 
 
@@ -112,18 +115,34 @@ def horizon_steps(minutes, step_minutes: int = 5) -> Column:
     return F.greatest(F.lit(1), F.floor(F.col(minutes) / step_minutes)).cast("int")
 
 
-def node_forecast(forecasts: DataFrame, actuals: DataFrame, resolved: DataFrame, target: str) -> DataFrame:
-    """Joint answer per step: the forecast target, other measures known or as observed."""
-    places = {"NumVehicles": 1, "AvgSpeed": 2, "Occupancy": 2, "AvgDensity": 2, "AvgHeadway": 2, "FlowRate": 2}
+def node_forecast(
+    forecasts: DataFrame, actuals: DataFrame, resolved: DataFrame, target: str, metrics: DataFrame | None = None
+) -> DataFrame:
+    """Joint answer per step: the forecast target, other measures known or as observed, and the target's scores.
+
+    ``metrics`` (DeviceId, MAE, RMSE, MAPE, R2) has a row for each device at most; a device without scores shows
+    zeros. Every observed device is answered: one that is not known, or has no model, has a single row
+    without a step, and ``Status`` says why. A measure that ``actuals`` lack is shown as observed.
+    """
+    places = {"NumVehicles": 1, "AvgSpeed": 2, "Occupancy": 2, "AvgDensity": 2, "AvgHeadway": 2, "FlowRate": 2, "MeanConfidence": 2}
     others = [c for c in places if c != target]
-    known = actuals.select("DeviceId", "BucketTime", F.lit(1).alias("_hit"), *[F.col(c).alias(f"_k_{c}") for c in others])
-    seen = resolved.select("DeviceId", *[F.col(c).alias(f"_o_{c}") for c in others])
-    joined = forecasts.join(known, ["DeviceId", "BucketTime"], "left").join(seen, "DeviceId", "left")
-    value = lambda c: F.when(F.col("_hit") == 1, F.col(f"_k_{c}")).otherwise(F.col(f"_o_{c}"))
+    measured = [c for c in others if c in actuals.columns]
+    known = actuals.select("DeviceId", "BucketTime", F.lit(1).alias("_hit"), *[F.col(c).alias(f"_k_{c}") for c in measured])
+    seen = resolved.select("DeviceId", "Known", *[F.col(c).alias(f"_o_{c}") for c in others])
+    joined = seen.join(forecasts, "DeviceId", "left").join(known, ["DeviceId", "BucketTime"], "left")
+    scores = {"Mae": ("MAE", 2), "Rmse": ("RMSE", 2), "Mape": ("MAPE", 2), "R2": ("R2", 3)}
+    if metrics is None:
+        joined = joined.withColumns({f"_m_{c}": F.lit(0.0) for c, _ in scores.values()})
+    else:
+        joined = joined.join(metrics.select("DeviceId", *[F.col(c).alias(f"_m_{c}") for c, _ in scores.values()]), "DeviceId", "left")
+    value = lambda c: F.when(F.col("_hit") == 1, F.col(f"_k_{c}")).otherwise(F.col(f"_o_{c}")) if c in measured else F.col(f"_o_{c}")
+    answered = F.col("step").isNotNull()
+    status = F.when(answered, "ok").when(F.col("Known"), "no model").otherwise("unknown device")
     return joined.select(
-        "DeviceId", "step", F.col("BucketTime").alias("Time"),
+        "DeviceId", status.alias("Status"), "step", F.col("BucketTime").alias("Time"),
         *[
-            F.round(F.col("predicted") if c == target else value(c), n).alias(c)
+            F.when(answered, F.round(F.col("predicted") if c == target else value(c), n)).alias("Confidence" if c == "MeanConfidence" else c)
             for c, n in places.items()
         ],
+        F.struct(*[F.round(F.coalesce(f"_m_{c}", F.lit(0.0)), n).alias(k) for k, (c, n) in scores.items()]).alias("Metrics"),
     )

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..models import evaluate as E
 from ..models import fit as M
 from ..models import forecast as P
+from ..sources import configs
 from ..session import stage
 from .features import model_features
 
 TEST_STEPS = 12
+TARGETS = ("NumVehicles", "AvgSpeed")
 HORIZONS = {"Forecast_15min": 3, "Forecast_30min": 6, "Forecast_60min": 12}
 
 # Search split (training rows, validation rows) and the optimiser's tiers.
@@ -40,10 +42,14 @@ class TrainResult:
 
 def train(
     series: DataFrame, target: str, step: str = "5 minutes", orders: DataFrame | None = None,
-    order: tuple = (1, 0, 0), source: str = "default",
+    order: tuple = (1, 0, 0), source: str = "default", rows: DataFrame | None = None,
 ) -> TrainResult:
-    """Fit on all but the last hour, score on it, refit on everything, look an hour ahead."""
-    rows = design(series, target)
+    """Fit on all but the last hour, score on it, refit on everything, look an hour ahead.
+
+    ``orders`` may name each device's source in ``ConfigSource``; ``rows`` is a design that is already there.
+    """
+    rows = design(series, target) if rows is None else rows
+    sources = orders if orders is not None and "ConfigSource" in orders.columns else None
     early = (TEST_STEPS + 1, M.EVERYTHING)
     models, full = M.fit_models(rows, target, orders, order, window=early, name="train")
     models = stage(models, "models")
@@ -60,6 +66,7 @@ def train(
     white = E.ljung_box(
         tested.withColumn("residual", F.col("actual") - F.col("predicted")), 10
     ).select("DeviceId", F.col("lb_pvalue").alias("LjungBox_pvalue"))
+    named = models.select("DeviceId", F.lit(source).alias("ConfigSource")) if sources is None else sources.select("DeviceId", "ConfigSource")
     metrics = (
         E.forecast_metrics(tested, ["DeviceId"])
         .join(
@@ -74,11 +81,37 @@ def train(
         )
         .join(white, "DeviceId", "left")
         .join(P.horizons(future, HORIZONS).drop("origin"), "DeviceId", "left")
-        .withColumn("ConfigSource", F.lit(source))
+        .join(named, "DeviceId", "left")
     )
     return TrainResult(metrics, models, tested, future)
 
 
+def train_targets(
+    series: DataFrame, step: str = "5 minutes", config: DataFrame | None = None, default: dict | None = None,
+    tiers: dict | None = None, targets: tuple[str, ...] = TARGETS,
+) -> dict[str, TrainResult]:
+    """Models of every device and target, each with its own order.
+
+    A device that the configuration (``sources.configs``) gives an order keeps it; the others take ``default``
+    (p, d, q and, if wanted, sp, sd, sq, s) where it is given, and else the best order of a search. Devices with an order are not searched.
+    """
+    results = {}
+    for target in targets:
+        rows = design(series, target)
+        devices = rows.select("DeviceId").distinct()
+        manual = devices.select("DeviceId", *[F.lit(None).cast("int").alias(c) for c in (*M.ORDER_COLS, "d")]).limit(0)
+        if config is not None:
+            manual = configs.orders(configs.effective(devices, config), target).drop("train_length")
+        manual = stage(manual, "manual-orders")
+        searched = manual
+        if default is None:
+            open_ = rows.join(manual, "DeviceId", "left_anti")
+            searched = M.best_order(M.order_search(open_, target, tiers or SEARCH, TEST_STEPS))
+        orders = stage(E.order_source(devices, manual, default, searched), "orders")
+        results[target] = train(series, target, step, orders, rows=rows)
+    return results
+
+
 def search(series: DataFrame, target: str, tiers: dict | None = None, test: int = TEST_STEPS) -> DataFrame:
     """Scores of every candidate order of every device."""
     return M.order_search(design(series, target), target, tiers or SEARCH, test)

@@ -138,6 +138,23 @@ def test_training_beats_the_mean(series):
     assert all(r["Forecast_60min"] is not None and r["ConfigSource"] == "default" for r in rows.values())
 
 
+def test_both_targets_with_their_own_orders(spark, series):
+    config = spark.createDataFrame(
+        [("walk", {"NumVehicles_order": "(2, 0, 0)", "AvgSpeed_order": "no order"})], "DeviceId string, settings map<string,string>")
+    runs = training.train_targets(series, config=config, tiers={"search": (200, 24, False)})
+    volume, speed = ({r["DeviceId"]: r for r in runs[t].metrics.collect()} for t in training.TARGETS)
+    assert set(volume) == set(speed) == {"ar", "ma", "season", "walk"}
+    assert {d: r["ConfigSource"] for d, r in volume.items()} == {"ar": "auto", "ma": "auto", "season": "auto", "walk": "manual"}
+    assert volume["walk"]["Order"] == "(2, 0, 0)" and {r["ConfigSource"] for r in speed.values()} == {"auto"}
+    assert {r["TargetCol"] for r in speed.values()} == {"AvgSpeed"} and all(r["MAE"] is not None for r in (*volume.values(), *speed.values()))
+
+
+def test_default_order_is_not_searched(series, monkeypatch):
+    monkeypatch.setattr(M, "order_search", lambda *a: pytest.fail("searched"))
+    run = training.train_targets(series, default={"p": 1, "d": 0, "q": 1}, targets=("NumVehicles",))["NumVehicles"]
+    assert {(r["Order"], r["ConfigSource"]) for r in run.metrics.collect()} == {("(1, 0, 1)", "default")}
+
+
 def test_chi2_tail():
     assert S.chi2_tail(18.307, 10) == pytest.approx(0.05, abs=1e-4)
     assert S.chi2_tail(3.841, 1) == pytest.approx(0.05, abs=1e-4)

@@ -95,3 +95,28 @@ def test_join_counts_come_with_the_observed_table(spark, small):
     assert run.join_counts["rows"] == keys["traffic_keys"] == run.observed.count()
     assert run.join_counts["both"] == keys["matched_keys"] > 0
     assert run.join_counts["left_only"] == keys["traffic_keys"] - keys["matched_keys"]
+
+
+def test_every_observed_node_is_answered(spark):
+    from datetime import datetime
+
+    from roadflow.plans import documents as Doc
+
+    at = lambda h: datetime(2024, 1, 1, h)
+    measures = ["NumVehicles", "AvgSpeed", "Occupancy", "AvgDensity", "AvgHeadway", "FlowRate", "MeanConfidence"]
+    latest = spark.createDataFrame([("A", at(8), *[1.0] * 7), ("B", at(8), *[2.0] * 7)], ["DeviceId", "BucketTime", *measures])
+    asked = spark.createDataFrame(
+        [("a", at(9), 30.5, 0.875), ("b", None, None, None), ("x", None, 7.0, None)], "DeviceId string, ObservationTime timestamp, AvgSpeed double, Confidence double")
+    seen = Doc.resolve_observations(asked, latest, measures, "1 hour")
+    known = {r["DeviceId"]: (r["Known"], r["BucketTime"], r["MeanConfidence"]) for r in seen.collect()}
+    assert known == {"A": (True, at(9), 0.875), "B": (True, at(9), 2.0), "X": (False, None, 0.0)}
+    ahead = spark.createDataFrame([("A", 1, at(10), 3.456), ("A", 2, at(11), 4.0)], "DeviceId string, step int, BucketTime timestamp, predicted double")
+    actual = spark.createDataFrame([("A", at(11), *[5.0] * 7)], latest.schema)
+    scores = spark.createDataFrame([("A", 1.234, 2.0, 3.0, 0.98765)], "DeviceId string, MAE double, RMSE double, MAPE double, R2 double")
+    rows = Doc.node_forecast(ahead, actual, seen, "AvgSpeed", scores).orderBy("DeviceId", "step").collect()
+    assert [(r["DeviceId"], r["Status"], r["step"]) for r in rows] == [("A", "ok", 1), ("A", "ok", 2), ("B", "no model", None), ("X", "unknown device", None)]
+    assert (rows[0]["AvgSpeed"], rows[0]["Confidence"], rows[1]["Confidence"], rows[1]["NumVehicles"]) == (3.46, 0.88, 5.0, 5.0)
+    assert rows[0]["Metrics"].asDict() == {"Mae": 1.23, "Rmse": 2.0, "Mape": 3.0, "R2": 0.988}
+    assert rows[2]["AvgSpeed"] is None and rows[2]["Metrics"]["Mae"] == 0.0
+    plain = Doc.node_forecast(ahead, actual, seen, "AvgSpeed").collect()
+    assert len(plain) == 4 and {r["Metrics"]["R2"] for r in plain} == {0.0}
