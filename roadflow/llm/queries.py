@@ -117,13 +117,13 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TOP_K_SQL = """
-WITH v AS (SELECT vec_id, min(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-p AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS p FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.p, c.p) AS BIGINT) AS score
-  FROM p q JOIN p c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT i, vec_id, len(e) AS n, list_transform(e, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS p FROM v),
+s AS (SELECT q.i, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.p, c.p) AS BIGINT) AS score
+  FROM p q JOIN p c ON q.n = c.n AND q.i <> c.i WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
 

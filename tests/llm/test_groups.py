@@ -151,17 +151,29 @@ def test_top_k(spark):
     centre = rng.normal(size=(20, 8))
     vectors = (centre[rng.integers(0, 20, 900)] + 0.1 * rng.normal(size=(900, 8))).astype(np.float32)
     rows = [(k, v.tolist(), 0) for k, v in enumerate(vectors)]
-    rows += [(1000 + k, rows[100][1], 0) for k in range(200)] + [(5, rows[5][1], 0), (None, rows[1][1], 0), (2000, None, 0), (2100, [], 0),
-             (2200, [1.0, None] + [0.0] * 6, 0), (2300, [float("nan")] * 8, 0), (2400, [float("inf")] * 8, 0), (2500, [1.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    # Copies, repeated ids with the same and with other vectors, other lengths, and what takes no part.
+    rows += [(1000 + k, rows[100][1], 0) for k in range(200)] + [(5, rows[5][1], 0), (5, rows[7][1], 0), (300, rows[8][1], 0), (400, rows[400][1], 0)]
+    rows += [(3000 + k, [0.5 * k, -1.0, 0.25], 0) for k in range(110)] + [(100, [3.0, -2.0, 1.0], 0), (2500, [1.0], 0)]
+    out = [(None, rows[1][1], 0), (2000, None, 0), (2100, [], 0), (2200, [1.0, None] + [0.0] * 6, 0), (2300, [float("nan")] * 8, 0), (2400, [float("inf")] * 8, 0)]
+    df = spark.createDataFrame(rows + out, "vec_id long, embedding array<float>, label int")
     got = sorted(map(tuple, kdtree.top_k(df, F.col("id") % 100 == 0).collect()))
-    usable = {r[0]: np.floor(1024 * np.array(r[1], np.float64)).astype(np.int64) for r in rows if r[0] is not None and r[0] < 2000}
-    ids = np.array(sorted(usable))
-    points = np.stack([usable[i] for i in ids])
+    points = [np.floor(1024 * np.array(r[1], np.float64)).astype(np.int64) for r in rows]
     want = []
-    for q in ids[ids % 100 == 0]:
-        best = sorted((-int(s), int(i)) for s, i in zip(points @ usable[q], ids) if i != q)[:10]
-        want += [(int(q), k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert got == sorted(want)
+    for q, (query_id, _, _) in enumerate(rows):
+        if query_id % 100 == 0:
+            best = sorted((-int(p @ points[q]), rows[c][0]) for c, p in enumerate(points) if c != q and len(p) == len(points[q]))[:10]
+            want += [(query_id, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want) and not [g for g in got if g[0] == 2500]
     assert kdtree.top_k(df.limit(0), F.col("id") % 100 == 0).collect() == []
     assert [tuple(r) for r in kdtree.top_k(df.where("vec_id in (0, 1)"), F.col("id") % 100 == 0).collect()][0][:3] == (0, 1, 1)
+
+
+def test_packed_trees_are_the_same():
+    rng = np.random.default_rng(5)
+    for scale in (100, 40_000, 1 << 40):
+        points = rng.integers(-scale, scale, (700, 5))
+        tree = kdtree.Tree.build(np.arange(700), np.arange(700) + 9, points)
+        same = kdtree.Tree.unpacked(tree.packed())
+        assert same.nodes == tree.nodes and np.array_equal(same.points, tree.points) and np.array_equal(same.points[np.argsort(same.ids)], points)
+        for start, end, a, b in same.nodes:
+            assert end - start <= kdtree.LEAF if not a else (same.nodes[a][0], same.nodes[a][1], same.nodes[b][1]) == (start, same.nodes[b][0], end)
