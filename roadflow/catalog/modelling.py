@@ -227,7 +227,7 @@ def _quantile_sql(p: str) -> str:
 
 @query(
     "qq_points",
-    sql(f"""SELECT DeviceId, CAST(i AS INTEGER) AS "rank", round(r, 8) AS ordered, round({_quantile_sql('p')}, 8) AS theoretical FROM (
+    sql(f"""SELECT DeviceId, i AS "rank", round(r, 8) AS ordered, round({_quantile_sql('p')}, 8) AS theoretical FROM (
         SELECT *, CAST(CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n)
         ELSE (i - 0.3175) / (n + 0.365) END AS DOUBLE) AS p FROM (SELECT DeviceId, actual - predicted AS r,
         row_number() OVER (PARTITION BY DeviceId ORDER BY actual - predicted) AS i, count(*) OVER (PARTITION BY DeviceId) AS n

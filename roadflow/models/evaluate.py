@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators.quantiles import exact_ranks
 from ..operators.timeseries import series_window
 from ..plans.explore import histogram
 from .solve import chi2_tail
@@ -182,14 +183,11 @@ def normal_quantile(p: Column) -> Column:
 
 def qq_points(df: DataFrame, value: str = "residual", by: str = "DeviceId") -> DataFrame:
     """Ordered residuals against normal order-statistic medians (Filliben's estimate)."""
-    w = W.partitionBy(by).orderBy(value)
-    n = F.count(F.lit(1)).over(W.partitionBy(by))
     top = F.pow(F.lit(0.5), 1.0 / F.col("_n"))
     median = (
         F.when(F.col("rank") == F.col("_n"), top).when(F.col("rank") == 1, 1 - top)
         .otherwise((F.col("rank") - 0.3175) / (F.col("_n") + 0.365))
     )
-    ranked = df.select(by, value).withColumns({"rank": F.row_number().over(w), "_n": n})
-    return ranked.select(
+    return exact_ranks(df, [by], value, size="_n").select(
         by, "rank", F.col(value).alias("ordered"), normal_quantile(median).alias("theoretical")
     )

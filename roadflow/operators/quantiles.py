@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 ACCURACY = 10_000
 SALTS = 32
+#: Buckets of a ranked group, and ranks of one value that are written out together.
+BUCKETS, RUN = 256, 100_000
 
 
 def exact_quantiles(
@@ -105,6 +109,42 @@ def exact_quantiles(
     )
 
 
+def meet(values: DataFrame, facts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``values`` (one row for each ``by`` and value) with the columns of ``facts`` (one row for each ``by``).
+
+    Facts are repeated per salt, so the values of a hot group meet them in many tasks.
+    """
+    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = values.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, [*by, "_salt"]).drop("_salt")
+
+
+def exact_ranks(df: DataFrame, by: list[str], value: str, rank: str = "rank", size: str = "n") -> DataFrame:
+    """by.., value, rank, n: every row's place in its group by value, without a task that holds a whole group.
+
+    1. Rows shrink to distinct values with their counts.
+    2. A mergeable sketch cuts each group into ranges of about 1/BUCKETS of its distinct values.
+    3. Ranges are counted, and what lies below each is added to the ranks inside it.
+
+    Equal values take consecutive ranks. Null values and rows with a null in ``by`` have none.
+    """
+    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).dropna(subset=[*by, value])
+    edges = counted.groupBy(*by).agg(F.percentile_approx(value, [k / BUCKETS for k in range(1, BUCKETS)], ACCURACY).alias("_edges"))
+    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    # Written once: sketches may differ from one computation to the next, buckets must not.
+    placed = stage(meet(counted, edges, by, value).select(*by, value, "_c", below.alias("_bucket")), "ranges")
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_in")).withColumns({
+        "_start": F.coalesce(F.sum("_in").over(before), F.lit(0)), size: F.sum("_in").over(W.partitionBy(*by))})
+    inside = W.partitionBy(*by, "_bucket").orderBy(value)
+    last = F.col("_start") + F.sum("_c").over(inside)
+    ranked = placed.join(starts.drop("_in"), [*by, "_bucket"]).withColumn("_last", last)
+    # A value that many rows share is written out in runs, so no row holds them all.
+    runs = ranked.withColumn("_run", F.explode(F.sequence(F.col("_last") - F.col("_c") + 1, F.col("_last"), F.lit(RUN).cast("long"))))
+    one = F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + RUN - 1, F.col("_last"))))
+    return runs.select(*by, value, one.alias(rank), size)
+
+
 def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row with the exact median of every column; null for an empty column."""
     long = exact_quantiles(df, cols, [0.5])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import floor_to
 from ..functions.columns import one_row
-from ..operators.quantiles import exact_medians, exact_quantiles
+from ..operators.quantiles import exact_medians, exact_quantiles, meet
 from ..operators.timeseries import time_grid
 
 
@@ -80,17 +80,17 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int, by: list[str] | None = None) -> DataFrame:
     """Equal-width bins between the smallest and largest value; the last one is closed."""
     by = by or []
-    values = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).alias("_x"))
+    values = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
     ends = values.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     if by:
-        joined = values.join(ends, by)
+        joined = meet(values, ends, by, "_x")
     else:
-        joined = values.withColumn("_e", one_row(ends)).select("_x", "_e.*")
+        joined = values.withColumn("_e", one_row(ends)).select("_x", "_c", "_e.*")
     index = F.when(F.col("_hi") > F.col("_lo"), F.least(
         F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)
     )).otherwise(F.lit(0))
-    counts = joined.groupBy(*by, index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = joined.groupBy(*by, index.cast("int").alias("bin")).agg(F.sum("_c").alias("n"))
     every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(counts, [*by, "bin"], "left").select(
         *by, "bin", (F.col("_lo") + width * F.col("bin")).alias("left"),
@@ -118,7 +118,7 @@ def boxplot(df: DataFrame, by: str, value: str) -> DataFrame:
     low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     x = F.col(value)
     reach = (
-        rows.join(quart, by)
+        meet(rows.distinct(), quart, [by], value)
         .groupBy(by)
         .agg(F.min(F.when(x >= low, x)).alias("_lo"), F.max(F.when(x <= high, x)).alias("_hi"))
     )

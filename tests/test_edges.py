@@ -210,3 +210,19 @@ def test_order_text(spark):
 def test_nan_is_null(spark):
     got = one(spark, [(math.nan,), (1.0,)], "v double", C.to_number("v"))
     assert [r[0] for r in got] == [None, 1.0]
+
+
+def test_exact_ranks_of_hot_and_small_groups(spark, monkeypatch):
+    from roadflow.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "RUN", 7)
+    rows = [("hot", float((k * k) % 613) if k % 3 else 1.5) for k in range(4000)] + [("one", -0.5), ("none", None), (None, 1.0)]
+    rows += [("same", 2.0)] * 30
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = sorted((r["g"], r["rank"], r["v"], r["n"]) for r in Q.exact_ranks(df, ["g"], "v").collect())
+    want = []
+    for g in ("hot", "one", "same"):
+        values = sorted(v for k, v in rows if k == g)
+        want += [(g, k, v, len(values)) for k, v in enumerate(values, 1)]
+    assert got == sorted(want)
+    assert Q.exact_ranks(df.limit(0), ["g"], "v").count() == 0
