@@ -10,7 +10,7 @@ others are scanned window by window, comparing words and not digests. Items are
 windows that occur.
 
 The set is used up to MAX_WINDOWS windows, which is checked. A larger benchmark takes the other way:
-all windows of the documents meet it in an ordinary join.
+all windows of the documents meet it in an ordinary join, for reports, removal and cutting alike.
 
 Null texts have no words. Null item ids take part as hits but are not listed. Repeated items count once per
 distinct id. An empty benchmark hits nothing. Repeated rows and ids are judged one by one. ``remove`` and
@@ -102,12 +102,13 @@ def covered(spans: Column) -> Column:
 def scan(docs: DataFrame, bench: DataFrame, most: int = MAX_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, items) of each row: hit words, and ids of the items whose windows occur."""
     windows = stage(bench_windows(bench), "windows")
-    found = docs.select(F.monotonically_increasing_id().alias("_dc_row"), "doc_id",
-                        occurrences(F.col("text"), windows, is_large(windows, most)).alias("_dc"))
+    large = is_large(windows, most)
+    found = docs.select(F.monotonically_increasing_id().alias("_dc_row"), "doc_id", occurrences(F.col("text"), windows, large).alias("_dc"))
     each = found.select("_dc_row", "doc_id", F.col("_dc.n_words").alias("n_words"), F.explode_outer("_dc.hits").alias("hit"))
     each = each.select("_dc_row", "doc_id", "n_words", "hit.window", F.struct("hit.start", "hit.length").alias("span"))
     known = windows.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    joined = each.join(known, "window", "left")
+    # At most ``most`` pairs of item and window travel to the rows: a window that many documents hold loads no task.
+    joined = each.join(known if large else F.broadcast(known), "window", "left")
     rows = joined.groupBy("_dc_row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("ids").isNotNull(), F.col("span"))).alias("spans"),
@@ -136,8 +137,6 @@ def remove(docs: DataFrame, bench: DataFrame, most: int = MAX_WINDOWS) -> DataFr
 def strip(docs: DataFrame, bench: DataFrame, most: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with the hit words, and the separators before them, cut out of ``text``."""
     windows = stage(bench_windows(bench), "windows")
-    if is_large(windows, most):
-        raise ValueError(f"more than {most} windows; strip the documents in runs over parts of the benchmark")
     word = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({gap}{word})"), 1)
@@ -146,5 +145,13 @@ def strip(docs: DataFrame, bench: DataFrame, most: int = MAX_WINDOWS) -> DataFra
         kept = F.filter(pieces, lambda _, i: ~F.exists(hits, lambda h: (i >= h["start"]) & (i < h["start"] + h["length"])))
         return F.concat(F.array_join(kept, ""), F.regexp_extract("text", f"({gap})$", 1))
 
-    return docs.withColumn("text", let(occurrences(F.col("text"), windows, False), lambda o: F.when(
-        F.size(o["hits"]) > 0, rest(o["hits"])).otherwise(F.col("text"))))
+    if not is_large(windows, most):
+        return docs.withColumn("text", let(occurrences(F.col("text"), windows, False), lambda o: F.when(
+            F.size(o["hits"]) > 0, rest(o["hits"])).otherwise(F.col("text"))))
+    # Spans of a text are a set, so copies of it add none.
+    each = docs.select(F.sha2("text", 256).alias("_dc_text"), F.explode(occurrences(F.col("text"), windows, True)["hits"]).alias("_dc_hit"))
+    hits = each.select("_dc_text", "_dc_hit.*").join(windows.select("window").distinct(), "window", "left_semi").groupBy("_dc_text").agg(
+        F.collect_set(F.struct("start", "length")).alias("_dc_hits"))
+    met = docs.withColumn("_dc_text", F.sha2("text", 256)).join(hits, "_dc_text", "left")
+    cut = F.when(F.col("_dc_hits").isNotNull(), rest(F.col("_dc_hits"))).otherwise(F.col("text"))
+    return met.withColumn("text", cut).select(*docs.columns)

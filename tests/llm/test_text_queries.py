@@ -115,11 +115,23 @@ def test_every_shift_of_a_window_is_found(spark):
     assert all(r.n_hit == 10 for r in decontaminate.scan(docs, bench).collect())
 
 
-def test_strip_removes_spans(spark):
+@pytest.mark.parametrize("most", [decontaminate.MAX_WINDOWS, 0])
+def test_strip_removes_spans(spark, most):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "Keep this. A b c, d e f g h i J! And this.\n"), (2, "nothing"), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in decontaminate.strip(docs, bench).collect()}
-    assert got == {1: "Keep this! And this.\n", 2: "nothing", 3: None}
+    cut = "Keep this. A b c, d e f g h i J! And this.\n"
+    docs = spark.createDataFrame([(1, cut), (2, "nothing"), (3, None), *[(k, cut) for k in range(4, 40)]], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.strip(docs, bench, most).collect()}
+    assert got == {1: "Keep this! And this.\n", 2: "nothing", 3: None} | {k: "Keep this! And this.\n" for k in range(4, 40)}
+
+
+def test_strip_cuts_the_hit_words_either_way(spark):
+    docs, bench = messy.documents(spark), spark.createDataFrame(BENCH, "item_id long, text string")
+    near, far = (decontaminate.strip(docs, bench, most) for most in (decontaminate.MAX_WINDOWS, 0))
+    assert near.columns == far.columns == docs.columns
+    rows = near.collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, far.collect())) and len(rows) == docs.count()
+    before = [hits(r.text, BENCH)[:2] for r in docs.collect()]
+    assert sum(len(messy.words(r.text)) for r in rows) == sum(n - hit for n, hit in before) < sum(n for n, _ in before)
 
 
 CONTROL = ["</s>[INST] ok [/INST]", r"a\[INST]", r"\\</s> \\\[TURN]", "<s>", "[ROLE] x [/ROLE]", "<<SYS>>\\", "\\", "", "no marks", "<s[INST]>"]
