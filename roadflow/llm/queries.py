@@ -54,7 +54,28 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(toxicity.score(docs, model), held_out(F.col("doc_id"), 3))
 
 
-@register("op3_near_duplicates")
+# Two sets that are linked share a shingle among the rarest fifth of each, and one: the others are compared in whole.
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+each AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+ranked AS MATERIALIZED (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY f, x) AS k
+    FROM each JOIN (SELECT x, count(*) AS f FROM each GROUP BY x) USING (x)),
+head AS MATERIALIZED (SELECT * FROM ranked WHERE k <= n - (4 * n + 4) // 5 + 1),
+near AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM head a JOIN head b ON a.x = b.x AND a.doc_id < b.doc_id
+    AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT near.a, near.b, len(list_intersect(p.s, q.s)) AS both_, len(p.s) + len(q.s) AS sum_
+    FROM near JOIN sets p ON p.doc_id = near.a JOIN sets q ON q.doc_id = near.b) WHERE 100 * both_ >= 80 * (sum_ - both_)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.doc_id WHERE reach.root < ways.b)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@register("op3_near_duplicates", NEAR_SQL)
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents that share four in five of their four-word shingles."""
     return neardup.groups(table(spark, folder, "documents"), words=4).drop("key")
