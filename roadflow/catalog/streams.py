@@ -16,6 +16,17 @@ from .registry import query, rounded
 from .sqltext import sql
 
 TICKS = 12
+_NAMES = TARGET_REGRESSORS["NumVehicles"]
+# The last rows of every device as ticks, and the rows that each tick's history holds.
+_PLACED = {"placed": f"""SELECT DeviceId, BucketTime, NumVehicles AS y, {', '.join(_NAMES)},
+    {', '.join(f'coalesce(lag({c}) OVER w, {c}) AS {c}_lag1' for c in _NAMES)},
+    row_number() OVER (PARTITION BY DeviceId ORDER BY BucketTime DESC) AS rn FROM series
+    WINDOW w AS (PARTITION BY DeviceId ORDER BY BucketTime)"""}
+_TICKS_SQL = sql("SELECT DeviceId, BucketTime, " + ", ".join(f"round({c}, 8) AS {c}" for c in ["y", *[f"{c}_lag1" for c in _NAMES], *_NAMES])
+                 + f" FROM placed WHERE rn <= {TICKS}", "series", grain=I.HOUR_S, extra=_PLACED)
+_HISTORY_SQL = sql(f"""SELECT a.DeviceId, a.BucketTime, strftime(b.BucketTime, '%Y-%m-%d %H:%M') AS "time", round(b.y, 8) AS actual
+    FROM placed a JOIN placed b ON b.DeviceId = a.DeviceId AND b.rn >= a.rn AND b.rn < a.rn + {R.KEEP} WHERE a.rn <= {TICKS}""",
+                   "series", grain=I.HOUR_S, extra=_PLACED)
 
 
 def _prepared(spark, d, order=(2, 0, 1)):
@@ -43,10 +54,10 @@ def _forecast_stream(spark, d, order=(2, 0, 1)):
     return R.extend_and_forecast(base, I.HOUR)
 
 
-@query("stream_ticks")
+@query("stream_ticks", _TICKS_SQL)
 def stream_ticks(spark, d):
     _, path, schema = _prepared(spark, d)
-    return R.run_to_table(R.tick_stream(spark, path, schema, 1), "replayed")
+    return rounded(R.run_to_table(R.tick_stream(spark, path, schema, 1), "replayed"))
 
 
 @query("stream_extend")
@@ -61,10 +72,11 @@ def stream_forecast(spark, d):
     return out.select("DeviceId", "BucketTime", F.posexplode("forecast").alias("step", "predicted"))
 
 
-@query("stream_history")
+@query("stream_history", _HISTORY_SQL)
 def stream_history(spark, d):
+    """The sliding history of every tick: what the state holds equals the rows up to the tick."""
     out = R.run_to_table(_forecast_stream(spark, d), "history")
-    return out.select("DeviceId", "BucketTime", F.explode("history").alias("_h")).select("DeviceId", "BucketTime", "_h.*")
+    return rounded(out.select("DeviceId", "BucketTime", F.explode("history").alias("_h")).select("DeviceId", "BucketTime", "_h.*"))
 
 
 @query("stream_horizons")
@@ -80,10 +92,10 @@ def stream_latest_doc(spark, d):
     return R.read_documents(spark, path, stream.schema)
 
 
-@query("stream_append")
+@query("stream_append", _TICKS_SQL)
 def stream_append(spark, d):
     _, path, schema = _prepared(spark, d)
-    return R.append_history(R.tick_stream(spark, path, schema, 2))
+    return rounded(R.append_history(R.tick_stream(spark, path, schema, 2)))
 
 
 @query(

@@ -199,6 +199,8 @@ def test_no_device_vanishes(spark):
     assert set(status) == names and status["N1"] == status["N5"] == "fallback" and status["N700"] == status["N90"] == "fitted"
     run = training.train(series, "NumVehicles", "1 hour", order=(2, 0, 0))
     assert {r["DeviceId"] for r in run.metrics.collect()} == names
+    both = training.train_targets(series, "1 hour", tiers={"quick": (300, 60, False)})
+    assert all({r["DeviceId"] for r in b.metrics.collect()} == names for b in both.values())
     ahead = run.future.collect()
     assert {r["DeviceId"] for r in ahead} == names and all(r["predicted"] == r["predicted"] for r in ahead)
     best = M.best_order(M.order_search(rows, "NumVehicles", {"quick": (300, 60, False)}, 12)).collect()
