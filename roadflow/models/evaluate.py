@@ -169,16 +169,23 @@ QUANTILE = {
 }
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the normal distribution function, by column arithmetic."""
-    def ratio(part: str, r: Column) -> Column:
+def normal_quantile(df: DataFrame, p: str, name: str) -> DataFrame:
+    """``df`` with the inverse of the normal distribution function at column ``p``, by column arithmetic.
+
+    What the polynomials run over is made in projections of its own: written into each term, it would grow the
+    generated code beyond what the JVM takes.
+    """
+    def ratio(part: str) -> Column:
+        r = F.col(f"_{part}")
         above, below = (reduce(lambda acc, c: acc * r + F.lit(c), reversed(cs[:-1]), F.lit(cs[-1])) for cs in QUANTILE[part])
         return above / below
 
-    q = p - 0.5
-    r = F.sqrt(-F.log(F.least(p, 1 - p)))
-    tail = F.when(r <= 5, ratio("near", r - 1.6)).otherwise(ratio("far", r - 5))
-    return F.when(F.abs(q) <= 0.425, q * ratio("middle", 0.180625 - q * q)).otherwise(F.when(q < 0, -tail).otherwise(tail))
+    q, r = F.col("_q"), F.col("_r")
+    based = df.withColumns({"_q": F.col(p) - 0.5, "_r": F.sqrt(-F.log(F.least(F.col(p), 1 - F.col(p))))})
+    based = based.withColumns({"_middle": 0.180625 - q * q, "_near": r - 1.6, "_far": r - 5})
+    based = based.withColumn("_tail", F.when(r <= 5, ratio("near")).otherwise(ratio("far")))
+    value = F.when(F.abs(q) <= 0.425, q * ratio("middle")).otherwise(F.when(q < 0, -F.col("_tail")).otherwise(F.col("_tail")))
+    return based.withColumn(name, value).drop("_q", "_r", "_middle", "_near", "_far", "_tail")
 
 
 def qq_points(df: DataFrame, value: str = "residual", by: str = "DeviceId") -> DataFrame:
@@ -188,6 +195,5 @@ def qq_points(df: DataFrame, value: str = "residual", by: str = "DeviceId") -> D
         F.when(F.col("rank") == F.col("_n"), top).when(F.col("rank") == 1, 1 - top)
         .otherwise((F.col("rank") - 0.3175) / (F.col("_n") + 0.365))
     )
-    return exact_ranks(df, [by], value, size="_n").select(
-        by, "rank", F.col(value).alias("ordered"), normal_quantile(median).alias("theoretical")
-    )
+    ranked = exact_ranks(df, [by], value, size="_n").withColumn("_p", median)
+    return normal_quantile(ranked, "_p", "theoretical").select(by, "rank", F.col(value).alias("ordered"), "theoretical")
