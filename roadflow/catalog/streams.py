@@ -30,7 +30,7 @@ _HISTORY_SQL = sql(f"""SELECT a.DeviceId, a.BucketTime, strftime(b.BucketTime, '
 
 
 def _prepared(spark, d, order=(2, 0, 1)):
-    """Models of everything but the last 12 rows, and those rows as tick files in time order."""
+    """Models of everything but the last 12 rows, those rows as tick files in time order, their schema and files of a batch."""
     series = stage(I.series(spark, d), "series")
     rows = stage(M.training_rows(model_features(series, "NumVehicles")), "design")
     models, full = M.fit_models(rows, "NumVehicles", order=order, window=(TICKS + 1, M.EVERYTHING), name="train")
@@ -39,25 +39,22 @@ def _prepared(spark, d, order=(2, 0, 1)):
     raw = series.select("DeviceId", "BucketTime", *TARGET_REGRESSORS["NumVehicles"])
     names = [f"{c}_lag1" for c in TARGET_REGRESSORS["NumVehicles"]]
     last = rows.filter(F.col("rn") <= TICKS).select("DeviceId", "BucketTime", "y", *names, "rn")
-    ticks = last.join(raw, ["DeviceId", "BucketTime"])
+    ticks = stage(last.join(raw, ["DeviceId", "BucketTime"]), "last-rows")
     path = scratch_path(spark, "ticks")
-    # A third of the replay at a time, oldest first: files are read in the order of their writing.
-    for third in range(3):
-        high, low = TICKS - 4 * third, TICKS - 4 * third - 3
-        ticks.filter(F.col("rn").between(low, high)).drop("rn").write.mode("append").parquet(path)
-    return models, path, ticks.drop("rn").schema
+    files = R.write_replay(ticks, path, TICKS, 3)
+    return models, path, ticks.drop("rn").schema, files
 
 
 def _forecast_stream(spark, d, order=(2, 0, 1)):
-    models, path, schema = _prepared(spark, d, order)
-    base = R.with_future_base(R.tick_stream(spark, path, schema, 1), models, "NumVehicles", I.HOUR)
+    models, path, schema, files = _prepared(spark, d, order)
+    base = R.with_future_base(R.tick_stream(spark, path, schema, files), models, "NumVehicles", I.HOUR)
     return R.extend_and_forecast(base, I.HOUR)
 
 
 @query("stream_ticks", _TICKS_SQL)
 def stream_ticks(spark, d):
-    _, path, schema = _prepared(spark, d)
-    return rounded(R.run_to_table(R.tick_stream(spark, path, schema, 1), "replayed"))
+    _, path, schema, files = _prepared(spark, d)
+    return rounded(R.run_to_table(R.tick_stream(spark, path, schema, files), "replayed"))
 
 
 @query("stream_extend")
@@ -94,8 +91,8 @@ def stream_latest_doc(spark, d):
 
 @query("stream_append", _TICKS_SQL)
 def stream_append(spark, d):
-    _, path, schema = _prepared(spark, d)
-    return rounded(R.append_history(R.tick_stream(spark, path, schema, 2)))
+    _, path, schema, files = _prepared(spark, d)
+    return rounded(R.append_history(R.tick_stream(spark, path, schema, 2 * files)))
 
 
 @query(

@@ -22,6 +22,21 @@ AHEAD = 24
 KEEP = 24
 
 
+def write_replay(ticks: DataFrame, path: str, rows: int, parts: int) -> int:
+    """The last ``rows`` ticks of every device (``rn`` counts from the end) as files, a part of them at a time, oldest first.
+
+    Files are read in the order of their writing. All ticks that a device has in a part lie in one file, so batches
+    hold them in time order wherever they are cut. Returns the files of a part: with as many in a batch, the
+    number of batches does not grow with the devices.
+    """
+    each = -(-rows // parts)
+    for part in range(parts):
+        high = rows - each * part
+        now = ticks.filter(F.col("rn").between(max(high - each + 1, 1), high)).drop("rn")
+        now.repartition("DeviceId").write.mode("append").parquet(path)
+    return max(1, -(-len(ticks.sparkSession.read.schema(ticks.drop("rn").schema).parquet(path).inputFiles()) // parts))
+
+
 def tick_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """Tick rows from a folder of Parquet files, oldest file first."""
     reader = spark.readStream.schema(schema)
