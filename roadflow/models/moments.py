@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +28,29 @@ class Sums:
         slot[0] += len(z)
         slot[1] = slot[1] + v.T @ v
 
-    def flush(self) -> pd.DataFrame:
-        out = pd.DataFrame([(*key, float(n), g.ravel().tolist()) for key, (n, g) in self.sums.items()],
-                           columns=["DeviceId", "window", "reach", "n", "gram"])
+    def flush(self) -> pa.RecordBatch:
+        keys, found = list(self.sums), list(self.sums.values())
         self.sums.clear()
-        return out
+        return pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+            pa.array([k[2] for k in keys], pa.int32()), pa.array([float(n) for n, _ in found], pa.float64()),
+            pa.array([g.ravel() for _, g in found], pa.list_(pa.float64())),
+        ], ["DeviceId", "window", "reach", "n", "gram"])
+
+
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """The devices of a batch and the places of their rows."""
+    codes = batch.column("DeviceId").dictionary_encode()
+    places = codes.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(places, kind="stable")
+    cuts = np.flatnonzero(np.diff(places[order])) + 1
+    for at in np.split(order, cuts) if len(order) else ():
+        yield codes.dictionary[int(places[at[0]])].as_py(), at
+
+
+def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column as numbers, nulls as NaN."""
+    return batch.column(name).to_numpy(zero_copy_only=False)
 
 
 def added_up(partial: DataFrame) -> DataFrame:
@@ -71,28 +89,34 @@ def series_moments(
     """
     own = own or {reach: [] for reach in columns}
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    used = sorted({c for cols in columns.values() for c in cols})
+    used += sorted({f"{c}_{i}" for cols in own.values() for c in cols for i in range(len(names))})
+    place = {c: i for i, c in enumerate(used)}
+    picked = {(i, reach): [place[c] for c in [*base, *[f"{c}_{i}" for c in own[reach]]]]
+              for i in range(len(names)) for reach, base in columns.items()}
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for batch in batches:
-            for device, part in batch.groupby("DeviceId", sort=False):
-                rn = part["rn"].to_numpy()
-                for i, name in enumerate(names):
-                    inside = (rn >= part[f"low_{i}"].to_numpy()) & (rn <= part[f"high_{i}"].to_numpy())
-                    for reach, base in columns.items():
-                        z = part[[*base, *[f"{c}_{i}" for c in own[reach]]]].to_numpy(dtype=float)[inside]
-                        z = z[~np.isnan(z).any(axis=1)]
-                        if len(z):
-                            sums.add((device, name, reach), z)
-            if len(sums.sums) > _OPEN_SERIES * len(names) * len(columns):
-                yield sums.flush()
+            values = np.column_stack([numbers(batch, c) for c in used])
+            known = ~np.isnan(values)
+            rn, ends = numbers(batch, "rn"), {c: numbers(batch, c) for c in bounds(names)}
+            inside = [(rn >= ends[f"low_{i}"]) & (rn <= ends[f"high_{i}"]) for i in range(len(names))]
+            whole = {key: known[:, at].all(axis=1) & inside[key[0]] for key, at in picked.items()}
+            for device, rows_of in runs(batch):
+                part = values[rows_of]
+                for (i, reach), at in picked.items():
+                    z = part[whole[i, reach][rows_of]][:, at]
+                    if len(z):
+                        sums.add((device, names[i], reach), z)
+                if len(sums.sums) > _OPEN_SERIES * len(names) * len(columns):
+                    yield sums.flush()
         if sums.sums:
             yield sums.flush()
 
-    used = sorted({c for cols in columns.values() for c in cols})
-    used += sorted({f"{c}_{i}" for cols in own.values() for c in cols for i in range(len(names))})
     kept = in_ranges(rows, ranges, names).select(
         "DeviceId", "rn", *bounds(names), *[F.col(c).cast("double").alias(c) for c in used])
-    return added_up(kept.mapInPandas(reduce, GRAMS))
+    return added_up(kept.mapInArrow(reduce, GRAMS))
 
 
 def lag_moments(rows: DataFrame, ranges: DataFrame, names: list[str], lags: Column, widest: int) -> DataFrame:
@@ -106,23 +130,25 @@ def lag_moments(rows: DataFrame, ranges: DataFrame, names: list[str], lags: Colu
     kept = in_ranges(rows.select("DeviceId", "BucketTime", "rn", back.alias("back")), ranges, names)
     kept = kept.select("DeviceId", "rn", *bounds(names), "back", *[lags(i).alias(f"lags_{i}") for i in range(len(names))])
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for batch in batches:
-            for device, part in batch.groupby("DeviceId", sort=False):
-                rn, size = part["rn"].to_numpy(), part["back"].str.len().to_numpy()
+            back = batch.column("back")
+            # The newest value of a row is the last of its list.
+            flat, ends = back.values.to_numpy(zero_copy_only=False), back.offsets.to_numpy()
+            size, newest = np.diff(ends), ends[1:] - 1
+            rn, column = numbers(batch, "rn"), {c: numbers(batch, c) for c in [*bounds(names), *[f"lags_{i}" for i in range(len(names))]]}
+            for device, at in runs(batch):
                 for i, name in enumerate(names):
-                    reach = int(part[f"lags_{i}"].iloc[0])
-                    use = (rn >= part[f"low_{i}"].to_numpy()) & (rn <= part[f"high_{i}"].to_numpy()) & (size > reach)
-                    if not use.any():
-                        continue
-                    z = np.stack([np.asarray(b)[: -reach - 2 : -1] for b in part["back"][use]])
+                    reach = int(column[f"lags_{i}"][at[0]])
+                    use = at[(rn[at] >= column[f"low_{i}"][at]) & (rn[at] <= column[f"high_{i}"][at]) & (size[at] > reach)]
+                    z = flat[newest[use][:, None] - np.arange(reach + 1)]
                     z = z[~np.isnan(z).any(axis=1)]
                     if len(z):
                         sums.add((device, name, reach), z)
-            if len(sums.sums) > _OPEN_SERIES * len(names):
-                yield sums.flush()
+                if len(sums.sums) > _OPEN_SERIES * len(names):
+                    yield sums.flush()
         if sums.sums:
             yield sums.flush()
 
-    return added_up(kept.mapInPandas(reduce, GRAMS))
+    return added_up(kept.mapInArrow(reduce, GRAMS))
