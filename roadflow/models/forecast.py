@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,32 +26,50 @@ FORECAST_TYPE = (
 )
 
 
-def forecast_requests(requests: DataFrame) -> DataFrame:
+def _matrix(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Lists of numbers as the rows of a matrix, filled up with zeros; nulls are NaN."""
+    size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), max(size.max(initial=0), width or 0)))
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out[:, :width]
+
+
+def forecast_requests(requests: DataFrame, actual: bool = False) -> DataFrame:
     """Forecast every request row: DeviceId, origin, times[], x[][], y_tail, e_tail, weights.
 
     A request is a bounded set of arrays (steps x regressors), so rows run independently
-    in whatever partitions they lie; nothing is grouped here.
+    in whatever partitions they lie; nothing is grouped here. ``actual``: requests have the known targets of their
+    steps (actual[]), which come back next to the forecasts, so they need not be looked up again.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: dict[str, list] = {c.split()[0]: [] for c in FORECAST_TYPE.split(", ")}
-            for r in batch.to_dict("records"):
-                xb = r["const"] + np.stack(r["x"]) @ np.asarray(r["beta"])
-                guess = S.recurse(r, xb, np.asarray(r["y_tail"]), np.asarray(r["e_tail"]))
-                half = Z95 * S.error_spread(r, len(xb))
-                steps = len(xb)
-                for name, values in (
-                    ("DeviceId", [r["DeviceId"]] * steps), ("origin", [r["origin"]] * steps),
-                    ("step", range(1, steps + 1)), ("BucketTime", r["times"]), ("predicted", np.maximum(guess, 0.0)),
-                    ("lower", np.maximum(guess - half, 0.0)), ("upper", guess + half),
-                ):
-                    parts[name].extend(values)
-            yield pd.DataFrame(parts).astype({"step": "int32"})
-
+            column = {name: batch.column(name) for name in batch.schema.names}
+            steps = np.diff(column["x"].offsets.to_numpy())
+            if not steps.sum():
+                continue
+            model = {c: _matrix(column[c]) for c in ("beta", "w", "theta")}
+            model |= {c: column[c].to_numpy(zero_copy_only=False) for c in ("const", "sigma2")}
+            # Requests with fewer steps than others of the batch are filled up, and cut again below.
+            asked = np.arange(steps.max()) < steps[:, None]
+            row = np.repeat(np.arange(len(steps)), steps)
+            x = column["x"].flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)
+            xb = np.zeros(asked.shape)
+            xb[asked] = model["const"][row] + np.einsum("ij,ij->i", x, model["beta"][row])
+            guess = S.recurse_all(model, xb, _matrix(column["y_tail"], model["w"].shape[1]), _matrix(column["e_tail"]))[asked]
+            half = Z95 * S.error_spreads(model, asked.shape[1])[asked]
+            number = lambda values: pa.array(values, pa.float64(), from_pandas=True)
+            found = [column["DeviceId"].take(pa.array(row)), column["origin"].take(pa.array(row)),
+                     pa.array(np.nonzero(asked)[1] + 1, pa.int32()), column["times"].flatten(),
+                     number(np.maximum(guess, 0.0)), number(np.maximum(guess - half, 0.0)), number(guess + half)]
+            found += [column["actual"].flatten()] if actual else []
+            yield pa.RecordBatch.from_arrays(found, names)
+
+    kind = FORECAST_TYPE + (", actual double" if actual else "")
+    names = [c.split()[0] for c in kind.split(", ")]
     return requests.select(
-        "DeviceId", "origin", "times", "x", "y_tail", "e_tail", *WEIGHTS
-    ).mapInPandas(run, FORECAST_TYPE)
+        "DeviceId", "origin", "times", "x", "y_tail", "e_tail", *WEIGHTS, *(["actual"] if actual else [])
+    ).mapInArrow(run, kind)
 
 
 def holdout_requests(rows: DataFrame, models: DataFrame, target: str, test: int) -> DataFrame:
@@ -143,24 +161,20 @@ def backtest_requests(
     """
     names = regressor_names(target)
     placed = placed_origins(rows, origins, n).where("steps > 0")
-    steps = placed.select("DeviceId", "asked", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("step"), "rn").select(
-        "DeviceId", "asked", (F.col("rn") - F.col("step")).alias("rn"))
-    known = rows.select(
-        "DeviceId", F.col("rn").cast("long").alias("rn"), "BucketTime",
-        F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
-    met = steps.join(known, ["DeviceId", "rn"]).groupBy("DeviceId", "asked").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("BucketTime").alias("t"), "x"))).alias("_s"))
+    asked = placed.groupBy("DeviceId", "rn").agg(F.collect_list("asked").alias("_asked"))
     back = W.partitionBy("DeviceId").orderBy("BucketTime")
     newest = lambda c, k: F.reverse(F.collect_list(F.coalesce(c, F.lit(0.0))).over(back.rowsBetween(1 - k, 0)))
-    stands = rows.select("DeviceId", F.col("rn").cast("long").alias("rn"), "BucketTime", "y", "e").join(
-        placed.select("DeviceId", "rn").distinct().withColumn("_here", F.lit(True)), ["DeviceId", "rn"], "left")
-    tails = stands.withColumns({"_y": newest("y", MAX_LAG), "_e": newest("e", MAX_SHOCK)}).where("_here").select(
-        "DeviceId", "rn", F.col("BucketTime").alias("start"), *padded(F.col("_y"), F.col("_e")))
-    return (
-        met.join(placed.select("DeviceId", "asked", "rn"), ["DeviceId", "asked"]).join(tails, ["DeviceId", "rn"])
-        .select("DeviceId", F.col("asked").alias("origin"), "start", F.col("_s.t").alias("times"), F.col("_s.x").alias("x"), "y_tail", "e_tail")
-        .join(models.select("DeviceId", *WEIGHTS), "DeviceId")
-    )
+    step = F.struct(F.col("BucketTime").alias("t"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
+                    F.col("y").cast("double").alias("y"))
+    # Rows and origins are shuffled as they are, and never by a broadcast: there may be as many origins as rows. The
+    # arrays of a request are made behind the last shuffle.
+    stands = rows.select("DeviceId", F.col("rn").cast("long").alias("rn"), "BucketTime", "y", "e", step.alias("_step")).join(
+        asked.hint("merge"), ["DeviceId", "rn"], "left")
+    met = stands.withColumns({
+        "_y": newest("y", MAX_LAG), "_e": newest("e", MAX_SHOCK), "_s": F.collect_list("_step").over(back.rowsBetween(1, n)),
+    }).where("_asked IS NOT NULL").join(models.select("DeviceId", *WEIGHTS), "DeviceId")
+    return met.select("DeviceId", F.explode("_asked").alias("origin"), F.col("BucketTime").alias("start"), F.col("_s.t").alias("times"),
+                      F.col("_s.x").alias("x"), F.col("_s.y").alias("actual"), *padded(F.col("_y"), F.col("_e")), *WEIGHTS)
 
 
 def repeated_last(rows: DataFrame, origins: DataFrame, n: int) -> DataFrame:
@@ -168,11 +182,14 @@ def repeated_last(rows: DataFrame, origins: DataFrame, n: int) -> DataFrame:
 
     ``rows``: DeviceId, BucketTime, y, rn. Gives DeviceId, origin, step, predicted, actual.
     """
-    placed = placed_origins(rows, origins, n).where("steps > 0").select("DeviceId", F.col("asked").alias("origin"), "rn", "steps")
-    value = lambda name: rows.select("DeviceId", F.col("rn").cast("long").alias("rn"), F.col("y").alias(name))
-    steps = placed.join(value("predicted"), ["DeviceId", "rn"]).select(
-        "DeviceId", "origin", "rn", "predicted", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("step"))
-    return steps.withColumn("rn", F.col("rn") - F.col("step")).join(value("actual"), ["DeviceId", "rn"]).drop("rn")
+    placed = placed_origins(rows, origins, n).where("steps > 0").select("DeviceId", F.col("asked").alias("origin"), "rn")
+    after = W.partitionBy("DeviceId").orderBy(F.col("rn").desc()).rowsBetween(1, n)
+    known = rows.select("DeviceId", F.col("rn").cast("long").alias("rn"), F.col("y").alias("predicted"),
+                        F.collect_list(F.struct(F.col("y").alias("actual"))).over(after).alias("_ahead"))
+    # As many origins as rows: no side is small enough for a broadcast, whatever their files weigh.
+    met = placed.join(known.hint("merge"), ["DeviceId", "rn"])
+    return met.select("DeviceId", "origin", "predicted", F.posexplode("_ahead").alias("step", "_a")).select(
+        "DeviceId", "origin", "predicted", (F.col("step") + 1).alias("step"), "_a.actual")
 
 
 def origin_scores(forecasts: DataFrame) -> DataFrame:
@@ -185,9 +202,11 @@ def origin_scores(forecasts: DataFrame) -> DataFrame:
 def with_actuals(forecasts: DataFrame, rows: DataFrame) -> DataFrame:
     """Forecast, actual and absolute error where the stamp is known."""
     actual = rows.select("DeviceId", "BucketTime", F.col("y").alias("actual"))
-    return forecasts.join(actual, ["DeviceId", "BucketTime"], "left").withColumn(
-        "error", F.abs(F.col("actual") - F.col("predicted"))
-    )
+    return with_error(forecasts.join(actual.hint("merge"), ["DeviceId", "BucketTime"], "left"))
+
+
+def with_error(forecasts: DataFrame) -> DataFrame:
+    return forecasts.withColumn("error", F.abs(F.col("actual") - F.col("predicted")))
 
 
 def fitted_values(rows: DataFrame, models: DataFrame, target: str) -> DataFrame:

@@ -174,6 +174,32 @@ def error_spread(model: dict, steps: int) -> np.ndarray:
     return np.sqrt(model["sigma2"] * np.cumsum(np.square(psi)))
 
 
+def recurse_all(models: dict, xb: np.ndarray, y_tail: np.ndarray, e_tail: np.ndarray) -> np.ndarray:
+    """``recurse`` for many models at once, one a row; ``w`` and ``theta`` are matrices."""
+    w, theta = models["w"], models["theta"]
+    steps, reach = xb.shape[1], w.shape[1]
+    # What is forecast goes in front of what is known, newest first.
+    past = np.hstack([np.zeros_like(xb), y_tail[:, :reach]])
+    shocks = np.flatnonzero(theta.any(axis=0))
+    for h in range(steps):
+        shock = sum((theta[:, j] * e_tail[:, j - h] for j in shocks if 0 <= j - h < e_tail.shape[1]), np.zeros(len(xb)))
+        at = steps - h
+        past[:, at - 1] = xb[:, h] + np.einsum("ij,ij->i", w, past[:, at : at + reach]) + shock
+    return past[:, :steps][:, ::-1]
+
+
+def error_spreads(models: dict, steps: int) -> np.ndarray:
+    """``error_spread`` for many models at once, one a row."""
+    w, theta = models["w"], models["theta"]
+    psi = np.ones((len(w), steps))
+    for j in range(1, steps):
+        near = min(j, w.shape[1])
+        psi[:, j] = np.einsum("ij,ij->i", w[:, :near], psi[:, j - near : j][:, ::-1])
+        if j <= theta.shape[1]:
+            psi[:, j] += theta[:, j - 1]
+    return np.sqrt(models["sigma2"][:, None] * np.cumsum(np.square(psi), axis=1))
+
+
 # Response surface of the Dickey-Fuller t statistic with a constant
 # (MacKinnon 1994), lower and upper part, and the ends of its range.
 TAU_STAR, TAU_MIN, TAU_MAX = -1.61, -18.83, 2.74

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pytest
@@ -185,3 +186,33 @@ def test_normal_quantile_of_columns(spark):
     p = [1e-300, 1e-20, 1e-9, 1e-3, 0.02, 0.075, 0.3, 0.5, 0.7, 0.925, 0.98, 0.9999999]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in p], "p double").transform(E.normal_quantile, "p", "z").select("z").collect()]
     np.testing.assert_allclose(got, [NormalDist().inv_cdf(v) for v in p], rtol=1e-12, atol=1e-14)
+
+
+def test_origins_are_not_broadcast(spark):
+    """Staged rows weigh little as files: neither they nor as many origins may go through the driver."""
+    rows = training.design(series_of(spark, {"x": ar(400), "y": ar(300, 7)}), "NumVehicles")
+    models, full = M.fit_models(rows, "NumVehicles", order=(1, 0, 0))
+    full, models = stage(full, "full"), stage(models, "models")
+    origins = full.select("DeviceId", F.col("BucketTime").alias("origin"))
+    for got in (P.repeated_last(full, origins, 12), P.backtest_requests(full, models, origins, "NumVehicles", 12)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # One row a device may be broadcast, rows and origins may not.
+        assert re.search(r"SortMergeJoin \[DeviceId#\d+, rn#", plan) and not re.search(r"BroadcastHashJoin \[[^\]]*rn#", plan)
+    requests = stage(P.backtest_requests(full, models, origins, "NumVehicles", 12), "requests")
+    ahead = P.forecast_requests(requests, actual=True)
+    looked_up = P.with_actuals(P.forecast_requests(requests), full)
+    key = ["DeviceId", "origin", "step"]
+    a, b = (t.orderBy(*key).toPandas() for t in (ahead, looked_up))
+    assert len(a) == len(b) == 700 * 12
+    np.testing.assert_array_equal(a["actual"], b["actual"])
+
+
+def test_many_forecasts_equal_one(spark):
+    rng = np.random.default_rng(5)
+    models = {"w": rng.normal(0, 0.1, (6, 30)), "theta": rng.normal(0, 0.1, (6, 8)), "sigma2": rng.uniform(1, 2, 6)}
+    xb, y, e = rng.normal(5, 1, (6, 24)), rng.normal(5, 1, (6, 30)), rng.normal(0, 1, (6, 8))
+    guess, spread = S.recurse_all(models, xb, y, e), S.error_spreads(models, 24)
+    for i in range(6):
+        one = {k: v[i] for k, v in models.items()}
+        np.testing.assert_allclose(guess[i], S.recurse(one, xb[i], y[i], e[i]), rtol=1e-12)
+        np.testing.assert_allclose(spread[i], S.error_spread(one, 24), rtol=1e-12)
