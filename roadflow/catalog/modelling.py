@@ -398,7 +398,8 @@ def backtest_table(spark, d):
     models, rows = _models(spark, d)
     origins = rows.select("DeviceId", F.col("BucketTime").alias("origin"))
     wanted = P.backtest_requests(rows, models, origins, "NumVehicles", 12)
-    return P.with_actuals(P.forecast_requests(wanted), rows)
+    found = P.with_error(P.forecast_requests(wanted, actual=True))
+    return found.select("DeviceId", "BucketTime", *[c for c in found.columns if c not in ("DeviceId", "BucketTime")])
 
 
 @query(
