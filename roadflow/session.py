@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows with matrices or request arrays weigh 10 to 200 KB: a Python worker holds so many bytes of them, not 10,000 rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # The JVM never compiles methods above 8000 bytes of bytecode. Wide projections run
     # several times faster when such stages fall back to split, compilable methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",

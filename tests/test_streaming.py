@@ -154,3 +154,22 @@ def test_a_set_without_its_manifest_line_is_not_read(spark):
     assert [(r["DeviceId"], r["x"]) for r in R.read_documents(spark, out, stream.schema).collect()] == [("a", 2.0)]
     with pytest.raises(ValueError, match="two document sets"):
         R.latest_documents(stream, out, keep=1)
+
+
+def test_replay_has_few_batches_and_devices_in_order(spark):
+    ticks = spark.range(600).selectExpr("'d' || (id DIV 12) DeviceId", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 12 - cast(id % 12 AS INT)) BucketTime",
+                                        "cast(id % 12 + 1 AS INT) rn").repartition(16)
+    path, coalesce = scratch_path(spark, "replay"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        files = R.write_replay(ticks, path, 12, 3)
+    finally:
+        spark.conf.set(coalesce, "true")
+    written = spark.read.parquet(path)
+    assert written.count() == 600 and len(written.inputFiles()) <= 3 * files
+    # Each device has its four ticks of a part in one file.
+    assert written.groupBy("DeviceId", F.input_file_name()).count().filter("count <> 4").count() == 0
+    seen = []
+    R.tick_stream(spark, path, written.schema, files).writeStream.foreachBatch(lambda b, i: seen.append(b.count())).option(
+        "checkpointLocation", scratch_path(spark, "replay-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sum(seen) == 600
