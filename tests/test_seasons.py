@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,13 @@ def test_many_forecasts_equal_one(spark):
         one = {k: v[i] for k, v in models.items()}
         np.testing.assert_allclose(guess[i], S.recurse(one, xb[i], y[i], e[i]), rtol=1e-12)
         np.testing.assert_allclose(spread[i], S.error_spread(one, 24), rtol=1e-12)
+
+
+def test_python_batches_are_bounded_in_bytes(spark):
+    def weigh(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    wide = spark.range(0, 3000, 1, 1).select(F.array_repeat(F.lit(1.5), 4000).alias("x"))
+    sizes = [r["size"] for r in wide.mapInArrow(weigh, "size long").collect()]
+    assert max(sizes) < 20 * 2**20 and sum(sizes) >= 3000 * 4000 * 8
