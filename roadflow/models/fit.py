@@ -152,8 +152,10 @@ def _labelled(model: dict, order, seasonal, d, before=None, after=None) -> dict:
 def with_fallback(models: DataFrame, rows: DataFrame, target: str, name: str) -> DataFrame:
     """``models`` plus a row of order (1, 0, 0) for every device that has none: it repeats the last value.
 
-    Such devices are too short for a complete row of lags; ``status`` tells them apart.
+    Such devices are too short for a complete row of lags; ``status`` tells them apart. ``models`` are staged: they are
+    read once as they are and once to see which devices have none.
     """
+    models = staged(models, "fitted")
     per = rows.groupBy("DeviceId").agg(F.coalesce(F.var_pop("y"), F.lit(0.0)).alias("_var"), F.count("y").alias("_n"))
     zeros = lambda k: F.array_repeat(F.lit(0.0), k)
     plain = {

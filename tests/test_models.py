@@ -244,3 +244,10 @@ def test_observation_moves_the_forecast(spark):
     assert [r[:2] for r in low] == [r[:2] for r in high] == [(1, 17), (2, 18), (3, 19)]
     w = models.first()["w"][0]
     assert abs((high[0][2] - low[0][2]) - 10 * w) < 1e-6 and abs((high[1][2] - low[1][2]) - 10 * w * w) < 1e-6
+
+
+def test_fitted_models_are_solved_once(rows, monkeypatch):
+    """Devices without a model are looked for among staged models, not by solving all of them again."""
+    models, _ = M.fit_models(rows, "NumVehicles")
+    plan = models._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan
