@@ -363,14 +363,15 @@ def _score(joined: DataFrame, target: str, seasonal: bool) -> DataFrame:
             for r in batch.to_dict("records"):
                 grams, x = read_grams(r["grams"]), np.stack(r["x"])
                 actual = np.asarray(r["actual"], dtype=float)
-                for order, sea in tries:
-                    reach = nearest(grams, order, sea)
-                    if reach is None:
-                        continue
-                    gram, n = grams[reach]
-                    model = S.fit(gram, n, layout(target, True, reach), order, sea, REACH)
-                    xb = model["const"] + x @ np.asarray(model["beta"])
-                    guess = S.recurse(model, xb, np.asarray(r["y_tail"]), np.asarray(r["e_tail"]))
+                common = {k: S.Common(gram, n, layout(target, True, k), REACH) for k, (gram, n) in grams.items()}
+                held = [(order, sea, nearest(grams, order, sea)) for order, sea in tries]
+                held = [(order, sea, common[reach].fit(order, sea)) for order, sea, reach in held if reach is not None]
+                if not held:
+                    continue
+                models = {c: np.array([m[c] for _, _, m in held]) for c in ("w", "theta")}
+                xb = np.array([m["const"] + x @ np.asarray(m["beta"]) for _, _, m in held])
+                tails = [np.broadcast_to(np.asarray(r[c], dtype=float), (len(held), len(r[c]))) for c in ("y_tail", "e_tail")]
+                for (order, sea, _), guess in zip(held, S.recurse_all(models, xb, *tails)):
                     if not np.all(np.isfinite(guess)):
                         continue
                     out.append(

@@ -107,6 +107,16 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
+def _weights(lay: Layout, whole: np.ndarray, reach: tuple[int, int]) -> dict:
+    """``w`` and ``theta`` of raw weights, dense up to ``reach``."""
+    w, theta = np.zeros(reach[0]), np.zeros(reach[1])
+    for k in lay.lags:
+        w[k - 1] = whole[lay.y(k)]
+    for k in lay.shocks:
+        theta[k - 1] = whole[lay.e(k)]
+    return {"w": w, "theta": theta}
+
+
 def _model(lay: Layout, rows: np.ndarray, goal: np.ndarray, solved: tuple, terms: list[str], reach: tuple[int, int]) -> dict:
     """The answer phrased on the raw vector: y is ``const + beta . x + w . (y_1, y_2 ..) + theta . (e_1, e_2 ..)``.
 
@@ -114,13 +124,9 @@ def _model(lay: Layout, rows: np.ndarray, goal: np.ndarray, solved: tuple, terms
     """
     coef, se, sse, dof = solved
     whole = coef @ rows - goal
-    w, theta = np.zeros(reach[0]), np.zeros(reach[1])
-    for k in lay.lags:
-        w[k - 1] = whole[lay.y(k)]
-    for k in lay.shocks:
-        theta[k - 1] = whole[lay.e(k)]
+    dense = _weights(lay, whole, reach)
     return {
-        "const": float(coef[0]), "beta": whole[1 : 1 + lay.m].tolist(), "w": w.tolist(), "theta": theta.tolist(),
+        "const": float(coef[0]), "beta": whole[1 : 1 + lay.m].tolist(), **{k: v.tolist() for k, v in dense.items()},
         "sigma2": sse / dof, "coef": coef.tolist(),
         "pvalue": [2 * normal_tail(abs(c) / v) if v > 0 else 1.0 for c, v in zip(coef, se)], "terms": terms,
     }
@@ -141,6 +147,47 @@ def fit(gram: np.ndarray, n: float, lay: Layout, order: tuple, seasonal: tuple,
     return _model(lay, rows, goal, least_squares(gram, rows, goal, n), terms, reaches(lay, reach))
 
 
+class Common:
+    """Many models of one Gram matrix: the regressors that all of them have are taken out once.
+
+    What is left for each model is a system of its few terms (Frisch-Waugh-Lovell). Where a model's terms, or the
+    regressors themselves, are too close to collinear to tell this from ``fit``, ``fit`` decides.
+    """
+
+    EXACT, CLEAR = 1e-13, 1e-6  # shares of the largest eigenvalue that count as none and as some
+
+    def __init__(self, gram: np.ndarray, n: float, lay: Layout, reach: tuple[int, int]) -> None:
+        self.gram, self.n, self.lay, self.reach = gram, n, lay, reach
+        self.width = c = 1 + lay.m
+        scale = np.sqrt(np.maximum(np.diag(gram)[:c], 0.0))
+        scale[scale == 0] = 1.0
+        values, vectors = np.linalg.eigh(gram[:c, :c] / np.outer(scale, scale))
+        share = np.abs(values) / np.abs(values).max()
+        self.clear = bool(np.all((share < self.EXACT) | (share > self.CLEAR)))
+        used = share > self.CLEAR
+        inv = (vectors[:, used] / values[used]) @ vectors[:, used].T / np.outer(scale, scale)
+        self.on_regressors = inv @ gram[:c]
+        self.rest = gram - gram[:, :c] @ self.on_regressors
+
+    def fit(self, order: tuple, seasonal: tuple) -> dict:
+        """``const``, ``beta``, ``w`` and ``theta`` of ``fit``."""
+        lay, (d, seasonal_d, s) = self.lay, (order[1], seasonal[1], seasonal[3])
+        ks, js = terms_of(order, seasonal)
+        rows = np.array([diff_row(lay, k, d, seasonal_d, s) for k in ks] + [_unit(lay.size, lay.e(j)) for j in js])
+        goal = diff_row(lay, 0, d, seasonal_d, s)
+        left = rows @ self.rest
+        scale = np.sqrt(np.maximum(np.einsum("ij,ij->i", rows @ self.gram, rows), 0.0))
+        if not self.clear or not np.all(scale > 0) or not np.all(np.isfinite(left)):
+            return fit(self.gram, self.n, lay, order, seasonal, self.reach)
+        values, vectors = np.linalg.eigh(left @ rows.T / np.outer(scale, scale))
+        if values[0] <= self.CLEAR:
+            return fit(self.gram, self.n, lay, order, seasonal, self.reach)
+        coef = (vectors / values) @ vectors.T @ (left @ goal / scale) / scale
+        whole = coef @ rows - goal
+        whole[: self.width] = -(self.on_regressors @ whole)
+        return {"const": float(whole[0]), "beta": whole[1 : self.width], **_weights(lay, whole, self.reach)}
+
+
 def free_autoregression(gram: np.ndarray, n: float, lay: Layout, reach: tuple[int, int] | None = None) -> dict:
     """All lags of the layout with a weight of their own: any difference and season is a case of it."""
     rows = np.array([_unit(lay.size, i) for i in range(1 + lay.m)] + [_unit(lay.size, lay.y(k)) for k in lay.lags])

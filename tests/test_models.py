@@ -246,6 +246,33 @@ def test_observation_moves_the_forecast(spark):
     assert abs((high[0][2] - low[0][2]) - 10 * w) < 1e-6 and abs((high[1][2] - low[1][2]) - 10 * w * w) < 1e-6
 
 
+def test_candidates_share_the_regressors(monkeypatch):
+    """A search solves the regressors once for each matrix; weights are those of a fit of its own, collinear flags included."""
+    rng, reach = np.random.default_rng(5), 122
+    lay = M.layout("NumVehicles", True, reach)
+    n, m = 400, lay.m
+    x = rng.normal(3, 1, (n, m))
+    x[:, 8:] = 0.0
+    x[np.arange(n), 8 + rng.integers(0, 4, n)] = 1.0  # four flags add up to the constant
+    gram_of = lambda lags: np.column_stack([np.ones(n), x, lags]).T @ np.column_stack([np.ones(n), x, lags])
+    lags = rng.normal(5, 1, (n, lay.size - 1 - m)) + rng.normal(0, 1, (n, 1))
+    solved, solve = [], S.least_squares
+    monkeypatch.setattr(S, "least_squares", lambda *a: solved.append(1) or solve(*a))
+    common = S.Common(gram_of(lags), n, lay, M.REACH)
+    for order, season in M.candidates(True):
+        got, calls = common.fit(order, season), len(solved)
+        want = S.fit(gram_of(lags), n, lay, order, season, M.REACH)
+        assert calls == len(solved) - 1
+        del solved[:]
+        for name in ("const", "beta", "w", "theta"):
+            np.testing.assert_allclose(got[name], want[name], rtol=1e-7, atol=1e-9)
+    # Lags that are copies of each other are left to the fit of its own.
+    twins = np.repeat(lags[:, :1], lags.shape[1], axis=1)
+    got, want = (f((2, 0, 0), M.NO_SEASON) for f in (S.Common(gram_of(twins), n, lay, M.REACH).fit,
+                 lambda o, z: S.fit(gram_of(twins), n, lay, o, z, M.REACH)))
+    np.testing.assert_allclose(got["w"], want["w"])
+
+
 def test_fitted_models_are_solved_once(rows, monkeypatch):
     """Devices without a model are looked for among staged models, not by solving all of them again."""
     models, _ = M.fit_models(rows, "NumVehicles")
