@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,17 +72,19 @@ def _by_hour(df: DataFrame, by: list[str], cols: list[str], name: str) -> DataFr
 
 
 def attach_profiles(
-    grid: DataFrame, profile: DataFrame, overall: DataFrame, cols: list[str] = PROFILE_COLS
+    grid: DataFrame, profile: DataFrame, overall: DataFrame, cols: list[str] = PROFILE_COLS, hour: Column | None = None
 ) -> DataFrame:
     """Device-lane-hour and hour-of-day profiles as structs ``_own`` and ``_all``.
 
+    ``hour`` is the hour of day of a row, by default that of its ``BucketTime``.
+
     The device-lane profile is folded to one row of 24 hours, so the lookup joins on exactly
     the (DeviceId, Lane) a dense grid is hashed by and never moves it; whether the profile
     is broadcast is left to its measured size. The hour-of-day profile is one scalar.
     """
     own = _by_hour(profile, SERIES, cols, "_ph")
     everyone = _by_hour(overall, [], cols, "_gh").scalar()
-    hour = F.hour("BucketTime")
+    hour = F.hour("BucketTime") if hour is None else hour
     return grid.join(own, SERIES, "left").withColumns(
         {"_own": F.get("_ph", hour), "_all": F.get(everyone, hour)}
     ).drop("_ph")
@@ -108,9 +110,10 @@ def grid_left_observed(grid: DataFrame, observed: DataFrame) -> DataFrame:
     return grid.join(observed, SERIES + ["BucketTime"], "left")
 
 
-def join_weather(df: DataFrame, weather: DataFrame, broadcast: bool = False) -> DataFrame:
+def join_weather(df: DataFrame, weather: DataFrame, broadcast: bool = False, also: list[str] = ()) -> DataFrame:
+    """Weather of every row's stamp, with further columns of ``weather`` named in ``also``."""
     side = F.broadcast(weather) if broadcast else weather
-    return df.join(side, "BucketTime", "left").select(*df.columns, *WEATHER_COLS)
+    return df.join(side, "BucketTime", "left").select(*df.columns, *WEATHER_COLS, *also)
 
 
 def asof_nearest(

@@ -198,6 +198,15 @@ def densify(
     ``_known`` tells whether the first column was known in the cell itself. Columns listed
     ``together`` are null in the same rows and share their positions; that is verified.
     """
+    rows = segments(observed, cols, step, observed_pairs_only, partitions, together)
+    return cells(rows, cols, step, limit, max_gap, together)
+
+
+def segments(
+    observed: DataFrame, cols: list[str], step: str, observed_pairs_only: bool = False,
+    partitions: int | None = None, together: list[list[str]] | None = None,
+) -> DataFrame:
+    """Runs of cells (``_from`` to ``_to``) between observed rows, with their known neighbours; see ``densify``."""
     time, keys = "BucketTime", SERIES
     size = step_seconds(step)
     span = one_row(
@@ -226,21 +235,51 @@ def densify(
         rows = rows.withColumn("_pos", F.when(odd, failed.cast("long")).otherwise(F.col("_pos")))
     ahead, back = _known_neighbours(groups, "_pos", keys, strict_next=True)
     nxt = F.lead("_pos").over(W.partitionBy(*keys).orderBy("_pos"))
-    segments = rows.withColumns(ahead).withColumns({**back, "_until": nxt}).select(
+    return rows.withColumns(ahead).withColumns({**back, "_until": nxt}).select(
         *keys,
         F.greatest(F.col("_pos"), span["p0"]).alias("_from"),
         (F.coalesce(F.col("_until"), span["p1"] + 1) - 1).alias("_to"),
         *[f"_{k}i_{g[0]}" for g in groups for k in "pn"],
         *[f"_{k}x_{c}" for c in cols for k in "pn"],
     ).filter(F.col("_from") <= F.col("_to"))
-    cells = segments.select("*", F.explode(F.sequence("_from", "_to")).alias("_cell"))
-    cells, line = _on_line(cells, groups, "_cell", limit, max_gap)
+
+
+def by_hour(runs: DataFrame, step: str) -> DataFrame:
+    """Segments cut at full hours; ``Hour`` is the hour of day of all their cells."""
+    size = step_seconds(step)
+    hour_of = lambda c: F.floor(F.col(c) * size / 3600)
+    if size >= 3600:  # every cell has an hour of its own
+        cut = runs.withColumn("_from", F.explode(F.sequence("_from", "_to"))).withColumns(
+            {"_to": F.col("_from"), "_hour": hour_of("_from")}
+        )
+    else:
+        first = lambda hour: F.ceil(hour * 3600 / size)
+        cut = runs.select("*", F.explode(F.sequence(hour_of("_from"), hour_of("_to"))).alias("_hour")).withColumns(
+            {"_from": F.greatest("_from", first(F.col("_hour"))), "_to": F.least(F.col("_to"), first(F.col("_hour") + 1) - 1)}
+        )
+    return cut.withColumn("Hour", F.pmod("_hour", F.lit(24)).cast("int")).drop("_hour")
+
+
+def cells(
+    runs: DataFrame, cols: list[str], step: str, limit: int | None = 12, max_gap: int | None = None,
+    together: list[list[str]] | None = None, otherwise: dict[str, Column] | None = None,
+) -> DataFrame:
+    """The cells of ``segments`` with values on the lines between their neighbours; see ``densify``.
+
+    ``otherwise`` has values over the columns of ``runs`` for cells that no line reaches, and leaves a column
+    ``_filled`` that tells whether the line gave the first one.
+    """
+    time, groups = "BucketTime", _groups(cols, together)
+    found = runs.select("*", F.explode(F.sequence("_from", "_to")).alias("_cell"))
+    found, line = _on_line(found, groups, "_cell", limit, max_gap)
     lead = next(g[0] for g in groups if cols[0] in g)
-    return cells.select(
-        *keys,
-        F.timestamp_seconds(F.col("_cell") * size).cast("timestamp_ntz").alias(time),
-        *[line[c].alias(c) for c in cols],
+    rest = otherwise or {}
+    return found.select(
+        *SERIES,
+        F.timestamp_seconds(F.col("_cell") * step_seconds(step)).cast("timestamp_ntz").alias(time),
+        *[(F.coalesce(line[c], rest[c]) if c in rest else line[c]).alias(c) for c in cols],
         (F.col(f"_pi_{lead}") == F.col("_cell")).alias("_known"),
+        *([line[cols[0]].isNotNull().alias("_filled")] if rest else []),
     )
 
 

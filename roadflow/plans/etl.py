@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.apportion import largest_remainder
-from ..functions.calendar import floor_to, step_seconds, with_calendar
+from ..functions.calendar import calendar, floor_to, step_seconds
 from ..functions.columns import one_row
 from ..operators import aggregates as A
 from ..operators import clean as K
@@ -86,33 +86,33 @@ def weather_table(feed: DataFrame, grid: DataFrame, o: EtlOptions) -> DataFrame:
 
 
 def fill_grid(observed: DataFrame, o: EtlOptions, partitions: int | None = None) -> DataFrame:
-    """Dense grid with observed, interpolated or profile values and their ``fill_source``."""
-    line = T.densify(
-        observed, PROFILE_COLS, o.step, o.gap_limit, o.max_gap, o.observed_pairs_only, partitions,
-        NULL_TOGETHER,
-    ).withColumn(
-        "fill_source",
-        F.when(F.coalesce("_known", F.lit(False)), "observed")
-        .when(F.col("NumVehicles").isNotNull(), "interpolated")
-        .otherwise("profile"),
-    )
-    both = J.attach_profiles(line, A.hourly_profile(observed), A.global_hourly_profile(observed))
-    return both.select(
-        *SERIES, "BucketTime", "fill_source",
-        *[
-            F.coalesce(F.col(c), F.col("_own")[c], F.col("_all")[c], F.lit(TRAFFIC_DEFAULTS[c])).alias(c)
-            for c in PROFILE_COLS
-        ],
+    """Dense grid with observed, interpolated or profile values and their ``fill_source``.
+
+    Profiles meet segments that are cut at full hours, a tenth of the cells at five minutes, before these explode.
+    """
+    runs = T.by_hour(T.segments(observed, PROFILE_COLS, o.step, o.observed_pairs_only, partitions, NULL_TOGETHER), o.step)
+    both = J.attach_profiles(runs, A.hourly_profile(observed), A.global_hourly_profile(observed), hour=F.col("Hour"))
+    usual = {c: F.coalesce(F.col("_own")[c], F.col("_all")[c], F.lit(TRAFFIC_DEFAULTS[c])) for c in PROFILE_COLS}
+    known = both.withColumns({f"_usual_{c}": v for c, v in usual.items()}).drop("_own", "_all", "Hour")
+    line = T.cells(
+        known, PROFILE_COLS, o.step, o.gap_limit, o.max_gap, NULL_TOGETHER, {c: F.col(f"_usual_{c}") for c in PROFILE_COLS}
     )
+    source = F.when(F.coalesce("_known", F.lit(False)), "observed").when(F.col("_filled"), "interpolated").otherwise("profile")
+    return line.select(*SERIES, "BucketTime", source.alias("fill_source"), *PROFILE_COLS)
 
 
 def finish(filled: DataFrame, weather: DataFrame, broadcast_weather: bool = False) -> DataFrame:
-    """Integer class counts, calendar, weather and rolling columns."""
+    """Integer class counts, calendar, weather and rolling columns.
+
+    Calendar columns come with the weather of a step, worked out once; a stamp without weather has its own.
+    """
     counted = largest_remainder(filled)
     counted = counted.withColumns({c: F.col(c).cast("double") for c in ["NumVehicles", *COUNT_COLS]})
     rolled = T.rolling(counted, ["NumVehicles", "AvgSpeed"], SERIES)
-    joined = J.join_weather(with_calendar(rolled), weather, broadcast_weather)
-    return joined.select(*FINAL_COLS, "fill_source")
+    days = calendar("BucketTime")
+    steps = weather.withColumns({f"_{c}": v for c, v in days.items()})
+    joined = J.join_weather(rolled, steps, broadcast_weather, [f"_{c}" for c in days])
+    return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), v) for c, v in days.items()}).select(*FINAL_COLS, "fill_source")
 
 
 @dataclass(frozen=True)

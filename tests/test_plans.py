@@ -1,13 +1,16 @@
 """Physical plans: where data moves and what reaches the scan."""
 
+import datetime as dt
 import re
 
 from pyspark.sql import functions as F
 
+from roadflow.operators import aggregates as A
 from roadflow.operators import clean as K
+from roadflow.operators import joins as J
 from roadflow.operators import timeseries as T
 from roadflow.plans import etl
-from roadflow.schemas import KEYS, PROFILE_COLS
+from roadflow.schemas import KEYS, PROFILE_COLS, TRAFFIC_DEFAULTS
 from roadflow.session import stage
 from roadflow.sources import sample_feeds as S
 
@@ -40,6 +43,28 @@ def test_dense_rows_are_never_shuffled(spark, small):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_profiles_meet_segments_not_cells(spark):
+    """The lookup of profiles lies below the explode into cells, and every cell has the profile of its own hour."""
+    t0 = dt.datetime(1970, 1, 1) + dt.timedelta(minutes=105 * 270488)  # on both grids
+    rows = [(t0 + dt.timedelta(minutes=m), "d", lane, *[float(m + i) for i in range(len(PROFILE_COLS))])
+            for lane, stamps in ((1, (0, 630, 1890)), (2, (315, 1260))) for m in stamps]
+    seen = stage(spark.createDataFrame(rows, "BucketTime timestamp_ntz, DeviceId string, Lane int, "
+                                       + ", ".join(f"{c} double" for c in PROFILE_COLS)), "seen")
+    for step in ("7 minutes", "105 minutes"):
+        o = etl.EtlOptions(step=step, gap_limit=2)
+        filled = etl.fill_grid(seen, o)
+        text = filled._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = next(i for i, line in enumerate(text) if "Generate explode(sequence(_from" in line)
+        assert not [line for line in text[:at] if "Join" in line]
+        line = T.densify(seen, PROFILE_COLS, step, 2, together=etl.NULL_TOGETHER)
+        usual = J.attach_profiles(line, A.hourly_profile(seen), A.global_hourly_profile(seen))
+        want = usual.select(*KEYS, *[
+            F.coalesce(F.col(c), F.col("_own")[c], F.col("_all")[c], F.lit(TRAFFIC_DEFAULTS[c])).alias(c) for c in PROFILE_COLS])
+        got = filled.select(want.columns)
+        assert got.count() == line.count() > 30
+        assert got.exceptAll(want).count() == 0
+
+
 def test_dedup_and_counts_combine_before_the_shuffle(spark, small):
     text = plan(etl.traffic_keys(S.traffic_feed(spark, small)))
     assert text.count("partial_min") >= 1 and text.count("partial_avg") >= 1
