@@ -162,6 +162,42 @@ def _on_line(
     return df.withColumns(ways), out
 
 
+def _lines(
+    groups: list[list[str]], pos: str, limit: int | None, max_gap: int | None
+) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """The rule of ``_on_line`` for segments: a struct per group before they explode; behind, ways and values at ``pos``.
+
+    What all cells of a segment share is worked out once: the last cell that the previous value reaches (``head``),
+    the first that the next one reaches (``tail``), starts and rises. A struct goes to a cell as one field, and no field
+    in it is null. The way of a group is 1 for the known value, 2 for the line and 0 for an open cell.
+    """
+    never = 1 << 62  # beyond every position, in steps of a second too
+    packed, ways, out = {}, {}, {}
+    for g in groups:
+        pi, ni = F.col(f"_pi_{g[0]}"), F.col(f"_ni_{g[0]}")
+        head, tail = (F.lit(never), F.lit(-never)) if limit is None else (pi + limit, ni - limit)
+        if max_gap is not None:
+            wide = F.coalesce(ni - pi - 1 > max_gap, F.lit(False))
+            head, tail = F.when(wide, pi).otherwise(head), F.when(~wide, tail)
+        zero = F.lit(0.0)
+        packed[f"_line_{g[0]}"] = F.struct(
+            F.coalesce(pi, F.lit(-never)).alias("at"),
+            F.coalesce((ni - pi).cast("double"), F.lit(1.0)).alias("span"),
+            F.coalesce(F.when(pi.isNotNull(), head), F.lit(-never)).alias("head"),
+            F.coalesce(F.when(ni.isNotNull(), tail), F.lit(never)).alias("tail"),
+            *[F.coalesce(f"_px_{c}", f"_nx_{c}", zero).alias(f"start{i}") for i, c in enumerate(g)],
+            *[F.coalesce(F.col(f"_nx_{c}") - F.col(f"_px_{c}"), zero).alias(f"rise{i}") for i, c in enumerate(g)],
+        )
+        own, here = F.col(f"_line_{g[0]}"), F.col(pos)
+        reached = (here <= own["head"]) | (here >= own["tail"])
+        way = ways[g[0]] = F.when(here == own["at"], 1).when(reached, 2).otherwise(0)
+        steps = here.cast("double") - own["at"].cast("double")  # whole numbers, so exact
+        for i, c in enumerate(g):
+            on = own[f"start{i}"] + own[f"rise{i}"] * steps / own["span"]
+            out[c] = F.when(way == 1, own[f"start{i}"]).when(way == 2, on)
+    return packed, ways, out
+
+
 def position(time: str, step: str) -> Column:
     """Number of the step a stamp falls into."""
     return F.floor(epoch(time) / step_seconds(step))
@@ -270,15 +306,16 @@ def cells(
     ``_filled`` that tells whether the line gave the first one.
     """
     time, groups = "BucketTime", _groups(cols, together)
-    found = runs.select("*", F.explode(F.sequence("_from", "_to")).alias("_cell"))
-    found, line = _on_line(found, groups, "_cell", limit, max_gap)
+    packed, ways, line = _lines(groups, "_cell", limit, max_gap)
+    used = [f"_{k}i_{g[0]}" for g in groups for k in "pn"] + [f"_{k}x_{c}" for c in cols for k in "pn"]
+    found = runs.withColumns(packed).drop(*used).select("*", F.explode(F.sequence("_from", "_to")).alias("_cell"))
     lead = next(g[0] for g in groups if cols[0] in g)
     rest = otherwise or {}
     return found.select(
         *SERIES,
         F.timestamp_seconds(F.col("_cell") * step_seconds(step)).cast("timestamp_ntz").alias(time),
         *[(F.coalesce(line[c], rest[c]) if c in rest else line[c]).alias(c) for c in cols],
-        (F.col(f"_pi_{lead}") == F.col("_cell")).alias("_known"),
+        (ways[lead] == 1).alias("_known"),
         *([line[cols[0]].isNotNull().alias("_filled")] if rest else []),
     )
 

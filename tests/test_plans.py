@@ -59,6 +59,11 @@ def test_interp_windows_moves_no_cells(spark, small):
     assert above and not [line for line in above if re.search(r"Exchange|Window|Sort|Join|Aggregate", line)], above
 
 
+def test_interp_limit_copies_a_field_a_group_to_each_cell(spark, small):
+    _, copied = opened(QUERIES["interp_limit"](spark, small))
+    assert len(copied) == 2 + 5, copied  # keys; one struct for each set of columns that are null together
+
+
 def test_profiles_meet_segments_not_cells(spark):
     """The lookup of profiles lies below the explode into cells, and every cell has the profile of its own hour."""
     t0 = dt.datetime(1970, 1, 1) + dt.timedelta(minutes=105 * 270488)  # on both grids

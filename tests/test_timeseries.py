@@ -87,6 +87,22 @@ def test_densify_equals_windows_on_the_grid(spark, pdf):
     assert b.filter("_known").count() == both.count()
 
 
+@pytest.mark.parametrize("limit, max_gap", [(12, None), (3, None), (0, None), (None, None), (12, 12), (None, 12)])
+def test_densify_of_several_groups_equals_windows(spark, pdf, limit, max_gap):
+    """Columns that are null together and one that is null in other rows, with values no line can be drawn from."""
+    named = to_spark(spark, pdf).filter(F.col("x").isNotNull())
+    end = F.when((F.col("DeviceId") == "g24") & (F.col("x") == 5), float("inf")).otherwise(F.col("x"))
+    seen = named.select("DeviceId", "Lane", "BucketTime", end.alias("x"), (-F.col("x") / 3).alias("y"),
+                        F.when(F.floor("x") % 3 != 0, F.col("x") * 7).alias("z"))
+    cols, keys = ["x", "y", "z"], ["DeviceId", "Lane"]
+    grid = T.dense_grid(seen).join(seen, [*keys, "BucketTime"], "left")
+    a = T.interpolate(grid, cols, keys, "5 minutes", limit, max_gap)
+    b = T.densify(seen, cols, "5 minutes", limit, max_gap, together=[["x", "y"]])
+    a, b = [df.select(*keys, "BucketTime", *cols).toPandas().sort_values([*keys, "BucketTime"], ignore_index=True) for df in (a, b)]
+    pd.testing.assert_frame_equal(a, b, check_exact=True)
+    assert a["z"].notna().sum() not in (0, a["x"].notna().sum())
+
+
 def test_grid_size(spark, pdf):
     df = to_spark(spark, pdf)
     assert T.dense_grid(df).count() == len(series_set()) * 1 * 120
