@@ -385,7 +385,8 @@ def train_eval(spark, d):
 @query("train_targets")
 def train_targets(spark, d):
     """Both targets of every device: searched orders, except that the configuration gives every fourth device its own."""
-    series = I.series(spark, d)
+    # Read by the configuration and by the features and forecasts of both targets.
+    series = stage(I.series(spark, d), "series")
     manual = series.select("DeviceId").distinct().filter(F.crc32(F.col("DeviceId").cast("binary")) % 4 == 0)
     config = manual.select("DeviceId", F.create_map(F.lit("NumVehicles_order"), F.lit("[2, 0, 1]")).alias("settings"))
     runs = training.train_targets(series, I.HOUR, config)

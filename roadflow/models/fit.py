@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from ..session import shuffle_partitions
 from ..session import stage as staged
 from . import solve as S
 from .moments import lag_moments, series_moments
+from .onepass import Study, studied
 
 LONG_AR = 5  # lags of the first-stage regression that estimates the shocks
 ADF_ROWS = 60  # complete rows from which the stationarity test is run
@@ -67,6 +69,7 @@ def shock_columns() -> dict[int, list[str]]:
     return {r: [f"e{k}" for k in within(SHOCK_LAGS, r)] for r in REACHES}
 
 
+@cache
 def layout(target: str, shocks: bool, reach: int) -> S.Layout:
     return S.Layout(len(regressor_names(target)), within(LAGS, reach), within(SHOCK_LAGS, reach) if shocks else ())
 
@@ -149,13 +152,13 @@ def _labelled(model: dict, order, seasonal, d, before=None, after=None) -> dict:
     }
 
 
-def with_fallback(models: DataFrame, rows: DataFrame, target: str, name: str) -> DataFrame:
+def with_fallback(models: DataFrame, rows: DataFrame, target: str, name: str, stored: bool = False) -> DataFrame:
     """``models`` plus a row of order (1, 0, 0) for every device that has none: it repeats the last value.
 
-    Such devices are too short for a complete row of lags; ``status`` tells them apart. ``models`` are staged: they are
-    read once as they are and once to see which devices have none.
+    Such devices are too short for a complete row of lags; ``status`` tells them apart. ``models`` are staged, unless
+    they are ``stored``: they are read once as they are and once to see which devices have none.
     """
-    models = staged(models, "fitted")
+    models = models if stored else staged(models, "fitted")
     per = rows.groupBy("DeviceId").agg(F.coalesce(F.var_pop("y"), F.lit(0.0)).alias("_var"), F.count("y").alias("_n"))
     zeros = lambda k: F.array_repeat(F.lit(0.0), k)
     plain = {
@@ -196,23 +199,27 @@ def first_stage(rows: DataFrame, target: str, ranges: DataFrame, names: list[str
     moments = series_moments(rows, raw_columns(target), ranges, names).join(unit_roots, ["DeviceId", "window"], "left")
 
     def one(grams, row):
-        d, before, after = 0, None, None
-        lagged = read_grams(row["lagged"]) if row["lagged"] is not None else {}
-        for reach, (gram, n) in lagged.items():
-            # Too few rows tell nothing about unit roots.
-            if n >= ADF_ROWS:
-                d, before, after = S.difference_order(gram, n, S.Layout(0, reach, ()), reach - 3)
-        rich = [r for r, (gram, n) in grams.items() if n >= FREE_ROWS * len(gram)]
-        reach = max(rich, default=min(grams))
-        (gram, n), lay = grams[reach], layout(target, False, reach)
-        order = (min(LONG_AR, int(n // 12)), d, 0)
-        model = S.free_autoregression(gram, n, lay, REACH) if rich else S.fit(gram, n, lay, order, NO_SEASON, REACH)
-        yield _labelled({**model, "n": n}, order, NO_SEASON, d, before, after)
+        yield first_model(grams, read_grams(row["lagged"]) if row["lagged"] is not None else {}, target)
 
     found = _each_series(moments, target, one)
     return with_fallback(found, rows, target, names[0]) if len(names) == 1 else found
 
 
+def first_model(grams: dict, lagged: dict, target: str) -> dict:
+    """Difference order and long autoregression of one series; ``lagged``: moments of all lags that the test asks for."""
+    d, before, after = 0, None, None
+    for reach, (gram, n) in lagged.items():
+        # Too few rows tell nothing about unit roots.
+        if n >= ADF_ROWS:
+            d, before, after = S.difference_order(gram, n, S.Layout(0, reach, ()), reach - 3)
+    rich = [r for r, (gram, n) in grams.items() if n >= FREE_ROWS * len(gram)]
+    reach = max(rich, default=min(grams))
+    (gram, n), lay = grams[reach], layout(target, False, reach)
+    order = (min(LONG_AR, int(n // 12)), d, 0)
+    model = S.free_autoregression(gram, n, lay, REACH) if rich else S.fit(gram, n, lay, order, NO_SEASON, REACH)
+    return _labelled({**model, "n": n}, order, NO_SEASON, d, before, after)
+
+
 def with_shocks(rows: DataFrame, stage: DataFrame, target: str, suffix: str = "") -> DataFrame:
     """The first-stage residual ``e`` and its lags ``e1``, ``e2``, ``e60`` next to every row.
 
@@ -239,36 +246,86 @@ def fit_models(
     stationarity test unless given there. A series that is too short for its seasonal terms, or whose seasonal fit
     does not come out finite, falls back to the plain order.
     """
-    # One row per series, read by the shocks and by the fit.
-    ranges = fixed_ranges(rows, {name: window})
-    stage = staged(first_stage(rows, target, ranges, [name]), "first-stage")
-    full = with_shocks(rows, stage, target)
-    shocks = shock_columns()
-    moments = series_moments(full, {r: cols + shocks[r] for r, cols in raw_columns(target).items()}, ranges, [name])
-    moments = moments.join(stage.select("DeviceId", F.col("d").alias("_d"), "adf_p_before", "adf_p_after"), "DeviceId")
-    default = dict(zip(ORDER_COLS, (order[0], order[2], *seasonal)))
-    if orders is None:
-        moments = moments.select("*", *[F.lit(v).alias(c) for c, v in default.items()], F.lit(None).cast("int").alias("d"))
-    else:
-        given = [c for c in [*ORDER_COLS, "d"] if c in orders.columns]
-        own = moments.join(orders.select("DeviceId", *given), "DeviceId", "left")
-        missing = {c: F.lit(v) for c, v in default.items() if c not in given} | ({} if "d" in given else {"d": F.lit(None).cast("int")})
-        moments = own.withColumns(missing).fillna(default)
+    fits = fit_windows(rows, target, {name: window}, orders, order, seasonal)
+    first = fits.where("w1 IS NOT NULL").select(
+        "DeviceId", F.col("const1").alias("const"), F.col("beta1").alias("beta"), F.col("w1").alias("w"),
+        F.array_repeat(F.lit(0.0), MAX_SHOCK).alias("theta"))
+    whole = rows if set(LAG_COLS) <= set(rows.columns) else with_target_lags(rows.drop("rn"))
+    return models_of(fits, rows, target, name), with_shocks(whole, first, target)
 
-    def one(grams, row):
-        d = row["_d"] if pd.isna(row["d"]) else int(row["d"])
-        o, sea = (row["p"], d, row["q"]), (row["sp"], row["sd"], row["sq"], row["s"])
-        for season in dict.fromkeys((sea, NO_SEASON)):
-            reach = nearest(grams, o, season)
-            if reach is None:
-                continue
-            gram, n = grams[reach]
-            model = S.fit(gram, n, layout(target, True, reach), o, season, REACH)
-            if np.isfinite(model["sigma2"]) and np.all(np.isfinite(model["w"])):
-                break
-        yield _labelled({**model, "n": n}, o, season, d, row["adf_p_before"], row["adf_p_after"])
 
-    return with_fallback(_each_series(moments, target, one), rows, target, name), full
+FIT_TYPE = MODEL_TYPE + ", const1 double, beta1 array<double>, w1 array<double>, y_tail array<double>, e_tail array<double>"
+
+
+def fit_windows(
+    rows: DataFrame, target: str, windows: dict[str, tuple[int, int]], orders: DataFrame | None = None, order: tuple = (1, 0, 0),
+    seasonal: tuple = NO_SEASON,
+) -> DataFrame:
+    """Models of every series on several windows, from one pass over the rows; staged.
+
+    Orders are those of ``fit_models`` in the first window; the others take the order and the d that the first was fitted
+    with. Besides the models there are the weights of the first stage (``const1``, ``beta1``, ``w1``) and the tails
+    before each window's newest row (``y_tail``, ``e_tail``), once for each series and window: ``status`` is null where a
+    row holds nothing else.
+    """
+    names, facts = list(windows), fixed_ranges(rows, windows)
+    default = dict(zip(ORDER_COLS, (order[0], order[2], *seasonal)))
+    given = [] if orders is None else [c for c in [*ORDER_COLS, "d"] if c in orders.columns]
+    if given:
+        own = orders.groupBy("DeviceId").agg(F.collect_list(F.struct(*given)).alias("orders"))
+        facts = facts.join(own, "DeviceId", "left")
+    newest = [low - 1 for low, _ in windows.values()]
+
+    def first(grams, lagged):
+        if grams:
+            return first_model(grams, lagged, target)
+        # The same model as ``with_fallback`` gives: the last value is repeated.
+        none = {"d": 0, "adf_p_before": None, "adf_p_after": None}
+        return {"const": 0.0, "beta": [0.0] * len(regressor_names(target)), "w": [1.0] + [0.0] * (MAX_LAG - 1), **none}
+
+    def answer(device: str, study: Study, known: dict) -> list[dict]:
+        out = []
+        for i, name in enumerate(names):
+            stage = study.first[i]
+            kept = {"const1": stage["const"], "beta1": stage["beta"], "w1": stage["w"], **study.tails(i, newest[i])}
+            out.append({"DeviceId": device, "TargetCol": target, "window": name, **kept})
+        for asked in (known.get("orders") or [{}]):
+            asked = {**default, "d": None, **{c: v for c, v in asked.items() if v is not None}}
+            for i, name in enumerate(names):
+                found = None
+                if study.second[i]:
+                    found = _fit_one(study.second[i], target, asked, study.first[i])
+                    out.append({"DeviceId": device, "TargetCol": target, "window": name, **found})
+                if not i:
+                    asked = {c: found[c] for c in [*ORDER_COLS, "d"]} if found else {**dict.fromkeys([*ORDER_COLS, "d"], 0), "p": 1}
+        return out
+
+    keep = max(newest) + MAX_LAG
+    return staged(studied(rows, target, facts, names, keep, first, S.lag_count, answer, FIT_TYPE, "orders" if given else None), "fits")
+
+
+def _fit_one(grams: dict, target: str, asked: dict, stage: dict) -> dict:
+    d = stage["d"] if asked["d"] is None else int(asked["d"])
+    o, sea = (asked["p"], d, asked["q"]), (asked["sp"], asked["sd"], asked["sq"], asked["s"])
+    for season in dict.fromkeys((sea, NO_SEASON)):
+        reach = nearest(grams, o, season)
+        if reach is None:
+            continue
+        gram, n = grams[reach]
+        model = S.fit(gram, n, layout(target, True, reach), o, season, REACH)
+        if np.isfinite(model["sigma2"]) and np.all(np.isfinite(model["w"])):
+            break
+    return _labelled({**model, "n": n}, o, season, d, stage["adf_p_before"], stage["adf_p_after"])
+
+
+def models_of(fits: DataFrame, rows: DataFrame, target: str, name: str) -> DataFrame:
+    """The models of one window, with a fallback for every device that has none."""
+    return with_fallback(fits.where((F.col("window") == name) & F.col("status").isNotNull()).select(*MODEL_COLS), rows, target, name, True)
+
+
+def tails_of(fits: DataFrame, name: str) -> DataFrame:
+    """``y_tail`` and ``e_tail`` before the newest row of a window (``tails_before``)."""
+    return fits.where((F.col("window") == name) & F.col("y_tail").isNotNull()).select("DeviceId", "y_tail", "e_tail")
 
 
 def order_search(
@@ -277,23 +334,30 @@ def order_search(
     """Every candidate order scored on a validation tail: one row per series, tier, order.
 
     ``tiers``: name -> (training rows, validation rows, seasonal). The last ``test`` rows
-    stay untouched; a short series trains on the rows it has. All tiers are reduced in one pass: training enters as
+    stay untouched; a short series trains on the rows it has. All tiers come from one pass: training enters as
     moments, validation as an array of at most the tier's validation rows, whatever the length of the series.
     Orders that a series is too short for are not scored.
     """
-    names, ranges = list(tiers), search_ranges(rows, tiers, test)
-    stage = staged(first_stage(rows, target, ranges, names), "first-stage")
-    full = rows
-    for i, name in enumerate(names):
-        full = with_shocks(full, stage.where(F.col("window") == name), target, f"_{i}")
-    moments = staged(series_moments(full, raw_columns(target), ranges, names, shock_columns()), "moments")
-    out = None
-    for i, (name, (_, val, seasonal)) in enumerate(tiers.items()):
-        held = holdout(full, target, test + 1, test + val, f"_{i}")
-        # Few rows, dear to make: read once as they are and once to see which series have none.
-        scored = staged(_score(moments.where(F.col("window") == name).join(held, "DeviceId"), target, seasonal), "scores")
-        scored = unscored(scored, rows, target, name)
-        out = scored if out is None else out.unionByName(scored)
+    names, out = list(tiers), None
+
+    def first(grams, lagged):
+        return first_model(grams, lagged, target) if grams else None
+
+    def answer(device: str, study: Study, known: dict) -> list[dict]:
+        found = []
+        for i, (name, (_, val, seasonal)) in enumerate(tiers.items()):
+            if study.second[i]:
+                x, actual = study.rows(test + 1, test + val)
+                scored = _score(study.second[i], target, candidates(seasonal), x, actual, study.tails(i, test + val))
+                found += [dict(zip(SCORE_COLS, (device, target, name, *s))) for s in scored]
+        return found
+
+    keep = test + max(val for _, val, _ in tiers.values()) + MAX_LAG
+    # Few rows, dear to make: read once as they are and once to see which series have none.
+    scored = staged(studied(rows, target, search_ranges(rows, tiers, test), names, keep, first, S.lag_count, answer, SCORE_TYPE), "scores")
+    for name in names:
+        whole = unscored(scored.where(F.col("window") == name), rows, target, name)
+        out = whole if out is None else out.unionByName(whole)
     return out
 
 
@@ -330,11 +394,13 @@ def with_tails(requests: DataFrame, tails: DataFrame) -> DataFrame:
     return requests.join(tails, "DeviceId", "left").select("DeviceId", *others, none("y_tail", MAX_LAG), none("e_tail", MAX_SHOCK))
 
 
-def holdout(rows: DataFrame, target: str, first: int, last: int, suffix: str = "") -> DataFrame:
+def holdout(
+    rows: DataFrame, target: str, first: int, last: int, suffix: str = "", tails: DataFrame | None = None,
+) -> DataFrame:
     """Rows ``rn`` in [first, last] of each series as arrays in time order (bounded size).
 
     ``x``: regressors per step, ``actual``: target per step, ``y_tail`` / ``e_tail``: lags
-    at the first step, newest first.
+    at the first step, newest first (``tails``, where they are known already).
     """
     names = regressor_names(target)
     kept = rows.filter(F.col("rn").between(first, last))
@@ -344,7 +410,7 @@ def holdout(rows: DataFrame, target: str, first: int, last: int, suffix: str = "
     )
     steps = kept.groupBy("DeviceId").agg(F.sort_array(F.collect_list(step)).alias("_steps")).select(
         "DeviceId", F.col("_steps.t").alias("times"), F.col("_steps.y").alias("actual"), F.col("_steps.x").alias("x"))
-    return with_tails(steps, tails_before(rows, last, suffix))
+    return with_tails(steps, tails_before(rows, last, suffix) if tails is None else tails)
 
 
 SCORE_TYPE = (
@@ -353,33 +419,22 @@ SCORE_TYPE = (
 )
 
 
-def _score(joined: DataFrame, target: str, seasonal: bool) -> DataFrame:
-    tries = candidates(seasonal)
-    names = [f.split()[0] for f in SCORE_TYPE.split(", ")]
+SCORE_COLS = [f.split()[0] for f in SCORE_TYPE.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                grams, x = read_grams(r["grams"]), np.stack(r["x"])
-                actual = np.asarray(r["actual"], dtype=float)
-                common = {k: S.Common(gram, n, layout(target, True, k), REACH) for k, (gram, n) in grams.items()}
-                held = [(order, sea, nearest(grams, order, sea)) for order, sea in tries]
-                held = [(order, sea, common[reach].fit(order, sea)) for order, sea, reach in held if reach is not None]
-                if not held:
-                    continue
-                models = {c: np.array([m[c] for _, _, m in held]) for c in ("w", "theta")}
-                xb = np.array([m["const"] + x @ np.asarray(m["beta"]) for _, _, m in held])
-                tails = [np.broadcast_to(np.asarray(r[c], dtype=float), (len(held), len(r[c]))) for c in ("y_tail", "e_tail")]
-                for (order, sea, _), guess in zip(held, S.recurse_all(models, xb, *tails)):
-                    if not np.all(np.isfinite(guess)):
-                        continue
-                    out.append(
-                        (r["DeviceId"], target, r["window"], *order, *sea, *scores(actual, np.maximum(guess, 0.0)))
-                    )
-            yield pd.DataFrame(out, columns=names)
-
-    return spread(joined.select("DeviceId", "window", "grams", "x", "actual", "y_tail", "e_tail")).mapInPandas(run, SCORE_TYPE)
+
+def _score(grams: dict, target: str, tries: list[tuple], x: np.ndarray, actual: np.ndarray, tails: dict) -> list[tuple]:
+    """Order, season and scores of every candidate that the series has rows for and whose forecast is finite."""
+    common = {k: S.Common(gram, n, layout(target, True, k), REACH) for k, (gram, n) in grams.items()}
+    held = [(order, sea, nearest(grams, order, sea)) for order, sea in tries]
+    held = [(order, sea, common[reach].fit(order, sea)) for order, sea, reach in held if reach is not None]
+    if not held:
+        return []
+    models = {c: np.array([m[c] for _, _, m in held]) for c in ("w", "theta")}
+    xb = np.array([m["const"] + x @ np.asarray(m["beta"]) for _, _, m in held])
+    back = [np.broadcast_to(tails[c], (len(held), len(tails[c]))) for c in ("y_tail", "e_tail")]
+    guesses = S.recurse_all(models, xb, *back)
+    return [(*order, *sea, *scores(actual, np.maximum(guess, 0.0)))
+            for (order, sea, _), guess in zip(held, guesses) if np.all(np.isfinite(guess))]
 
 
 def scores(actual: np.ndarray, guess: np.ndarray) -> tuple[float, float, float, float]:

@@ -72,16 +72,19 @@ def forecast_requests(requests: DataFrame, actual: bool = False) -> DataFrame:
     ).mapInArrow(run, kind)
 
 
-def holdout_requests(rows: DataFrame, models: DataFrame, target: str, test: int) -> DataFrame:
-    """Requests for the last ``test`` rows of each series, with their actual regressors."""
-    held = holdout(rows, target, 1, test).withColumn("origin", F.col("times")[0])
+def holdout_requests(rows: DataFrame, models: DataFrame, target: str, test: int, tails: DataFrame | None = None) -> DataFrame:
+    """Requests for the last ``test`` rows of each series, with their actual regressors.
+
+    ``tails``: what lies before these rows, where it is known already; ``rows`` need no shocks then.
+    """
+    held = holdout(rows, target, 1, test, tails=tails).withColumn("origin", F.col("times")[0])
     return held.join(models.select("DeviceId", *WEIGHTS), "DeviceId")
 
 
 def future_requests(
-    rows: DataFrame, series: DataFrame, models: DataFrame, target: str, n: int, step: str
+    rows: DataFrame, series: DataFrame, models: DataFrame, target: str, n: int, step: str, tails: DataFrame | None = None
 ) -> DataFrame:
-    """Requests for the n steps after each series: last regressors, future calendar."""
+    """Requests for the n steps after each series: last regressors, future calendar. ``tails`` as in ``holdout_requests``."""
     names = regressor_names(target)
     origin = rows.groupBy("DeviceId").agg(F.max("BucketTime").alias("origin"))
     # The regressors of the first future step are the last row's values: a true lag of one.
@@ -97,7 +100,7 @@ def future_requests(
         ).alias("_s")
     )
     asked = arrays.select("DeviceId", F.col("_s.t").alias("times"), F.col("_s.x").alias("x")).join(origin, "DeviceId")
-    return with_tails(asked, tails_before(rows, 0)).join(models.select("DeviceId", *WEIGHTS), "DeviceId")
+    return with_tails(asked, tails_before(rows, 0) if tails is None else tails).join(models.select("DeviceId", *WEIGHTS), "DeviceId")
 
 
 def observed_requests(

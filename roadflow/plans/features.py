@@ -43,13 +43,16 @@ def model_features(series: DataFrame, target: str) -> DataFrame:
     )
 
 
+def with_row_numbers(features: DataFrame) -> DataFrame:
+    """Column ``rn``, the row counted from the end."""
+    size = F.count(F.lit(1)).over(W.partitionBy("DeviceId"))
+    return features.withColumn("rn", size - F.row_number().over(series_window(["DeviceId"])) + 1)
+
+
 def with_target_lags(features: DataFrame) -> DataFrame:
     """Columns y1, y2 .., the target so many steps back (``LAGS``), and ``rn``, the row counted from the end."""
     w = series_window(["DeviceId"])
-    size = F.count(F.lit(1)).over(W.partitionBy("DeviceId"))
-    return features.withColumns(
-        {**{f"y{k}": F.lag("y", k).over(w) for k in LAGS}, "rn": size - F.row_number().over(w) + 1}
-    )
+    return with_row_numbers(features.withColumns({f"y{k}": F.lag("y", k).over(w) for k in LAGS}))
 
 
 LAG_COLS = [f"y{k}" for k in LAGS]

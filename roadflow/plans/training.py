@@ -12,7 +12,7 @@ from ..models import fit as M
 from ..models import forecast as P
 from ..sources import configs
 from ..session import stage
-from .features import model_features
+from .features import model_features, with_row_numbers
 
 TEST_STEPS = 12
 TARGETS = ("NumVehicles", "AvgSpeed")
@@ -32,6 +32,11 @@ def design(series: DataFrame, target: str) -> DataFrame:
     return stage(M.training_rows(model_features(series, target)), f"design-{target}")
 
 
+def narrow_design(series: DataFrame, target: str) -> DataFrame:
+    """Feature rows and their numbers without the lags, staged: for jobs whose passes make the lags themselves."""
+    return stage(with_row_numbers(model_features(series, target)), f"rows-{target}")
+
+
 @dataclass(frozen=True)
 class TrainResult:
     metrics: DataFrame  # one row per device: scores, order, test p-values, horizons
@@ -48,20 +53,19 @@ def train(
 
     ``orders`` may name each device's source in ``ConfigSource``; ``rows`` is a design that is already there.
     """
-    rows = design(series, target) if rows is None else rows
+    rows = narrow_design(series, target) if rows is None else rows
     sources = orders if orders is not None and "ConfigSource" in orders.columns else None
-    early = (TEST_STEPS + 1, M.EVERYTHING)
-    models, full = M.fit_models(rows, target, orders, order, window=early, name="train")
-    models = stage(models, "models")
+    # One pass fits both windows; the refit keeps the order and d of the training part.
+    fits = M.fit_windows(rows, target, {"train": (TEST_STEPS + 1, M.EVERYTHING), "all": (1, M.EVERYTHING)}, orders, order)
+    models = stage(M.models_of(fits, rows, target, "train"), "models")
+    last = rows.where(F.col("rn") <= TEST_STEPS)
     tested = P.with_actuals(
-        P.forecast_requests(P.holdout_requests(full, models, target, TEST_STEPS)), full
+        P.forecast_requests(P.holdout_requests(rows, models, target, TEST_STEPS, M.tails_of(fits, "train"))), last
     )
     tested = stage(tested, "holdout")
-    everything, all_rows = M.fit_models(
-        rows, target, models.select("DeviceId", *M.ORDER_COLS, "d"), name="all"
-    )
+    everything = M.models_of(fits, rows, target, "all")
     future = P.forecast_requests(
-        P.future_requests(all_rows, series, everything, target, TEST_STEPS, step)
+        P.future_requests(rows, series, everything, target, TEST_STEPS, step, M.tails_of(fits, "all"))
     )
     white = E.ljung_box(
         tested.withColumn("residual", F.col("actual") - F.col("predicted")), 10
@@ -97,7 +101,7 @@ def train_targets(
     """
     results = {}
     for target in targets:
-        rows = design(series, target)
+        rows = narrow_design(series, target)
         devices = rows.select("DeviceId").distinct()
         manual = devices.select("DeviceId", *[F.lit(None).cast("int").alias(c) for c in (*M.ORDER_COLS, "d")]).limit(0)
         if config is not None:
@@ -114,7 +118,7 @@ def train_targets(
 
 def search(series: DataFrame, target: str, tiers: dict | None = None, test: int = TEST_STEPS) -> DataFrame:
     """Scores of every candidate order of every device."""
-    return M.order_search(design(series, target), target, tiers or SEARCH, test)
+    return M.order_search(narrow_design(series, target), target, tiers or SEARCH, test)
 
 
 def optimise(series: DataFrame, target: str) -> DataFrame:
