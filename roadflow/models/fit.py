@@ -424,26 +424,31 @@ SCORE_COLS = [f.split()[0] for f in SCORE_TYPE.split(", ")]
 
 def _score(grams: dict, target: str, tries: list[tuple], x: np.ndarray, actual: np.ndarray, tails: dict) -> list[tuple]:
     """Order, season and scores of every candidate that the series has rows for and whose forecast is finite."""
-    common = {k: S.Common(gram, n, layout(target, True, k), REACH) for k, (gram, n) in grams.items()}
-    held = [(order, sea, nearest(grams, order, sea)) for order, sea in tries]
-    held = [(order, sea, common[reach].fit(order, sea)) for order, sea, reach in held if reach is not None]
+    held: dict[int, list] = {}
+    for at, (order, sea) in enumerate(tries):
+        reach = nearest(grams, order, sea)
+        if reach is not None:
+            held.setdefault(reach, []).append(at)
     if not held:
         return []
-    models = {c: np.array([m[c] for _, _, m in held]) for c in ("w", "theta")}
-    xb = np.array([m["const"] + x @ np.asarray(m["beta"]) for _, _, m in held])
-    back = [np.broadcast_to(tails[c], (len(held), len(tails[c]))) for c in ("y_tail", "e_tail")]
+    found = [S.Common(*grams[k], layout(target, True, k), REACH).fit_all([tries[i] for i in at]) for k, at in held.items()]
+    models = {c: np.concatenate([m[c] for m in found]) for c in ("const", "beta", "w", "theta")}
+    xb = models["const"][:, None] + models["beta"] @ x.T
+    back = [np.broadcast_to(tails[c], (len(xb), len(tails[c]))) for c in ("y_tail", "e_tail")]
     guesses = S.recurse_all(models, xb, *back)
-    return [(*order, *sea, *scores(actual, np.maximum(guess, 0.0)))
-            for (order, sea, _), guess in zip(held, guesses) if np.all(np.isfinite(guess))]
-
-
-def scores(actual: np.ndarray, guess: np.ndarray) -> tuple[float, float, float, float]:
-    err = actual - guess
-    pos = actual > 0
-    sse, sst = float(err @ err), float(np.square(actual - actual.mean()).sum())
-    r2 = 1 - sse / sst if sst > 0 else float(sse == 0)
-    mape = float(np.mean(np.abs(err[pos] / actual[pos])) * 100) if pos.any() else 0.0
-    return float(np.abs(err).mean()), float(np.sqrt(sse / len(err))), mape, r2
+    finite = np.isfinite(guesses).all(axis=1)
+    kept = [tries[i] for i, good in zip([i for at in held.values() for i in at], finite) if good]
+    scored = scores(actual, np.maximum(guesses[finite], 0.0))
+    return [(*order, *sea, *map(float, row)) for (order, sea), row in zip(kept, scored)]
+
+
+def scores(actual: np.ndarray, guesses: np.ndarray) -> np.ndarray:
+    """MAE, RMSE, MAPE and R2 of each row of ``guesses``."""
+    err, pos = actual - guesses, actual > 0
+    sse, sst = np.square(err).sum(axis=1), float(np.square(actual - actual.mean()).sum())
+    r2 = 1 - sse / sst if sst > 0 else (sse == 0).astype(float)
+    mape = np.abs(err[:, pos] / actual[pos]).mean(axis=1) * 100 if pos.any() else np.zeros(len(err))
+    return np.column_stack([np.abs(err).mean(axis=1), np.sqrt(sse / err.shape[1]), mape, r2])
 
 
 def best_order(scored: DataFrame) -> DataFrame:

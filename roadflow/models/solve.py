@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -136,14 +136,19 @@ def reaches(lay: Layout, reach: tuple[int, int] | None) -> tuple[int, int]:
     return reach or (max(lay.lags, default=0), max(lay.shocks, default=0))
 
 
-def fit(gram: np.ndarray, n: float, lay: Layout, order: tuple, seasonal: tuple, reach: tuple[int, int] | None = None) -> dict:
-    """One model: regressors, p lags, P seasonal lags, q shocks and Q seasonal shocks on the (d, D)-th difference."""
+@cache
+def design_rows(lay: Layout, order: tuple, seasonal: tuple) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Terms of a model besides the regressors and its goal, over the raw vector; the names of the terms."""
     d, seasonal_d, s = order[1], seasonal[1], seasonal[3]
     ks, js = terms_of(order, seasonal)
-    rows = [_unit(lay.size, i) for i in range(1 + lay.m)]
-    rows += [diff_row(lay, k, d, seasonal_d, s) for k in ks] + [_unit(lay.size, lay.e(j)) for j in js]
-    goal, rows = diff_row(lay, 0, d, seasonal_d, s), np.array(rows)
-    terms = [f"ar{k}" for k in ks] + [f"ma{j}" for j in js]
+    rows = [diff_row(lay, k, d, seasonal_d, s) for k in ks] + [_unit(lay.size, lay.e(j)) for j in js]
+    return np.array(rows).reshape(-1, lay.size), diff_row(lay, 0, d, seasonal_d, s), [f"ar{k}" for k in ks] + [f"ma{j}" for j in js]
+
+
+def fit(gram: np.ndarray, n: float, lay: Layout, order: tuple, seasonal: tuple, reach: tuple[int, int] | None = None) -> dict:
+    """One model: regressors, p lags, P seasonal lags, q shocks and Q seasonal shocks on the (d, D)-th difference."""
+    own, goal, terms = design_rows(lay, order, seasonal)
+    rows = np.vstack([np.eye(1 + lay.m, lay.size), own])
     return _model(lay, rows, goal, least_squares(gram, rows, goal, n), terms, reaches(lay, reach))
 
 
@@ -171,26 +176,58 @@ class Common:
 
     def fit(self, order: tuple, seasonal: tuple) -> dict:
         """``const``, ``beta``, ``w`` and ``theta`` of ``fit``."""
-        lay, (d, seasonal_d, s) = self.lay, (order[1], seasonal[1], seasonal[3])
-        ks, js = terms_of(order, seasonal)
-        rows = np.array([diff_row(lay, k, d, seasonal_d, s) for k in ks] + [_unit(lay.size, lay.e(j)) for j in js])
-        goal = diff_row(lay, 0, d, seasonal_d, s)
-        left = rows @ self.rest
-        scale = np.sqrt(np.maximum(np.einsum("ij,ij->i", rows @ self.gram, rows), 0.0))
-        if not self.clear or not np.all(scale > 0) or not np.all(np.isfinite(left)):
-            return fit(self.gram, self.n, lay, order, seasonal, self.reach)
-        values, vectors = np.linalg.eigh(left @ rows.T / np.outer(scale, scale))
-        if values[0] <= self.CLEAR:
-            return fit(self.gram, self.n, lay, order, seasonal, self.reach)
-        coef = (vectors / values) @ vectors.T @ (left @ goal / scale) / scale
-        whole = coef @ rows - goal
-        whole[: self.width] = -(self.on_regressors @ whole)
-        return {"const": float(whole[0]), "beta": whole[1 : self.width], **_weights(lay, whole, self.reach)}
+        return {c: v[0] for c, v in self.fit_all([(order, seasonal)]).items()}
+
+    def fit_all(self, tries: list[tuple]) -> dict:
+        """``fit`` of many models: ``const``, ``beta``, ``w`` and ``theta`` as arrays, a model a row.
+
+        Models of as many terms are solved together.
+        """
+        lay, width = self.lay, self.width
+        out = {"const": np.empty(len(tries)), "beta": np.empty((len(tries), lay.m)),
+               "w": np.zeros((len(tries), self.reach[0])), "theta": np.zeros((len(tries), self.reach[1]))}
+        left_over = list(range(len(tries)))
+        if self.clear and np.all(np.isfinite(self.rest)):
+            left_over = []
+            for at, rows, goal in batches(lay, tuple(tries)):
+                flat = rows.reshape(-1, lay.size)
+                left = (flat @ self.rest).reshape(rows.shape)
+                scale = np.sqrt(np.maximum(((flat @ self.gram) * flat).sum(axis=1), 0.0)).reshape(rows.shape[:2])
+                ok = np.all(scale > 0, axis=1)
+                scale[~ok] = 1.0
+                values, vectors = np.linalg.eigh(left @ rows.transpose(0, 2, 1) / (scale[:, :, None] * scale[:, None, :]))
+                ok &= values[:, 0] > self.CLEAR
+                values[~ok] = 1.0
+                b = np.einsum("cij,cj->ci", left, goal) / scale
+                coef = np.einsum("cij,cj->ci", vectors, np.einsum("cji,cj->ci", vectors, b) / values) / scale
+                whole = np.einsum("ci,cij->cj", coef, rows) - goal
+                whole[:, :width] = -(whole @ self.on_regressors.T)
+                out["const"][at], out["beta"][at] = whole[:, 0], whole[:, 1:width]
+                if lay.lags:
+                    out["w"][np.ix_(at, np.array(lay.lags) - 1)] = whole[:, lay.y(lay.lags[0]) : lay.y(lay.lags[0]) + len(lay.lags)]
+                if lay.shocks:
+                    out["theta"][np.ix_(at, np.array(lay.shocks) - 1)] = whole[:, lay.e(lay.shocks[0]) :]
+                left_over += [i for i, good in zip(at, ok) if not good]
+        for i in left_over:
+            found = fit(self.gram, self.n, lay, *tries[i], self.reach)
+            for c in out:
+                out[c][i] = found[c]
+        return out
+
+
+@cache
+def batches(lay: Layout, tries: tuple) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Models of as many terms: their places among ``tries``, rows and goals."""
+    found: dict[int, list] = {}
+    for i, (order, seasonal) in enumerate(tries):
+        rows, goal, _ = design_rows(lay, order, seasonal)
+        found.setdefault(len(rows), []).append((i, rows, goal))
+    return [([i for i, _, _ in g], np.array([r for _, r, _ in g]), np.array([t for _, _, t in g])) for g in found.values()]
 
 
 def free_autoregression(gram: np.ndarray, n: float, lay: Layout, reach: tuple[int, int] | None = None) -> dict:
     """All lags of the layout with a weight of their own: any difference and season is a case of it."""
-    rows = np.array([_unit(lay.size, i) for i in range(1 + lay.m)] + [_unit(lay.size, lay.y(k)) for k in lay.lags])
+    rows = np.delete(np.eye(2 + lay.m + len(lay.lags), lay.size), lay.y(0), axis=0)
     goal = _unit(lay.size, lay.y(0))
     return _model(lay, rows, goal, least_squares(gram, rows, goal, n), [f"ar{k}" for k in lay.lags], reaches(lay, reach))
 
@@ -227,11 +264,15 @@ def recurse_all(models: dict, xb: np.ndarray, y_tail: np.ndarray, e_tail: np.nda
     steps, reach = xb.shape[1], w.shape[1]
     # What is forecast goes in front of what is known, newest first.
     past = np.hstack([np.zeros_like(xb), y_tail[:, :reach]])
-    shocks = np.flatnonzero(theta.any(axis=0))
+    base = np.array(xb, dtype=float)
+    for j in np.flatnonzero(theta.any(axis=0)):
+        # Known shocks reach the first j + 1 steps, the newest the last of them.
+        first, last = max(j + 1 - e_tail.shape[1], 0), min(j + 1, steps)
+        if first < last:
+            base[:, first:last] += theta[:, j : j + 1] * e_tail[:, j - np.arange(first, last)]
     for h in range(steps):
-        shock = sum((theta[:, j] * e_tail[:, j - h] for j in shocks if 0 <= j - h < e_tail.shape[1]), np.zeros(len(xb)))
         at = steps - h
-        past[:, at - 1] = xb[:, h] + np.einsum("ij,ij->i", w, past[:, at : at + reach]) + shock
+        past[:, at - 1] = base[:, h] + np.einsum("ij,ij->i", w, past[:, at : at + reach])
     return past[:, :steps][:, ::-1]
 
 
@@ -268,18 +309,49 @@ def lag_count(n: int) -> int:
     return max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 3))
 
 
+@cache
+def _test_rows(lay: Layout, d: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Constant, level and lagged differences of the d-th difference, and the goal of the test."""
+    steps = [diff_row(lay, k, d) - diff_row(lay, k + 1, d) for k in range(most + 1)]
+    return np.array([_unit(lay.size, 0), diff_row(lay, 1, d), *steps[1:]]), steps[0]
+
+
+NESTED = 1e-8  # least share of the largest eigenvalue from which regressions are solved inside each other
+
+
+def nested_tests(gram: np.ndarray, n: float, rows: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(t statistic of the level, residual sum) of the regressions on the first 2, 3 .. rows, from one factor.
+
+    The leading part of a Cholesky factor, and of its inverse, is that of the leading matrix. None where the rows are too close to collinear.
+    """
+    a, b = rows @ gram @ rows.T, rows @ gram @ goal
+    scale = np.sqrt(np.maximum(np.diag(a), 0.0))
+    if not np.all(scale > 0) or not np.all(np.isfinite(a)):
+        return None
+    a = a / np.outer(scale, scale)
+    values = np.linalg.eigvalsh(a)
+    if values[0] <= NESTED * values[-1]:
+        return None
+    back = np.linalg.inv(np.linalg.cholesky(a))
+    z = back @ (b / scale)
+    # Row j of ``back`` adds its share to the level's weight and variance in every regression that has row j.
+    level = np.cumsum(back[:, 1] * z)[1:]
+    spread = np.cumsum(back[:, 1] ** 2)[1:]
+    sse = np.maximum(goal @ gram @ goal - np.cumsum(z * z)[1:], 0.0)
+    dof = np.maximum(n - np.arange(2, len(rows) + 1), 1.0)
+    se = np.sqrt(spread * sse / dof)
+    return np.divide(level, se, out=np.zeros_like(level), where=se > 0), sse
+
+
 def dickey_fuller(gram: np.ndarray, n: float, lay: Layout, d: int, most: int) -> float:
     """p-value of the augmented test on the d-th difference with up to ``most`` lagged differences, chosen by AIC."""
-    goal = diff_row(lay, 0, d) - diff_row(lay, 1, d)
-    base = [_unit(lay.size, 0), diff_row(lay, 1, d)]
-    steps = [diff_row(lay, k, d) - diff_row(lay, k + 1, d) for k in range(1, most + 1)]
-    best = None
-    for k in range(most + 1):
-        coef, se, sse, _ = least_squares(gram, np.array(base + steps[:k]), goal, n)
-        aic = n * math.log(max(sse / n, 1e-300)) + 2 * (k + 2)
-        if best is None or aic < best[0]:
-            best = (aic, coef[1] / se[1] if se[1] > 0 else 0.0)
-    return dickey_fuller_p(best[1])
+    rows, goal = _test_rows(lay, d, most)
+    found = nested_tests(gram, n, rows, goal)
+    if found is None:
+        solved = [least_squares(gram, rows[: 2 + k], goal, n) for k in range(most + 1)]
+        found = [coef[1] / se[1] if se[1] > 0 else 0.0 for coef, se, _, _ in solved], [sse for _, _, sse, _ in solved]
+    aic = [n * math.log(max(sse / n, 1e-300)) + 2 * (k + 2) for k, sse in enumerate(found[1])]
+    return dickey_fuller_p(found[0][int(np.argmin(aic))])
 
 
 def difference_order(gram: np.ndarray, n: float, lay: Layout, lags: int, most: int = 2):

@@ -31,15 +31,24 @@ def model_features(series: DataFrame, target: str) -> DataFrame:
     Regressors are lag-1 values (the first row repeats its own value, as a backward fill
     would give), the holiday flag and one-hot hour and weekday on a fixed vocabulary.
     """
+    return as_design(lagged_regressors(series, (target,)), target)
+
+
+def lagged_regressors(series: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """Targets as they are and the lag-1 values of all their regressors."""
     w = series_window(["DeviceId"])
-    lagged = [
-        F.coalesce(F.lag(c, 1).over(w), F.col(c)).alias(f"{c}_lag1")
-        for c in TARGET_REGRESSORS[target]
-    ]
-    return series.select(
-        "DeviceId", "BucketTime", F.col(target).alias("y"), *lagged,
+    names = dict.fromkeys(c for t in targets for c in TARGET_REGRESSORS[t])
+    lagged = [F.coalesce(F.lag(c, 1).over(w), F.col(c)).alias(f"{c}_lag1") for c in names]
+    return series.select("DeviceId", "BucketTime", *dict.fromkeys(targets), *lagged)
+
+
+def as_design(lagged: DataFrame, target: str) -> DataFrame:
+    """One target's columns of ``lagged_regressors`` with the flags of the calendar, and ``rn`` if it is there."""
+    return lagged.select(
+        "DeviceId", "BucketTime", F.col(target).alias("y"), *[f"{c}_lag1" for c in TARGET_REGRESSORS[target]],
         is_holiday("BucketTime").alias("IsHoliday"),
         *[v.alias(k) for k, v in calendar_dummies("BucketTime").items()],
+        *(["rn"] if "rn" in lagged.columns else []),
     )
 
 

@@ -12,7 +12,7 @@ from ..models import fit as M
 from ..models import forecast as P
 from ..sources import configs
 from ..session import stage
-from .features import model_features, with_row_numbers
+from .features import as_design, lagged_regressors, model_features, with_row_numbers
 
 TEST_STEPS = 12
 TARGETS = ("NumVehicles", "AvgSpeed")
@@ -32,9 +32,13 @@ def design(series: DataFrame, target: str) -> DataFrame:
     return stage(M.training_rows(model_features(series, target)), f"design-{target}")
 
 
-def narrow_design(series: DataFrame, target: str) -> DataFrame:
-    """Feature rows and their numbers without the lags, staged: for jobs whose passes make the lags themselves."""
-    return stage(with_row_numbers(model_features(series, target)), f"rows-{target}")
+def narrow_designs(series: DataFrame, targets: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Feature rows of each target and their numbers, for jobs whose passes make the lags themselves.
+
+    What the targets share is staged once; lags of the target are left out and the calendar follows from the stamp.
+    """
+    rows = stage(with_row_numbers(lagged_regressors(series, targets)), "rows")
+    return {target: as_design(rows, target) for target in targets}
 
 
 @dataclass(frozen=True)
@@ -53,7 +57,7 @@ def train(
 
     ``orders`` may name each device's source in ``ConfigSource``; ``rows`` is a design that is already there.
     """
-    rows = narrow_design(series, target) if rows is None else rows
+    rows = narrow_designs(series, (target,))[target] if rows is None else rows
     sources = orders if orders is not None and "ConfigSource" in orders.columns else None
     # One pass fits both windows; the refit keeps the order and d of the training part.
     fits = M.fit_windows(rows, target, {"train": (TEST_STEPS + 1, M.EVERYTHING), "all": (1, M.EVERYTHING)}, orders, order)
@@ -100,8 +104,7 @@ def train_targets(
     (p, d, q and, if wanted, sp, sd, sq, s) where it is given, and else the best order of a search. Devices with an order are not searched.
     """
     results = {}
-    for target in targets:
-        rows = narrow_design(series, target)
+    for target, rows in narrow_designs(series, targets).items():
         devices = rows.select("DeviceId").distinct()
         manual = devices.select("DeviceId", *[F.lit(None).cast("int").alias(c) for c in (*M.ORDER_COLS, "d")]).limit(0)
         if config is not None:
@@ -118,7 +121,7 @@ def train_targets(
 
 def search(series: DataFrame, target: str, tiers: dict | None = None, test: int = TEST_STEPS) -> DataFrame:
     """Scores of every candidate order of every device."""
-    return M.order_search(narrow_design(series, target), target, tiers or SEARCH, test)
+    return M.order_search(narrow_designs(series, (target,))[target], target, tiers or SEARCH, test)
 
 
 def optimise(series: DataFrame, target: str) -> DataFrame:

@@ -84,7 +84,7 @@ def test_a_long_series_waits_in_a_file(monkeypatch):
 
 def test_two_windows_are_two_fits(spark):
     """The refit keeps order and d of the training part; both are those of fits on their own, short series included."""
-    rows = training.narrow_design(series_of(spark, {"a": ar(700), "b": 50 + np.cumsum(ar(400, 7) - 20) / 10, "c": ar(18), "d": ar(2)}), TARGET)
+    rows = training.narrow_designs(series_of(spark, {"a": ar(700), "b": 50 + np.cumsum(ar(400, 7) - 20) / 10, "c": ar(18), "d": ar(2)}), (TARGET,))[TARGET]
     orders = spark.createDataFrame([("a", 2, 1, 0), ("c", 1, 0, 0)], "DeviceId string, p int, q int, sd int")
     fits = M.fit_windows(rows, TARGET, {"train": (13, M.EVERYTHING), "all": (1, M.EVERYTHING)}, orders, (1, 0, 1))
     train = M.models_of(fits, rows, TARGET, "train")
@@ -122,7 +122,7 @@ def test_training_takes_two_passes_over_narrow_rows(spark, monkeypatch):
 
 
 def test_orders_given_twice_are_fitted_twice(spark):
-    rows = training.narrow_design(series_of(spark, {"a": ar(200)}), TARGET)
+    rows = training.narrow_designs(series_of(spark, {"a": ar(200)}), (TARGET,))[TARGET]
     orders = spark.createDataFrame([("a", 1), ("a", 2)], "DeviceId string, p int")
     models, _ = M.fit_models(rows, TARGET, orders)
     assert sorted(r["p"] for r in models.select("p").collect()) == [1, 2]
