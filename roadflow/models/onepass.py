@@ -203,7 +203,8 @@ def studied(
     """``answer(device, study, facts)`` of every series, as rows of ``kind``.
 
     ``rows``: whole series (DeviceId, rn, y, regressors). ``facts``: one row per series (DeviceId, ``low_i``, ``high_i``
-    for the i-th window, and what ``given`` names). ``keep``: rows at the end of a series that the answer looks at.
+    for the i-th window, and what ``given`` names); they travel as a last row of their series, so nothing is joined.
+    ``keep``: rows at the end of a series that the answer looks at.
     """
     plain = [c for c in regressor_names(target) if c not in FLAGS]
     cols, extra = ["rn", "y", *plain, "_flags"], [*bounds(names), *([given] if given else [])]
@@ -211,39 +212,33 @@ def studied(
     schema = to_arrow_schema(StructType.fromDDL(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        device, held, known, out = None, None, None, []
-
-        def done() -> list[dict]:
-            ends = [(known[f"low_{i}"], known[f"high_{i}"]) for i in range(len(names))]
-            return answer(device, Study(held, target, ends, keep, first, lag_count), known)
-
+        device, held, out = None, Held(), []
         for batch in batches:
             values = np.column_stack([numbers(batch, c) for c in cols]).astype(float, copy=False)
             ids = batch.column("DeviceId").dictionary_encode()
             places = ids.indices.to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(places)) + 1), len(places)]
             for low, high in zip(cuts, cuts[1:]):
-                if low == high:
-                    continue
-                name = ids.dictionary[int(places[low])].as_py()
+                name = ids.dictionary[int(places[low])].as_py() if high > low else device
                 if name != device:
-                    if device is not None:
-                        out += done()
                     device, held = name, Held()
-                held.add(values[low:high])
-                known = {c: batch.column(c)[int(high) - 1].as_py() for c in extra}
+                last = high > low and values[high - 1, 0] == 0
+                if high - last > low:
+                    held.add(values[low : high - last])
+                if last:
+                    known = {c: batch.column(c)[int(high) - 1].as_py() for c in extra}
+                    ends = [(known[f"low_{i}"], known[f"high_{i}"]) for i in range(len(names))]
+                    out += answer(device, Study(held, target, ends, keep, first, lag_count), known)
+                    held = Held()
                 if len(out) >= _ANSWERS:
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
-        if device is not None:
-            out += done()
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
     narrow = rows.select("DeviceId", F.col("rn").cast("int").alias("rn"), *[F.col(c).cast("double").alias(c) for c in ("y", *plain)],
-                         mask.alias("_flags")).join(facts, "DeviceId")
-    if given:
-        # Read at the last row of a series.
-        narrow = narrow.withColumn(given, F.when(F.col("rn") == 1, F.col(given)))
-    dealt = narrow.repartition(shuffle_partitions(rows.sparkSession), "DeviceId")
+                         mask.alias("_flags"))
+    ends = facts.select("DeviceId", F.lit(0).alias("rn"), *extra)
+    whole = narrow.unionByName(ends, allowMissingColumns=True).where("DeviceId IS NOT NULL")
+    dealt = whole.repartition(shuffle_partitions(rows.sparkSession), "DeviceId")
     return dealt.sortWithinPartitions("DeviceId", F.col("rn").desc()).select("DeviceId", *cols, *extra).mapInArrow(run, kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -102,9 +103,9 @@ def train_targets(
 
     A device that the configuration (``sources.configs``) gives an order keeps it; the others take ``default``
     (p, d, q and, if wanted, sp, sd, sq, s) where it is given, and else the best order of a search. Devices with an order are not searched.
+    Targets are trained side by side: the small jobs of one run while the other's passes keep the cores busy.
     """
-    results = {}
-    for target, rows in narrow_designs(series, targets).items():
+    def one(target: str, rows: DataFrame) -> TrainResult:
         devices = rows.select("DeviceId").distinct()
         manual = devices.select("DeviceId", *[F.lit(None).cast("int").alias(c) for c in (*M.ORDER_COLS, "d")]).limit(0)
         if config is not None:
@@ -115,8 +116,11 @@ def train_targets(
             open_ = rows.join(manual, "DeviceId", "left_anti")
             searched = M.best_order(M.order_search(open_, target, tiers or SEARCH, TEST_STEPS))
         orders = stage(E.order_source(devices, manual, default, searched), "orders")
-        results[target] = train(series, target, step, orders, rows=rows)
-    return results
+        return train(series, target, step, orders, rows=rows)
+
+    designs = narrow_designs(series, targets)
+    with ThreadPoolExecutor(max(len(designs), 1)) as pool:
+        return dict(zip(designs, pool.map(one, designs, designs.values())))
 
 
 def search(series: DataFrame, target: str, tiers: dict | None = None, test: int = TEST_STEPS) -> DataFrame:
