@@ -64,13 +64,14 @@ class Groups:
     def __init__(self) -> None:
         self.sums: dict[tuple, list] = {}
 
-    def add(self, code: np.ndarray, columns: Callable[[tuple, np.ndarray], np.ndarray]) -> None:
+    def add(self, code: np.ndarray, columns: Callable[[tuple, np.ndarray | slice], np.ndarray]) -> None:
         """``code``: for each row and window the number of reaches that the row is complete for."""
         whole = np.ravel_multi_index(code.T, [len(REACHES) + 1] * code.shape[1])
         for at in np.unique(whole[code.any(axis=1)]):
             rows = np.flatnonzero(whole == at)
-            key = tuple(code[rows[0]])
-            z = columns(key, rows)
+            key = tuple(code[rows[0]].tolist())
+            # Rows that count alike mostly follow each other, and need no copy then.
+            z = columns(key, slice(rows[0], rows[-1] + 1) if rows[-1] - rows[0] + 1 == len(rows) else rows)
             slot = self.sums.setdefault(key, [0.0, 0.0])
             slot[0] += len(z)
             slot[1] = slot[1] + z.T @ z
@@ -96,17 +97,26 @@ class Study:
         self.n_shocks = [sum(k <= r for k in SHOCK_LAGS) for r in REACHES]
         # As many lags as the series' length asks for, and what two differences and the difference tested add.
         self.tested = [lag_count(max(high - low + 1, 0)) + 3 for low, high in ends]
+        self.known: list | None = None
         self.first = [first(grams, lagged) for grams, lagged in self._plain()]
         self.second = self._with_shocks()
 
     def _blocks(self) -> Iterator[tuple]:
-        """Row numbers, rows as ``[1, x, y, lags]`` and the target with what lies before it."""
+        """Row numbers, rows as ``[1, x, y, lags]`` and room for shocks, and the target with what lies before it.
+
+        Those of a series of one block are kept.
+        """
+        if self.known is None:
+            self.known = list(self._opened()) if self.held.file is None and self.held.rows <= BLOCK else []
+        return iter(self.known) if self.known else self._opened()
+
+    def _opened(self) -> Iterator[tuple]:
         reach = max(MAX_LAG, *self.tested)
         before = np.full(reach, np.nan)
         for part in self.held:
             rn, y, mask = part[:, 0], part[:, 1], part[:, -1]
             n, plain = len(part), part.shape[1] - 3
-            z = np.empty((n, self.sizes[-1]))
+            z = np.zeros((n, self.sizes[-1] + len(SHOCK_LAGS) * len(self.ends)))
             z[:, 0] = 1.0
             z[:, 1 : 1 + plain] = part[:, 2:-1]
             known = ~np.isnan(mask)
@@ -120,7 +130,7 @@ class Study:
 
     def _complete(self, z: np.ndarray) -> np.ndarray:
         """For each row and reach, whether all its columns are known; what a far reach has, the nearer ones have."""
-        unknown, out = np.isnan(z), np.empty((len(z), len(REACHES)), dtype=bool)
+        unknown, out = np.isnan(z[:, : self.sizes[-1]]), np.empty((len(z), len(REACHES)), dtype=bool)
         for j, (low, high) in enumerate(zip([0, *self.sizes], self.sizes)):
             out[:, j] = ~unknown[:, low:high].any(axis=1) & (out[:, j - 1] if j else True)
         return out
@@ -140,17 +150,16 @@ class Study:
                 back = back[~np.isnan(back).any(axis=1)]
                 back = np.column_stack([np.ones(len(back)), back])
                 lagged[i] = [lagged[i][0] + len(back), lagged[i][1] + back.T @ back]
-        leading = lambda key, j: np.arange(self.sizes[j])
+        leading = lambda key, j: slice(self.sizes[j])
         return [(groups.grams(i, leading), {self.tested[i]: (gram, n)} if n else {}) for i, (n, gram) in enumerate(lagged)]
 
     def _with_shocks(self) -> list[dict]:
-        groups, width = Groups(), len(SHOCK_LAGS)
+        groups, width, size = Groups(), len(SHOCK_LAGS), self.sizes[-1]
         before = [np.full(MAX_SHOCK, np.nan) for _ in self.ends]
         recent = []
         for rn, z, _ in self._blocks():
             inside, complete = self._inside(rn), self._complete(z)
-            code, shocks = np.zeros(inside.shape, dtype=int), np.empty((len(rn), width * len(self.ends)))
-            now = []
+            code, shocks, now = np.zeros(inside.shape, dtype=int), z[:, size:], []
             for i, model in enumerate(self.first):
                 now.append(self._shock(model, z))
                 whole = np.concatenate([before[i], now[i]])
@@ -161,8 +170,9 @@ class Study:
                 shocks[:, width * i : width * (i + 1)] = lags
                 before[i] = whole[-MAX_SHOCK:]
             # A shock that is unknown belongs to no window or reach that counts the row.
-            shocks = np.nan_to_num(shocks, nan=0.0, posinf=np.inf, neginf=-np.inf)
-            groups.add(code, lambda key, rows: np.column_stack([z[rows, : self.sizes[max(key) - 1]], shocks[rows]]))
+            shocks[np.isnan(shocks)] = 0.0
+            groups.add(code, lambda key, rows: z[rows] if max(key) == len(REACHES) else np.column_stack(
+                [z[rows, : self.sizes[max(key) - 1]], shocks[rows]]))
             late = rn <= self.keep
             recent.append((rn[late], z[late, : 2 + self.m], *[e[late] for e in now]))
         self.recent = [np.concatenate(c) for c in zip(*recent)]

@@ -179,35 +179,33 @@ class Common:
         return {c: v[0] for c, v in self.fit_all([(order, seasonal)]).items()}
 
     def fit_all(self, tries: list[tuple]) -> dict:
-        """``fit`` of many models: ``const``, ``beta``, ``w`` and ``theta`` as arrays, a model a row.
-
-        Models of as many terms are solved together.
-        """
+        """``fit`` of many models: ``const``, ``beta``, ``w`` and ``theta`` as arrays, a model a row."""
         lay, width = self.lay, self.width
         out = {"const": np.empty(len(tries)), "beta": np.empty((len(tries), lay.m)),
                "w": np.zeros((len(tries), self.reach[0])), "theta": np.zeros((len(tries), self.reach[1]))}
         left_over = list(range(len(tries)))
         if self.clear and np.all(np.isfinite(self.rest)):
-            left_over = []
-            for at, rows, goal in batches(lay, tuple(tries)):
-                flat = rows.reshape(-1, lay.size)
-                left = (flat @ self.rest).reshape(rows.shape)
-                scale = np.sqrt(np.maximum(((flat @ self.gram) * flat).sum(axis=1), 0.0)).reshape(rows.shape[:2])
-                ok = np.all(scale > 0, axis=1)
-                scale[~ok] = 1.0
-                values, vectors = np.linalg.eigh(left @ rows.transpose(0, 2, 1) / (scale[:, :, None] * scale[:, None, :]))
-                ok &= values[:, 0] > self.CLEAR
-                values[~ok] = 1.0
-                b = np.einsum("cij,cj->ci", left, goal) / scale
-                coef = np.einsum("cij,cj->ci", vectors, np.einsum("cji,cj->ci", vectors, b) / values) / scale
-                whole = np.einsum("ci,cij->cj", coef, rows) - goal
-                whole[:, :width] = -(whole @ self.on_regressors.T)
-                out["const"][at], out["beta"][at] = whole[:, 0], whole[:, 1:width]
-                if lay.lags:
-                    out["w"][np.ix_(at, np.array(lay.lags) - 1)] = whole[:, lay.y(lay.lags[0]) : lay.y(lay.lags[0]) + len(lay.lags)]
-                if lay.shocks:
-                    out["theta"][np.ix_(at, np.array(lay.shocks) - 1)] = whole[:, lay.e(lay.shocks[0]) :]
-                left_over += [i for i, good in zip(at, ok) if not good]
+            rows, goal, void = stacked(lay, tuple(tries))
+            flat = rows.reshape(-1, lay.size)
+            left = (flat @ self.rest).reshape(rows.shape)
+            scale = np.sqrt(np.maximum(((flat @ self.gram) * flat).sum(axis=1), 0.0)).reshape(rows.shape[:2])
+            ok = np.all((scale > 0) | void, axis=1)
+            scale[scale == 0] = 1.0
+            a = left @ rows.transpose(0, 2, 1) / (scale[:, :, None] * scale[:, None, :])
+            a[:, np.arange(rows.shape[1]), np.arange(rows.shape[1])] += void
+            values, vectors = np.linalg.eigh(a)
+            ok &= values[:, 0] > self.CLEAR
+            values[~ok] = 1.0
+            b = np.einsum("cij,cj->ci", left, goal) / scale
+            coef = np.einsum("cij,cj->ci", vectors, np.einsum("cji,cj->ci", vectors, b) / values) / scale
+            whole = np.einsum("ci,cij->cj", coef, rows) - goal
+            whole[:, :width] = -(whole @ self.on_regressors.T)
+            out["const"], out["beta"] = whole[:, 0].copy(), whole[:, 1:width].copy()
+            if lay.lags:
+                out["w"][:, np.array(lay.lags) - 1] = whole[:, lay.y(lay.lags[0]) : lay.y(lay.lags[0]) + len(lay.lags)]
+            if lay.shocks:
+                out["theta"][:, np.array(lay.shocks) - 1] = whole[:, lay.e(lay.shocks[0]) :]
+            left_over = np.flatnonzero(~ok)
         for i in left_over:
             found = fit(self.gram, self.n, lay, *tries[i], self.reach)
             for c in out:
@@ -216,19 +214,25 @@ class Common:
 
 
 @cache
-def batches(lay: Layout, tries: tuple) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Models of as many terms: their places among ``tries``, rows and goals."""
-    found: dict[int, list] = {}
-    for i, (order, seasonal) in enumerate(tries):
-        rows, goal, _ = design_rows(lay, order, seasonal)
-        found.setdefault(len(rows), []).append((i, rows, goal))
-    return [([i for i, _, _ in g], np.array([r for _, r, _ in g]), np.array([t for _, _, t in g])) for g in found.values()]
+def stacked(lay: Layout, tries: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and goals of many models, those of few terms filled up with empty ones; which terms are such."""
+    found = [design_rows(lay, *one) for one in tries]
+    rows = np.zeros((len(found), max(len(r) for r, _, _ in found), lay.size))
+    for i, (own, _, _) in enumerate(found):
+        rows[i, : len(own)] = own
+    sizes = np.array([len(r) for r, _, _ in found])
+    return rows, np.array([g for _, g, _ in found]), np.arange(rows.shape[1]) >= sizes[:, None]
+
+
+@cache
+def _free_rows(lay: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Constant, regressors and every lag of the layout; the target."""
+    return np.delete(np.eye(2 + lay.m + len(lay.lags), lay.size), lay.y(0), axis=0), _unit(lay.size, lay.y(0))
 
 
 def free_autoregression(gram: np.ndarray, n: float, lay: Layout, reach: tuple[int, int] | None = None) -> dict:
     """All lags of the layout with a weight of their own: any difference and season is a case of it."""
-    rows = np.delete(np.eye(2 + lay.m + len(lay.lags), lay.size), lay.y(0), axis=0)
-    goal = _unit(lay.size, lay.y(0))
+    rows, goal = _free_rows(lay)
     return _model(lay, rows, goal, least_squares(gram, rows, goal, n), [f"ar{k}" for k in lay.lags], reaches(lay, reach))
 
 
